@@ -102,7 +102,9 @@ def slots(sources: DataFrame, block: int = BLOCK, slots_per_shard: int = 4096) -
     s = s.withColumn("shards", shards).select("rank", "source_size", "goal", "per", "n", "shards")
     drawn = spread(s, "n", "draw").groupBy("rank", F.pmod(F.xxhash64("rank", "draw"), "shards").alias("shard")).agg(F.count("*").alias("count"))
     drawn = drawn.withColumn("first", F.sum("count").over(W.partitionBy("rank").orderBy("shard")) - F.col("count"))
-    one = drawn.withColumn("at", F.explode(F.expr("sequence(first, first + count - 1)"))).join(s, "rank")
+    # few bytes but much to compute: dealt out by number, which adaptive execution leaves as it is
+    dealt = drawn.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rank", "shard")
+    one = dealt.withColumn("at", F.explode(F.expr("sequence(first, first + count - 1)"))).join(s, "rank")
     i, full = F.col("at") % F.col("per"), F.expr(f"source_size div {block}")
     # the last slot of a pass is the source's rest, if it has one
     number = F.when(i < full, permuted(i, full, F.concat_ws("/", "rank", F.expr("at div per")))).otherwise(i)
