@@ -1 +1,126 @@
-"""."""
+"""Queries on trees. The tree of the driver's tables is binary: node i has parent i div 2, for the keys of customer; times grow from parent to child."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cladewright.catalog import VIEWS, query
+from cladewright.operators import trees as T
+
+VIEWS["nodes"] = """SELECT i AS node, CASE WHEN i > 1 THEN CAST(floor(i / 2.0) AS BIGINT) END AS parent, (length(bin(i)) - 1) + (i % 7) / 10.0 + 0.0E0 AS time, 2 * i > m AS is_leaf, length(bin(i)) - 1 AS depth,
+  concat('ct', CAST((i * 7) % 5 AS STRING)) AS celltype FROM (SELECT c_custkey AS i, (SELECT count(*) FROM {customer}) AS m FROM {customer} WHERE c_custkey > 0) q"""
+_DESC = "d AS (SELECT node AS anc, node FROM {nodes} UNION ALL SELECT d.anc, n.node FROM d JOIN {nodes} n ON n.parent = d.node)"
+_SIZE = f"{_DESC}, z AS (SELECT anc AS node, count(*) FILTER (n.is_leaf) AS tips FROM d JOIN {{nodes}} n ON n.node = d.node GROUP BY anc)"
+VIEWS["tips"] = """SELECT n.node, concat('T', CAST(k AS STRING)) AS tape, substr(w, 1, 3) AS s1, CASE WHEN dd >= 2 THEN substr(w, 4, 3) ELSE 'U' END AS s2, CASE WHEN dd >= 3 THEN substr(w, 7, 3) ELSE 'U' END AS s3
+  FROM (SELECT node, k, (node + k) % 3 + 1 AS dd, translate(md5(CAST(floor(node / 32.0) * 10 + k AS STRING)), '0123456789abcdef', 'ACGTACGTACGTACGT') AS w FROM (SELECT node, 1 AS k FROM {nodes} WHERE is_leaf UNION ALL SELECT node, 2 AS k FROM {nodes} WHERE is_leaf AND node % 4 <> 0) a) n"""
+VIEWS["tips"] = VIEWS["tips"].replace("CAST(floor(node / 32.0) * 10 + k AS STRING)", "CAST(CAST(floor(node / 32.0) AS BIGINT) * 10 + k AS STRING)")
+
+
+def ranked(nodes: DataFrame) -> DataFrame:
+    return T.nested_set(nodes.drop("depth"))
+
+
+@query(f"WITH RECURSIVE {_SIZE} SELECT node, tips FROM z", "nodes")
+def subtree_sizes(nodes: DataFrame) -> DataFrame:
+    return T.tips_below(ranked(nodes)).select("node", "tips")
+
+
+@query(f"WITH RECURSIVE {_DESC} SELECT anc AS node, k.celltype AS cls, count(*) FILTER (n.is_leaf AND n.celltype = k.celltype) AS n FROM d JOIN {{nodes}} n ON n.node = d.node, (SELECT DISTINCT celltype FROM {{nodes}} WHERE is_leaf) k GROUP BY 1, 2", "nodes")
+def class_counts(nodes: DataFrame) -> DataFrame:
+    return T.class_counts(ranked(nodes), nodes.filter("is_leaf").select("node", F.col("celltype").alias("cls")))
+
+
+_MAX = "m AS (SELECT n.node FROM {nodes} n JOIN z ON z.node = n.node JOIN z p ON p.node = n.parent WHERE z.tips BETWEEN 3 AND 15 AND p.tips > 15)"
+
+
+@query(f"WITH RECURSIVE {_SIZE}, {_MAX} SELECT m.node, z.tips FROM m JOIN z USING (node)", "nodes")
+def maximal_clades(nodes: DataFrame) -> DataFrame:
+    return T.maximal_clades(T.tips_below(ranked(nodes)), 3, 15).select("node", "tips")
+
+
+@query(f"WITH RECURSIVE {_SIZE}, {_MAX} SELECT n.node, max(m.node) AS clade FROM {{nodes}} n LEFT JOIN d ON d.node = n.node LEFT JOIN m ON m.node = d.anc WHERE n.is_leaf GROUP BY n.node", "nodes")
+def tip_clades(nodes: DataFrame) -> DataFrame:
+    sized = T.cut(T.tips_below(ranked(nodes)))
+    return T.nearest_chosen(sized.filter("is_leaf"), T.maximal_clades(sized, 3, 15)).select("node", "clade")
+
+
+_TIMES = "t AS (SELECT unnest([1.5, 2.25, 3.0, 4.05, 5.5, 7.0]) + 0.0E0 AS t)"
+
+
+def times(nodes: DataFrame) -> DataFrame:
+    return nodes.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x) for x in (1.5, 2.25, 3.0, 4.05, 5.5, 7.0)])).alias("t"))
+
+
+@query(f"WITH {_TIMES} SELECT t, n.node FROM {{nodes}} n JOIN {{nodes}} p ON p.node = n.parent JOIN t ON p.time < t AND t <= n.time", "nodes")
+def time_cut_clades(nodes: DataFrame) -> DataFrame:
+    return T.time_cut(nodes, times(nodes)).select("t", "node")
+
+
+@query(f"WITH {_TIMES} SELECT t, count(p.node) AS lineages FROM t LEFT JOIN ({{nodes}}) n ON n.time >= t LEFT JOIN {{nodes}} p ON p.node = n.parent AND p.time < t GROUP BY t".replace("({nodes})", "{nodes}"), "nodes")
+def ltt_curve(nodes: DataFrame) -> DataFrame:
+    return T.lineages_through_time(nodes, times(nodes))
+
+
+@query("SELECT parent, a.node AS a, b.node AS b FROM {nodes} a JOIN {nodes} b USING (parent) WHERE a.node < b.node AND a.is_leaf AND b.is_leaf", "nodes")
+def sibling_pairs(nodes: DataFrame) -> DataFrame:
+    return T.sibling_pairs(nodes.filter("is_leaf"))
+
+
+@query("SELECT parent, count(*) AS k, CASE count(*) WHEN 1 THEN 'loner' WHEN 2 THEN 'cherry' ELSE 'polytomy' END AS kind FROM {nodes} WHERE is_leaf GROUP BY parent", "nodes")
+def sibling_groups(nodes: DataFrame) -> DataFrame:
+    return T.sibling_groups(nodes)
+
+
+_LCP = f"""{_DESC}, b AS (SELECT d.anc AS node, tape, count(DISTINCT s1) AS k1, count(DISTINCT concat(s1, s2)) AS k2, count(DISTINCT concat(s1, s2, s3)) AS k3, min(s1) AS s1, min(s2) AS s2, min(s3) AS s3, count(*) FILTER (s2 = 'U') AS u2, count(*) FILTER (s3 = 'U') AS u3 FROM d JOIN {{tips}} t ON t.node = d.node GROUP BY 1, 2),
+  st AS (SELECT node, tape, CASE WHEN k1 > 1 THEN 0 WHEN k2 > 1 OR u2 > 0 THEN 1 WHEN k3 > 1 OR u3 > 0 THEN 2 ELSE 3 END AS n, s1, s2, s3 FROM b)"""
+
+
+@query(f"WITH RECURSIVE {_LCP} SELECT node, tape, CASE n WHEN 0 THEN '' WHEN 1 THEN s1 WHEN 2 THEN concat(s1, '|', s2) ELSE concat(s1, '|', s2, '|', s3) END AS prefix FROM st", "nodes", "tips")
+def ancestral_lcp(nodes: DataFrame, tips: DataFrame) -> DataFrame:
+    sites = tips.select("node", "tape", F.array("s1", "s2", "s3").alias("sites"))
+    return T.ancestral_by_parent(nodes, sites).select("node", "tape", F.array_join("prefix", "|").alias("prefix"))
+
+
+@query(f"""WITH RECURSIVE {_LCP} SELECT n.node, CAST(coalesce(sum(CASE WHEN n.parent IS NULL THEN st.n ELSE coalesce(st.n - p.n, 0) END), 0) AS BIGINT) AS edits, count(*) FILTER (CASE WHEN n.parent IS NULL THEN st.n ELSE coalesce(st.n - p.n, 0) END > 0) AS tapes
+  FROM {{nodes}} n LEFT JOIN st ON st.node = n.node LEFT JOIN st p ON p.node = n.parent AND p.tape = st.tape GROUP BY n.node""", "nodes", "tips")
+def branch_support(nodes: DataFrame, tips: DataFrame) -> DataFrame:
+    sites = tips.select("node", "tape", F.array("s1", "s2", "s3").alias("sites"))
+    return T.branch_support(nodes, T.ancestral_by_parent(nodes, sites))
+
+
+@query(f"""WITH RECURSIVE {_DESC}, p AS (SELECT node AS a, node + 5 AS b FROM {{nodes}} WHERE is_leaf AND node + 5 <= (SELECT max(node) FROM {{nodes}}))
+  SELECT a, b, max(x.anc) AS mrca FROM p JOIN d x ON x.node = a JOIN d y ON y.node = b AND y.anc = x.anc GROUP BY a, b""", "nodes")
+def mrca_pairs(nodes: DataFrame) -> DataFrame:
+    leaf = nodes.filter("is_leaf").select(F.col("node").alias("a"))
+    pairs = leaf.join(nodes.select((F.col("node") - 5).alias("a"), F.col("node").alias("b")), "a")
+    return T.mrca(nodes, pairs)
+
+
+@query(f"""WITH RECURSIVE {_DESC}, k AS (SELECT anc AS node, count(*) FILTER (n.is_leaf AND n.node % 3 = 0) AS kept FROM d JOIN {{nodes}} n ON n.node = d.node GROUP BY anc),
+  a AS (SELECT n.node, n.parent, n.time, n.is_leaf AND n.node % 3 = 0 AS tip FROM {{nodes}} n JOIN k USING (node) WHERE kept > 0), f AS (SELECT a.node, a.time FROM a LEFT JOIN a c ON c.parent = a.node GROUP BY a.node, a.time, a.tip HAVING a.tip OR count(c.node) > 1),
+  u AS (SELECT f.node, max(g.node) AS parent FROM f LEFT JOIN d ON d.node = f.node AND d.anc <> f.node LEFT JOIN f g ON g.node = d.anc GROUP BY f.node)
+  SELECT u.node, u.parent, round(f.time - coalesce(g.time, 0), 6) AS blen FROM u JOIN f ON f.node = u.node LEFT JOIN f g ON g.node = u.parent""", "nodes")
+def pruned_tree(nodes: DataFrame) -> DataFrame:
+    r = T.cut(ranked(nodes))
+    return T.prune(r, r.filter("is_leaf and node % 3 = 0")).withColumn("blen", F.round("blen", 6))
+
+
+@query(None, "nodes")
+def children_mean_vectors(nodes: DataFrame) -> DataFrame:
+    leaves = nodes.filter("is_leaf").select("node", F.array((F.col("node") % 11).cast("double"), (F.col("node") % 7).cast("double")).alias("v"))
+    return T.children_means(nodes, leaves, 2)
+
+
+@query("SELECT n.node AS tip, n.node + 1000000 AS cell, round(greatest(p.time, 12.0 - (n.node % 9)), 9) AS time, CAST(1 AS BIGINT) AS place FROM {nodes} n JOIN {nodes} p ON p.node = n.parent WHERE n.is_leaf", "nodes")
+def grafted_cells(nodes: DataFrame) -> DataFrame:
+    dated = nodes.join(nodes.select(F.col("node").alias("parent"), F.col("time").alias("parent_time")), "parent")
+    cells = nodes.filter("is_leaf").select(F.col("node").alias("tip"), (F.col("node") + 1000000).alias("cell"), (F.col("node") % 9).alias("days"))
+    return T.grafted(dated, cells, 12.0).withColumn("place", F.col("place").cast("long"))
+
+
+@query(None, "nodes")
+def newick_round_trip(nodes: DataFrame) -> DataFrame:
+    texts = nodes.select(F.col("node").alias("tree_id"), F.format_string("((a%d:1,b:2.50)x:1,(c:1,d:0,e:3e-1):2);", "node").alias("newick"))
+    back = T.write_newick(T.read_newick(texts))
+    return texts.join(back.withColumnRenamed("newick", "written"), "tree_id").withColumn("same", F.col("newick") == F.col("written"))
