@@ -53,7 +53,7 @@ def query(sql: str | None, *names: str) -> Callable:
     def put(f: Callable) -> Callable:
         QUERIES[f.__name__] = lambda spark, sf_dir: f(*[view(spark, sf_dir, n) for n in names])
         if sql:
-            ORACLES[f.__name__] = oracle(sql)
+            ORACLES[f.__name__] = sql
         return f
 
     return put
@@ -67,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracles() -> dict[str, str]:
     queries()
-    return dict(ORACLES)
+    return {k: oracle(v) for k, v in ORACLES.items()}

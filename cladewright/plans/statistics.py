@@ -1 +1,84 @@
-"""."""
+"""Queries on enrichment, dominance, ranks and tests."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cladewright.catalog import VIEWS, query
+from cladewright.operators import statistics as S
+from cladewright.operators import trees as T
+
+VIEWS["members"] = "SELECT CAST(floor(node / 8.0) AS BIGINT) AS clade, celltype AS cls, node FROM {nodes} WHERE is_leaf"
+VIEWS["clones"] = "SELECT l_suppkey % 4 AS grp, l_partkey % 37 AS clone, count(*) AS n FROM {lineitem} GROUP BY l_suppkey % 4, l_partkey % 37"
+VIEWS["tests"] = "SELECT o_orderkey AS id, (o_orderkey * 7919 % 1000 + 1) / 1000.0E0 AS p FROM {orders} WHERE o_orderkey % 10 = 0"
+
+
+@query("SELECT x.a, x.b, count(*) AS observed FROM (SELECT DISTINCT p.clade, p.cls AS a, q.cls AS b FROM {members} p JOIN {members} q ON p.clade = q.clade AND p.cls <= q.cls) x GROUP BY x.a, x.b", "members")
+def clade_cooccurrence(members: DataFrame) -> DataFrame:
+    return S.cooccurrence(members)
+
+
+@query("""WITH n AS (SELECT cls, count(*) AS n FROM {members} GROUP BY cls), c AS (SELECT clade, count(*) AS s FROM {members} GROUP BY clade), t AS (SELECT count(*) AS total, count(DISTINCT clade) AS k FROM {members}),
+  p AS (SELECT a.cls AS a, b.cls AS b, a.n AS na, b.n AS nb FROM n a JOIN n b ON a.cls < b.cls), m AS (SELECT DISTINCT unnest([na, nb, na + nb]) AS m FROM p),
+  f AS (SELECT m, sum(CASE WHEN total - m >= s THEN exp(lgamma(total - m + 1) - lgamma(total - m - s + 1) - lgamma(total + 1) + lgamma(total - s + 1)) ELSE 0 END) AS f FROM m, c, t GROUP BY m),
+  o AS (SELECT x.a, x.b, count(*) AS observed FROM (SELECT DISTINCT p.clade, p.cls AS a, q.cls AS b FROM {members} p JOIN {members} q ON p.clade = q.clade AND p.cls < q.cls) x GROUP BY x.a, x.b),
+  e AS (SELECT p.a, p.b, coalesce(observed, 0) AS observed, k - x.f - y.f + z.f AS e FROM p JOIN f x ON x.m = na JOIN f y ON y.m = nb JOIN f z ON z.m = na + nb LEFT JOIN o ON o.a = p.a AND o.b = p.b, t)
+  SELECT a, b, observed, round(e, 6) AS expected, round(log2((observed + 1) / (e + 1)), 6) AS log2fold FROM e""", "members")
+def clade_enrichment(members: DataFrame) -> DataFrame:
+    return S.enrichment(members)
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY n) AS r, sum(n) OVER (PARTITION BY grp ORDER BY n DESC ROWS UNBOUNDED PRECEDING) AS cum, sum(n) OVER (PARTITION BY grp) AS total FROM {clones})
+  SELECT grp, count(*) AS groups, round(2 * sum(r * n) / (count(*) * sum(n)) - (count(*) + 1) / count(*), 6) AS gini, count(*) FILTER (2 * (cum - n) < total) AS k_half FROM r GROUP BY grp""", "clones")
+def clone_gini(clones: DataFrame) -> DataFrame:
+    return S.gini(clones, "grp")
+
+
+@query("""SELECT grp, clone, n, round(sum(n) OVER (PARTITION BY grp) * sum(n) OVER (PARTITION BY clone) / sum(n) OVER (), 6) AS expected,
+  CASE WHEN n >= 10 THEN round(log2(n / (sum(n) OVER (PARTITION BY grp) * sum(n) OVER (PARTITION BY clone) / sum(n) OVER ())), 6) END AS log2fc FROM {clones}""", "clones")
+def founder_type_log2fc(clones: DataFrame) -> DataFrame:
+    return S.log2_enrichment(clones, "grp", "clone")
+
+
+@query("""WITH x AS (SELECT id, p, p * count(*) OVER () / count(*) OVER (ORDER BY p RANGE UNBOUNDED PRECEDING) AS x FROM {tests}) SELECT id, p, round(least(1.0, min(x) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING)), 9) AS q FROM x""", "tests")
+def bh_qvalues(tests: DataFrame) -> DataFrame:
+    return S.bh(tests)
+
+
+_RANK = "rank() OVER (PARTITION BY l_returnflag ORDER BY {0}) + (count(*) OVER (PARTITION BY l_returnflag, {0}) - 1) / 2.0"
+
+
+@query(f"SELECT l_returnflag, count(*) AS n, round(corr(x, y), 6) AS rho FROM (SELECT l_returnflag, {_RANK.format('l_quantity')} AS x, {_RANK.format('l_extendedprice')} AS y FROM {{lineitem}}) q GROUP BY l_returnflag".replace("{{lineitem}}", "{lineitem}"), "lineitem")
+def spearman_by_group(lineitem: DataFrame) -> DataFrame:
+    return S.spearman(lineitem.select("l_returnflag", "l_quantity", "l_extendedprice"), "l_quantity", "l_extendedprice", "l_returnflag")
+
+
+@query(f"""WITH r AS (SELECT l_returnflag, l_linestatus = 'O' AS f, {_RANK.format('l_quantity')} AS r FROM {{lineitem}}), a AS (SELECT l_returnflag, count(*) FILTER (f) AS n1, count(*) FILTER (NOT f) AS n2, sum(r) FILTER (f) AS w FROM r GROUP BY l_returnflag)
+  SELECT l_returnflag, n1, n2, w - n1 * (n1 + 1) / 2 AS u, round((w - n1 * (n1 + 1) / 2 - n1 * n2 / 2) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12.0), 6) AS z FROM a""", "lineitem")
+def wilcoxon_z(lineitem: DataFrame) -> DataFrame:
+    return S.rank_sum(lineitem.select("l_returnflag", "l_quantity", (F.col("l_linestatus") == "O").alias("first")), "l_quantity", "first", "l_returnflag")
+
+
+@query("""WITH s AS (SELECT a.node AS a, b.node AS b, a.celltype AS ca, b.celltype AS cb FROM {nodes} a JOIN {nodes} b USING (parent) WHERE a.node < b.node AND a.is_leaf AND b.is_leaf), n AS (SELECT celltype AS cls, count(*) AS n FROM {nodes} WHERE is_leaf GROUP BY 1),
+  e AS (SELECT cls, (SELECT count(*) FROM s WHERE ca = cls AND cb = cls) AS observed, (SELECT count(*) FROM s) * n * (n - 1) / ((SELECT sum(n) FROM n) * ((SELECT sum(n) FROM n) - 1)) AS e FROM n)
+  SELECT cls, observed, round(e, 6) AS expected, round(log2((observed + 1) / (e + 1)), 6) AS log2fold FROM e""", "nodes")
+def sibling_concordance_exact(nodes: DataFrame) -> DataFrame:
+    leaves = nodes.filter("is_leaf")
+    return S.sibling_concordance(T.sibling_pairs(leaves), leaves.select("node", F.col("celltype").alias("cls")))
+
+
+@query("SELECT a, b, disc, shared FROM (SELECT l_orderkey AS a, l_partkey AS b, l_linenumber % 3 AS disc, l_suppkey % 5 AS shared FROM {lineitem}) q QUALIFY row_number() OVER (PARTITION BY a ORDER BY disc, shared DESC, b) = 1", "lineitem")
+def captured_pairings(lineitem: DataFrame) -> DataFrame:
+    return S.captured_pairings(lineitem.select(F.col("l_orderkey").alias("a"), F.col("l_partkey").alias("b"), (F.col("l_linenumber") % 3).alias("disc"), (F.col("l_suppkey") % 5).alias("shared")))
+
+
+@query(None, "nodes")
+def permuted_concordance(nodes: DataFrame) -> DataFrame:
+    """Mean and variance over 20 shuffles of the sibling pairs of one type; it agrees with the closed form."""
+    leaves = nodes.filter("is_leaf").select("node", F.col("celltype").alias("cls"))
+    s = S.shuffled(leaves, 20)
+    pairs = T.sibling_pairs(nodes.filter("is_leaf"))
+    both = pairs.join(s.select(F.col("node").alias("a"), "rep", F.col("cls").alias("ca")), "a").join(s.select(F.col("node").alias("b"), "rep", F.col("cls").alias("cb")), ["b", "rep"])
+    per = both.groupBy("rep", F.col("ca").alias("cls")).agg(F.count_if(F.col("ca") == F.col("cb")).alias("n"))
+    return per.groupBy("cls").agg(F.avg("n").alias("mean"), F.var_samp("n").alias("variance"))
