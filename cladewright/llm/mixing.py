@@ -83,7 +83,8 @@ def mix(docs: DataFrame, block: int = BLOCK, slots_per_shard: int = 4096, weight
     base = F.col("block") * block
     inside = lambda end: F.greatest(F.lit(0), F.least(end, F.col("start") + F.col("size")) - F.greatest(base, F.col("start")))
     met = pieces.join(taken, (F.col("rank") == F.col("r")) & (F.col("block") == F.col("k")), "left")
-    words = F.coalesce(F.sum(inside(base + F.col("take"))), F.lit(0)).cast("long").alias("taken")
+    # a block that the mix leaves out gives nothing (least() would skip its null)
+    words = F.coalesce(F.sum(inside(base + F.coalesce("take", F.lit(0)))), F.lit(0)).cast("long").alias("taken")
     some = met.filter("size > 0").groupBy("rank", "start").agg(*[F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")], words)
     none = rows.filter("size = 0").select("rank", "start", "doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     return some.unionByName(none).select("doc_id", "size", "source_size", "target", "taken")
