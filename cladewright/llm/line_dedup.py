@@ -232,7 +232,7 @@ def dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, run_c
     lines = lines_of(docs).withColumn("blank", F.trim("line") == "").drop("line")
     first = lines.filter("not blank").groupBy("id").agg(F.min(at).alias("at"))
     roots = components(found)
-    classed = first.join(roots.join(degree, F.col("node") == F.col("id")).select(F.col("node").alias("id"), "root", "links"), "id", "left")
+    classed = first.join(degree, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")  # a class's root is not among its nodes
     classed = classed.withColumn("root", F.coalesce("root", "id"))
     lead = classed.filter("links is not null").groupBy("root").agg(F.min("at").alias("lead"))
     known = classed.join(lead, "root", "left").select("id", "at", F.coalesce("lead", "at").alias("lead"), "links")
@@ -242,6 +242,7 @@ def dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, run_c
     per = told.unionByName(blank).groupBy("doc_id").agg(
         F.count("*").alias("lines"), n("exact"), n("near"), F.sum("links").alias("links"),
         F.array_sort(F.collect_list(F.when(F.col("exact") | F.col("near"), F.col("line_no")))).alias("dropped"))
-    bare = docs.filter("text is null").select("doc_id").distinct().join(per, "doc_id", "left_anti")
+    bare = docs.filter("text is null").select("doc_id").distinct()
+    bare = bare.join(per, bare["doc_id"].eqNullSafe(per["doc_id"]), "left_anti")
     nothing = bare.select("doc_id", *[F.lit(0).cast("long").alias(c) for c in ("lines", "exact", "near", "links")], F.array().cast("array<int>").alias("dropped"))
     return per.unionByName(nothing)
