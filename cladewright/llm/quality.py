@@ -69,19 +69,29 @@ class Voter:
         """rows: keys, values, label, weight of each sampled row."""
         self.k = k
         n = len(rows)
-        x = np.zeros((n, DIMS), np.float32)
-        for i, (keys, vals, *_) in enumerate(rows):
-            x[i, keys] = vals
-        self.idf = (np.log((1 + n) / (1 + (x > 0).sum(0))) + 0.1).astype(np.float32)
-        x = weighted(x, self.idf)
-        rng = np.random.default_rng(9)
+        df = np.zeros(DIMS)
+        for keys, *_ in rows:
+            df[keys] += 1
+        self.idf = (np.log((1 + n) / (1 + df)) + 0.1).astype(np.float32)
+
+        def blocks(size: int = 256) -> Iterator[tuple[slice, np.ndarray]]:
+            """The sample's weighted terms, some rows at a time: all of them at once would fill the driver."""
+            for low in range(0, n, size):
+                x = np.zeros((min(size, n - low), DIMS), np.float32)
+                for i, (keys, vals, *_) in enumerate(rows[low:low + size]):
+                    x[i, keys] = vals
+                yield slice(low, low + len(x)), weighted(x, self.idf)
+
         width = max(1, min(rank + 16, n))
-        y = x @ rng.standard_normal((DIMS, width), dtype=np.float32)
+        into = np.random.default_rng(9).standard_normal((DIMS, width), dtype=np.float32)
+        times = lambda m: np.concatenate([x @ m for _, x in blocks()])
+        back = lambda m: sum(x.T @ m[at] for at, x in blocks())
+        y = times(into)
         for _ in range(4):  # subspace iteration
-            y = x @ (x.T @ np.linalg.qr(y)[0])
-        q = np.linalg.qr(y)[0]
-        self.basis = np.ascontiguousarray(np.linalg.svd(q.T @ x, full_matrices=False)[2][:rank].T, np.float32)
-        self.near = self.unit(x @ self.basis)
+            y = times(back(np.linalg.qr(y)[0]))
+        b = back(np.linalg.qr(y)[0]).T
+        self.basis = np.ascontiguousarray(np.linalg.svd(b, full_matrices=False)[2][:rank].T, np.float32)
+        self.near = self.unit(times(self.basis))
         self.label = np.array([r[2] for r in rows], np.float32)
         self.weight = np.array([r[3] for r in rows], np.float32)
 
@@ -117,15 +127,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
         for pdf in batches:
             made = [terms(t) for t in pdf.text]
             keys = [np.flatnonzero(v) for v in made]
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "y": pdf.y, "keys": [k.tolist() for k in keys], "vals": [v[k].tolist() for v, k in zip(made, keys, strict=True)]})
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "y": pdf.y, "keys": [k.astype(np.int32).tobytes() for k in keys], "vals": [v[k].tobytes() for v, k in zip(made, keys, strict=True)]})
 
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    found = texts.mapInPandas(featurize, "doc_id long, y int, keys array<int>, vals array<float>").groupBy("doc_id", "y").agg(F.min_by("keys", F.size("keys")).alias("keys"), F.min_by("vals", F.size("keys")).alias("vals"))
+    found = texts.mapInPandas(featurize, "doc_id long, y int, keys binary, vals binary").groupBy("doc_id", "y").agg(F.min(F.struct("keys", "vals")).alias("t"))
     rows = sorted(found.collect(), key=lambda r: r.doc_id)
     if not rows:
         return None
     each = Counter(r.y for r in rows)
-    return Voter([(np.array(r.keys), np.array(r.vals, np.float32), r.y, size[r.y] / each[r.y]) for r in rows], rank, k)
+    return Voter([(np.frombuffer(r.t["keys"], np.int32), np.frombuffer(r.t["vals"], np.float32), r.y, size[r.y] / each[r.y]) for r in rows], rank, k)
 
 
 def scorer(docs: DataFrame, voter: Voter | None):
