@@ -126,47 +126,54 @@ def meetings(keyed: DataFrame, run_cap: int) -> DataFrame:
     """a, b, key: two lines that meet under a key; or, for each line of a key with over ``run_cap``, its id as a and null as b."""
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, key, hot = [], None, False
-
-        def close(run: list) -> tuple[np.ndarray, np.ndarray]:
-            id_, own = (np.concatenate([r[k] for r in run]) for k in (0, 1))
-            new = np.flatnonzero(np.concatenate(([True], id_[1:] != id_[:-1])))
-            id_, own = id_[new], np.logical_or.reduceat(own, new)
-            i, j = np.triu_indices(len(id_), 1)
-            met = own[i] | own[j]
-            return id_[i[met]], id_[j[met]]
-
-        def batch_of(a: list, b: list, k: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(k, pa.int64())], ["a", "b", "key"])
+        none = np.empty(0, np.int64)
+        rest = none, none, np.empty(0, bool)  # the last key so far, whose run may go on
+        hot = None  # the key that has outgrown run_cap
+
+        def met(key: np.ndarray, id_: np.ndarray, own: np.ndarray) -> list[tuple]:
+            """Columns of output rows for whole runs of distinct lines."""
+            start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else none
+            n = np.diff(np.append(start, len(key)))
+            two = start[n == 2]
+            two = two[own[two] | own[two + 1]]
+            out = [(id_[two], id_[two + 1], key[two])]
+            for s, k in zip(start[n > 2].tolist(), n[n > 2].tolist(), strict=True):
+                if k > run_cap:
+                    out.append((id_[s:s + k], None, key[s:s + k]))
+                else:
+                    i, j = np.triu_indices(k, 1)
+                    ok = own[s + i] | own[s + j]
+                    out.append((id_[s + i[ok]], id_[s + j[ok]], np.full(ok.sum(), key[s])))
+            return out
+
+        def batch_of(found: list[tuple]) -> pa.RecordBatch:
+            b = pa.concat_arrays([pa.array(x) if x is not None else pa.nulls(len(a), pa.int64()) for a, x, _ in found])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[0] for f in found])), b, pa.array(np.concatenate([f[2] for f in found]))], ["a", "b", "key"])
 
         for batch in batches:
-            a, b, ks = [], [], []
-            key_, id_, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", "own"))
-            if not len(key_):
+            key, id_, own = (np.concatenate((r, batch.column(c).to_numpy(zero_copy_only=False))) for r, c in zip(rest, ("key", "id", "own"), strict=True))
+            if not len(key):
                 continue
-            start = np.flatnonzero(np.concatenate(([True], key_[1:] != key_[:-1])))
-            end = np.append(start[1:], len(key_))
-            some = np.flatnonzero((end - start > 1) | (start == 0) | (end == len(key_)))
-            for s, e in zip(start[some].tolist(), end[some].tolist(), strict=True):
-                if key != key_[s]:
-                    if left and not hot:
-                        x, y = close(left)
-                        a += x.tolist()
-                        b += y.tolist()
-                        ks += [key] * len(x)
-                    left, hot = [], False
-                key = key_[s].item()
-                left.append((id_[s:e], own[s:e]))
-                if hot or len(np.unique(np.concatenate([r[0] for r in left]))) > run_cap:
-                    mine = np.unique(np.concatenate([r[0] for r in left]))
-                    a += mine.tolist()
-                    b += [None] * len(mine)
-                    ks += [key] * len(mine)
-                    left, hot = [], True
-            yield batch_of(a, b, ks)
-        if left and not hot:
-            x, y = close(left)
-            yield batch_of(x.tolist(), y.tolist(), [key] * len(x))
+            new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (id_[1:] != id_[:-1]))))
+            key, id_, own = key[new], id_[new], np.logical_or.reduceat(own, new)
+            found = [(none, none, none)]
+            if hot is not None:
+                more = np.searchsorted(key != hot, True)
+                found.append((id_[:more], None, key[:more]))
+                key, id_, own = key[more:], id_[more:], own[more:]
+                if not len(key):
+                    rest = none, none, np.empty(0, bool)
+                    yield batch_of(found)
+                    continue
+                hot = None
+            last = len(key) - np.searchsorted(key[::-1] != key[-1], True)
+            found += met(key[:last], id_[:last], own[:last])
+            rest = key[last:], id_[last:], own[last:]
+            if len(rest[0]) > run_cap:
+                found.append((rest[1], None, rest[0]))
+                hot, rest = rest[0][0], (none, none, np.empty(0, bool))
+            yield batch_of(found)
+        yield batch_of([(none, none, none), *met(*rest)])
 
     dealt = keyed.select("key", "id", "own").repartition("key").sortWithinPartitions("key", "id")
     return dealt.mapInArrow(runs, "a long, b long, key long")
