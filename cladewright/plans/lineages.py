@@ -9,7 +9,7 @@ from cladewright.catalog import VIEWS, query
 from cladewright.functions import columns as C
 from cladewright.operators import lineages as L
 
-from .reads import SITES, with_sites
+from .reads import all_sites, with_sites
 
 VIEWS["genotypes"] = """SELECT cell, tape, pattern, s1, s2, s3, s4, s5, s6, n FROM (SELECT *, row_number() OVER (PARTITION BY cell, tape ORDER BY n DESC, pattern) AS rn FROM (
   SELECT cell, tape, pattern, s1, s2, s3, s4, s5, s6, count(*) AS n FROM {sc_reads} GROUP BY cell, tape, pattern, s1, s2, s3, s4, s5, s6) q) r WHERE rn = 1"""
@@ -176,7 +176,7 @@ def pendant_components(few: DataFrame) -> DataFrame:
 
 @query(None, "sc_reads")
 def umi_molecules(reads: DataFrame) -> DataFrame:
-    return L.umi_molecules(reads.withColumn("sites", SITES), ["cell", "tape"], floor=1).select("cell", "tape", F.array_join("sites", "|").alias("pattern"), "molecules")
+    return L.umi_molecules(reads.withColumn("sites", all_sites()), ["cell", "tape"], floor=1).select("cell", "tape", F.array_join("sites", "|").alias("pattern"), "molecules")
 
 
 @query(None, "patterns")

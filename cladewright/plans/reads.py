@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,17 +23,19 @@ VIEWS["patterns"] = "SELECT tape, pattern, s1, s2, s3, s4, s5, s6, count(*) AS n
 VIEWS["barcodes"] = f"""SELECT word, count(*) AS n FROM (SELECT substr({DNA.format('p_partkey')}, 1, 6) AS word FROM {{part}}) q GROUP BY word"""
 VIEWS["entries"] = f"""SELECT DISTINCT substr({DNA.format('s_suppkey')}, 1, 6) AS entry FROM {{supplier}} WHERE s_suppkey <= 40"""
 
-SITES = F.array(*[F.col(f"s{i}") for i in range(1, 7)])
+
+def all_sites() -> Column:
+    return F.array(*[F.col(f"s{i}") for i in range(1, 7)])
 
 
 def with_sites(df: DataFrame) -> DataFrame:
-    return df.withColumn("sites", SITES)
+    return df.withColumn("sites", all_sites())
 
 
 @query("""SELECT metric, n, round(100.0 * n / greatest(total, 1), 4) AS pct FROM (
   SELECT unnest(['total', 'edited', 'full', 'deep', 'first_side']) AS metric, unnest([count(*), count(*) FILTER (d > 0), count(*) FILTER (d = 6), count(*) FILTER (d >= 3), count(*) FILTER (side = 'B1')]) AS n, count(*) AS total FROM {sc_reads})""", "sc_reads")
 def read_funnel(reads: DataFrame) -> DataFrame:
-    d = C.depth(SITES)
+    d = C.depth(all_sites())
     return R.funnel(reads, {"total": F.lit(True), "edited": d > 0, "full": d == 6, "deep": d >= 3, "first_side": F.col("side") == "B1"})
 
 
@@ -100,7 +102,7 @@ def reverse_complements(words: DataFrame) -> DataFrame:
 
 def synthetic_reads(reads: DataFrame) -> DataFrame:
     """Bulk reads with the genotypes of ``reads`` (and so a known parse)."""
-    j = F.array_join(F.transform(SITES, lambda s: F.concat(F.lit("GGTGAGCACG"), F.when(s == "U", "TGAT").otherwise(F.concat(s, F.lit("GGATGAT"))))), "")
+    j = F.array_join(F.transform(all_sites(), lambda s: F.concat(F.lit("GGTGAGCACG"), F.when(s == "U", "TGAT").otherwise(F.concat(s, F.lit("GGATGAT"))))), "")
     bc = F.rpad(F.translate("tape", "T0123456789", "ACGTACGTACG"), 12, "ACCATT")
     return reads.select("read_no", "tape", "pattern", F.concat(F.lit("TTGGCATG"), bc, F.lit("GCTCTGGATGAT"), j, F.lit("GGTGAGCCACAAGGCAATCC")).alias("seq"))
 
