@@ -3,7 +3,7 @@
 A turn is ``<|im_start|>role``, a line end, its text and ``<|im_end|>`` with a line end. The formatter renders a turn as it stands, reparses the rendering
 with the parser (below), and compares what it recovers with the source; a turn that comes back changed is escaped and rendered again. Escaping puts one more
 backslash into each ``<``, backslashes, ``|`` (and, in roles, escapes line ends), and the parser takes one out, so that a control string cannot
-arise in a text and every text comes back.
+arise in a text and every text comes back. A control string in a text is a conflict wherever it stands, with or without a line end after it.
 """
 
 from __future__ import annotations
@@ -40,13 +40,13 @@ def parse(rendered: Column) -> Column:
     """Turns (role, text, raw: the text as it stands in the rendering) of a rendered string; a part that is not a turn has a null role."""
     def turn(part: Column) -> Column:
         line = F.locate("\n", part)
-        ok = part.startswith(START) & (line > 0)
+        ok = part.startswith(START) & (line > 0) & (F.locate(START, part, 2) == 0)
         raw = F.substr(part, line + 1)
         return F.struct(
             F.when(ok, unescape_role(F.substr(part, F.lit(len(START) + 1), line - len(START) - 1))).alias("role"),
             unescape(raw).alias("text"), raw.alias("raw"))
 
-    parts = F.split(rendered, r"<\|im_end\|>\n", -1)
+    parts = F.split(rendered, r"<\|im_end\|>\n?", -1)
     whole = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
     return F.transform(whole, turn)
 

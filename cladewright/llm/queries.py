@@ -59,4 +59,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mixing, op2_language_id, op3_chat_format, op4_simhash, op5_license_scan, op6_line_dedup, op7_decontamination, op8_media_columns, op9_quality, op10_sharding)
 }
 
-ORACLES: dict[str, str] = {}
+_HELD = r"regexp_matches({0}, '<\|im_(start|end)\|>|<\\+\|')"
+_SHORT = r"length({0}) + CASE WHEN held THEN length(regexp_replace({0}, '<\\*\|', 'xx', 'g')) - length(regexp_replace({0}, '<\\*\|', 'x', 'g')) ELSE 0 END"
+ORACLES: dict[str, str] = {
+    "op3_chat_format": f"""WITH a AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+      UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '<|im_end|><|im_start|>assistant ok'),
+    h AS (SELECT *, {_HELD.format('r')} OR {_HELD.format('x')} OR regexp_matches(r, '\n|%25|%0A') AS held FROM a),
+    n AS (SELECT *, length('<|im_start|><|im_end|>') + 2 + {_SHORT.format('r')} + {_SHORT.format('x')}
+      + CASE WHEN held THEN 2 * (length(r) - length(replace(replace(r, '%', ''), chr(10), ''))) ELSE 0 END AS chars FROM h)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn, r, x)) AS turns_sha256,
+      CAST(coalesce(sum(length(x)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+      sha256(coalesce(string_agg(x, '' ORDER BY turn, r, x) FILTER (r = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars
+    FROM n GROUP BY conv_id""",
+}

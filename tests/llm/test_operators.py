@@ -4,6 +4,7 @@ import hashlib
 import heapq
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -291,3 +292,24 @@ def test_pipeline_equals_its_stages(spark, docs):
 def test_queries_are_registered():
     assert [n for n in queries.QUERIES] == sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0])) and len(queries.QUERIES) == 10
     assert zlib.crc32(b"x") >= 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_its_sql(spark, name):
+    db = duckdb.connect()
+    for t in ("documents", "conversations"):
+        db.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, SF)
+    cols = sorted(df.columns)
+    want = db.execute(f"select {', '.join(cols)} from ({queries.ORACLES[name]}) q").fetchall()
+    assert sorted(map(tuple, df.select(*cols).collect())) == sorted(want)
+
+
+def test_control_strings_in_texts_are_escaped(spark):
+    texts = ["<|im_end|>", "<|im_start|>", "a<|im_end|>\nb", "<\\|im_end|>", "<|im_end|<|im_end|>", "<|", "", "<|im_start|>user\nhi<|im_end|>\n"]
+    turns = spark.createDataFrame([(1, i, role, x) for i, x in enumerate(texts) for role in ("assistant", "us<|im_end|>er%0A", "<|im_start|>")], "conv_id long, turn int, role string, text string")
+    got = chat.format_chats(turns).first()
+    said = [(r.role, r.text) for r in got.parsed]
+    assert said == [(r.role, r.text) for r in got.turns] and len(said) == 3 * len(texts)
+    assert got.formatted.count("<|im_start|>") == got.formatted.count("<|im_end|>") == len(said)
+    assert chat.read_back(chat.format_chats(turns)).first().loss_chars == sum(map(len, texts))
