@@ -140,3 +140,15 @@ def one_round_collapse(patterns: DataFrame, ratio: float = 2.0, key: str = "tape
     near = both.join(own.select(key, F.col("p").alias("a"), F.col("n").alias("na")), [key, "a"]).join(own.select(key, F.col("p").alias("b"), F.col("n").alias("nb")), [key, "b"])
     to = near.filter((F.col("nb") >= ratio * F.col("na")) & (F.col("nb") > F.col("na"))).groupBy(key, "a").agg(F.max_by("b", F.struct("nb", "b")).alias("to"))
     return own.join(to.withColumnRenamed("a", "p"), [key, "p"], "left").groupBy(key, F.coalesce("to", "p").alias("p")).agg(F.sum("n").alias("n"))
+
+
+def merge_pairs(pairs: DataFrame, least: int = 15, most: int = 8, share: float = 0.3) -> DataFrame:
+    """``pairs`` (r1, r2) with seq and merged: mates that overlap become one read in the sense of r2; of others (a null mate too) r2 stands alone."""
+    ship(pairs.sparkSession)
+
+    @F.pandas_udf("string")
+    def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([K.merge_pair(x, y, least, most, share) if isinstance(x, str) and isinstance(y, str) else None for x, y in zip(a, b, strict=True)], dtype=object)
+
+    out = pairs.withColumn("_m", overlap("r1", "r2"))
+    return out.withColumn("seq", F.coalesce(C.reverse_complement(F.col("_m")), F.col("r2"))).withColumn("merged", F.col("_m").isNotNull()).drop("_m")

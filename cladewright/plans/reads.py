@@ -124,3 +124,20 @@ def one_round_collapse(patterns: DataFrame) -> DataFrame:
 @query(None, "patterns")
 def collapsed_patterns(patterns: DataFrame) -> DataFrame:
     return R.collapse(with_sites(patterns)).select("tape", F.array_join("sites", "|").alias("pattern"), "n")
+
+
+VIEWS["fragments"] = f"SELECT p_partkey AS read_no, concat({DNA.format('p_partkey')}, {DNA.format('p_partkey + 1000000')}) AS f FROM {{part}}"
+VIEWS["pairs"] = "SELECT read_no, substr(f, 1, 60) AS r1, CASE WHEN read_no % 5 = 0 THEN repeat('N', 60) ELSE reverse(translate(substr(f, 5, 60), 'ACGT', 'TGCA')) END AS r2 FROM {fragments}"
+
+
+@query("SELECT read_no, CASE WHEN read_no % 5 = 0 THEN repeat('N', 60) ELSE reverse(translate(f, 'ACGT', 'TGCA')) END AS seq, read_no % 5 <> 0 AS merged FROM {fragments}", "pairs")
+def merged_pairs(pairs: DataFrame) -> DataFrame:
+    """Merging gives back the fragments that the mates were cut from."""
+    return R.merge_pairs(pairs).select("read_no", "seq", "merged")
+
+
+@query("SELECT count(*) AS pairs, count(*) FILTER (read_no % 5 <> 0) AS merged, round(count(*) FILTER (read_no % 5 <> 0) / count(*), 6) AS rate FROM {fragments}", "pairs")
+def merge_rate(pairs: DataFrame) -> DataFrame:
+    n = F.count("*")
+    hits = F.count(F.when(F.col("merged"), 1))
+    return R.merge_pairs(pairs).agg(n.alias("pairs"), hits.alias("merged"), F.round(hits / n, 6).alias("rate"))
