@@ -16,14 +16,14 @@ by pair: its fingerprints go to the exact way of ``midpoints``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -215,7 +215,11 @@ def keep_first(docs: DataFrame, within: int = WITHIN, run_cap: int = 1024) -> Da
 
     In a component where no row has an id, one row of each text stays.
     """
-    classed = _classed(docs, within, run_cap)
+    return first_of(docs, _classed(docs, within, run_cap), fingerprints)
+
+
+def first_of(docs: DataFrame, classed: DataFrame, key: Callable[[str], Column]) -> DataFrame:
+    """``keep_first`` of the components in ``classed`` (doc_id, fp, component_id), where ``key`` of a text gives its fp."""
     kept = cut(classed.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("_copies")))
     once = docs.join(kept.filter("_copies = 1").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
     if not (more := kept.filter("_copies > 1").select("doc_id")).isEmpty():
@@ -223,7 +227,7 @@ def keep_first(docs: DataFrame, within: int = WITHIN, run_cap: int = 1024) -> Da
     bare = classed.filter("doc_id is null and component_id is null").select("fp").distinct()
     if not bare.isEmpty():
         nameless = docs.filter("doc_id is null").dropDuplicates(["text"])
-        once = once.unionByName(nameless.join(bare, fingerprints("text") == F.col("fp"), "left_semi").select(docs.columns))
+        once = once.unionByName(nameless.join(bare, key("text") == F.col("fp"), "left_semi").select(docs.columns))
     return once
 
 
