@@ -13,7 +13,7 @@ from .reads import all_sites, with_sites
 
 VIEWS["genotypes"] = """SELECT cell, tape, pattern, s1, s2, s3, s4, s5, s6, n FROM (SELECT *, row_number() OVER (PARTITION BY cell, tape ORDER BY n DESC, pattern) AS rn FROM (
   SELECT cell, tape, pattern, s1, s2, s3, s4, s5, s6, count(*) AS n FROM {sc_reads} GROUP BY cell, tape, pattern, s1, s2, s3, s4, s5, s6) q) r WHERE rn = 1"""
-VIEWS["few"] = "SELECT * FROM {genotypes} WHERE cell < 60"
+VIEWS["few"] = "SELECT * FROM {genotypes}"  # every cell; the SQL of three queries reads it by this name
 _ALL = "SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS k"
 _DEPTH = "length(replace(regexp_replace(pattern, '(\\|U)+$|^U(\\|U)*$', ''), '|', '')) // 3"
 _TRIE = f"""p AS (SELECT tape, n, {_DEPTH} AS len, pattern FROM {{patterns}}), x AS (SELECT tape, n, len, k, array_to_string(string_split(pattern, '|')[1:k], '|') AS prefix FROM p, ({_ALL}) q WHERE k <= len),
