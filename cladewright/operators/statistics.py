@@ -56,10 +56,12 @@ def log2_enrichment(counts: DataFrame, a: str, b: str, n: str = "n", least: int
 
 
 def bh(tests: DataFrame, p: str = "p") -> DataFrame:
-    """``tests`` with q: Benjamini-Hochberg, the running least of p * n / rank from the greatest p down. One row for each test is sorted."""
-    n = F.count("*").over(W.partitionBy())
-    r = tests.withColumn("_x", F.col(p) * n / F.count("*").over(W.orderBy(p).rangeBetween(W.unboundedPreceding, 0)))
-    return r.withColumn("q", F.round(F.least(F.lit(1.0), F.min("_x").over(W.orderBy(F.desc(p)).rangeBetween(W.unboundedPreceding, 0))), 9)).drop("_x")
+    """``tests`` with q: Benjamini-Hochberg, the running least of p * n / rank from the greatest p down. One row for each distinct p is sorted."""
+    g = tests.groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_n"))
+    x = F.col("_p") * F.sum("_n").over(W.partitionBy()) / F.sum("_n").over(W.orderBy("_p").rangeBetween(W.unboundedPreceding, 0))
+    least = F.min("_x").over(W.orderBy(F.desc("_p")).rangeBetween(W.unboundedPreceding, 0))
+    q = g.withColumn("_x", x).select("_p", F.round(F.least(F.lit(1.0), least), 9).alias("q"))
+    return tests.join(q, F.col(p).eqNullSafe(F.col("_p"))).drop("_p")
 
 
 def average_rank(df: DataFrame, value: str, key: str, name: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Queries take all rows that their names say, against brute force."""
 
+import numpy as np
 import pytest
 
 from cladewright import catalog
@@ -41,3 +42,22 @@ def test_tape_queries_take_all_cells(spark):
     assert flags == {(a, a + 1, t): any(x != "U" and x != y for x, y in zip(g[a][t], g[a + 1][t], strict=True)) for a in g if a + 1 in g for t in g[a].keys() & g[a + 1].keys()}
     new = {(r.t, r.c): (r.shared, r.new_edits) for r in q["pendant_components"](spark, SF).collect()}
     assert new == {(a, a + 1): (len(s), sum(depth(g[a + 1][t]) - prefix(g[a][t], g[a + 1][t]) for t in s)) for a in g if a + 1 in g and (s := g[a].keys() & g[a + 1].keys())}
+
+
+def test_bh_takes_all_orders(spark):
+    p = {r.o_orderkey: (r.o_orderkey * 7919 % 1000 + 1) / 1000 for r in catalog.view(spark, SF, "orders").collect()}
+    got = {r.id: r.q for r in catalog.queries()["bh_qvalues"](spark, SF).collect()}
+    up = sorted(p.values())
+    x = np.array(up) * len(up) / np.searchsorted(up, up, "right")
+    q = dict(zip(up, np.minimum(1, np.minimum.accumulate(x[::-1])[::-1]), strict=True))
+    assert got.keys() == p.keys() and all(got[i] == pytest.approx(q[p[i]], abs=1e-8) for i in p)
+
+
+def test_dictionary_holds_all_suppliers(spark):
+    sf = "/root/testdata/sf0.01"
+    entries = [r.entry for r in catalog.view(spark, sf, "entries").collect()]
+    dna = "select distinct substr(translate(md5(cast(s_suppkey as string)), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 6) as e from {supplier}"
+    assert sorted(entries) == sorted(r.e for r in spark.sql(dna, supplier=catalog.view(spark, sf, "supplier")).collect())
+    for r in catalog.queries()["barcode_unique_nearest"](spark, sf).collect():
+        d = sorted((sum(x != y for x, y in zip(r.word, e, strict=True)), e) for e in entries)
+        assert r.nearest == (d[0][1] if d[0][0] <= 2 and d[0][0] < d[1][0] else None)
