@@ -147,14 +147,19 @@ def tokens(genotypes: DataFrame) -> DataFrame:
     return genotypes.select("cell", "tape", F.posexplode("sites").alias("site", "allele")).filter(F.col("allele") != C.UNEDITED).select("cell", F.concat_ws(":", "tape", "site", "allele").alias("token"))
 
 
-def overlap_top(genotypes: DataFrame, queries: DataFrame, k: int, share: float = 0.2) -> DataFrame:
-    """q, c and overlap: for each query cell the ``k`` other cells with most tokens in common (ties: the least cell), by an inverted index without tokens of over ``share`` of all cells."""
+def overlaps(genotypes: DataFrame, queries: DataFrame, share: float = 0.2) -> DataFrame:
+    """q, c and overlap: all other cells with tokens in common with each query cell, by an inverted index without tokens of over ``share`` of all cells."""
     t = tokens(genotypes)
     n = genotypes.select("cell").distinct().agg(F.count("*").alias("cells"))
     rare = t.groupBy("token").agg(F.count("*").alias("f")).join(F.broadcast(n)).filter(F.col("f") <= F.floor(share * F.col("cells"))).select("token")
     t = t.join(rare, "token", "left_semi")
     q = t.join(queries.select("cell"), "cell", "left_semi").withColumnRenamed("cell", "q")
-    met = q.join(t.withColumnRenamed("cell", "c"), "token").filter("q <> c").groupBy("q", "c").agg(F.count("*").alias("overlap"))
+    return q.join(t.withColumnRenamed("cell", "c"), "token").filter("q <> c").groupBy("q", "c").agg(F.count("*").alias("overlap"))
+
+
+def overlap_top(genotypes: DataFrame, queries: DataFrame, k: int, share: float = 0.2) -> DataFrame:
+    """The ``k`` of ``overlaps`` with most tokens in common for each query cell (ties: the least cell)."""
+    met = overlaps(genotypes, queries, share)
     return met.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("overlap"), "c"))).filter(F.col("r") <= k).drop("r")
 
 

@@ -155,7 +155,7 @@ def token_overlap_topk(genotypes: DataFrame) -> DataFrame:
   SELECT q, c, round(distance, 6) AS distance, shared FROM d QUALIFY row_number() OVER (PARTITION BY q ORDER BY distance, shared DESC, c) = 1""", "genotypes")
 def nearest_match(genotypes: DataFrame) -> DataFrame:
     g = with_sites(genotypes)
-    return L.nearest_match(g, L.overlap_top(g, genotypes.filter("cell % 20 = 0").select("cell").distinct(), 10))
+    return L.nearest_match(g, L.overlaps(g, genotypes.filter("cell % 20 = 0").select("cell").distinct()))
 
 
 @query("SELECT a.cell AS t, b.cell AS c, a.tape, " + " OR ".join(f"(a.s{i} <> 'U' AND a.s{i} <> b.s{i})" for i in range(1, 7)) + " AS violates FROM {few} a JOIN {few} b ON a.tape = b.tape AND b.cell = a.cell + 1", "few")

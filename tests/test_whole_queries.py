@@ -61,3 +61,20 @@ def test_dictionary_holds_all_suppliers(spark):
     for r in catalog.queries()["barcode_unique_nearest"](spark, sf).collect():
         d = sorted((sum(x != y for x, y in zip(r.word, e, strict=True)), e) for e in entries)
         assert r.nearest == (d[0][1] if d[0][0] <= 2 and d[0][0] < d[1][0] else None)
+
+
+def test_nearest_match_scores_all_cells_with_a_common_token(spark):
+    g = tapes(spark)
+    held = {c: {(t, k, s) for t, six in g[c].items() for k, s in enumerate(six) if s != "U"} for c in g}
+    n = {}
+    for x in held.values():
+        for t in x:
+            n[t] = n.get(t, 0) + 1
+    rare = {t for t in n if n[t] <= len(g) // 5}
+    want = {}
+    for q in g:
+        if q % 20 == 0:
+            near = [(*((d := distance(g[q], g[c]))[0], -d[1]), c) for c in g if c != q and held[q] & held[c] & rare]
+            if near:
+                want[q] = min(near)[2]
+    assert {r.q: r.c for r in catalog.queries()["nearest_match"](spark, SF).collect()} == want
