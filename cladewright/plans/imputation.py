@@ -11,9 +11,9 @@ from cladewright.operators import imputation as I
 _KNN = "knn AS (SELECT a.vec_id AS q, b.vec_id AS c, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d FROM {embeddings} a JOIN {embeddings} b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY d, b.vec_id) <= 10)"
 
 
-def nearest(e: DataFrame) -> DataFrame:
+def nearest(e: DataFrame, some: str = "id % 20 = 0") -> DataFrame:
     v = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return I.knn(v, v.filter("id % 20 = 0"), 10)
+    return I.knn(v, v.filter(some), 10)
 
 
 @query(f"WITH {_KNN} SELECT q, c, round(d, 5) AS distance, row_number() OVER (PARTITION BY q ORDER BY d, c) AS rank FROM knn", "embeddings")
@@ -23,7 +23,8 @@ def knn_topk(embeddings: DataFrame) -> DataFrame:
 
 @query(f"WITH {_KNN} SELECT x.q AS a, x.c AS b FROM knn x JOIN knn y ON y.q = x.c AND y.c = x.q WHERE x.q < x.c", "embeddings")
 def mutual_nn(embeddings: DataFrame) -> DataFrame:
-    return I.mutual(nearest(embeddings))
+    """Pairs among all rows: mutuality needs the neighbours of both ends, so every row is a query."""
+    return I.mutual(nearest(embeddings, "true"))
 
 
 @query(f"WITH {_KNN}, v AS (SELECT q, label, count(*) AS n FROM knn JOIN {{embeddings}} e ON e.vec_id = knn.c GROUP BY q, label) SELECT q, label FROM v QUALIFY row_number() OVER (PARTITION BY q ORDER BY n DESC, label) = 1", "embeddings")

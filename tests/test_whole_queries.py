@@ -78,3 +78,13 @@ def test_nearest_match_scores_all_cells_with_a_common_token(spark):
             if near:
                 want[q] = min(near)[2]
     assert {r.q: r.c for r in catalog.queries()["nearest_match"](spark, SF).collect()} == want
+
+
+def test_mutual_pairs_of_all_rows(spark):
+    rows = sorted((r.vec_id, r.embedding) for r in catalog.view(spark, SF, "embeddings").collect())
+    ids, v = np.array([i for i, _ in rows]), np.array([e for _, e in rows], float)
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    near = {int(i): set(ids[np.lexsort((ids, d[k]))[:10]].tolist()) for k, i in enumerate(ids)}
+    want = {(a, b) for a in near for b in near[a] if a < b and a in near[b]}
+    assert {(r.a, r.b) for r in catalog.queries()["mutual_nn"](spark, SF).collect()} == want
