@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,31 +12,55 @@ from cladewright.shipping import ship
 
 #: White space that separates words: space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows in an Arrow batch: long texts must fit a worker's memory many at a time.
-BATCH_ROWS = 512
+#: Bytes in an Arrow batch: long texts must fit a worker's memory many at a time.
+BATCH_BYTES = 8 << 20
+#: A key with at least this part of all rows is heavy; there are no more than this many heavy keys.
+HEAVY = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches short enough that a batch of the longest texts fits a worker; and let workers import this package."""
+def workers_ready(spark: SparkSession) -> None:
+    """Let workers import this package, and bound Arrow batches by bytes: the same bound for every plan of the session, whenever it runs."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder: the session's checkpoint folder or ``spark.checkpoint.dir``. A local master may do without; a cluster may not."""
+    sc = spark.sparkContext
+    at = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if at:
+        return at
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{tempfile.gettempdir()}/checkpoints"
 
-    The folder is the session's ``spark.checkpoint.dir``; one is set here only where that is unset.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a checkpoint in the cluster's shared folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"/tmp/checkpoints/{uuid.uuid4().hex}")
+        sc.setCheckpointDir(f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}")
     return df.checkpoint()
 
 
+def look_up(rows: DataFrame, facts: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``facts`` for their ``key``, a long that no two facts share; null where there is no fact.
+
+    ``weight`` is the column of ``facts`` that says how many of the ``total`` rows have the key; it is left out of the result. Keys with 1 / ``HEAVY`` of all rows
+    or more, of which there are at most ``HEAVY``, are broadcast, and their rows are spread over all tasks rather than sent to one.
+    """
+    columns = [c for c in facts.columns if c not in (key, weight)]
+    heavy = facts.filter(F.col(weight) * HEAVY >= total).select(F.col(key).alias("_heavy"), F.struct(*columns).alias("_h"))
+    rest = facts.filter(F.col(weight) * HEAVY < total).select(F.col(key).alias("_key"), F.struct(*columns).alias("_f"))
+    met = rows.join(F.broadcast(heavy), F.col(key) == F.col("_heavy"), "left")
+    met = met.withColumn("_at", F.when(F.col("_heavy").isNull(), F.col(key)).otherwise(F.xxhash64(*rows.columns))).join(rest, F.col("_at") == F.col("_key"), "left")
+    return met.select(*rows.columns, *[F.when(F.col("_heavy").isNull(), F.col("_f")[c]).otherwise(F.col("_h")[c]).alias(c) for c in columns])
+
+
 def held_out(doc_id: Column | str = "doc_id", folds: int = 5) -> Column:
     """True for rows that training never sees: crc32 of the id as text is 0 modulo ``folds``; also where the id is null."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import workers_ready
 
 MIN_TILE, COVERAGE = 5, 0.6
 #: Words of benchmark items that are with a worker at once.
@@ -146,7 +146,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, cover
     Null and empty texts cover nothing; items with a null id or fewer than ``min_tile`` words cannot be matched and are left out. Repeated items each count.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    workers_ready(spark)
     held = benchmark.filter("item_id is not null and text is not null").select("item_id", "text")
     blocks, block, size = [], [], 0
     for r in held.orderBy("item_id", "text").toLocalIterator():

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, held_out
+from .common import held_out, workers_ready
 
 DIMS, N = 512, 3
 #: Letters share this many vectors; a letter's is that of its code point modulo the number (a prime, above the blocks of most alphabets).
@@ -115,7 +115,7 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
         if sums:
             yield pd.DataFrame({"lang": list(sums), "v": [x.tolist() for x in sums.values()]})
 
-    bounded_batches(docs.sparkSession)
+    workers_ready(docs.sparkSession)
     known = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     parts = known.mapInPandas(bundle, "lang string, v array<long>")
     # integers, so that the order of the parts does not matter

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches
+from .common import workers_ready
 
 WIDTH = 64
 SCHEME = "media:"
@@ -115,7 +115,7 @@ def sequence_of(html: str | None) -> list[dict]:
 
 def parse_html(pages: DataFrame, html: str = "html") -> DataFrame:
     """``pages`` with ``sequence``: position, kind (text or media), text (a caption for media) and digest. Null and empty pages have an empty sequence."""
-    bounded_batches(pages.sparkSession)
+    workers_ready(pages.sparkSession)
 
     @F.pandas_udf(SEQUENCE)
     def parsed(s: pd.Series) -> pd.Series:
@@ -144,7 +144,7 @@ SAID = {"payload_bytes": _LONG, "payload_sha256": _TEXT, "tail_crc32": _LONG, "m
 
 def stored_texts(docs: DataFrame) -> DataFrame:
     """doc_id, html, digest, media: each whole text (null: empty) as a stored image, and a page that refers to it by digest with the number of bytes as caption."""
-    bounded_batches(docs.sparkSession, 256)
+    workers_ready(docs.sparkSession)
 
     def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, held_out
+from .common import held_out, workers_ready
 
 WORDS, SHAPES, FACTS = 1 << 12, 1 << 10, 17 * 9
 DIMS = WORDS + SHAPES + FACTS
@@ -117,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     Rows with a null id or label are not learned from; where an id has several labels, the least counts.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    workers_ready(spark)
     known = labels.filter(~held_out() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("y"))
     size = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     parts = [known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
@@ -140,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
 
 def scorer(docs: DataFrame, voter: Voter | None):
     """A function of a text column: the score, from 0 to 1, of a whole text. Null counts as empty. Without anything learned every score is 0.5."""
-    bounded_batches(docs.sparkSession)
+    workers_ready(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(voter)
 
     @F.pandas_udf("double")

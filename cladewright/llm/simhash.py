@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, cut
+from .common import cut, look_up, workers_ready
 
 SHINGLE, WITHIN, SEED, PIVOTS = 4, 4, 42, 16
 _SPACE = bytes(range(9, 14))
@@ -170,11 +170,13 @@ def components(links: DataFrame) -> DataFrame:
     mark = lambda e: e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
     seen = mark(edges)
     while seen[0]:
+        total = 2 * seen[0]
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        edges = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        star = edges.join(least, "u")
+        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"), F.count("*").alias("n"))
+        # a node that a great part of all edges meets is looked up without gathering its edges in one task
+        edges = look_up(both, least, "u", "n", total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        star = look_up(edges, least, "u", "n", total)
         edges = cut(star.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
         now = mark(edges)
         if now == seen:
@@ -194,12 +196,11 @@ def near_duplicates(docs: DataFrame, within: int = WITHIN, run_cap: int = 1024)
 
 
 def _classed(docs: DataFrame, within: int, run_cap: int) -> DataFrame:
-    bounded_batches(docs.sparkSession)
+    workers_ready(docs.sparkSession)
     rows = cut(docs.select("doc_id", fingerprints("text").alias("fp")))
     fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
     found = cut(bucket_links(fps.select("fp"), within, run_cap).distinct())
-    bounded_batches(docs.sparkSession)
+    workers_ready(docs.sparkSession)
     hot = found.filter("b is null").select(F.col("a").alias("fp")).distinct()
     links = found.filter("b is not null")
     if not hot.isEmpty():

@@ -245,23 +245,48 @@ def edit_distance(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("cap", [128, 3])
-def test_line_links_equal_brute_force(spark, cap):
-    rng = np.random.default_rng(4)
-    base = ["".join(rng.choice(list("abcd "), rng.integers(16, 36))) for _ in range(15)]
+def near_lines(rng, n, bases):
+    """Lines of up to three random edits of a few bases."""
+    base = ["".join(rng.choice(list("abcd "), rng.integers(16, 36))) for _ in range(bases)]
     lines = set()
-    for _ in range(200):
-        x = list(base[rng.integers(15)])
+    for _ in range(n):
+        x = list(base[rng.integers(bases)])
         for _ in range(rng.integers(0, 4)):
             i, k = rng.integers(len(x)), rng.integers(3)
             x[i:i + (k != 1)] = [] if k == 2 else [rng.choice(list("xyz"))]
         lines.add("".join(x))
-    lines = sorted(lines)
+    return sorted(lines)
+
+
+@pytest.mark.parametrize(("n", "bases", "cap", "levels"), [(200, 15, 512, 3), (200, 15, 3, 1), (200, 3, 3, 2), (200, 3, 10, 3), (500, 1, 512, 3), (500, 1, 3, 2)])
+def test_line_links_equal_brute_force(spark, n, bases, cap, levels):
+    lines = near_lines(np.random.default_rng(4), n, bases)
     df = spark.createDataFrame([(i, "\n".join(lines[i:i + 10])) for i in range(0, len(lines), 10)], "doc_id long, text string")
     ids = {r.line: r.id for r in line_dedup.lines_of(df).collect()}
-    want = {tuple(sorted((ids[a], ids[b]))) for i, a in enumerate(lines) for b in lines[i + 1:] if min(len(a), len(b)) >= 16 and abs(len(a) - len(b)) <= 2 and edit_distance(a, b) <= 2}
-    got = [(r.a, r.b) for r in line_dedup.links(df, run_cap=cap).collect()]
-    assert set(got) == want and len(got) == len(want)
+    root = {i: i for i in ids.values()}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    want = dict.fromkeys(ids.values(), 0)
+    for i, a in enumerate(lines):
+        for b in lines[i + 1:]:
+            if min(len(a), len(b)) >= 16 and abs(len(a) - len(b)) <= 2 and edit_distance(a, b) <= 2:
+                want[ids[a]] += 1
+                want[ids[b]] += 1
+                root[find(ids[a])] = find(ids[b])
+    rows = line_dedup.links(df, run_cap=cap, levels=levels).collect()
+    got = dict.fromkeys(want, 0)
+    joined = {i: {i} for i in got}
+    for r in rows:
+        got[r.id] += r.n
+        both = joined[r.id] | joined[r.other]
+        for x in both:
+            joined[x] = both
+    assert got == want
+    assert {frozenset(x) for x in joined.values()} == {frozenset(i for i in root if find(i) == r) for r in map(find, root)}
 
 
 def test_line_dedup_counts(spark, odd, none):
