@@ -1,9 +1,10 @@
 """License scans in DataFrame functions only: sparse TF-IDF cosine with notice templates, then inheritance from the nearest directory above.
 
-Units of a text are its lines and, where a line may match, the whole text. Terms are runs of ASCII letters and digits in lower case, weighted by their count and by
-ln((1 + N) / (1 + df)) with the document frequency over all texts; a term of no template counts as one that no document has. A unit carries the licence of the most
-similar template if the cosine is ``least`` or more. Only units with a term of a template's prefix are compared: the heaviest terms, without which the
-rest of the template cannot reach ``least`` (by the Cauchy-Schwarz inequality), so that no match is lost.
+Units of a text are its lines, its paragraphs of several lines (split where a line has no letter or digit, such as a bare comment mark) and the whole text. Terms are
+runs of ASCII letters and digits in lower case, so that comment marks and line ends do not count, weighted by their count and by ln(1 + N / (1 + df)) with the document
+frequency over all texts; a term of no template counts as one that no document has. A unit carries the licence of the most similar template if the cosine is ``least``
+or more. Only units with a term of a template's prefix are compared: the heaviest terms, without which the rest of the template cannot reach ``least`` (by the
+Cauchy-Schwarz inequality), so that no match is lost.
 """
 
 from __future__ import annotations
@@ -12,13 +13,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut, word_count
+from .common import cut
 
 LEAST = 0.8
-#: A matching file of no more words than this, or one named like one, is its directory's licence file.
-NOTICE_WORDS = 100
 LICENSE_NAME = r"(?i)(^|/)(licen[cs]e|copying|unlicen[cs]e|notice)([.-][^/]*)?$"
-# The usual notices of public licences.
+#: Equal texts meet their match in this many tasks.
+SALTS = 16
+#: The unit numbers of the whole text and of the first paragraph; further paragraphs go on downwards, lines from 0 upwards.
+WHOLE, PARAGRAPH = -1, -2
+# The usual notices of public licences, paragraphs of their texts, and the headings (last) that only a licence file has.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -38,8 +41,28 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
     ("Proprietary", "Copyright. All rights reserved."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+)
+HEADINGS = (
+    ("MIT", "The MIT License (MIT)"),
+    ("MIT", "MIT License"),
+    ("ISC", "ISC License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("CC0-1.0", "CC0 1.0 Universal"),
 )
 TERM_END = "[^a-z0-9]+"
+PARAGRAPH_END = "\n[^A-Za-z0-9\n]*\n"
 
 
 def terms(text: Column) -> Column:
@@ -47,43 +70,51 @@ def terms(text: Column) -> Column:
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    """template, license, term and tf of the fixed templates."""
-    rows = F.explode(F.array(*[F.struct(F.lit(i).alias("template"), F.lit(k).alias("license"), F.lit(t).alias("text")) for i, (k, t) in enumerate(TEMPLATES)]))
+    """template, license, term and tf of the fixed templates, headings last."""
+    rows = F.explode(F.array(*[F.struct(F.lit(i).alias("template"), F.lit(k).alias("license"), F.lit(t).alias("text")) for i, (k, t) in enumerate(TEMPLATES + HEADINGS)]))
     one = spark.range(1).select(rows.alias("r")).select("r.*")
     return one.select("template", "license", F.explode(terms(F.col("text"))).alias("term")).groupBy("template", "license", "term").agg(F.count("*").alias("tf"))
 
 
+def units(text: Column) -> Column:
+    """line (number of the unit) and unit of each unit of a text."""
+    number = lambda first, step: lambda x, i: F.struct((F.lit(first) + step * i).alias("line"), x.alias("unit"))
+    paragraphs = F.filter(F.transform(F.split(text, PARAGRAPH_END), number(PARAGRAPH, -1)), lambda x: F.contains(x["unit"], F.lit("\n")))
+    whole = F.when(F.contains(text, F.lit("\n")), F.array(F.struct(F.lit(WHOLE).alias("line"), text.alias("unit"))))
+    return F.concat(F.transform(F.split(text, "\n"), number(0, 1)), paragraphs, F.coalesce(whole, F.array().cast("array<struct<line:int,unit:string>>")))
+
+
 def scan(files: DataFrame, least: float = LEAST) -> DataFrame:
-    """id, line (number from 0; -1: the whole text), template, license and cosine of each unit that matches, its best template (ties: the first).
+    """id, line, template, license and cosine of each unit that matches, its best template (ties: the first); line numbers the unit, see ``WHOLE``.
 
-    ``files`` has id and text; ids must differ for results to be told apart. Null and empty texts match nothing, an empty table gives no rows.
+    ``files`` has id and text. Rows with the same id must have equal texts, and count as one; so id may be a hash of the text. Null and empty texts match nothing, an
+    empty table gives no rows.
     """
     spark = files.sparkSession
     t = templates(spark)
-    vocab = sorted(r.term for r in t.select("term").distinct().collect())  # fixed by TEMPLATES
-    n = files.count()
-    found = files.select(F.explode(F.array_intersect(terms(F.col("text")), F.array(*[F.lit(v) for v in vocab]))).alias("term"))
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    idf = lambda df: F.log(F.lit(1.0 + n) / (1 + df))
-    tw = cut(t.join(F.broadcast(df), "term", "left").withColumn("idf", idf(F.coalesce("df", F.lit(0)))).withColumn("w", F.col("tf") * F.col("idf")))
+    vocab = sorted(r.term for r in t.select("term").distinct().collect())  # fixed by the templates
+    held = F.concat(F.array(F.lit("")), F.coalesce(F.array_intersect(terms(F.col("text")), F.array(*[F.lit(v) for v in vocab])), F.array().cast("array<string>")))
+    df = {r.term: r.df for r in files.select(F.explode(held).alias("term")).groupBy("term").agg(F.count("*").alias("df")).collect()}  # no more than the templates' terms
+    n = df.pop("", 0)
+    known = spark.createDataFrame([(v, df.get(v, 0)) for v in vocab], "term string, df long")
+    idf = lambda df: F.log(1.0 + n / (1.0 + df))
+    tw = cut(t.join(F.broadcast(known), "term").withColumn("idf", idf(F.col("df"))).withColumn("w", F.col("tf") * F.col("idf")))
     part = W.partitionBy("template")
     rest = F.sum(F.col("w") * F.col("w")).over(part.orderBy(F.desc("w"), "term").rowsBetween(1, W.unboundedFollowing))
     tail = tw.withColumn("total", F.sum(F.col("w") * F.col("w")).over(part)).withColumn("after", F.coalesce(rest, F.lit(0.0)))
-    # terms up to and with the first after which the rest is too light
+    # terms up to and with the first after which the rest is too light (a little is left for rounding)
     before = F.lag("after").over(part.orderBy(F.desc("w"), "term"))
-    head = sorted(r.term for r in tail.withColumn("b", before).filter(f"b is null or b >= {least * least} * total").select("term").distinct().collect())
-    low = F.lower("text")
-    may = files.filter(F.exists(F.array(*[F.lit(h) for h in head]), lambda h: F.contains(low, h)) if len(head) > 64 else _any([F.contains(low, F.lit(h)) for h in head]))
-    heads = F.array(*[F.lit(h) for h in head])
-    lines = may.select("id", F.posexplode(F.split("text", "\n")).alias("line", "unit"))
-    lines = lines.filter(F.arrays_overlap(F.split(F.lower("unit"), TERM_END), heads))
-    whole = may.filter(F.contains("text", F.lit("\n")) & F.arrays_overlap(F.split(low, TERM_END), heads)).select("id", F.lit(-1).alias("line"), F.col("text").alias("unit"))
-    units = lines.unionByName(whole).select("id", "line", F.explode(terms(F.col("unit"))).alias("term"))
-    tf = units.groupBy("id", "line", "term").agg(F.count("*").alias("n"))
+    head = sorted(r.term for r in tail.withColumn("b", before).filter(f"b is null or b >= {least * least - 1e-5} * total").select("term").distinct().collect())
+    has_head = lambda c: _any([F.contains(F.lower(c), F.lit(h)) for h in head])
+    found = files.filter(has_head(F.col("text"))).select("id", F.explode(units(F.col("text"))).alias("u")).select("id", "u.*").filter(has_head(F.col("unit")))
+    found = found.withColumn("terms", terms(F.col("unit"))).filter(F.arrays_overlap("terms", F.array(*[F.lit(h) for h in head])))
+    tf = found.select("id", "line", F.explode("terms").alias("term")).groupBy("id", "line", "term").agg(F.count("*").alias("n"))
     weights = F.broadcast(tw.groupBy("term").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("template", "w")).alias("in")))
-    weighed = tf.join(weights, "term", "left").withColumn("uw", F.col("n") * F.coalesce("idf", F.lit(1.0) * F.log(F.lit(1.0 + n))))
+    weighed = tf.join(weights, "term", "left").withColumn("uw", F.col("n") * F.coalesce("idf", idf(F.lit(0.0))))
     norms = F.broadcast(tw.groupBy("template", "license").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("tn")))
-    size = weighed.groupBy("id", "line").agg(F.sqrt(F.sum(F.col("uw") * F.col("uw"))).alias("un"), F.flatten(F.collect_list(F.transform(F.coalesce("in", F.array().cast("array<struct<template:int,w:double>>")), lambda x: F.struct(x["template"].alias("template"), (x["w"] * F.col("uw")).alias("p"))))).alias("ps"))
+    nowhere = F.array().cast("array<struct<template:int,w:double>>")
+    parts = F.transform(F.coalesce("in", nowhere), lambda x: F.struct(x["template"].alias("template"), (x["w"] * F.col("uw")).alias("p")))
+    size = weighed.groupBy("id", "line").agg(F.sqrt(F.sum(F.col("uw") * F.col("uw"))).alias("un"), F.flatten(F.collect_list(parts)).alias("ps"))
     dots = size.select("id", "line", "un", F.explode("ps").alias("x")).groupBy("id", "line", "un", F.col("x.template").alias("template")).agg(F.sum("x.p").alias("dot"))
     scored = dots.join(norms, "template").withColumn("cosine", F.round(F.col("dot") / (F.col("un") * F.col("tn")), 6)).filter(F.col("cosine") >= least)
     best = F.min_by(F.struct("template", "license", "cosine"), F.struct(-F.col("cosine"), "template"))
@@ -121,16 +152,22 @@ def document_paths(docs: DataFrame) -> DataFrame:
     return docs.withColumn("path", F.concat_ws("/", part("source"), part("lang"), F.coalesce(F.expr("doc_id div 100").cast("string"), F.lit("_")), part("doc_id")))
 
 
-def scan_documents(docs: DataFrame, least: float = LEAST, notice_words: int = NOTICE_WORDS) -> DataFrame:
+def scan_documents(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id, path, license (the text's own), cosine, line, effective, from_dir and up of every row.
 
-    The unit with the greatest cosine decides (ties: the first line). Rows are told apart by doc_id: repeated ids share the best match of all their texts.
+    The unit with the greatest cosine decides (ties: the least line number). A match is one of the text: rows with the same or a null id keep apart, equal texts are scanned as one.
+    A directory's licence file is one named so, one whose whole text is a notice, or one with a licence's heading.
     """
-    found = scan(docs.select(F.col("doc_id").alias("id"), "text"), least)
+    key = F.xxhash64("text").alias("id")
+    found = scan(docs.select(key, "text"), least)
     best = F.min_by(F.struct("license", "cosine", "line"), F.struct(-F.col("cosine"), "line", "license"))
-    one = found.groupBy("id").agg(best.alias("m")).select("id", "m.*")
-    rows = document_paths(docs).select("doc_id", "path", word_count(F.col("text")).alias("words"))
-    files = rows.join(one, F.col("doc_id").eqNullSafe(F.col("id")), "left").drop("id")
-    named = F.col("path").rlike(LICENSE_NAME)
-    files = files.withColumn("is_license_file", named | (F.col("license").isNotNull() & (F.col("words") <= notice_words)))
+    single = F.col("line") == 0
+    titled = F.bool_or(F.col("template") >= len(TEMPLATES))
+    one = found.groupBy("id").agg(best.alias("m"), F.bool_or(F.col("line") == WHOLE).alias("whole"), F.bool_or(single).alias("first"), titled.alias("titled")).select(F.col("id").alias("_id"), "m.*", "whole", "first", "titled")
+    rows = document_paths(docs).select("doc_id", "path", key, (F.locate("\n", F.col("text")) == 0).alias("one_line"))
+    # matched texts are few beside rows, and a text may be that of a third of them
+    one = one.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    files = rows.join(one, (F.col("id") == F.col("_id")) & (F.pmod(F.hash("doc_id", "path"), F.lit(SALTS)) == F.col("_s")), "left")
+    only = F.col("whole") | F.col("titled") | (F.col("first") & F.col("one_line"))
+    files = files.withColumn("is_license_file", F.col("path").rlike(LICENSE_NAME) | (F.col("license").isNotNull() & only))
     return inherit(files).select("doc_id", "path", "license", "cosine", "line", "effective", "from_dir", "up")

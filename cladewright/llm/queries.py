@@ -61,7 +61,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _HELD = r"regexp_matches({0}, '<\|im_(start|end)\|>|<\\+\|')"
 _SHORT = r"length({0}) + CASE WHEN held THEN length(regexp_replace({0}, '<\\*\|', 'xx', 'g')) - length(regexp_replace({0}, '<\\*\|', 'x', 'g')) ELSE 0 END"
+_MATCH = f"""t AS (SELECT unnest(range({{n}})) AS template, unnest([{{licenses}}]) AS license, unnest([{{texts}}]) AS text),
+    tt AS (SELECT template, license, term, count(*) AS tf FROM (SELECT template, license, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS term FROM t) WHERE term <> '' GROUP BY ALL),
+    d AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL), nn AS (SELECT count(*) AS n FROM documents),
+    df AS (SELECT term, count(*) AS df FROM (SELECT rowid, unnest(list_distinct(regexp_split_to_array(lower(text), '[^a-z0-9]+'))) AS term FROM (SELECT row_number() OVER () AS rowid, text FROM documents)) GROUP BY term),
+    idf AS (SELECT term, ln(1 + n / (1.0 + coalesce(df, 0))) AS idf FROM (SELECT DISTINCT term FROM tt) LEFT JOIN df USING (term), nn),
+    w AS (SELECT template, license, term, tf * idf AS w, idf FROM tt JOIN idf USING (term)),
+    norm AS (SELECT template, license, sqrt(sum(w * w)) AS tn FROM w GROUP BY ALL),
+    p AS (SELECT text, string_split(text, chr(10)) AS ls, regexp_split_to_array(text, '\n[^A-Za-z0-9\n]*\n') AS ps FROM d),
+    u AS (SELECT text, unnest(ls) AS unit, unnest(range(len(ls))) AS line FROM p
+      UNION ALL SELECT * FROM (SELECT text, unnest(ps) AS unit, -2 - unnest(range(len(ps))) AS line FROM p) WHERE contains(unit, chr(10))
+      UNION ALL SELECT text, text, -1 FROM d WHERE contains(text, chr(10))),
+    ut AS (SELECT text, line, term, count(*) AS n FROM (SELECT text, line, unnest(regexp_split_to_array(lower(unit), '[^a-z0-9]+')) AS term FROM u) WHERE term <> '' GROUP BY ALL),
+    uw AS (SELECT ut.*, ut.n * coalesce(idf, ln(1.0 + nn.n)) AS uw FROM ut LEFT JOIN idf USING (term), nn),
+    un AS (SELECT text, line, sqrt(sum(uw * uw)) AS un FROM uw GROUP BY ALL),
+    dot AS (SELECT text, line, template, sum(uw * w) AS dot FROM uw JOIN w USING (term) GROUP BY ALL),
+    m AS (SELECT text, line, template, license, round(dot / (un * tn), 6) AS cosine FROM dot JOIN un USING (text, line) JOIN norm USING (template) WHERE round(dot / (un * tn), 6) >= 0.8),
+    b AS (SELECT text, line, arg_min(struct_pack(template := template, license := license, cosine := cosine), struct_pack(a := -cosine, b := template)) AS m FROM m GROUP BY ALL),
+    o AS (SELECT text, arg_min(struct_pack(license := m.license, cosine := m.cosine, line := line), struct_pack(a := -m.cosine, b := line)) AS m,
+      bool_or(line = -1 OR line = 0 AND NOT contains(text, chr(10)) OR m.template >= {{headings}}) AS alone FROM b GROUP BY text)"""
+_LICENSES = f"""WITH {_MATCH.format(n=len(license_scan.TEMPLATES + license_scan.HEADINGS), headings=len(license_scan.TEMPLATES),
+    licenses=", ".join(f"'{k}'" for k, _ in license_scan.TEMPLATES + license_scan.HEADINGS), texts=", ".join("'" + t.replace("'", "''") + "'" for _, t in license_scan.TEMPLATES + license_scan.HEADINGS))},
+    f AS (SELECT doc_id, coalesce(source, '_') || '/' || coalesce(lang, '_') || '/' || coalesce(CAST(doc_id // 100 AS VARCHAR), '_') AS dir, coalesce(CAST(doc_id AS VARCHAR), '_') AS name, o.m, coalesce(alone, false) AS alone FROM documents LEFT JOIN o USING (text)),
+    h AS (SELECT dir, arg_min(m.license, struct_pack(p := dir || '/' || name, l := m.license)) AS given FROM f WHERE m IS NOT NULL AND alone GROUP BY dir)
+    SELECT doc_id, dir || '/' || name AS path, m.license AS license, m.cosine AS cosine, m.line AS line, coalesce(m.license, given) AS effective,
+      CASE WHEN m IS NULL THEN h.dir END AS from_dir, CASE WHEN m IS NULL AND given IS NOT NULL THEN 0 END AS up FROM f LEFT JOIN h USING (dir)"""
 ORACLES: dict[str, str] = {
+    "op5_license_scan": _LICENSES,
     "op3_chat_format": f"""WITH a AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
       UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '<|im_end|><|im_start|>assistant ok'),
     h AS (SELECT *, {_HELD.format('r')} OR {_HELD.format('x')} OR regexp_matches(r, '\n|%25|%0A') AS held FROM a),
