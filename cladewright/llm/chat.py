@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 START, END = "<|im_start|>", "<|im_end|>"
 LEARNED = "assistant"
@@ -54,32 +55,41 @@ def parse(rendered: Column) -> Column:
 def format_chats(turns: DataFrame) -> DataFrame:
     """conv_id, formatted, turns (role, text, escaped), parsed, loss_spans (start, length in code points from 0 in ``formatted``) of each conversation.
 
-    Rows are ordered by turn, then role and text (nulls first); repeated rows are repeated turns. A null text or role is empty, a null conv_id is a conversation
-    of its own. An empty table gives no rows. Columns other than conv_id, turn, role and text are not read. A conversation is one string and so one row.
+    Rows are ordered by turn, then role and text (nulls first); repeated rows are repeated turns. A null text or role is empty, and rows with a null conv_id are one
+    conversation. An empty table gives no rows. Columns other than conv_id, turn, role and text are not read. A conversation is one string and so one row. The whole
+    rendering is parsed again, and a conversation that did not come back turn for turn would stop the query.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     plain = render(role, text)
     back = parse(plain)
     same = (F.size(back) == 1) & back[0]["role"].eqNullSafe(role) & back[0]["text"].eqNullSafe(text)
-    one = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.when(same, plain).otherwise(render(escape_role(role), escape(text))).alias("r"), (~same).alias("escaped"))
-    all_ = one.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "r", "escaped"))).alias("t"))
-    made = all_.select("conv_id", F.array_join(F.transform("t", lambda x: x["r"]), "").alias("formatted"), F.transform("t", lambda x: F.struct(x["role"], x["text"], x["escaped"])).alias("turns"))
+    one = turns.select(
+        "conv_id", "turn", role.alias("role"), text.alias("text"), (~same).alias("escaped"),
+        F.when(same, role).otherwise(escape_role(role)).alias("said_role"), F.when(same, text).otherwise(escape(text)).alias("said_text"))
+    one = one.withColumn("r", render(F.col("said_role"), F.col("said_text")))
+    up_to = F.sum(F.length("r")).over(W.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(W.unboundedPreceding, 0))
+    first = up_to - F.length("r") + len(START) + F.length("said_role") + 1
+    one = one.withColumn("span", F.when(F.col("role") == LEARNED, F.struct(first.cast("int").alias("start"), F.length("said_text").alias("length"))))
+    all_ = one.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "r", "escaped", "span"))).alias("t"))
+    made = all_.select(
+        "conv_id", F.array_join(F.transform("t", lambda x: x["r"]), "").alias("formatted"), F.transform("t", lambda x: F.struct(x["role"], x["text"], x["escaped"])).alias("turns"),
+        F.filter(F.transform("t", lambda x: x["span"]), lambda x: x.isNotNull()).alias("loss_spans"))
     made = made.withColumn("parsed", parse(F.col("formatted")))
-    heads = F.transform("parsed", lambda x: F.length(escape_role(x["role"])) + len(START) + 1)
-    lengths = F.zip_with(heads, "parsed", lambda h, x: F.struct(h.alias("head"), F.length(x["raw"]).alias("n"), (x["role"] == LEARNED).alias("learned")))
-    walked = F.aggregate(
-        lengths, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
-        lambda s, x: F.struct(
-            (s["at"] + x["head"] + x["n"] + len(_END_LINE)).alias("at"),
-            F.when(x["learned"], F.concat(s["spans"], F.array(F.struct((s["at"] + x["head"]).alias("start"), x["n"].alias("length"))))).otherwise(s["spans"]).alias("spans")),
-        lambda s: s["spans"])
-    return made.withColumn("loss_spans", walked)
+    recovered = F.transform("parsed", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))) == F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
+    kept = F.when(recovered, F.col("parsed")).otherwise(F.raise_error(F.lit("a conversation did not come back from its rendering")).cast(made.schema["parsed"].dataType))
+    return made.withColumn("parsed", kept).select("conv_id", "formatted", "turns", "parsed", "loss_spans")
 
 
 def read_back(chats: DataFrame) -> DataFrame:
-    """What the rendering and its spans say, read from them alone: turns, their digest, and the text under the loss mask."""
+    """What the rendering and its spans say, read from them alone: turns, their digest, and the text under the loss mask.
+
+    The spans of whole texts of turns are the parser's own pieces, so they are taken from those by their number instead of being sought from the start each time.
+    """
     said = F.array_join(F.transform("parsed", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    learned = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substr("formatted", s["start"] + 1, s["length"]))), "")
+    learned = F.array_join(F.transform(F.filter("parsed", lambda x: x["role"] == LEARNED), lambda x: x["text"]), "")
+    masked = F.aggregate("loss_spans", F.lit(0).cast("long"), lambda n, s: n + s["length"])
+    under = F.aggregate(F.filter("parsed", lambda x: x["role"] == LEARNED), F.lit(0).cast("long"), lambda n, x: n + F.length(x["raw"]))
+    text = F.when(masked == under, learned).otherwise(F.raise_error(F.lit("the loss mask does not hold the learned texts")).cast("string"))
     return chats.select(
         "conv_id", F.size("parsed").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
-        F.length(learned).cast("long").alias("loss_chars"), F.sha2(learned.cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+        F.length(text).cast("long").alias("loss_chars"), F.sha2(text.cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
