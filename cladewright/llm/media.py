@@ -1,6 +1,6 @@
 """Media columns: documents as interleaved sequences of text and media.
 
-``encode`` stores payloads as 8-bit greyscale images (binary PGM, 64 samples a row), addressed by the digest of the payload. ``parse_html`` turns a page into an ordered
+``stored`` keeps payloads as 8-bit greyscale images (binary PGM, 64 samples a row), addressed by the digest of the payload. ``parse_html`` turns a page into an ordered
 sequence of text and media-reference structs with captions; ``resolve`` joins the references with a media table by digest and puts the sequence together again, with
 positions and captions as they were. ``features`` are computed from stored bytes that are read back.
 """
@@ -10,17 +10,15 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
-from html import escape
 from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import workers_ready
+from .common import HEAVY, cut, workers_ready
 
 WIDTH = 64
 SCHEME = "media:"
@@ -28,11 +26,6 @@ SEQUENCE = "array<struct<pos:int,kind:string,text:string,digest:string>>"
 _HEAD = re.compile(rb"P5\n(\d+) (\d+)\n255\n")
 
 
-def encode(payload: bytes) -> bytes:
-    """A binary PGM image of the payload, which must be a positive multiple of ``WIDTH`` bytes."""
-    return b"P5\n%d %d\n255\n" % (WIDTH, len(payload) // WIDTH) + payload
-
-
 def decode(stored: bytes) -> bytes:
     head = _HEAD.match(stored)
     if not head or len(stored) - head.end() != int(head[1]) * int(head[2]):
@@ -40,11 +33,6 @@ def decode(stored: bytes) -> bytes:
     return stored[head.end():]
 
 
-def padded(raw: bytes) -> bytes:
-    """The bytes with zeros up to a positive multiple of ``WIDTH``."""
-    return raw + bytes(-len(raw) % WIDTH if raw else WIDTH)
-
-
 def features(payload: bytes) -> str:
     """Mean, deviation, histogram of 8 bins (shares) and a difference hash of 64 bits over the image's samples."""
     x = np.frombuffer(payload, np.uint8)
@@ -124,60 +112,60 @@ def parse_html(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.withColumn("sequence", parsed(html))
 
 
-def resolve(sequences: DataFrame, store: DataFrame, key: str = "doc_id", columns: tuple[str, ...] = ("media",)) -> DataFrame:
-    """``key`` and a row for each element of each sequence with its position, kind, text, digest and the store's ``columns``, null for text and unknown digests.
+def resolve(elements: DataFrame, store: DataFrame) -> DataFrame:
+    """``elements`` (rows with a digest, null for text) with ``media``, the store's payload of that digest, null for text and unknown digests.
 
-    ``store`` has one row for each digest, so that no position is lost or repeated; keys that repeat keep all their elements.
+    ``store`` (digest, media) has one row for each digest, so that no element is lost or repeated. A digest that a great part of all elements refer to (at least one in
+    ``HEAVY``, so that there are at most ``HEAVY`` such) is joined in parts: its payload is there once for each of them.
     """
-    refs = sequences.select(key, F.explode("sequence").alias("e")).select(key, "e.*")
-    media = store.select("digest", *columns)
-    return refs.join(media, "digest", "left")
-
-
-def text_page(caption: str, digest: str) -> str:
-    return f'<article><figure><img src="{SCHEME}{digest}"><figcaption>{escape(caption)}</figcaption></figure></article>'
-
+    said = elements.filter("digest is not null")
+    total = said.count()
+    often = said.groupBy("digest").agg(F.count("*").alias("_n")).filter(F.col("_n") * HEAVY >= total)
+    parts = F.broadcast(often.select(F.col("digest").alias("_d"), F.ceil(F.col("_n") * HEAVY / max(total, 1)).cast("int").alias("_parts")))
+    dealt = elements.join(parts, F.col("digest") == F.col("_d"), "left").withColumn("_part", F.pmod(F.xxhash64(*elements.columns), F.coalesce("_parts", F.lit(1))).cast("int"))
+    held = store.select("digest", "media").join(parts, F.col("digest") == F.col("_d"), "left")
+    held = held.select(F.col("digest").alias("_digest"), "media", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)).alias("_of"))
+    return dealt.join(held, (F.col("digest") == F.col("_digest")) & (F.col("_part") == F.col("_of")), "left").select(*elements.columns, "media")
 
-_LONG, _TEXT = T.LongType(), T.StringType()
-SAID = {"payload_bytes": _LONG, "payload_sha256": _TEXT, "tail_crc32": _LONG, "media_bytes": _LONG, "media_sha256": _TEXT, "feature": _TEXT}
 
+def payload(text: Column) -> Column:
+    """A text's UTF-8 bytes (null: none) with zeros up to a positive multiple of ``WIDTH``."""
+    raw = F.coalesce(text, F.lit("")).cast("binary")
+    size = F.octet_length(raw)
+    return F.rpad(raw, F.greatest(F.lit(WIDTH), F.ceil(size / WIDTH).cast("int") * WIDTH), F.lit(bytes(1)))
 
-def stored_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, html, digest, media: each whole text (null: empty) as a stored image, and a page that refers to it by digest with the number of bytes as caption."""
-    workers_ready(docs.sparkSession)
-
-    def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            raw = [(t or "").encode("utf-8", "replace") for t in pdf.text]
-            payload = [padded(r) for r in raw]
-            digest = [hashlib.sha256(p).hexdigest() for p in payload]
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "html": [text_page(f"{len(r)} bytes", d) for r, d in zip(raw, digest, strict=True)], "digest": digest, "media": [encode(p) for p in payload]})
 
-    return docs.select("doc_id", "text").mapInPandas(store, "doc_id long, html string, digest string, media binary")
+def stored(text: Column) -> Column:
+    """The payload of a text as a binary PGM image of ``WIDTH`` samples a row."""
+    bytes_ = payload(text)
+    head = F.concat(F.lit(f"P5\n{WIDTH} "), (F.octet_length(bytes_) / WIDTH).cast("int").cast("string"), F.lit("\n255\n"))
+    return F.concat(head.cast("binary"), bytes_)
 
 
-def described(media: DataFrame) -> DataFrame:
-    """``media`` with ``d``: what the stored bytes, read back, say."""
+_LONG, _TEXT = T.LongType(), T.StringType()
+SAID = {"payload_bytes": _LONG, "payload_sha256": _TEXT, "tail_crc32": _LONG, "media_bytes": _LONG, "media_sha256": _TEXT, "feature": _TEXT}
 
-    @F.pandas_udf(T.StructType([T.StructField(k, v) for k, v in SAID.items()]))
-    def said(s: pd.Series) -> pd.DataFrame:
-        rows = []
-        for stored in s:
-            payload = decode(stored)
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(stored), hashlib.sha256(stored).hexdigest(), features(payload)))
-        return pd.DataFrame(rows, columns=list(SAID))
 
-    return media.withColumn("d", said("media"))
+@F.pandas_udf(T.StructType([T.StructField(k, v) for k, v in SAID.items()]))
+def described(media: pd.Series) -> pd.DataFrame:
+    """What the stored bytes, read back, say."""
+    rows = []
+    for bytes_ in media:
+        own = decode(bytes_)
+        rows.append((len(own), hashlib.sha256(own).hexdigest(), zlib.crc32(own[-WIDTH:]), len(bytes_), hashlib.sha256(bytes_).hexdigest(), features(own)))
+    return pd.DataFrame(rows, columns=list(SAID))
 
 
 def text_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature and pos of every row of ``docs``.
 
-    Repeated rows each have a row; equal texts have equal values. Only doc_id and text are read.
+    Each text is a page that refers to an image by digest, with its number of bytes as caption; the image is stored once for each different text. Pages are parsed,
+    references resolved by joining the stored bytes, and these read back. Repeated rows each have a row; equal texts have equal values. Only doc_id and text are read.
     """
-    made = described(stored_texts(docs)).select("doc_id", "html", "digest", "d")
-    store = made.groupBy("digest").agg(F.first("d").alias("d"))
-    pages = parse_html(made.select("doc_id", "html"))
-    found = resolve(pages, store, columns=("d",)).filter("kind = 'media'")
-    n = F.regexp_extract("text", r"^(\d+)", 1).cast("long")
-    return found.select("doc_id", n.alias("n_bytes"), *[f"d.{c}" for c in SAID], "pos")
+    workers_ready(docs.sparkSession)
+    digest = F.sha2(payload(F.col("text")), 256)
+    page = F.concat(F.lit(f'<article><figure><img src="{SCHEME}'), digest, F.lit('"><figcaption>'), F.coalesce(F.octet_length("text"), F.lit(0)).cast("string"), F.lit(" bytes</figcaption></figure></article>"))
+    elements = cut(parse_html(docs.select("doc_id", page.alias("html"))).select("doc_id", F.explode("sequence").alias("e")).select("doc_id", "e.*"))
+    store = docs.select(digest.alias("digest"), stored(F.col("text")).alias("media")).groupBy("digest").agg(F.first("media").alias("media"))
+    found = resolve(elements, store).filter("kind = 'media'").withColumn("d", described("media"))
+    return found.select("doc_id", F.regexp_extract("text", r"^(\d+)", 1).cast("long").alias("n_bytes"), *[f"d.{c}" for c in SAID], "pos")
