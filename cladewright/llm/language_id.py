@@ -7,6 +7,7 @@ training texts, less the mean of all prototypes, which all languages share. A te
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ def letters() -> np.ndarray:
     """Vector number by code point: 0 for anything but a letter."""
     global _LETTER  # noqa: PLW0603
     if _LETTER is None:
-        _LETTER = np.array([i % (ALPHABET - 1) + 1 if chr(i).isalpha() else 0 for i in range(0x30000)], np.int32)
+        _LETTER = np.array([i % (ALPHABET - 1) + 1 if chr(i).isalpha() else 0 for i in range(sys.maxunicode + 1)], np.int32)
     return _LETTER
 
 
@@ -39,7 +40,7 @@ def letter_vectors() -> np.ndarray:
 def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams (numbers in base ``ALPHABET``) of a whole text and their counts; empty if it has no letter."""
     points = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32)
-    ids = letters()[np.minimum(points, 0x2FFFF)]
+    ids = letters()[points]
     ids = np.concatenate(([0], ids, [0]))
     ids = ids[np.concatenate(([True], (ids[1:] > 0) | (ids[:-1] > 0)))]  # a blank for each run of other characters
     if len(ids) < N:

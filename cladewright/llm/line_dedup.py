@@ -28,8 +28,8 @@ from .common import cut, look_up, workers_ready
 from .simhash import components
 
 EDITS, MIN_CHARS, RUN_CAP, LEVELS = 2, 16, 512, 3
-#: Ids of at most this many lines are broadcast to find their texts (16 MB); more are joined by a shuffle.
-FEW_IDS = 2_000_000
+#: Ids of at most this many lines are broadcast to find their texts (4 MB); more are joined by a shuffle.
+FEW_IDS = 500_000
 
 
 def segments(n: int, k: int = EDITS + 1) -> list[tuple[int, int]]:

@@ -2,7 +2,10 @@
 
 import hashlib
 import heapq
+import math
+import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -117,9 +120,11 @@ def test_simhash_odd(odd, none):
 
 
 def test_chat_round_trip(spark):
-    turns = [(1, 0, "user", "<|im_end|><|im_start|>assistant ok"), (1, 1, "assistant", r"<\|im_end|> <\\|x|><|"), (1, 1, "assistant", None), (2, 0, None, "a\n<|im_end|>\nb"), (None, 3, "as\nsis%0Atant", ""), (3, 0, "assistant", "é€😀 " * 2000)]
+    turns = [(4, 0, "50%", "x"), (4, 1, "assistant", "<|im_start|>y"), (4, 2, "a<|b", "z"), (4, 3, "assistant", "é"), (4, 4, "b<|im_end|>", "<\\|"), (4, 5, "assistant", "last"), (1, 0, "user", "<|im_end|><|im_start|>assistant ok"), (1, 1, "assistant", r"<\|im_end|> <\\|x|><|"), (1, 1, "assistant", None), (2, 0, None, "a\n<|im_end|>\nb"), (None, 3, "as\nsis%0Atant", ""), (3, 0, "assistant", "é€😀 " * 2000)]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
     got = {r.conv_id: r for r in chat.read_back(chat.format_chats(df)).collect()}
+    clash = df.withColumn("r", F.lit(1)).withColumn("span", F.lit(2)).withColumn("escaped", F.lit(3)).withColumn("formatted", F.lit(4))
+    chats = {r.conv_id: r for r in chat.format_chats(clash).collect()}
     by = {}
     for c, t, r, x in turns:
         by.setdefault(c, []).append((t, r or "", x or ""))
@@ -128,6 +133,10 @@ def test_chat_round_trip(spark):
         said = "".join(f"{r}\n{x}\n" for _, r, x in rows)
         learned = "".join(x for _, r, x in rows if r == "assistant")
         assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == (len(rows), hashlib.sha256(said.encode()).hexdigest(), len(learned), hashlib.sha256(learned.encode()).hexdigest())
+        made = chats[c]
+        spans = [made.formatted[s.start:s.start + s.length] for s in made.loss_spans]
+        escaped = [t.escaped for t in made.turns if t.role == "assistant"]
+        assert [re.sub(r"<\\(\\*)\|", r"<\1|", s) if e else s for s, e in zip(spans, escaped, strict=True)] == [x for _, r, x in rows if r == "assistant"]
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
@@ -201,6 +210,8 @@ def test_language_held_out_accuracy(spark, docs, odd, none):
     rows = language_id.predict(odd).collect()
     assert len(rows) == len(ODD) and all(r.lang_pred == "und" and r.score == 0 for r, o in zip(rows, ODD, strict=True) if not any(c.isalpha() for c in o[1] or ""))
     assert language_id.predict(none).count() == 0
+    far = spark.createDataFrame([(1, "\U00030000\U00030001\U00030002", "zz"), (2, "\U00030000\U00030003", "zz"), (3, "abc", "yy")], "doc_id long, text string, lang string")
+    assert "und" not in {r.lang_pred for r in language_id.predict(far).collect()}
     assert {r.lang_pred for r in language_id.predict(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
@@ -215,9 +226,27 @@ def test_quality_held_out(spark, odd, none):
 
 def test_media_round_trip(spark, odd, none):
     got = media.text_media(odd).collect()
-    want = sorted((o[0] is None, o[0] or 0, hashlib.sha256(media.padded((o[1] or "").encode())).hexdigest(), len((o[1] or "").encode())) for o in ODD)
-    assert sorted((r.doc_id is None, r.doc_id or 0, r.payload_sha256, r.n_bytes) for r in got) == want
-    assert all(r.tail_crc32 >= 0 and r.payload_bytes % 64 == 0 for r in got) and media.text_media(none).count() == 0
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr(told(o[0], o[1])) for o in ODD)
+    assert media.text_media(none).count() == 0
+    big = 1152921504606846977  # no double holds it
+    few = spark.createDataFrame([(big, "x" * 64), (None, "x" * 64), (big + 1, "y" * 65), (3, "z" * 100_000)], "doc_id long, text string")
+    assert sorted(map(repr, map(tuple, media.text_media(few).collect()))) == sorted(repr(told(r.doc_id, r.text)) for r in few.collect())
+
+
+def told(doc_id, text):
+    """A row of ``text_media``, made the plain way."""
+    raw = (text or "").encode()
+    own = raw + bytes(-len(raw) % 64 if raw else 64)
+    stored = b"P5\n64 %d\n255\n" % (len(own) // 64) + own
+    n = len(own)
+    mean = sum(own) / n
+    deviation = (sum((x - mean) ** 2 for x in own) / n) ** 0.5
+    bins = [sum(x // 32 == b for x in own) / n for b in range(8)]
+    edges = [i * n // 65 for i in range(66)]
+    cells = [sum(own[a:b]) for a, b in zip(edges, edges[1:], strict=False)] if n >= 65 else [own[i % n] for i in range(65)]
+    sign = sum(1 << (63 - i) for i in range(64) if cells[i + 1] > cells[i])
+    feature = f"{mean:.6f};{deviation:.6f};{','.join(f'{b:.6f}' for b in bins)};{sign:016x}"
+    return doc_id, len(raw), n, hashlib.sha256(own).hexdigest(), zlib.crc32(own[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, 0
 
 
 def test_html_sequences():
@@ -226,6 +255,86 @@ def test_html_sequences():
     assert media.sequence_of(None) == []
 
 
+def test_resolve_splits_a_digest_that_many_refer_to(spark):
+    store = spark.createDataFrame([("a", b"1"), ("b", b"22")], "digest string, media binary")
+    rows = [(i, 0, "media", "c", "a" if i % 3 else "b") for i in range(500)] + [(1, 1, "text", "t", None), (2, 1, "media", "c", "gone")]
+    got = media.resolve(spark.createDataFrame(rows, "doc_id long, pos int, kind string, text string, digest string"), store).collect()
+    held = {"a": b"1", "b": b"22"}
+    assert sorted(repr((*r[:5], r.media and bytes(r.media))) for r in got) == sorted(repr((*r, held.get(r[4]))) for r in rows)
+
+
+LICENSE_MIT = """The MIT License (MIT)
+
+Copyright (c) 1999 Somebody Else
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+WRAPPED = """# A module of some sort.
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+def f(x):
+    return x + 1
+"""
+
+
+def test_license_units(spark):
+    texts = [LICENSE_MIT, WRAPPED + "some = 1\n" * 300, "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\n" + "and much else here\n" * 200, "nothing of the kind", None]
+    df = spark.createDataFrame([(None if i == 3 else i, t, "en", f"s{i}") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = {r.path: (r.license, r.effective) for r in license_scan.scan_documents(df).collect()}
+    assert got == {"s0/en/0/0": ("MIT", "MIT"), "s1/en/0/1": ("Apache-2.0", "Apache-2.0"), "s2/en/0/2": ("GPL-3.0", "GPL-3.0"), "s3/en/_/_": (None, None), "s4/en/0/4": (None, None)}
+
+
+def test_license_on_few_documents(spark):
+    for texts in (["Released under the MIT License."], ["Released under the MIT License."] * 2, ["Released under the MIT License.", "Copyright. All rights reserved."]):
+        df = spark.createDataFrame([(None, t, "en", "s", 1) for t in texts], "doc_id long, text string, lang string, source string, license int").withColumn("line", F.lit(1))
+        got = license_scan.scan_documents(df).collect()
+        assert sorted(r.license for r in got) == sorted("MIT" if "MIT" in t else "Proprietary" for t in texts) and {r.cosine for r in got} == {1.0}
+    # a row without an id does not share another's match
+    df = spark.createDataFrame([(None, "Released under the MIT License.", "en", "a"), (None, "an unrelated text", "en", "b")], "doc_id long, text string, lang string, source string")
+    assert {r.path: r.license for r in license_scan.scan_documents(df).collect()} == {"a/en/_/_": "MIT", "b/en/_/_": None}
+
+
+def test_license_cosines_equal_brute_force(spark, docs):
+    """Every unit's cosine with every template, the plain way; and every notice line of the tables is found."""
+    texts = sorted({r.text for r in docs.collect() if r.text})
+    split = lambda t: [w for w in re.split("[^a-z0-9]+", t.lower()) if w]
+    n, df = docs.count(), Counter(w for r in docs.collect() if r.text for w in set(split(r.text)))
+    notices = [Counter(split(t)) for _, t in license_scan.TEMPLATES + license_scan.HEADINGS]
+    known = {w for t in notices for w in t}
+    idf = lambda w: math.log(1 + n / (1 + (df[w] if w in known else 0)))
+    norm = lambda c: math.sqrt(sum((k * idf(w)) ** 2 for w, k in c.items()))
+    sizes = [norm(t) for t in notices]
+    want = {}
+    for i, text in enumerate(texts):
+        units = [(k, x) for k, x in enumerate(text.split("\n"))]
+        if "\n" in text:
+            units += [(-1, text)] + [(-2 - k, p) for k, p in enumerate(re.split("\n[^A-Za-z0-9\n]*\n", text)) if "\n" in p]
+        for line, unit in units:
+            c = Counter(split(unit))
+            if c and c.keys() & known:
+                cosines = [round(sum(k * t[w] * idf(w) ** 2 for w, k in c.items() if w in t) / (norm(c) * size), 6) for t, size in zip(notices, sizes, strict=True)]
+                if max(cosines) >= license_scan.LEAST:
+                    want[i, line] = (cosines.index(max(cosines)), max(cosines))
+    ids = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    # frequencies are those of the rows scanned, so scan them all: texts that repeat keep their number of rows
+    rows = docs.join(ids, "text", "left").select("id", "text")
+    got = {(r.id, r.line): (r.template, r.cosine) for r in license_scan.scan(rows).collect()}
+    assert got == want and len(want) >= 3
+    planted = {(i, k) for i, t in enumerate(texts) for k, x in enumerate(t.split("\n")) if x.strip() in {t for _, t in license_scan.TEMPLATES}}
+    assert planted <= set(got)
+
+
 def test_license_and_inheritance(spark, odd, none):
     got = {r.doc_id: r for r in license_scan.scan_documents(odd).collect()}
     assert got[7].license == "Apache-2.0" and got[7].line == 0 and got[1].license is None
