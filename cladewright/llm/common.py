@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from cladewright.shipping import ship
 
@@ -77,3 +78,19 @@ def spread(df: DataFrame, n: str, at: str, per: int = 1 << 16) -> DataFrame:
     runs = df.filter(F.col(n) > 0).withColumn("_run", F.explode(F.expr(f"sequence(0L, (`{n}` - 1) div {per})")))
     runs = runs.repartition("_run", *[c for c in df.columns if c != n])
     return runs.withColumn(at, F.explode(F.expr(f"sequence(_run * {per}, least(`{n}`, (_run + 1) * {per}) - 1)"))).drop("_run")
+
+
+def running(df: DataFrame, order: list[str], values: dict[str, str]) -> DataFrame:
+    """``df`` with a running sum of each of ``values`` (new column -> expression) in the order of ``order``, which must tell rows apart (nulls last).
+
+    Rows are dealt by ranges of that order; each range's sums are one row, and only these few are summed over in one task.
+    """
+    by = [F.col(c).asc_nulls_last() for c in order]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(df.repartitionByRange(parts, *by).withColumn("_range", F.spark_partition_id()))
+    sums = dealt.groupBy("_range").agg(*[F.sum(F.expr(v)).alias(f"_{k}") for k, v in values.items()])
+    over = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
+    before = sums.select(F.col("_range").alias("_r"), *[F.coalesce(F.sum(f"_{k}").over(over), F.lit(0)).alias(f"_{k}") for k in values])
+    inner = W.partitionBy("_range").orderBy(*by).rowsBetween(W.unboundedPreceding, 0)
+    met = dealt.select("*", *[F.sum(F.expr(v)).over(inner).alias(k) for k, v in values.items()]).join(F.broadcast(before), F.col("_range") == F.col("_r"))
+    return met.select(*df.columns, *[(F.col(k) + F.col(f"_{k}")).alias(k) for k in values])

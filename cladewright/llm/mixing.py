@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut, spread, word_count
+from .common import cut, running, spread, word_count
 
 #: Relative weights of the sources, in the order of their names, repeating.
 WEIGHTS = (3, 1, 2)
@@ -30,21 +30,18 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     """``sizes`` (source, source_size) with rank (code point order from 0, null last) and target.
 
     Targets share ``share`` times all words by weight; none is above ``cap`` times its source, and the excess is reshared by weight. The fixed point of
-    resharing is target = min(cap * size, level * weight); the level follows from sources sorted by cap over weight. There is one row for each source here.
+    resharing is target = min(cap * size, level * weight); the level follows from sources sorted by cap over weight.
     """
-    ranked = sizes.withColumn("rank", (F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1).cast("long"))
+    ranked = running(sizes, ["source"], {"rank": "1L"}).withColumn("rank", F.col("rank") - 1)
     ranked = ranked.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int")))
-    ranked = ranked.withColumn("most", cap * F.col("source_size"))
-    up = W.orderBy(F.col("most") / F.col("weight"), "rank")
-    level = (share * F.sum("source_size").over(W.partitionBy()) - F.col("below")) / F.col("left")
-    filled = (
-        ranked.withColumn("below", F.sum("most").over(up) - F.col("most"))
-        .withColumn("left", F.sum("weight").over(W.partitionBy()) - F.sum("weight").over(up) + F.col("weight"))
-        .withColumn("level", level)
-        # the first source, in this order, that the level does not fill to its cap has the level that holds for all after it
-        .withColumn("level", F.min(F.when(F.col("level") * F.col("weight") < F.col("most"), F.struct(F.col("most") / F.col("weight"), "rank", "level"))).over(W.partitionBy())["level"])
-    )
-    return filled.select("source", "source_size", "rank", F.coalesce(F.least("most", F.col("level") * F.col("weight")), F.col("most")).alias("target"))
+    ranked = ranked.withColumn("most", cap * F.col("source_size")).withColumn("turn", F.col("most") / F.col("weight"))
+    filled = running(ranked, ["turn", "rank"], {"below": "most", "lighter": "weight"})
+    words, weight = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    level = (share * words - F.col("below") + F.col("most")) / (weight - F.col("lighter") + F.col("weight"))
+    # the first source, in this order, that the level does not fill to its cap has the level that holds for all after it
+    open_ = filled.withColumn("level", level).filter(F.col("level") * F.col("weight") < F.col("most")).agg(F.min(F.struct("turn", "rank", "level")).alias("x")).first().x
+    target = F.least("most", F.lit(open_.level) * F.col("weight")) if open_ else F.col("most")
+    return ranked.select("source", "source_size", "rank", target.alias("target"))
 
 
 def permuted(i: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Column:
@@ -71,7 +68,7 @@ def mix(docs: DataFrame, block: int = BLOCK, slots_per_shard: int = 4096, weight
     rows = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("o", order))
     sources = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap))
     # where each document starts in its source's stream
-    rows = rows.withColumnRenamed("source", "s").join(sources, F.col("s").eqNullSafe(F.col("source"))).drop("s", "source").withColumn("b", F.substring("o", 1, 3))
+    rows = rows.withColumnRenamed("source", "s").join(sources, F.col("s").eqNullSafe(F.col("source"))).drop("s", "source").withColumn("b", F.substring("o", 1, 4))
     sums = rows.groupBy("rank", "b").agg(F.sum("size").alias("n"))
     sums = sums.select("rank", "b", (F.sum("n").over(W.partitionBy("rank").orderBy("b")) - F.col("n")).alias("before"))
     inner = W.partitionBy("rank", "b").orderBy("o", "doc_id", "size")
@@ -99,9 +96,9 @@ def slots(sources: DataFrame, block: int = BLOCK, slots_per_shard: int = 4096) -
     per = F.expr(f"(source_size + {block - 1}) div {block}")
     s = sources.filter("source_size > 0").withColumn("goal", goal).withColumn("per", per)
     s = s.withColumn("n", F.expr(f"(goal div source_size) * per + (goal % source_size + {block - 1}) div {block}"))
-    shards = F.greatest(F.lit(1), F.expr(f"(sum(n) over () + {slots_per_shard - 1}) div {slots_per_shard}"))
-    s = s.withColumn("shards", shards).select("rank", "source_size", "goal", "per", "n", "shards")
-    drawn = spread(s, "n", "draw").groupBy("rank", F.pmod(F.xxhash64("rank", "draw"), "shards").alias("shard")).agg(F.count("*").alias("count"))
+    s = s.select("rank", "source_size", "goal", "per", "n")
+    shards = max(1, -(-s.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // slots_per_shard))
+    drawn = spread(s, "n", "draw").groupBy("rank", F.pmod(F.xxhash64("rank", "draw"), F.lit(shards)).alias("shard")).agg(F.count("*").alias("count"))
     drawn = drawn.withColumn("first", F.sum("count").over(W.partitionBy("rank").orderBy("shard")) - F.col("count"))
     # few bytes but much to compute: dealt out by number, which adaptive execution leaves as it is
     dealt = drawn.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rank", "shard")

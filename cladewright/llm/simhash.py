@@ -3,7 +3,7 @@
 Fingerprints of 64 bits link at ``within`` or fewer differing bits, and links join transitively. By the triangle inequality two linked fingerprints are, to within
 ``within``, as far from each reference fingerprint (pivot). Two sets of pivots are used:
 
-* Block pivots. For a fingerprint p and its copy with one bit turned, d(x, p with bit i) - d(x, p) tells bit i of x, so two fingerprints have equal distance
+* Block pivots, the fingerprint 0 and the 64 of one bit. Which of the pivots 0 and bit i is nearer tells bit i of x, so two fingerprints have equal distance
   differences to all pivots of a block exactly if they agree on it. ``within`` differing bits touch at most ``within`` of ``within`` + 3 blocks, so a linked pair
   agrees on at least one choice of three blocks: an equi-join on these coordinates gives all candidates and few others. (Distances to arbitrary pivots alone
   prune little among 64-bit fingerprints: they concentrate around 32 with a standard deviation of 4, the same as the threshold.)
@@ -71,8 +71,6 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
 def joined_within(fps: np.ndarray, within: int = WITHIN, rows: int = 256) -> np.ndarray:
     """For distinct fingerprints, the number of the first one that each is joined to by links within the array."""
     n = len(fps)
-    if n == 2:
-        return np.array([0, 0 if np.bitwise_count(fps[0] ^ fps[1]) <= within else 1])
     table = np.bitwise_count(fps[:, None] ^ pivots()[None, :]).astype(np.int8)
     root = np.arange(n)
 
@@ -99,11 +97,27 @@ def joined_within(fps: np.ndarray, within: int = WITHIN, rows: int = 256) -> np.
     return np.array([find(i) for i in range(n)])
 
 
+def coordinates(fps: np.ndarray) -> np.ndarray:
+    """The distance table of the block pivots as bits: bit i says whether the fingerprint is nearer to the pivot of bit i than to the pivot 0."""
+    pivot = np.concatenate((np.zeros(1, np.uint64), np.uint64(1) << np.arange(64, dtype=np.uint64)))
+    table = np.bitwise_count(fps[:, None] ^ pivot[None, :])
+    return np.packbits(table[:, 1:] < table[:, :1], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
 def bucket_links(fps: DataFrame, within: int = WITHIN, run_cap: int = 1024) -> DataFrame:
     """a, b: links that join the distinct ``fp`` of each bucket as far as they are joined; or a fingerprint of a bucket over ``run_cap`` as a, and null."""
-    masks = block_masks(within)
-    keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("c", "m"))
-    dealt = keyed.repartition("c", "m").sortWithinPartitions("c", "m", "fp")
+    masks = np.array(block_masks(within), np.uint64)
+
+    def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        choice = np.arange(len(masks), dtype=np.int32)
+        for batch in batches:
+            fp = batch.column("fp").to_numpy(zero_copy_only=False)
+            for low in range(0, len(fp), 1024):
+                own = fp[low:low + 1024]
+                m = (coordinates(own.view(np.uint64))[:, None] & masks[None, :]).ravel().view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(choice, len(own))), pa.array(m), pa.array(np.repeat(own, len(masks)))], ["c", "m", "fp"])
+
+    dealt = fps.select("fp").mapInArrow(bucketed, "c int, m long, fp long").repartition("c", "m").sortWithinPartitions("c", "m", "fp")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: list[np.ndarray] = []  # the start of a run that the next batch may carry on
@@ -127,8 +141,9 @@ def bucket_links(fps: DataFrame, within: int = WITHIN, run_cap: int = 1024) -> D
             if key is not None and key != (c[0], m[0]):
                 x, y = close()
                 a, b, left, hot = a + x, b + y, [], False
-            # whole runs of one fingerprint are most of them and need nothing
-            for s, e in zip(start.tolist(), end.tolist(), strict=True) if len(start) < 2 else [(s, e) for s, e in zip(start.tolist(), end.tolist(), strict=True) if e - s > 1 or s == 0 or e == len(c)]:
+            # runs of one fingerprint are most of them and need nothing, but the first and last may belong to longer ones
+            some = (end - start > 1) | (start == 0) | (end == len(c))
+            for s, e in zip(start[some].tolist(), end[some].tolist(), strict=True):
                 if s > 0:
                     x, y = close()
                     a, b, left, hot = a + x, b + y, [], False
@@ -145,13 +160,15 @@ def bucket_links(fps: DataFrame, within: int = WITHIN, run_cap: int = 1024) -> D
 
 
 def midpoints(hot: DataFrame, within: int = WITHIN) -> DataFrame:
-    """a, b: links that join the distinct ``fp`` exactly, with work in proportion to their number.
+    """a, b: links that join the distinct ``fp`` exactly, with work in proportion to their number. ``within`` must be even.
 
-    Two fingerprints are within ``within`` (even) bits exactly if some 64 bits are within half of that of both. Each fingerprint names all those (2,081 for 4), and
+    Two fingerprints are within ``within`` bits exactly if some 64 bits are within half of that of both. Each fingerprint names all those (2,081 for 4), and
     fingerprints that name the same are linked; no more than 2,081 can.
     """
-    half = [0, *(1 << i for i in range(64))]
-    offsets = np.array(sorted({a | b for a in half for b in half}) if within // 2 == 2 else sorted(half) if within // 2 == 1 else [0], np.uint64).view(np.int64)
+    if within % 2:
+        raise ValueError("midpoints need an even number of differing bits")
+    flips = [sum(1 << i for i in some) for size in range(within // 2 + 1) for some in combinations(range(64), size)]
+    offsets = np.array(flips, np.uint64).view(np.int64)
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,17 +215,23 @@ def near_duplicates(docs: DataFrame, within: int = WITHIN, run_cap: int = 1024)
 def _classed(docs: DataFrame, within: int, run_cap: int) -> DataFrame:
     workers_ready(docs.sparkSession)
     rows = cut(docs.select("doc_id", fingerprints("text").alias("fp")))
-    fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("times")))
     found = cut(bucket_links(fps.select("fp"), within, run_cap).distinct())
-    workers_ready(docs.sparkSession)
     hot = found.filter("b is null").select(F.col("a").alias("fp")).distinct()
     links = found.filter("b is not null")
     if not hot.isEmpty():
         links = links.unionByName(midpoints(hot, within))
     roots = components(links)
-    named = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    first = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(named.join(first, "root").select("fp", "component_id"), "fp")
+    return in_components(rows, fps, roots)
+
+
+def in_components(rows: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, fp) with component_id: the least doc_id of the rows of all ``nodes`` (fp, least, times) that ``roots`` (node, root) join."""
+    named = cut(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "times", F.coalesce("root", "fp").alias("root")))
+    size, n = named.agg(F.count("*"), F.coalesce(F.sum("times"), F.lit(0))).first()
+    first = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("_size"))
+    known = look_up(named.select("fp", "times", "root"), first, "root", "_size", size).select("fp", "times", "component_id")
+    return look_up(rows, known, "fp", "times", n)
 
 
 def keep_first(docs: DataFrame, within: int = WITHIN, run_cap: int = 1024) -> DataFrame:
