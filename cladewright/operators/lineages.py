@@ -11,6 +11,8 @@ from cladewright.functions import columns as C
 from cladewright.functions import kernels as K
 from cladewright.shipping import ship
 
+from .scale import cut
+
 
 def trie(chains: DataFrame, key: str, weight: str = "n") -> DataFrame:
     """key, prefix (text), depth, tip and subtree of each prefix of the edit chains (sites, weight)."""
@@ -20,23 +22,30 @@ def trie(chains: DataFrame, key: str, weight: str = "n") -> DataFrame:
     return p.groupBy(key, "prefix", "depth").agg(F.sum(F.when(F.col("end"), F.col(weight)).otherwise(0)).alias("tip"), F.sum(weight).alias("subtree"))
 
 
-def dominant(chains: DataFrame, key: str, n_sites: int = 6, weight: str = "n") -> DataFrame:
-    """key, chain, support, dominance and branched of the dominant lineage: level by level the heaviest child of the node (ties: the least token), ``n_sites`` times.
+def heaviest(t: DataFrame, key: str) -> DataFrame:
+    """key, node, depth (of the child), next (the heaviest child of each inner node of ``trie``; ties: the least token), its weight, and off and second: the sum and the greatest of the others'."""
+    parent = F.array_join(F.slice(F.split("prefix", r"\|"), F.lit(1), F.col("depth") - 1), "|")
+    w = W.partitionBy(key, "node")
+    ranked = t.filter("depth > 0").withColumn("node", parent).withColumn("r", F.row_number().over(w.orderBy(F.desc("subtree"), "prefix")))
+    other = F.when(F.col("r") > 1, F.col("subtree"))
+    return ranked.withColumn("off", F.coalesce(F.sum(other).over(w), F.lit(0))).withColumn("second", F.max(other).over(w)).filter("r = 1").select(key, "node", "depth", F.col("prefix").alias("next"), F.col("subtree").alias("weight"), "off", "second")
+
 
-    Each level needs the path so far only, so that all levels come from one trie: the heaviest child of every node, then of the chosen node.
+def dominant(chains: DataFrame, key: str | list[str], n_sites: int = 6, weight: str = "n") -> DataFrame:
+    """key, chain, support, dominance and branched of the dominant lineage: level by level the heaviest child of the node, ``n_sites`` times.
+
+    Each level needs the path so far only, so that all levels come from one trie: the heaviest child of every node, then of the chosen node. branched says that a
+    child off the path has a weight of 2 or more.
     """
-    t = trie(chains, key, weight).filter("depth > 0")
-    parent = F.array_join(F.slice(F.split("prefix", r"\|"), F.lit(1), F.col("depth") - 1), "|")
-    w = W.partitionBy(key, "parent").orderBy(F.desc("subtree"), "prefix")
-    best = t.withColumn("parent", parent).withColumn("r", F.row_number().over(w))
-    best = best.withColumn("off", F.sum(F.when(F.col("r") > 1, F.col("subtree")).otherwise(0)).over(W.partitionBy(key, "parent"))).withColumn("second", F.max(F.when(F.col("r") > 1, F.col("subtree"))).over(W.partitionBy(key, "parent"))).filter("r = 1")
-    total = chains.groupBy(key).agg(F.sum(weight).alias("total"))
-    path = total.withColumn("node", F.lit("")).withColumn("off_path", F.lit(0).cast("long")).withColumn("branched", F.lit(False))
+    keys = [key] if isinstance(key, str) else key
+    packed = chains.withColumn("_key", F.struct(*keys))
+    best = cut(heaviest(trie(packed, "_key", weight), "_key"))
+    path = packed.groupBy("_key").agg(F.sum(weight).alias("total")).withColumn("node", F.lit("")).withColumn("off_path", F.lit(0).cast("long")).withColumn("branched", F.lit(False))
     for k in range(1, n_sites + 1):
-        step = best.filter(F.col("depth") == k).select(key, F.col("parent").alias("node"), F.col("prefix").alias("next"), "off", "second")
-        path = path.join(step, [key, "node"], "left").select(key, "total", F.coalesce("next", "node").alias("node"), (F.col("off_path") + F.coalesce("off", F.lit(0))).alias("off_path"), (F.col("branched") | F.coalesce(F.col("second") >= 2, F.lit(False))).alias("branched"))
+        step = best.filter(F.col("depth") == k).select("_key", "node", "next", "off", "second")
+        path = path.join(step, ["_key", "node"], "left").select("_key", "total", F.coalesce("next", "node").alias("node"), (F.col("off_path") + F.coalesce("off", F.lit(0))).alias("off_path"), (F.col("branched") | F.coalesce(F.col("second") >= 2, F.lit(False))).alias("branched"))
     support = F.col("total") - F.col("off_path")
-    return path.select(key, F.col("node").alias("chain"), support.cast("long").alias("support"), F.round(support / F.col("total"), 6).alias("dominance"), "branched")
+    return path.select(*[F.col(f"_key.{c}").alias(c) for c in keys], F.col("node").alias("chain"), support.cast("long").alias("support"), (support / F.col("total")).alias("dominance"), "branched")
 
 
 def umi_molecules(reads: DataFrame, keys: list[str], merge: int = 1, floor: int = 2) -> DataFrame:
@@ -57,24 +66,48 @@ def consensus(called: DataFrame, least: int = 3, dominance: float = 0.9) -> Data
     return called.filter((F.col("support") >= least) & (F.col("dominance") >= dominance))
 
 
-def fold_dropout(chains: DataFrame, key: str, ratio: float = 4.0, weight: str = "n") -> DataFrame:
-    """key, chain and n after early stops were folded into deeper lineages (``kernels.fold_dropout``). A group is one barcode's clean lineages."""
-    ship(chains.sparkSession)
-    kind = chains.schema[key].dataType.simpleString()
-    own = chains.select(key, C.chain(F.col("sites")).alias("c"), F.col(weight).cast("double").alias("n")).groupBy(key, "c").agg(F.sum("n").alias("n"))
+def fold_dropout(chains: DataFrame, key: str, ratio: float = 4.0, n_sites: int = 6, weight: str = "n") -> DataFrame:
+    """key, chain and n after early stops were folded into deeper lineages.
 
-    def fold(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = K.fold_dropout(dict(sorted((tuple(c), n) for c, n in zip(pdf.c, pdf.n, strict=True))), ratio)
-        return pd.DataFrame({key: [k[0]] * len(out), "chain": ["|".join(c) for c in out], "n": list(out.values())})
-
-    return own.groupBy(key).applyInPandas(fold, f"{key} {kind}, chain string, n double")
-
-
-def reads_per_cell(patterns: DataFrame, key: str, floor: int = 200) -> DataFrame:
-    """key and unit: reads of one cell (``kernels.mode_reads``)."""
-    ship(patterns.sparkSession)
-    kind = patterns.schema[key].dataType.simpleString()
-    return patterns.select(key, "n").groupBy(key).applyInPandas(lambda k, pdf: pd.DataFrame({key: [k[0]], "unit": [K.mode_reads(pdf.n.to_numpy(), floor)]}), f"{key} {kind}, unit double")
+    Where the heaviest child of a prefix weighs ``ratio`` times the prefix's own weight or more, that weight goes to the end of the path of heaviest children below
+    it. Weights are those before folding and ends are leaves, which never fold, so all prefixes fold at once. A ``ratio`` of 0 folds nothing.
+    """
+    t = cut(trie(chains, key, weight))
+    if ratio <= 0:
+        return t.filter("tip > 0").select(key, F.col("prefix").alias("chain"), F.col("tip").cast("double").alias("n"))
+    best = cut(heaviest(t, key))
+    step = best.select(key, F.col("node").alias("to"), "next")
+    tips = t.filter("tip > 0").select(key, F.col("prefix").alias("node"), "tip").join(best.select(key, "node", "next", "weight"), [key, "node"], "left")
+    moved = tips.select(key, F.when(F.col("weight") >= ratio * F.col("tip"), F.col("next")).alias("to"), "node", "tip")
+    for _ in range(n_sites - 1):
+        moved = moved.join(step, [key, "to"], "left").select(key, F.coalesce("next", "to").alias("to"), "node", "tip")
+    return moved.groupBy(key, F.coalesce("to", "node").alias("chain")).agg(F.sum("tip").cast("double").alias("n"))
+
+
+def reads_per_cell(patterns: DataFrame, key: str, floor: int = 200, width: float = 0.3, points: int = 400, bins: int = 39) -> DataFrame:
+    """key and unit: the reads of one cell, as the mode of log10 counts.
+
+    With five counts of ``floor`` or more that differ, the mode of their Gaussian density, of ``width`` standard deviations, at ``points`` even places; else the middle of
+    the bin of all counts that has most in it and its two neighbours; 1 without counts. Counts enter as a histogram. Ties go to the least.
+    """
+    n = patterns.filter("n > 0").groupBy(key, F.log10(F.col("n").cast("double")).alias("v")).agg(F.count("*").alias("times"), F.min("n").alias("n"))
+    total = F.sum("times")
+    mean = F.sum(F.col("times") * F.col("v")) / total
+    big = n.filter(F.col("n") >= floor)
+    spread = big.groupBy(key).agg(total.alias("k"), F.min("v").alias("lo"), F.max("v").alias("hi"), mean.alias("mean")).filter("k >= 5 and hi > lo")
+    sd = big.join(spread, key).groupBy(key, "lo", "hi").agg(F.sqrt(F.sum(F.col("times") * (F.col("v") - F.col("mean")) * (F.col("v") - F.col("mean"))) / (F.max("k") - 1)).alias("sd"))
+    place = sd.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", F.col("lo") + F.col("i") * (F.col("hi") - F.col("lo")) / (points - 1))
+    z = (F.col("x") - F.col("v")) / (width * F.col("sd"))
+    dense = place.join(big.select(key, "v", "times"), key).groupBy(key, "i", "x").agg(F.sum(F.col("times") * F.exp(-z * z / 2)).alias("density"))
+    smooth = dense.groupBy(key).agg(F.max_by("x", F.struct("density", -F.col("i"))).alias("at"))
+    ends = n.groupBy(key).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    share = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins))).otherwise(0).cast("int")
+    own = n.join(ends, key).groupBy(key, "lo", "hi", share.alias("b")).agg(total.alias("k"))
+    near = own.select(key, "lo", "hi", F.explode(F.sequence(F.greatest(F.col("b") - 1, F.lit(0)), F.least(F.col("b") + 1, F.lit(bins - 1)))).alias("b"), "k").groupBy(key, "lo", "hi", "b").agg(F.sum("k").alias("k"))
+    middle = F.when(F.col("hi") > F.col("lo"), F.col("lo") + (F.col("b") + 0.5) * (F.col("hi") - F.col("lo")) / bins).otherwise(F.col("lo"))
+    rough = near.groupBy(key).agg(F.max_by(middle, F.struct("k", -F.col("b"))).alias("rough"))
+    every = patterns.select(key).distinct().join(rough, key, "left").join(smooth, key, "left")
+    return every.select(key, F.coalesce(F.pow(F.lit(10.0), F.coalesce("at", "rough")), F.lit(1.0)).alias("unit"))
 
 
 def cells(patterns: DataFrame, unit: Column) -> DataFrame:
@@ -96,7 +129,7 @@ def chao1(counts: DataFrame, key: str, n: str = "n") -> DataFrame:
     a = counts.filter(F.col(n) > 0).groupBy(key).agg(F.sum(n).alias("total"), F.count("*").alias("s_obs"), F.count_if(F.col(n) == 1).alias("f1"), F.count_if(F.col(n) == 2).alias("f2"))
     share = (F.col("total") - 1) / F.col("total")
     f0 = share * F.when(F.col("f2") > 0, F.col("f1") * F.col("f1") / (2 * F.col("f2"))).otherwise(F.col("f1") * (F.col("f1") - 1) / 2.0)
-    return a.withColumn("f0", F.round(f0, 6)).withColumn("chao1", F.round(F.col("s_obs") + f0, 6))
+    return a.withColumn("f0", f0).withColumn("chao1", F.col("s_obs") + f0)
 
 
 def log_factorials(n_max: DataFrame) -> DataFrame:
@@ -121,7 +154,7 @@ def rarefied(counts: DataFrame, grid: DataFrame, key: str, n: str = "n") -> Data
     denom = F.col("total") * F.col("f0") + F.col("f1")
     beyond = F.when((denom > 0) & (F.col("f0") > 0), F.col("f0") * (1 - F.pow(1 - F.col("f1") / denom, F.col("m") - F.col("total")))).otherwise(0.0)
     out = at.join(lost, [key, "m"], "left")
-    return out.select(key, "m", F.round(F.when(F.col("m") <= F.col("total"), F.col("s_obs") - F.coalesce("lost", F.lit(0.0))).otherwise(F.col("s_obs") + beyond), 6).alias("expected"))
+    return out.select(key, "m", F.when(F.col("m") <= F.col("total"), F.col("s_obs") - F.coalesce("lost", F.lit(0.0))).otherwise(F.col("s_obs") + beyond).alias("expected"))
 
 
 def side_votes(calls: DataFrame, defining: DataFrame, margin: int = 1) -> DataFrame:
@@ -139,7 +172,7 @@ def shared_tape_pairs(genotypes: DataFrame) -> DataFrame:
     a = genotypes.select("tape", F.col("cell").alias("i"), F.col("sites").alias("si"))
     b = genotypes.select("tape", F.col("cell").alias("j"), F.col("sites").alias("sj"))
     d = a.join(b, "tape").filter("i < j").select("i", "j", C.tape_distance(F.col("si"), F.col("sj")).alias("d"))
-    return d.groupBy("i", "j").agg(F.count("*").alias("shared"), F.round(F.avg("d"), 6).alias("distance"))
+    return d.groupBy("i", "j").agg(F.count("*").alias("shared"), F.avg("d").alias("distance"))
 
 
 def tokens(genotypes: DataFrame) -> DataFrame:
@@ -169,7 +202,7 @@ def nearest_match(genotypes: DataFrame, candidates: DataFrame) -> DataFrame:
     d = candidates.select("q", "c").join(g.select(F.col("cell").alias("q"), "tape", F.col("sites").alias("sq")), "q").join(g.select(F.col("cell").alias("c"), "tape", F.col("sites").alias("sc")), ["c", "tape"])
     d = d.groupBy("q", "c").agg(F.avg(C.tape_distance(F.col("sq"), F.col("sc"))).alias("distance"), F.count("*").alias("shared"))
     best = F.min_by(F.struct("c", "distance", "shared"), F.struct("distance", -F.col("shared"), "c"))
-    return d.groupBy("q").agg(best.alias("b")).select("q", "b.c", F.round("b.distance", 6).alias("distance"), "b.shared")
+    return d.groupBy("q").agg(best.alias("b")).select("q", "b.c", "b.distance", "b.shared")
 
 
 def irreversible(pairs: DataFrame) -> DataFrame:

@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from cladewright.functions import columns as C
 from cladewright.functions import kernels as K
 from cladewright.shipping import ship
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the cluster's shared folder (the session's, or one set here where there is none)."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"/tmp/checkpoints/{uuid.uuid4().hex}")
-    return df.checkpoint()
+from .scale import cut, last_before, nearest_marked, running_at
 
 
 NODE = "pre int, last int, parent_pre int, depth int, blen double, blen_text string, name string, n_children int, is_leaf boolean, time double"
@@ -53,60 +46,53 @@ def write_newick(nodes: DataFrame) -> DataFrame:
 
 
 def nested_set(nodes: DataFrame) -> DataFrame:
-    """``nodes`` (node, parent; children ordered by node) with depth, size (nodes below and itself), pre and last. Level by level: as many rounds as the tree is deep."""
-    edges = cut(nodes.select("node", "parent"))
-    level, depth, levels = edges.filter("parent is null"), 0, []
-    while True:
-        level = cut(level.withColumn("depth", F.lit(depth)))
-        if level.isEmpty():
-            break
-        levels.append(level)
-        level, depth = edges.join(level.select(F.col("node").alias("parent")), "parent").select("node", "parent"), depth + 1
-    sized = []
-    below = None
-    for level in reversed(levels):
-        own = level if below is None else level.join(below.groupBy("parent").agg(F.sum("size").alias("under")).withColumnRenamed("parent", "node"), "node", "left")
-        own = own.withColumn("size", F.lit(1).cast("long") + (F.coalesce("under", F.lit(0)) if below is not None else 0)).select("node", "parent", "depth", "size")
-        below = cut(own)
-        sized.append(below)
-    sized.reverse()
-    done = [sized[0].withColumn("pre", F.lit(0).cast("long"))]
-    for level in sized[1:]:
-        before = F.sum("size").over(W.partitionBy("parent").orderBy("node")) - F.col("size")
-        up = done[-1].select(F.col("node").alias("parent"), F.col("pre").alias("up"))
-        done.append(cut(level.join(up, "parent").withColumn("pre", F.col("up") + 1 + before).select("node", "parent", "depth", "size", "pre")))
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    out = cut(out)
-    return nodes.join(out.select("node", "depth", "size", "pre", (F.col("pre") + F.col("size") - 1).alias("last")), "node")
-
-
-def running(df: DataFrame, value: Column, name: str, at: str = "pre", run: int = 4096) -> DataFrame:
-    """``df`` with the sum of ``value`` over all rows up to each ``at`` (distinct), by runs of ``at``, so that no task sorts the whole table."""
-    r = df.withColumn("_run", F.expr(f"{at} div {run}")).withColumn("_v", value)
-    runs = r.groupBy("_run").agg(F.sum("_v").alias("_s")).withColumn("_before", F.sum("_s").over(W.orderBy("_run")) - F.col("_s"))
-    inner = F.sum("_v").over(W.partitionBy("_run").orderBy(at))
-    return r.withColumn("_in", inner).join(runs.select("_run", "_before"), "_run").withColumn(name, F.col("_in") + F.col("_before")).drop("_run", "_v", "_in", "_before")
-
-
-def class_counts(nodes: DataFrame, classes: DataFrame, node_class: str = "cls") -> DataFrame:
+    """``nodes`` (node, parent; children and roots ordered by node) with depth, size (nodes below and itself), pre and last.
+
+    The tree's Euler tour is a list with an entry and an exit for each node; sums from each element to its end come by pointer doubling, so that the number of rounds
+    goes with the log of the number of nodes, however deep the tree is.
+    """
+    e = nodes.select("node", "parent")
+    right = F.lead("node").over(W.partitionBy("parent").orderBy("node"))
+    first = e.filter("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.min("node").alias("first"))
+    x = e.withColumn("right", right).join(first, "node", "left")
+    step = lambda i, to, enters, deeper: F.struct(i.alias("i"), to.alias("to"), F.lit(enters).cast("long").alias("enters"), F.lit(deeper).cast("long").alias("deeper"))
+    own = 2 * F.col("node")
+    tour = x.select(F.explode(F.array(
+        step(own, F.coalesce(2 * F.col("first"), own + 1), 1, 1),
+        step(own + 1, F.coalesce(2 * F.col("right"), 2 * F.col("parent") + 1), 0, -1))).alias("s")).select("s.*")
+    tour = cut(tour)
+    while not tour.filter("to is not null").isEmpty():
+        for _ in range(2):
+            far = tour.select(F.col("i").alias("_i"), F.col("to").alias("_to"), F.col("enters").alias("_e"), F.col("deeper").alias("_d"))
+            tour = tour.join(far, F.col("to") == F.col("_i"), "left").select(
+                "i", F.col("_to").alias("to"), (F.col("enters") + F.coalesce("_e", F.lit(0))).alias("enters"), (F.col("deeper") + F.coalesce("_d", F.lit(0))).alias("deeper"))
+        tour = cut(tour)
+    n = nodes.count()
+    ends = tour.groupBy(F.expr("CAST(floor(i / 2) AS BIGINT)").alias("node")).agg(
+        F.max(F.when(F.pmod("i", F.lit(2)) == 0, F.struct("enters", "deeper"))).alias("on"), F.max(F.when(F.pmod("i", F.lit(2)) == 1, F.col("enters"))).alias("off"))
+    ranks = ends.select("node", (-F.col("on.deeper")).cast("int").alias("depth"), (F.col("on.enters") - F.col("off")).alias("size"), (n - F.col("on.enters")).alias("pre"))
+    return nodes.join(ranks, "node").withColumn("last", F.col("pre") + F.col("size") - 1)
+
+
+def class_counts(nodes: DataFrame, classes: DataFrame, node_class: str = "cls", most: int = 10_000) -> DataFrame:
     """node, cls and n: leaves of each class below each node, as a difference of two running sums over pre; zeros are kept.
 
-    ``nodes`` has node, pre, last; ``classes`` has the class of each leaf. One row for each node and class comes out.
+    ``nodes`` has node, pre, last; ``classes`` has the class of each leaf. One row for each node and class comes out, so there may be ``most`` classes.
     """
-    kinds = classes.select(node_class).distinct()
-    leaves = nodes.join(classes.select("node", F.col(node_class).alias("_c")), "node", "left").select("node", "pre", "last", "_c").crossJoin(F.broadcast(kinds))
-    w = W.partitionBy(node_class).orderBy("pre")
-    cum = leaves.withColumn("cum", F.sum((F.col("_c") == F.col(node_class)).cast("long")).over(w)).na.fill(0, ["cum"])
-    at = cum.select(F.col("pre").alias("p"), F.col(node_class).alias("k"), F.col("cum").alias("hi"))
+    kinds = [r[0] for r in classes.select(node_class).distinct().limit(most + 1).collect()]
+    if len(kinds) > most:
+        raise ValueError(f"over {most} classes")
+    leaves = nodes.join(classes.select("node", F.col(node_class).alias("_c")), "node", "left").select("node", "pre", "last", "_c")
+    grid = leaves.withColumn(node_class, F.explode(F.array(*[F.lit(k) for k in kinds]) if kinds else F.array().cast("array<string>")))
     own = F.coalesce((F.col("_c") == F.col(node_class)).cast("long"), F.lit(0))
+    cum = running_at(grid, {"cum": own}, "pre", [node_class])
+    at = cum.select(F.col("pre").alias("p"), F.col(node_class).alias("k"), F.col("cum").alias("hi"))
     return cum.withColumn("own", own).join(at, (F.col("last") == F.col("p")) & (F.col(node_class) == F.col("k"))).select("node", node_class, (F.col("hi") - F.col("cum") + F.col("own")).alias("n"))
 
 
 def tips_below(nodes: DataFrame) -> DataFrame:
     """``nodes`` with tips: the leaves at or below each node."""
-    r = running(nodes, F.col("is_leaf").cast("long"), "cum")
+    r = running_at(nodes, {"cum": F.col("is_leaf").cast("long")}, "pre")
     end = r.select(F.col("pre").alias("_p"), F.col("cum").alias("_hi"))
     return r.join(end, F.col("last") == F.col("_p")).withColumn("tips", F.col("_hi") - F.col("cum") + F.col("is_leaf").cast("long")).drop("_p", "_hi", "cum")
 
@@ -124,21 +110,29 @@ def time_cut(nodes: DataFrame, times: DataFrame) -> DataFrame:
 
 
 def nearest_chosen(nodes: DataFrame, chosen: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """``nodes`` with clade: the node of ``chosen`` (node, pre, last, an antichain in each of ``by``) at or above each, null if there is none. As-of over pre."""
+    """``nodes`` with clade: the node of ``chosen`` (node, pre, last, an antichain in each of ``by``) at or above each, null if there is none. As-of over pre, by runs."""
     by = by or []
-    w = W.partitionBy(*by).orderBy("pre", "_kind")
-    both = chosen.select(*by, F.col("node").alias("_clade"), "pre", F.col("last").alias("_last"), F.lit(0).alias("_kind")).unionByName(nodes.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
-    seen = both.withColumn("_c", F.last(F.when(F.col("_kind") == 0, F.struct("_clade", "_last")), ignorenulls=True).over(w))
-    return seen.filter("_kind = 1").withColumn("clade", F.when(F.col("_c._last") >= F.col("pre"), F.col("_c._clade"))).drop("_c", "_kind", "_clade", "_last")
+    marks = chosen.select(*by, "pre", F.col("node").alias("_clade"), F.col("last").alias("_last"))
+    seen = last_before(nodes, marks, "pre", by)
+    return seen.select(*nodes.columns, F.when(F.col("_mark._last") >= F.col("pre"), F.col("_mark._clade")).alias("clade"))
 
 
-def lineages_through_time(nodes: DataFrame, times: DataFrame) -> DataFrame:
-    """t and lineages: branches that cross t. Branch ends are events with a running sum over distinct times; each t takes the last event before it."""
+def lineages_through_time(nodes: DataFrame, times: DataFrame, most: int = 10_000) -> DataFrame:
+    """t and lineages: branches that cross t (parent's time < t <= own time).
+
+    Each branch says how many of the times (at most ``most``) are not above its start and its end; counts of these numbers, not branches, leave the tasks.
+    """
+    grid = sorted(r.t for r in times.select(F.col("t").cast("double").alias("t")).distinct().limit(most + 1).collect())
+    if len(grid) > most:
+        raise ValueError(f"over {most} times")
+    up_to = lambda c: F.size(F.filter(F.array(*[F.lit(t) for t in grid]), lambda t: t <= F.col(c))) if grid else F.lit(0)
     up = nodes.select(F.col("node").alias("parent"), F.col("time").alias("up_time"))
-    b = nodes.join(up, "parent")
-    events = b.select(F.col("up_time").alias("e"), F.lit(1).alias("d")).unionByName(b.select(F.col("time").alias("e"), F.lit(-1).alias("d"))).groupBy("e").agg(F.sum("d").alias("d"))
-    # parent's time < t <= own time: at t itself an ended branch still counts, so only events before t do
-    return times.join(events, F.col("e") < F.col("t"), "left").groupBy("t").agg(F.coalesce(F.sum("d"), F.lit(0)).alias("lineages"))
+    ends = nodes.join(up, "parent").select(F.explode(F.array(F.struct(up_to("up_time").alias("k"), F.lit(1).alias("d")), F.struct(up_to("time").alias("k"), F.lit(-1).alias("d")))).alias("e"))
+    steps = ends.groupBy("e.k").agg(F.sum("e.d").alias("d"))
+    at = times.sparkSession.createDataFrame(list(enumerate(grid)), "k int, t double")
+    both = at.select("k", "t", F.lit(0).cast("long").alias("d")).unionByName(steps.select("k", F.lit(None).cast("double").alias("t"), "d"))
+    cum = both.groupBy("k").agg(F.max("t").alias("t"), F.sum("d").alias("d")).withColumn("lineages", F.sum("d").over(W.orderBy("k")))  # a row for each time
+    return cum.filter("t is not null").select("t", "lineages")
 
 
 def sibling_groups(nodes: DataFrame) -> DataFrame:
@@ -152,45 +146,30 @@ def sibling_pairs(leaves: DataFrame) -> DataFrame:
     return leaves.select("parent", F.col("node").alias("a")).join(leaves.select("parent", F.col("node").alias("b")), "parent").filter("a < b")
 
 
-def ancestral(nodes: DataFrame, tips: DataFrame) -> DataFrame:
-    """node, tape and prefix: the longest common edit prefix of the observed tips (node, tape, sites) at or below each node.
+def ancestral(nodes: DataFrame, tips: DataFrame, n_sites: int = 6) -> DataFrame:
+    """node, tape and prefix: the longest common edit prefix of the observed tips (node, tape, sites) at or below each node of ``nodes`` (node, pre, last).
 
-    A set's common prefix is that of its least and greatest member, so the state is one mergeable aggregate over the tips under a node (an interval of pre).
+    Tips of a tape stand in the order of pre. The common prefix of a run of them is as long as the least common prefix of two neighbours, and it is at least s long
+    where no two neighbours share less; so running counts of neighbours that share less than s, for each s, give it for every node without a walk over levels.
     """
-    leaf = tips.join(nodes.select("node", F.col("pre").alias("leaf_pre")), "node").select("leaf_pre", "tape", "sites")
-    under = nodes.select("node", "pre", "last").join(leaf, F.col("leaf_pre").between(F.col("pre"), F.col("last")))
-    return _common(under)
-
-
-def ancestral_by_parent(nodes: DataFrame, tips: DataFrame) -> DataFrame:
-    """The same, level by level from the deepest: each round is an equi-join on parent, in proportion to the nodes; for large trees."""
-    deepest = nodes.agg(F.max("depth")).first()[0] or 0
-    edges = nodes.select("node", "parent", "depth")
-    state = tips.select("node", "tape", F.col("sites").alias("lo"), F.col("sites").alias("hi"))
-    at = cut(state.join(edges, "node"))
-    done = [at.select("node", "tape", "lo", "hi")] if deepest == 0 else []
-    for d in range(deepest, 0, -1):
-        own = at.filter(F.col("depth") == d)
-        done.append(own.select("node", "tape", "lo", "hi"))
-        up = own.groupBy(F.col("parent").alias("node"), "tape").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).join(edges, "node")
-        rest = at.filter(F.col("depth") < d).unionByName(up)
-        at = cut(rest.groupBy("node", "tape", "parent", "depth").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
-    if deepest:
-        done.append(at.select("node", "tape", "lo", "hi"))
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    return out.select("node", "tape", _prefix().alias("prefix"))
-
-
-def _prefix() -> Column:
-    from cladewright.functions import columns as C
-
-    return F.slice("lo", F.lit(1), C.shared_prefix(F.col("lo"), F.col("hi")))
-
-
-def _common(under: DataFrame) -> DataFrame:
-    return under.groupBy("node", "tape").agg(F.min("sites").alias("lo"), F.max("sites").alias("hi")).select("node", "tape", _prefix().alias("prefix"))
+    short = lambda s: F.coalesce((F.col("shared") < s).cast("int"), F.lit(0))
+    leaf = tips.join(nodes.select("node", "pre"), "node").select("tape", "pre", "sites")
+    kinds = [r.tape for r in leaf.select("tape").distinct().collect()]  # tapes are few
+    grid = nodes.select("node", "pre", "last").withColumn("tape", F.explode(F.array(*[F.lit(k) for k in kinds]) if kinds else F.array().cast("array<string>")))
+    grid = grid.join(leaf, ["tape", "pre"], "left")
+    seen = cut(running_at(grid, {"rank": F.col("sites").isNotNull().cast("long")}, "pre", ["tape"]))
+    ranked = seen.filter("sites is not null").select("tape", "rank", "pre", "sites")
+    left = ranked.select("tape", (F.col("rank") + 1).alias("rank"), F.col("sites").alias("left"))
+    pairs = ranked.join(left, ["tape", "rank"], "left").withColumn("shared", F.when(F.col("left").isNotNull(), C.shared_prefix(F.col("left"), F.col("sites"))))
+    counts = {f"c{s}": short(s) for s in range(1, n_sites + 1)}
+    summed = cut(running_at(pairs.select("tape", "rank", "sites", "shared"), counts, "rank", ["tape"]))
+    ends = seen.select("tape", F.col("pre").alias("last"), F.col("rank").alias("hi"))
+    span = seen.withColumn("lo", F.col("rank") - F.col("sites").isNotNull().cast("long") + 1).select("node", "tape", "lo", "last").join(ends, ["tape", "last"]).filter("hi >= lo")
+    at_lo = summed.select("tape", F.col("rank").alias("lo"), "sites", F.array(*counts).alias("from"))
+    at_hi = summed.select("tape", F.col("rank").alias("hi"), F.array(*counts).alias("to"))
+    met = span.join(at_lo, ["tape", "lo"]).join(at_hi, ["tape", "hi"])
+    agreed = F.size(F.filter(F.arrays_zip("from", "to"), lambda z: z["from"] == z["to"]))
+    return met.select("node", "tape", F.slice("sites", F.lit(1), F.least(agreed, C.depth(F.col("sites")))).alias("prefix"))
 
 
 def branch_support(nodes: DataFrame, states: DataFrame) -> DataFrame:
@@ -203,27 +182,39 @@ def branch_support(nodes: DataFrame, states: DataFrame) -> DataFrame:
     return nodes.select("node").join(s, "node", "left").na.fill(0, ["edits", "tapes"])
 
 
+def lifted(nodes: DataFrame) -> list[DataFrame]:
+    """Tables (node, anc) of the nodes 1, 2, 4, ... levels above each: n rows for each power of two of the depth."""
+    out = [cut(nodes.filter("parent is not null").select("node", F.col("parent").alias("anc")))]
+    while True:
+        far = out[-1].select(F.col("node").alias("anc"), F.col("anc").alias("far"))
+        more = cut(out[-1].join(far, "anc").select("node", F.col("far").alias("anc")))
+        if more.isEmpty():
+            return out
+        out.append(more)
+
+
 def mrca(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with mrca: the deepest node whose interval holds both, by their ancestors' equi-join level by level (``parent`` chains)."""
-    up = ancestors(nodes)
-    both = pairs.join(up.select(F.col("node").alias("a"), F.col("anc").alias("m"), F.col("anc_depth").alias("d")), "a").join(up.select(F.col("node").alias("b"), F.col("anc").alias("m")), ["b", "m"])
-    return both.groupBy("a", "b").agg(F.max_by("m", "d").alias("mrca"))
+    """``pairs`` (a, b) with mrca, from ``nodes`` (node, parent, pre, last); null for nodes of different trees.
 
+    a rises by powers of two, the greatest first, as long as its interval does not hold b; its parent is then the deepest node that holds both.
+    """
+    at = nodes.select("node", "pre", "last")
+    x = pairs.join(at.select(F.col("node").alias("b"), F.col("pre").alias("at")), "b").join(at.select(F.col("node").alias("a"), "pre", "last"), "a")
+    inside = F.col("at").between(F.col("pre"), F.col("last"))
+    x = x.select("a", "b", "at", F.col("a").alias("m"), inside.alias("done"))
+    for table in reversed(lifted(nodes)):
+        up = table.join(at.select(F.col("node").alias("anc"), "pre", "last"), "anc").select(F.col("node").alias("m"), "anc", "pre", "last")
+        x = x.join(up, "m", "left").select("a", "b", "at", F.when(~F.col("done") & F.col("anc").isNotNull() & ~inside, F.col("anc")).otherwise(F.col("m")).alias("m"), "done")
+    parent = nodes.select(F.col("node").alias("m"), "parent")
+    return x.join(parent, "m").select("a", "b", F.when(F.col("done"), F.col("m")).otherwise(F.col("parent")).alias("mrca"))
 
-def ancestors(nodes: DataFrame) -> DataFrame:
-    """node, anc and anc_depth: each node with itself and all above it, by pointer doubling (as many rounds as the log of the depth)."""
-    hop = nodes.filter("parent is not null").select("node", F.col("parent").alias("anc"), F.lit(1).alias("k"))
-    all_ = hop
-    step = 1
-    while True:
-        far = all_.filter(F.col("k") == step).select(F.col("node").alias("anc"), F.col("anc").alias("far")) if step > 1 else hop.select(F.col("node").alias("anc"), F.col("anc").alias("far"))
-        more = cut(all_.join(far, "anc").select("node", F.col("far").alias("anc"), (F.col("k") + step).alias("k")))
-        if more.isEmpty():
-            break
-        all_ = all_.unionByName(more).distinct()
-        step *= 2
-    out = all_.select("node", "anc").unionByName(nodes.select("node", F.col("node").alias("anc")))
-    return out.join(nodes.select(F.col("node").alias("anc"), F.col("depth").alias("anc_depth")), "anc")
+
+def patristic(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with mrca, mrca_time and distance along the tree, from ``nodes`` with time."""
+    t = nodes.select("node", "time")
+    out = mrca(nodes, pairs).join(t.select(F.col("node").alias("a"), F.col("time").alias("ta")), "a").join(t.select(F.col("node").alias("b"), F.col("time").alias("tb")), "b")
+    out = out.join(t.select(F.col("node").alias("mrca"), F.col("time").alias("mrca_time")), "mrca")
+    return out.select("a", "b", "mrca", "mrca_time", (F.col("ta") + F.col("tb") - 2 * F.col("mrca_time")).alias("distance"))
 
 
 def prune(nodes: DataFrame, keep: DataFrame) -> DataFrame:
@@ -232,10 +223,9 @@ def prune(nodes: DataFrame, keep: DataFrame) -> DataFrame:
     marked = nodes.drop("tips").join(kept, "node", "left").withColumn("is_leaf", F.col("_keep").isNotNull()).drop("_keep")
     alive = cut(tips_below(marked).filter("tips > 0"))
     kids = alive.groupBy("parent").agg(F.count("*").alias("k")).withColumnRenamed("parent", "node")
-    forks = alive.join(kids, "node", "left").filter("is_leaf or k > 1 ").select("node", "pre", "time")
-    up = ancestors(nodes.select("node", "parent", "depth"))
-    above = up.filter("node <> anc").join(forks.select(F.col("node").alias("anc")), "anc", "left_semi").groupBy("node").agg(F.max_by("anc", "anc_depth").alias("parent"))
-    out = forks.join(above, "node", "left")
+    forks = alive.join(kids, "node", "left").withColumn("marked", F.col("is_leaf") | (F.coalesce("k", F.lit(0)) > 1))
+    above = nearest_marked(forks.select("node", "parent", "marked"))
+    out = forks.filter("marked").select("node", "time").join(above.select("node", F.col("up").alias("parent")), "node")
     return out.join(forks.select(F.col("node").alias("parent"), F.col("time").alias("up")), "parent", "left").select("node", "parent", (F.col("time") - F.coalesce("up", F.lit(0.0))).alias("blen"))
 
 

@@ -40,7 +40,7 @@ _STEP = ", ".join(f"""l{k} AS (SELECT c.tape, coalesce(b.prefix, c.node) AS node
   tot AS (SELECT tape, sum(n) AS total FROM p GROUP BY tape), l0 AS (SELECT tape, '' AS node, 0 AS off, false AS br FROM tot), {_STEP}
   SELECT tape, node AS chain, CAST(total - off AS BIGINT) AS support, round((total - off) / total, 6) AS dominance, br AS branched FROM l6 JOIN tot USING (tape)""", "patterns")
 def dominant_chain(patterns: DataFrame) -> DataFrame:
-    return L.dominant(with_sites(patterns), "tape")
+    return L.dominant(with_sites(patterns), "tape").withColumn("dominance", F.round("dominance", 6))
 
 
 _CHAO = """a AS (SELECT tape, sum(n) AS total, count(*) AS s_obs, count(*) FILTER (n = 1) AS f1, count(*) FILTER (n = 2) AS f2 FROM {patterns} GROUP BY tape),
@@ -49,16 +49,16 @@ _CHAO = """a AS (SELECT tape, sum(n) AS total, count(*) AS s_obs, count(*) FILTE
 
 @query(f"WITH {_CHAO} SELECT tape, CAST(total AS BIGINT) AS total, s_obs, f1, f2, round(f0, 6) AS f0, round(s_obs + f0, 6) AS chao1 FROM f", "patterns")
 def chao1(patterns: DataFrame) -> DataFrame:
-    return L.chao1(patterns, "tape")
+    return L.chao1(patterns, "tape").withColumn("f0", F.round("f0", 6)).withColumn("chao1", F.round("chao1", 6))
 
 
-@query(f"""WITH {_CHAO}, g AS (SELECT tape, total, s_obs, f1, round(f0, 6) AS f0, unnest([1, 5, 10, 50, 100, CAST(total AS BIGINT), 2 * CAST(total AS BIGINT)]) AS m FROM f),
+@query(f"""WITH {_CHAO}, g AS (SELECT tape, total, s_obs, f1, f0, unnest([1, 5, 10, 50, 100, CAST(total AS BIGINT), 2 * CAST(total AS BIGINT)]) AS m FROM f),
   l AS (SELECT g.tape, g.m, sum(CASE WHEN total - n >= m THEN exp(lgamma(total - n + 1) - lgamma(total - n - m + 1) - lgamma(total + 1) + lgamma(total - m + 1)) ELSE 0 END) AS lost FROM g JOIN {{patterns}} p ON p.tape = g.tape WHERE m <= total GROUP BY 1, 2)
   SELECT DISTINCT g.tape, CAST(g.m AS BIGINT) AS m, round(CASE WHEN g.m <= total THEN s_obs - lost WHEN f0 > 0 THEN s_obs + f0 * (1 - pow(1 - f1 / (total * f0 + f1), g.m - total)) ELSE s_obs END, 6) AS expected FROM g LEFT JOIN l ON l.tape = g.tape AND l.m = g.m""", "patterns")
 def rarefaction_curve(patterns: DataFrame) -> DataFrame:
     total = patterns.groupBy("tape").agg(F.sum("n").alias("t"))
     grid = total.select("tape", F.explode(F.array_distinct(F.array(*[F.lit(x).cast("long") for x in (1, 5, 10, 50, 100)], F.col("t"), 2 * F.col("t")))).alias("m"))
-    return L.rarefied(patterns, grid, "tape")
+    return L.rarefied(patterns, grid, "tape").withColumn("expected", F.round("expected", 6))
 
 
 @query("""WITH t AS (SELECT tape, CAST(sum(n) AS BIGINT) AS reads FROM {patterns} GROUP BY tape), u0 AS (SELECT median(reads) AS u FROM t),
@@ -138,7 +138,7 @@ def _dist(a: str, b: str) -> str:
 
 @query(f"SELECT a.cell AS i, b.cell AS j, count(*) AS shared, round(avg({_dist('a', 'b')}), 6) AS distance FROM {{few}} a JOIN {{few}} b ON a.tape = b.tape AND a.cell < b.cell GROUP BY a.cell, b.cell", "few")
 def tape_distance_pairs(few: DataFrame) -> DataFrame:
-    return L.shared_tape_pairs(with_sites(few))
+    return L.shared_tape_pairs(with_sites(few)).withColumn("distance", F.round("distance", 6))
 
 
 _TOK = " UNION ALL ".join(f"SELECT cell, concat(tape, ':', {i - 1}, ':', s{i}) AS token FROM {{genotypes}} WHERE s{i} <> 'U'" for i in range(1, 7))
@@ -151,11 +151,11 @@ def token_overlap_topk(genotypes: DataFrame) -> DataFrame:
     return L.overlap_top(with_sites(genotypes), genotypes.filter("cell % 20 = 0").select("cell").distinct(), 10)
 
 
-@query(f"""WITH {_TOP}, d AS (SELECT top.q, top.c, avg({_dist('a', 'b')}) AS distance, count(*) AS shared FROM top JOIN {{genotypes}} a ON a.cell = top.q JOIN {{genotypes}} b ON b.cell = top.c AND a.tape = b.tape GROUP BY 1, 2)
+@query(f"""WITH {_TOP}, d AS (SELECT o.q, o.c, avg({_dist('a', 'b')}) AS distance, count(*) AS shared FROM o JOIN {{genotypes}} a ON a.cell = o.q JOIN {{genotypes}} b ON b.cell = o.c AND a.tape = b.tape GROUP BY 1, 2)
   SELECT q, c, round(distance, 6) AS distance, shared FROM d QUALIFY row_number() OVER (PARTITION BY q ORDER BY distance, shared DESC, c) = 1""", "genotypes")
 def nearest_match(genotypes: DataFrame) -> DataFrame:
     g = with_sites(genotypes)
-    return L.nearest_match(g, L.overlaps(g, genotypes.filter("cell % 20 = 0").select("cell").distinct()))
+    return L.nearest_match(g, L.overlaps(g, genotypes.filter("cell % 20 = 0").select("cell").distinct())).withColumn("distance", F.round("distance", 6))
 
 
 @query("SELECT a.cell AS t, b.cell AS c, a.tape, " + " OR ".join(f"(a.s{i} <> 'U' AND a.s{i} <> b.s{i})" for i in range(1, 7)) + " AS violates FROM {few} a JOIN {few} b ON a.tape = b.tape AND b.cell = a.cell + 1", "few")
@@ -179,11 +179,22 @@ def umi_molecules(reads: DataFrame) -> DataFrame:
     return L.umi_molecules(reads.withColumn("sites", all_sites()), ["cell", "tape"], floor=1).select("cell", "tape", F.array_join("sites", "|").alias("pattern"), "molecules")
 
 
-@query(None, "patterns")
+_BEST = """u AS (SELECT *, array_to_string(string_split(prefix, '|')[1:depth-1], '|') AS node FROM t WHERE depth > 0),
+  b AS (SELECT tape, node, prefix AS next, subtree AS weight FROM u QUALIFY row_number() OVER (PARTITION BY tape, node ORDER BY subtree DESC, prefix) = 1)"""
+_DOWN = ", ".join(f"m{k} AS (SELECT m.tape, coalesce(b.next, m.x) AS x, m.node, m.tip FROM m{k - 1} m LEFT JOIN b ON b.tape = m.tape AND b.node = m.x)" for k in range(1, 6))
+
+
+@query(f"""WITH {_TRIE}, {_BEST}, m0 AS (SELECT t.tape, CASE WHEN b.weight >= 4 * t.tip THEN b.next END AS x, t.prefix AS node, t.tip FROM t LEFT JOIN b ON b.tape = t.tape AND b.node = t.prefix WHERE t.tip > 0), {_DOWN}
+  SELECT tape, coalesce(x, node) AS chain, CAST(sum(tip) AS DOUBLE) AS n FROM m5 GROUP BY 1, 2""", "patterns")
 def folded_lineages(patterns: DataFrame) -> DataFrame:
     return L.fold_dropout(with_sites(patterns), "tape")
 
 
-@query(None, "patterns")
+@query("""WITH v AS (SELECT tape, n, log10(n) AS v FROM {patterns}), s AS (SELECT tape, count(*) AS k, min(v) AS lo, max(v) AS hi, stddev_samp(v) AS sd FROM v WHERE n >= 5 GROUP BY tape HAVING count(*) >= 5 AND max(v) > min(v)),
+  g AS (SELECT *, lo + i * (hi - lo) / 399 AS x FROM s, (SELECT unnest(range(400)) AS i)), d AS (SELECT g.tape, i, x, sum(exp(-pow((x - v) / (0.3 * sd), 2) / 2)) AS d FROM g JOIN v ON v.tape = g.tape AND n >= 5 GROUP BY ALL),
+  sm AS (SELECT tape, x FROM d QUALIFY row_number() OVER (PARTITION BY tape ORDER BY d DESC, i) = 1),
+  e AS (SELECT tape, min(v) AS lo, max(v) AS hi FROM v GROUP BY tape), o AS (SELECT tape, lo, hi, CASE WHEN hi > lo THEN least(38, floor((v - lo) / (hi - lo) * 39)) ELSE 0 END AS b FROM v JOIN e USING (tape)),
+  nb AS (SELECT tape, lo, hi, b + j AS b, count(*) AS k FROM o, (SELECT unnest([-1, 0, 1]) AS j) WHERE b + j BETWEEN 0 AND 38 GROUP BY ALL), r AS (SELECT *, CASE WHEN hi > lo THEN lo + (b + 0.5) * (hi - lo) / 39 ELSE lo END AS x FROM nb QUALIFY row_number() OVER (PARTITION BY tape ORDER BY k DESC, b) = 1)
+  SELECT r.tape, round(pow(10, coalesce(sm.x, r.x)), 4) AS unit FROM r LEFT JOIN sm ON sm.tape = r.tape""", "patterns")
 def reads_per_cell(patterns: DataFrame) -> DataFrame:
-    return L.reads_per_cell(patterns, "tape", floor=5)
+    return L.reads_per_cell(patterns, "tape", floor=5).withColumn("unit", F.round("unit", 4))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cladewright.catalog import VIEWS, query
 from cladewright.operators import trees as T
+from cladewright.operators.scale import cut
 
 VIEWS["nodes"] = """SELECT i AS node, CASE WHEN i > 1 THEN CAST(floor(i / 2.0) AS BIGINT) END AS parent, (length(bin(i)) - 1) + (i % 7) / 10.0 + 0.0E0 AS time, 2 * i > m AS is_leaf, length(bin(i)) - 1 AS depth,
   concat('ct', CAST((i * 7) % 5 AS STRING)) AS celltype FROM (SELECT c_custkey AS i, (SELECT count(*) FROM {customer}) AS m FROM {customer} WHERE c_custkey > 0) q"""
@@ -41,7 +42,7 @@ def maximal_clades(nodes: DataFrame) -> DataFrame:
 
 @query(f"WITH RECURSIVE {_SIZE}, {_MAX} SELECT n.node, max(m.node) AS clade FROM {{nodes}} n LEFT JOIN d ON d.node = n.node LEFT JOIN m ON m.node = d.anc WHERE n.is_leaf GROUP BY n.node", "nodes")
 def tip_clades(nodes: DataFrame) -> DataFrame:
-    sized = T.cut(T.tips_below(ranked(nodes)))
+    sized = cut(T.tips_below(ranked(nodes)))
     return T.nearest_chosen(sized.filter("is_leaf"), T.maximal_clades(sized, 3, 15)).select("node", "clade")
 
 
@@ -79,14 +80,14 @@ _LCP = f"""{_DESC}, b AS (SELECT d.anc AS node, tape, count(DISTINCT s1) AS k1,
 @query(f"WITH RECURSIVE {_LCP} SELECT node, tape, CASE n WHEN 0 THEN '' WHEN 1 THEN s1 WHEN 2 THEN concat(s1, '|', s2) ELSE concat(s1, '|', s2, '|', s3) END AS prefix FROM st", "nodes", "tips")
 def ancestral_lcp(nodes: DataFrame, tips: DataFrame) -> DataFrame:
     sites = tips.select("node", "tape", F.array("s1", "s2", "s3").alias("sites"))
-    return T.ancestral_by_parent(nodes, sites).select("node", "tape", F.array_join("prefix", "|").alias("prefix"))
+    return T.ancestral(ranked(nodes), sites, 3).select("node", "tape", F.array_join("prefix", "|").alias("prefix"))
 
 
 @query(f"""WITH RECURSIVE {_LCP} SELECT n.node, CAST(coalesce(sum(CASE WHEN n.parent IS NULL THEN st.n ELSE coalesce(st.n - p.n, 0) END), 0) AS BIGINT) AS edits, count(*) FILTER (CASE WHEN n.parent IS NULL THEN st.n ELSE coalesce(st.n - p.n, 0) END > 0) AS tapes
   FROM {{nodes}} n LEFT JOIN st ON st.node = n.node LEFT JOIN st p ON p.node = n.parent AND p.tape = st.tape GROUP BY n.node""", "nodes", "tips")
 def branch_support(nodes: DataFrame, tips: DataFrame) -> DataFrame:
     sites = tips.select("node", "tape", F.array("s1", "s2", "s3").alias("sites"))
-    return T.branch_support(nodes, T.ancestral_by_parent(nodes, sites))
+    return T.branch_support(nodes, T.ancestral(ranked(nodes), sites, 3))
 
 
 @query(f"""WITH RECURSIVE {_DESC}, p AS (SELECT node AS a, node + 5 AS b FROM {{nodes}} WHERE is_leaf AND node + 5 <= (SELECT max(node) FROM {{nodes}}))
@@ -94,7 +95,7 @@ def branch_support(nodes: DataFrame, tips: DataFrame) -> DataFrame:
 def mrca_pairs(nodes: DataFrame) -> DataFrame:
     leaf = nodes.filter("is_leaf").select(F.col("node").alias("a"))
     pairs = leaf.join(nodes.select((F.col("node") - 5).alias("a"), F.col("node").alias("b")), "a")
-    return T.mrca(nodes, pairs)
+    return T.mrca(ranked(nodes), pairs)
 
 
 @query(f"""WITH RECURSIVE {_DESC}, k AS (SELECT anc AS node, count(*) FILTER (n.is_leaf AND n.node % 3 = 0) AS kept FROM d JOIN {{nodes}} n ON n.node = d.node GROUP BY anc),
@@ -102,7 +103,7 @@ def mrca_pairs(nodes: DataFrame) -> DataFrame:
   u AS (SELECT f.node, max(g.node) AS parent FROM f LEFT JOIN d ON d.node = f.node AND d.anc <> f.node LEFT JOIN f g ON g.node = d.anc GROUP BY f.node)
   SELECT u.node, u.parent, round(f.time - coalesce(g.time, 0), 6) AS blen FROM u JOIN f ON f.node = u.node LEFT JOIN f g ON g.node = u.parent""", "nodes")
 def pruned_tree(nodes: DataFrame) -> DataFrame:
-    r = T.cut(ranked(nodes))
+    r = cut(ranked(nodes))
     return T.prune(r, r.filter("is_leaf and node % 3 = 0")).withColumn("blen", F.round("blen", 6))
 
 
