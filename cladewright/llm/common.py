@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from cladewright.operators.scale import HEAVY, components, cut, look_up, remove, running, shared_folder
 from cladewright.shipping import ship
 
+__all__ = ["HEAVY", "components", "cut", "look_up", "remove", "running", "shared_folder"]
+
 #: White space that separates words: space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes in an Arrow batch: long texts must fit a worker's memory many at a time.
 BATCH_BYTES = 8 << 20
-#: A key with at least this part of all rows is heavy; there are no more than this many heavy keys.
-HEAVY = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,39 +26,6 @@ def workers_ready(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder: the session's checkpoint folder or ``spark.checkpoint.dir``. A local master may do without; a cluster may not."""
-    sc = spark.sparkContext
-    at = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if at:
-        return at
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{tempfile.gettempdir()}/checkpoints"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the cluster's shared folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}")
-    return df.checkpoint()
-
-
-def look_up(rows: DataFrame, facts: DataFrame, key: str, weight: str, total: int) -> DataFrame:
-    """``rows`` with the columns of ``facts`` for their ``key``, a long that no two facts share; null where there is no fact.
-
-    ``weight`` is the column of ``facts`` that says how many of the ``total`` rows have the key; it is left out of the result. Keys with 1 / ``HEAVY`` of all rows
-    or more, of which there are at most ``HEAVY``, are broadcast, and their rows are spread over all tasks rather than sent to one.
-    """
-    columns = [c for c in facts.columns if c not in (key, weight)]
-    heavy = facts.filter(F.col(weight) * HEAVY >= total).select(F.col(key).alias("_heavy"), F.struct(*columns).alias("_h"))
-    rest = facts.filter(F.col(weight) * HEAVY < total).select(F.col(key).alias("_key"), F.struct(*columns).alias("_f"))
-    met = rows.join(F.broadcast(heavy), F.col(key) == F.col("_heavy"), "left")
-    met = met.withColumn("_at", F.when(F.col("_heavy").isNull(), F.col(key)).otherwise(F.xxhash64(*rows.columns))).join(rest, F.col("_at") == F.col("_key"), "left")
-    return met.select(*rows.columns, *[F.when(F.col("_heavy").isNull(), F.col("_f")[c]).otherwise(F.col("_h")[c]).alias(c) for c in columns])
-
-
 def held_out(doc_id: Column | str = "doc_id", folds: int = 5) -> Column:
     """True for rows that training never sees: crc32 of the id as text is 0 modulo ``folds``; also where the id is null."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -78,19 +42,3 @@ def spread(df: DataFrame, n: str, at: str, per: int = 1 << 16) -> DataFrame:
     runs = df.filter(F.col(n) > 0).withColumn("_run", F.explode(F.expr(f"sequence(0L, (`{n}` - 1) div {per})")))
     runs = runs.repartition("_run", *[c for c in df.columns if c != n])
     return runs.withColumn(at, F.explode(F.expr(f"sequence(_run * {per}, least(`{n}`, (_run + 1) * {per}) - 1)"))).drop("_run")
-
-
-def running(df: DataFrame, order: list[str], values: dict[str, str]) -> DataFrame:
-    """``df`` with a running sum of each of ``values`` (new column -> expression) in the order of ``order``, which must tell rows apart (nulls last).
-
-    Rows are dealt by ranges of that order; each range's sums are one row, and only these few are summed over in one task.
-    """
-    by = [F.col(c).asc_nulls_last() for c in order]
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cut(df.repartitionByRange(parts, *by).withColumn("_range", F.spark_partition_id()))
-    sums = dealt.groupBy("_range").agg(*[F.sum(F.expr(v)).alias(f"_{k}") for k, v in values.items()])
-    over = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
-    before = sums.select(F.col("_range").alias("_r"), *[F.coalesce(F.sum(f"_{k}").over(over), F.lit(0)).alias(f"_{k}") for k in values])
-    inner = W.partitionBy("_range").orderBy(*by).rowsBetween(W.unboundedPreceding, 0)
-    met = dealt.select("*", *[F.sum(F.expr(v)).over(inner).alias(k) for k, v in values.items()]).join(F.broadcast(before), F.col("_range") == F.col("_r"))
-    return met.select(*df.columns, *[(F.col(k) + F.col(f"_{k}")).alias(k) for k in values])

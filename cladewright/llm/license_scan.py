@@ -17,8 +17,8 @@ from .common import cut
 
 LEAST = 0.8
 LICENSE_NAME = r"(?i)(^|/)(licen[cs]e|copying|unlicen[cs]e|notice)([.-][^/]*)?$"
-#: A term is common if one text in this many has it.
-COMMON = 20
+#: A term is common if one text in this many has it, and long if it has so many characters.
+COMMON, LONG = 20, 4
 #: Equal texts meet their match in this many tasks.
 SALTS = 16
 #: The unit numbers of the whole text and of the first paragraph; further paragraphs go on downwards, lines from 0 upwards.
@@ -101,17 +101,20 @@ def scan(files: DataFrame, least: float = LEAST) -> DataFrame:
     known = spark.createDataFrame([(v, df.get(v, 0)) for v in vocab], "term string, df long")
     idf = lambda df: F.log(1.0 + n / (1.0 + df))
     tw = cut(t.join(F.broadcast(known), "term").withColumn("idf", idf(F.col("df"))).withColumn("w", F.col("tf") * F.col("idf")))
-    # Any order of a template's terms gives a valid prefix. Terms that one text in COMMON or more has come last, those of many templates first, so that few terms do for all.
+    # Any order of a template's terms gives a valid prefix. Terms that one text in COMMON or more has and short ones (parts of many words) come last, those of many templates
+    # first, so that few terms do for all.
     tw = cut(tw.join(F.broadcast(tw.groupBy("term").agg(F.count("*").alias("shared"))), "term"))
     part = W.partitionBy("template")
-    order = part.orderBy(F.col("df") * COMMON >= n, F.desc("shared"), "df", F.desc(F.length("term")), "term")
+    order = part.orderBy(F.col("df") * COMMON >= n, F.length("term") < LONG, F.desc("shared"), "df", F.desc(F.length("term")), "term")
     rest = F.sum(F.col("w") * F.col("w")).over(order.rowsBetween(1, W.unboundedFollowing))
     tail = tw.withColumn("total", F.sum(F.col("w") * F.col("w")).over(part)).withColumn("after", F.coalesce(rest, F.lit(0.0)))
     # terms up to and with the first after which the rest is too light (a little is left for rounding)
     before = F.lag("after").over(order)
     head = sorted(r.term for r in tail.withColumn("b", before).filter(f"b is null or b >= {least * least - 1e-5} * total").select("term").distinct().collect())
-    inside = [h for h in head if not any(x != h and x in h for x in head)]  # a text with a head has one of these
-    has_head = lambda c: _any([F.contains(F.lower(c), F.lit(h)) for h in inside])
+    long = [h for h in head if len(h) >= LONG]
+    long = [h for h in long if not any(x != h and x in h for x in long)]  # a text with a long head has one of these
+    short = "(?<![a-z0-9])(?:" + "|".join(h for h in head if len(h) < LONG) + ")(?![a-z0-9])"
+    has_head = lambda c: _any([F.contains(F.lower(c), F.lit(h)) for h in long]) | (F.rlike(F.lower(c), F.lit(short)) if any(len(h) < LONG for h in head) else F.lit(False))
     found = files.filter(has_head(F.col("text"))).select("id", F.explode(units(F.col("text"))).alias("u")).select("id", "u.*").filter(has_head(F.col("unit")))
     found = found.withColumn("terms", terms(F.col("unit"))).filter(F.arrays_overlap("terms", F.array(*[F.lit(h) for h in head])))
     tf = found.select("id", "line", F.explode("terms").alias("term")).groupBy("id", "line", "term").agg(F.count("*").alias("n"))

@@ -24,8 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, look_up, workers_ready
-from .simhash import components
+from .common import components, cut, look_up, workers_ready
 
 EDITS, MIN_CHARS, RUN_CAP, LEVELS = 2, 16, 512, 3
 #: Ids of at most this many lines are broadcast to find their texts (4 MB); more are joined by a shuffle.

@@ -33,13 +33,17 @@ def decode(stored: bytes) -> bytes:
     return stored[head.end():]
 
 
-def features(payload: bytes) -> str:
-    """Mean, deviation, histogram of 8 bins (shares) and a difference hash of 64 bits over the image's samples."""
+def features(payload: bytes, step: int = 1 << 16) -> str:
+    """Mean, deviation, histogram of 8 bins (shares) and a difference hash of 64 bits over the image's samples, from exact counts and sums."""
     x = np.frombuffer(payload, np.uint8)
-    bins = np.bincount(x >> 5, minlength=8) / len(x)
-    cells = np.add.reduceat(x.astype(np.int64), np.arange(65) * len(x) // 65) if len(x) >= 65 else np.resize(x.astype(np.int64), 65)
+    times = sum(np.bincount(x[low:low + step], minlength=256) for low in range(0, len(x), step))
+    value, n = np.arange(256), len(x)
+    mean = float(times @ value) / n
+    deviation = float(np.sqrt(times @ (value - mean) ** 2 / n))
+    bins = times.reshape(8, 32).sum(1) / n
+    cells = np.add.reduceat(x, np.arange(65) * n // 65, dtype=np.int64) if n >= 65 else np.resize(x, 65).astype(np.int64)
     sign = int.from_bytes(np.packbits(cells[1:] > cells[:-1]).tobytes(), "big")
-    return f"{x.mean():.6f};{x.std():.6f};{','.join(f'{b:.6f}' for b in bins)};{sign:016x}"
+    return f"{mean:.6f};{deviation:.6f};{','.join(f'{b:.6f}' for b in bins)};{sign:016x}"
 
 
 class _Reader(HTMLParser):
@@ -112,19 +116,26 @@ def parse_html(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.withColumn("sequence", parsed(html))
 
 
-def resolve(elements: DataFrame, store: DataFrame) -> DataFrame:
+def resolve(elements: DataFrame, store: DataFrame, key: str | None = None) -> DataFrame:
     """``elements`` (rows with a digest, null for text) with ``media``, the store's payload of that digest, null for text and unknown digests.
 
     ``store`` (digest, media) has one row for each digest, so that no element is lost or repeated. A digest that a great part of all elements refer to (at least one in
-    ``HEAVY``, so that there are at most ``HEAVY`` such) is joined in parts: its payload is there once for each of them.
+    ``HEAVY``, so that there are at most ``HEAVY`` such) is joined in parts: its payload is there once for each of them. With ``key``, a column of both,
+    the store may have several rows of a digest, equal payloads, of which one has the key of each element with that digest: parts then go by key.
     """
     said = elements.filter("digest is not null")
     total = said.count()
     often = said.groupBy("digest").agg(F.count("*").alias("_n")).filter(F.col("_n") * HEAVY >= total)
     parts = F.broadcast(often.select(F.col("digest").alias("_d"), F.ceil(F.col("_n") * HEAVY / max(total, 1)).cast("int").alias("_parts")))
-    dealt = elements.join(parts, F.col("digest") == F.col("_d"), "left").withColumn("_part", F.pmod(F.xxhash64(*elements.columns), F.coalesce("_parts", F.lit(1))).cast("int"))
-    held = store.select("digest", "media").join(parts, F.col("digest") == F.col("_d"), "left")
-    held = held.select(F.col("digest").alias("_digest"), "media", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)).alias("_of"))
+    part = F.pmod(F.xxhash64(*([key] if key else elements.columns)), F.coalesce("_parts", F.lit(1))).cast("int")
+    dealt = elements.join(parts, F.col("digest") == F.col("_d"), "left").withColumn("_part", part)
+    held = store.join(parts, F.col("digest") == F.col("_d"), "left")
+    if key:
+        # dealt by number, which adaptive execution leaves as it is: payloads are large, and many of its small partitions in one task would fill an executor
+        dealt_out = int(store.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        held = held.select(F.col("digest").alias("_digest"), part.alias("_of"), "media").repartition(dealt_out, "_digest", "_of").groupBy("_digest", "_of").agg(F.first("media").alias("media"))
+    else:
+        held = held.select(F.col("digest").alias("_digest"), "media", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)).alias("_of"))
     return dealt.join(held, (F.col("digest") == F.col("_digest")) & (F.col("_part") == F.col("_of")), "left").select(*elements.columns, "media")
 
 
@@ -159,13 +170,13 @@ def described(media: pd.Series) -> pd.DataFrame:
 def text_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature and pos of every row of ``docs``.
 
-    Each text is a page that refers to an image by digest, with its number of bytes as caption; the image is stored once for each different text. Pages are parsed,
+    Each text is a page that refers to an image by digest, with its number of bytes as caption; the image is stored once for each different text (once for each part of a text that many rows have). Pages are parsed,
     references resolved by joining the stored bytes, and these read back. Repeated rows each have a row; equal texts have equal values. Only doc_id and text are read.
     """
     workers_ready(docs.sparkSession)
     digest = F.sha2(payload(F.col("text")), 256)
     page = F.concat(F.lit(f'<article><figure><img src="{SCHEME}'), digest, F.lit('"><figcaption>'), F.coalesce(F.octet_length("text"), F.lit(0)).cast("string"), F.lit(" bytes</figcaption></figure></article>"))
     elements = cut(parse_html(docs.select("doc_id", page.alias("html"))).select("doc_id", F.explode("sequence").alias("e")).select("doc_id", "e.*"))
-    store = docs.select(digest.alias("digest"), stored(F.col("text")).alias("media")).groupBy("digest").agg(F.first("media").alias("media"))
-    found = resolve(elements, store).filter("kind = 'media'").withColumn("d", described("media"))
+    store = docs.select("doc_id", digest.alias("digest"), stored(F.col("text")).alias("media"))
+    found = resolve(elements, store, "doc_id").filter("kind = 'media'").withColumn("d", described("media"))
     return found.select("doc_id", F.regexp_extract("text", r"^(\d+)", 1).cast("long").alias("n_bytes"), *[f"d.{c}" for c in SAID], "pos")

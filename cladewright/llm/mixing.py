@@ -8,7 +8,7 @@
    keyed by source and pass) turns an index into a block.
 5. Blocks and documents meet by index: a document is exploded to the blocks it reaches into, and counts the words of each that the mix takes.
 
-Prefix sums over documents go through md5 buckets, so that a source with a third of all rows is not one task.
+Prefix sums over documents go by ranges of rows (``running``), so that a source with a third of all rows is not one task.
 """
 
 from __future__ import annotations
@@ -68,12 +68,9 @@ def mix(docs: DataFrame, block: int = BLOCK, slots_per_shard: int = 4096, weight
     rows = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("o", order))
     sources = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap))
     # where each document starts in its source's stream
-    rows = rows.withColumnRenamed("source", "s").join(sources, F.col("s").eqNullSafe(F.col("source"))).drop("s", "source").withColumn("b", F.substring("o", 1, 4))
-    sums = rows.groupBy("rank", "b").agg(F.sum("size").alias("n"))
-    sums = sums.select("rank", "b", (F.sum("n").over(W.partitionBy("rank").orderBy("b")) - F.col("n")).alias("before"))
-    inner = W.partitionBy("rank", "b").orderBy("o", "doc_id", "size")
-    rows = rows.withColumn("start", F.sum("size").over(inner.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")).join(sums, ["rank", "b"])
-    rows = rows.select("doc_id", "size", "source_size", "target", "rank", (F.col("start") + F.col("before")).alias("start"))
+    rows = rows.withColumnRenamed("source", "s").join(sources, F.col("s").eqNullSafe(F.col("source"))).drop("s", "source")
+    rows = running(rows, ["o", "doc_id", "size"], {"start": "size"}, ["rank"]).withColumn("start", F.col("start") - F.col("size"))
+    rows = rows.select("doc_id", "size", "source_size", "target", "rank", "start")
     pieces = rows.withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (start + greatest(size, 1) - 1) div {block})")))
     pieces = pieces.withColumn("block", F.when(F.col("size") > 0, F.col("block")))
     taken = slots(sources, block, slots_per_shard).select(F.col("rank").alias("r"), F.col("block").alias("k"), "take")

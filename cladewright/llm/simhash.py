@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, look_up, workers_ready
+from .common import components, cut, look_up, workers_ready
 
 SHINGLE, WITHIN, SEED, PIVOTS = 4, 4, 42, 16
 _SPACE = bytes(range(9, 14))
@@ -181,27 +181,6 @@ def midpoints(hot: DataFrame, within: int = WITHIN) -> DataFrame:
     return shared.filter("n > 1").select("a", F.explode("all").alias("b")).filter("a <> b").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, root: the least node that each node of ``links`` (a, b) is joined to. Alternates large-star and small-star steps until nothing changes."""
-    edges = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = lambda e: e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-    seen = mark(edges)
-    while seen[0]:
-        total = 2 * seen[0]
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"), F.count("*").alias("n"))
-        # a node that a great part of all edges meets is looked up without gathering its edges in one task
-        edges = look_up(both, least, "u", "n", total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        star = look_up(edges, least, "u", "n", total)
-        edges = cut(star.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
-        now = mark(edges)
-        if now == seen:
-            break
-        seen = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-
-
 def near_duplicates(docs: DataFrame, within: int = WITHIN, run_cap: int = 1024) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row.
 

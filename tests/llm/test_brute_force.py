@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cladewright.llm import language_id, line_dedup, mixing, quality, sharding, simhash
-from cladewright.llm.common import look_up, running
+from cladewright.llm.common import components, look_up, running
 
 SF = "/root/testdata/sf0.001"
 
@@ -187,7 +187,7 @@ def test_midpoints_for_other_radii(spark):
                 if (a ^ b).bit_count() <= within:
                     root[max(find(a), find(b))] = min(find(a), find(b))
         some = df if within < 6 else spark.createDataFrame([(0,), (63,), (1 << 40,)], "fp long")
-        got = {r.node: r.root for r in simhash.components(simhash.midpoints(some, within)).collect()}
+        got = {r.node: r.root for r in components(simhash.midpoints(some, within)).collect()}
         want = {x: find(x) for x in fps if find(x) != x} if within < 6 else {63: 0, 1 << 40: 0}
         if within == 6:
             assert (0 ^ 1 << 40).bit_count() <= 6
@@ -203,7 +203,7 @@ def test_coordinates_tell_the_bits():
 
 def test_components_of_a_star_and_a_chain(spark):
     edges = [(0, i) for i in range(1, 2000)] + [(i, i + 1) for i in range(5000, 5100)] + [(7000, 7000)]
-    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(1, 2000)} | {i: 5000 for i in range(5001, 5101)}
 
 
