@@ -60,7 +60,7 @@ def query(sql: str | None, *names: str) -> Callable:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from .plans import imputation, lineages, reads, statistics, trees  # noqa: F401
+    from .plans import imputation, lineages, reads, statistics, timed, trees  # noqa: F401
 
     return dict(QUERIES)
 

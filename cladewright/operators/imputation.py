@@ -37,4 +37,4 @@ def transitions(steps: DataFrame, least: int = 50) -> DataFrame:
     n = steps.filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
     r = n.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("n").alias("back"))
     both = F.col("n") + F.col("back")
-    return n.join(r, ["src", "dst"], "left").na.fill(0, ["back"]).withColumn("asymmetry", F.when(both >= least, F.round((F.col("n") - F.col("back")) / both, 6)))
+    return n.join(r, ["src", "dst"], "left").na.fill(0, ["back"]).withColumn("asymmetry", F.when(both >= least, (F.col("n") - F.col("back")) / both))

@@ -54,8 +54,8 @@ def look_up(rows: DataFrame, facts: DataFrame, key: str, weight: str, total: int
     return met.select(*rows.columns, *[F.when(F.col("_heavy").isNull(), F.col("_f")[c]).otherwise(F.col("_h")[c]).alias(c) for c in columns])
 
 
-def running(df: DataFrame, order: list[str], values: dict[str, str], by: list[str] | None = None) -> DataFrame:
-    """``df`` with a running sum of each of ``values`` (new column -> expression) in the order of ``order`` (nulls last), which with ``by`` must tell rows apart.
+def running(df: DataFrame, order: list[str], values: dict[str, str], by: list[str] | None = None, how: str = "sum") -> DataFrame:
+    """``df`` with a running sum (or, by ``how``, min or max) of each of ``values`` (new column -> expression) in the order of ``order`` (nulls last), which with ``by`` must tell rows apart.
 
     Rows are dealt by ranges of that order; each range's sums are one row (for each of ``by``), and only these few are summed over in one task.
     """
@@ -63,16 +63,18 @@ def running(df: DataFrame, order: list[str], values: dict[str, str], by: list[st
     sort = [F.col(c).asc_nulls_last() for c in [*by, *order]]
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = cut(df.repartitionByRange(parts, *sort).withColumn("_range", F.spark_partition_id()))
-    sums = dealt.groupBy(*by, "_range").agg(*[F.sum(F.expr(v)).alias(f"_{k}") for k, v in values.items()])
+    f, none = {"sum": (F.sum, F.lit(0)), "min": (F.min, F.lit(None)), "max": (F.max, F.lit(None))}[how]
+    sums = dealt.groupBy(*by, "_range").agg(*[f(F.expr(v)).alias(f"_{k}") for k, v in values.items()])
     over = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
     own = [F.col(c).alias(f"_by{i}") for i, c in enumerate(by)]
-    before = sums.select(F.col("_range").alias("_r"), *own, *[F.coalesce(F.sum(f"_{k}").over(over), F.lit(0)).alias(f"_{k}") for k in values])
+    before = sums.select(F.col("_range").alias("_r"), *own, *[F.coalesce(f(f"_{k}").over(over), none).alias(f"_{k}") for k in values])
     inner = W.partitionBy(*by, "_range").orderBy(*[F.col(c).asc_nulls_last() for c in order]).rowsBetween(W.unboundedPreceding, 0)
     on = F.col("_range") == F.col("_r")
     for i, c in enumerate(by):
         on &= F.col(c).eqNullSafe(F.col(f"_by{i}"))
-    met = dealt.select("*", *[F.sum(F.expr(v)).over(inner).alias(k) for k, v in values.items()]).join(before, on)
-    return met.select(*df.columns, *[(F.coalesce(F.col(k), F.lit(0)) + F.col(f"_{k}")).alias(k) for k in values])
+    met = dealt.select("*", *[f(F.expr(v)).over(inner).alias(k) for k, v in values.items()]).join(before, on)
+    both = {"sum": lambda k: F.coalesce(F.col(k), F.lit(0)) + F.col(f"_{k}"), "min": lambda k: F.least(k, f"_{k}"), "max": lambda k: F.greatest(k, f"_{k}")}[how]
+    return met.select(*df.columns, *[both(k).alias(k) for k in values])
 
 
 def running_at(df: DataFrame, values: dict[str, Column], at: str, by: list[str] | None = None, run: int = RUN) -> DataFrame:

@@ -7,80 +7,100 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .lineages import log_factorials
+from .scale import cut, running
 
 
-def cooccurrence(members: DataFrame) -> DataFrame:
-    """a, b (a <= b) and observed: clades that hold both types (a = b: clades that hold it), from clade and cls of each member."""
-    p = members.select("clade", "cls").distinct()
-    return p.select("clade", F.col("cls").alias("a")).join(p.select("clade", F.col("cls").alias("b")), "clade").filter("a <= b").groupBy("a", "b").agg(F.count("*").alias("observed"))
+def cooccurrence(members: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``by``, a, b (a <= b) and observed: clades that hold both types (a = b: clades that hold it), from clade and cls of each member."""
+    by = by or []
+    p = members.select(*by, "clade", "cls").distinct()
+    return p.select(*by, "clade", F.col("cls").alias("a")).join(p.select(*by, "clade", F.col("cls").alias("b")), [*by, "clade"]).filter("a <= b").groupBy(*by, "a", "b").agg(F.count("*").alias("observed"))
 
 
-def enrichment(members: DataFrame) -> DataFrame:
-    """a, b, observed, expected and log2 fold of each two types under random labels: clades - F(na) - F(nb) + F(na + nb), where F(m) adds up, over clades, the chance to miss all of m cells.
+def enrichment(members: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``by``, a, b, observed, expected and log2 fold of each two types under random labels: clades - F(na) - F(nb) + F(na + nb), where F(m) adds up, over clades, the chance to miss all of m cells.
 
-    Clades enter as a histogram of sizes, so the work is sizes times distinct m, whatever the number of clades.
+    Clades enter as a histogram of sizes, so the work is sizes times distinct m, whatever the number of clades. An expectation is never below 0.
     """
-    n_of = members.groupBy("cls").agg(F.count("*").alias("n"))
-    hist = members.groupBy("clade").agg(F.count("*").alias("s")).groupBy("s").agg(F.count("*").alias("times"))
-    tot = members.agg(F.count("*").alias("total"), F.countDistinct("clade").alias("clades"))
-    obs = cooccurrence(members)
-    pairs = n_of.select(F.col("cls").alias("a"), F.col("n").alias("na")).join(n_of.select(F.col("cls").alias("b"), F.col("n").alias("nb")), F.col("a") < F.col("b")).withColumn("nab", F.col("na") + F.col("nb"))
-    m = pairs.select(F.explode(F.array("na", "nb", "nab")).alias("m")).distinct()
-    lf = log_factorials(tot.select(F.col("total").alias("n_max")))
-    g = m.join(F.broadcast(tot)).join(hist).filter("total - m >= s")
+    by = by or ["_all"]
+    members = cut((members if "_all" not in by else members.withColumn("_all", F.lit(0))).select(*by, "clade", "cls"))
+    n_of = members.groupBy(*by, "cls").agg(F.count("*").alias("n"))
+    hist = members.groupBy(*by, "clade").agg(F.count("*").alias("s")).groupBy(*by, "s").agg(F.count("*").alias("times"))
+    tot = members.groupBy(*by).agg(F.count("*").alias("total"), F.countDistinct("clade").alias("clades"))
+    obs = cooccurrence(members, by)
+    pairs = n_of.select(*by, F.col("cls").alias("a"), F.col("n").alias("na")).join(n_of.select(*by, F.col("cls").alias("b"), F.col("n").alias("nb")), by).filter("a < b").withColumn("nab", F.col("na") + F.col("nb"))
+    m = pairs.select(*by, F.explode(F.array("na", "nb", "nab")).alias("m")).distinct()
+    lf = cut(log_factorials(tot.agg(F.max("total").alias("n_max"))))
+    g = m.join(tot, by).join(hist, by).filter("total - m >= s")
     for c, name in ((F.col("total") - F.col("m"), "l1"), (F.col("total") - F.col("m") - F.col("s"), "l2"), (F.col("total"), "l3"), (F.col("total") - F.col("s"), "l4")):
         g = g.withColumn("_k", c).join(lf.select(F.col("n").alias("_k"), F.col("lf").alias(name)), "_k").drop("_k")
-    miss = g.groupBy("m").agg(F.sum(F.col("times") * F.exp(F.col("l1") - F.col("l2") - F.col("l3") + F.col("l4"))).alias("f"))
+    miss = cut(g.groupBy(*by, "m").agg(F.sum(F.col("times") * F.exp(F.col("l1") - F.col("l2") - F.col("l3") + F.col("l4"))).alias("f")))
     out = pairs
     for c in ("na", "nb", "nab"):
-        out = out.join(miss.select(F.col("m").alias(c), F.col("f").alias(f"f_{c}")), c, "left").na.fill(0.0, [f"f_{c}"])
-    out = out.join(F.broadcast(tot)).join(obs, ["a", "b"], "left").na.fill(0, ["observed"])
-    e = F.col("clades") - F.col("f_na") - F.col("f_nb") + F.col("f_nab")
-    return out.select("a", "b", "observed", F.round(e, 6).alias("expected"), F.round(F.log2((F.col("observed") + 1) / (e + 1)), 6).alias("log2fold"))
+        out = out.join(miss.select(*by, F.col("m").alias(c), F.col("f").alias(f"f_{c}")), [*by, c], "left").na.fill(0.0, [f"f_{c}"])
+    out = out.join(tot, by).join(obs, [*by, "a", "b"], "left").na.fill(0, ["observed"])
+    e = F.greatest(F.col("clades") - F.col("f_na") - F.col("f_nb") + F.col("f_nab"), F.lit(0.0))
+    return out.select(*[c for c in by if c != "_all"], "a", "b", "observed", e.alias("expected"), F.log2((F.col("observed") + 1) / (e + 1)).alias("log2fold"))
 
 
 def gini(sizes: DataFrame, key: str, value: str = "n") -> DataFrame:
-    """key, groups, gini and k_half: the fewest groups that hold half of all."""
-    up, down = W.partitionBy(key).orderBy(value), W.partitionBy(key).orderBy(F.desc(value)).rowsBetween(W.unboundedPreceding, 0)
-    r = sizes.withColumn("r", F.row_number().over(up)).withColumn("cum", F.sum(value).over(down)).withColumn("total", F.sum(value).over(W.partitionBy(key)))
-    half = 2 * (F.col("cum") - F.col(value)) < F.col("total")
-    a = r.groupBy(key).agg(F.count("*").alias("groups"), F.sum(F.col("r") * F.col(value)).alias("rs"), F.sum(value).alias("s"), F.count_if(half).alias("k_half"))
-    return a.select(key, "groups", F.round(2 * F.col("rs") / (F.col("groups") * F.col("s")) - (F.col("groups") + 1) / F.col("groups"), 6).alias("gini"), "k_half")
+    """key, groups, gini and k_half: the fewest groups that hold half of all. Sizes enter as counts of equal ones, summed by ranges of size."""
+    v, t = F.col(value), F.col("_t")
+    times = sizes.filter(v.isNotNull()).groupBy(key, value).agg(F.count("*").alias("_t"))
+    up = running(times, [value], {"_upto": "_t", "_mass": f"_t * `{value}`"}, [key])
+    total = times.groupBy(key).agg(F.sum("_t").alias("groups"), F.sum(t * v).alias("_s"))
+    x = up.join(total, key)
+    ranks = t * (F.col("_upto") - t) + t * (t + 1) / 2  # of these sizes, from the least
+    larger = F.col("_s") - F.col("_mass")
+    half = F.when(v > 0, F.least(t, F.greatest(F.lit(0), F.ceil((F.col("_s") / 2 - larger) / v)))).otherwise(0)
+    a = x.groupBy(key, "groups", "_s").agg(F.sum(ranks * v).alias("_rs"), F.sum(half).cast("long").alias("k_half"))
+    return a.select(key, "groups", (2 * F.col("_rs") / (F.col("groups") * F.col("_s")) - (F.col("groups") + 1) / F.col("groups")).alias("gini"), "k_half")
 
 
 def log2_enrichment(counts: DataFrame, a: str, b: str, n: str = "n", least: int = 10) -> DataFrame:
     """a, b, n, expected from the margins and log2 of observed over expected; null where n is under ``least``."""
-    w = lambda *c: F.sum(n).over(W.partitionBy(*c))
-    e = w(a) * w(b) / w()
-    return counts.withColumn("expected", F.round(e, 6)).withColumn("log2fc", F.when(F.col(n) >= least, F.round(F.log2(F.col(n) / e), 6)))
+    of_a, of_b = counts.groupBy(a).agg(F.sum(n).alias("_a")), counts.groupBy(b).agg(F.sum(n).alias("_b"))
+    all_ = counts.agg(F.sum(n).alias("_all"))
+    e = F.col("_a") * F.col("_b") / F.col("_all")
+    out = counts.join(of_a, a).join(of_b, b).join(F.broadcast(all_))
+    return out.select(*counts.columns, e.alias("expected"), F.when(F.col(n) >= least, F.log2(F.col(n) / e)).alias("log2fc"))
 
 
 def bh(tests: DataFrame, p: str = "p") -> DataFrame:
-    """``tests`` with q: Benjamini-Hochberg, the running least of p * n / rank from the greatest p down. One row for each distinct p is sorted."""
+    """``tests`` with q: Benjamini-Hochberg, the least p * n / rank of its own and all greater p. Equal p are one row, and ranks and least values go by ranges of p."""
     g = tests.groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_n"))
-    x = F.col("_p") * F.sum("_n").over(W.partitionBy()) / F.sum("_n").over(W.orderBy("_p").rangeBetween(W.unboundedPreceding, 0))
-    least = F.min("_x").over(W.orderBy(F.desc("_p")).rangeBetween(W.unboundedPreceding, 0))
-    q = g.withColumn("_x", x).select("_p", F.round(F.least(F.lit(1.0), least), 9).alias("q"))
+    ranked = running(g, ["_p"], {"_rank": "_n"})
+    x = ranked.join(F.broadcast(g.agg(F.sum("_n").alias("_all")))).withColumn("_x", F.col("_p") * F.col("_all") / F.col("_rank")).withColumn("_down", -F.col("_p"))
+    q = running(x, ["_down"], {"_q": "_x"}, how="min").select("_p", F.least(F.lit(1.0), "_q").alias("q"))
     return tests.join(q, F.col(p).eqNullSafe(F.col("_p"))).drop("_p")
 
 
-def average_rank(df: DataFrame, value: str, key: str, name: str) -> DataFrame:
-    peers = F.count("*").over(W.partitionBy(key, value))
-    return df.withColumn(name, F.rank().over(W.partitionBy(key).orderBy(value)) + (peers - 1) / 2.0)
+def ranked_values(df: DataFrame, value: str, key: str, **counts) -> DataFrame:
+    """key, value, rank (average over equal values) and ``counts``, once for each value of each key."""
+    v = df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_t"), *[c.alias(k) for k, c in counts.items()])
+    return running(v, [value], {"_upto": "_t"}, [key]).withColumn("rank", F.col("_upto") - (F.col("_t") - 1) / 2.0)
 
 
 def spearman(df: DataFrame, x: str, y: str, key: str) -> DataFrame:
-    """key, n and rho: correlation of average ranks."""
-    r = average_rank(average_rank(df, x, key, "_rx"), y, key, "_ry")
-    return r.groupBy(key).agg(F.count("*").alias("n"), F.round(F.corr("_rx", "_ry"), 6).alias("rho"))
+    """key, n and rho: correlation of average ranks, of the rows that have both values. Equal pairs of values are one row."""
+    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, x, y)
+    rx, ry = (ranked_values(both, c, key).select(key, c, F.col("rank").alias(r)) for c, r in ((x, "_rx"), (y, "_ry")))
+    pairs = both.groupBy(key, x, y).agg(F.count("*").alias("_w")).join(rx, [key, x]).join(ry, [key, y])
+    n = both.groupBy(key).agg(F.count("*").alias("n"))
+    a, b, w = F.col("_rx") - (F.col("n") + 1) / 2.0, F.col("_ry") - (F.col("n") + 1) / 2.0, F.col("_w")
+    s = pairs.join(n, key).groupBy(key, "n").agg(F.sum(w * a * b).alias("ab"), F.sum(w * a * a).alias("aa"), F.sum(w * b * b).alias("bb"))
+    return s.select(key, "n", F.try_divide("ab", F.sqrt(F.col("aa") * F.col("bb"))).alias("rho"))
 
 
 def rank_sum(df: DataFrame, value: str, first: str, key: str) -> DataFrame:
-    """key, n1, n2, u and z of the Wilcoxon rank-sum test of rows where ``first`` holds against the others (no tie correction)."""
-    r = average_rank(df, value, key, "_r")
-    a = r.groupBy(key).agg(F.count_if(first).alias("n1"), F.count_if(~F.col(first)).alias("n2"), F.sum(F.when(F.col(first), F.col("_r"))).alias("w"))
-    u = F.col("w") - F.col("n1") * (F.col("n1") + 1) / 2
-    return a.select(key, "n1", "n2", u.alias("u"), F.round((u - F.col("n1") * F.col("n2") / 2) / F.sqrt(F.col("n1") * F.col("n2") * (F.col("n1") + F.col("n2") + 1) / 12.0), 6).alias("z"))
+    """key, n1, n2, u, z and z_tied of the Wilcoxon rank-sum test of rows where ``first`` holds against the others; z_tied has the variance corrected for ties."""
+    r = ranked_values(df, value, key, _n1=F.count_if(first), _n2=F.count_if(~F.col(first)))
+    t = F.col("_t").cast("double")
+    a = r.groupBy(key).agg(F.sum("_n1").alias("n1"), F.sum("_n2").alias("n2"), F.sum(F.col("_n1") * F.col("rank")).alias("w"), F.sum(t * t * t - t).alias("ties"))
+    n1, n2 = F.col("n1"), F.col("n2")
+    n, u = n1 + n2, F.col("w") - n1 * (n1 + 1) / 2
+    off = u - n1 * n2 / 2
+    return a.select(key, "n1", "n2", u.alias("u"), F.try_divide(off, F.sqrt(n1 * n2 * (n + 1) / 12.0)).alias("z"), F.try_divide(off, F.sqrt(n1 * n2 / 12.0 * (n + 1 - F.try_divide(F.col("ties"), n * (n - 1))))).alias("z_tied"))
 
 
 def sibling_concordance(pairs: DataFrame, leaves: DataFrame) -> DataFrame:
@@ -90,7 +110,7 @@ def sibling_concordance(pairs: DataFrame, leaves: DataFrame) -> DataFrame:
     obs = both.filter("ca = cb").groupBy(F.col("ca").alias("cls")).agg(F.count("*").alias("observed"))
     n = c.groupBy("cls").agg(F.count("*").alias("n")).join(F.broadcast(c.agg(F.count("*").alias("total")))).join(F.broadcast(pairs.agg(F.count("*").alias("pairs"))))
     e = F.col("pairs") * F.col("n") * (F.col("n") - 1) / (F.col("total") * (F.col("total") - 1))
-    return n.join(obs, "cls", "left").na.fill(0, ["observed"]).select("cls", "observed", F.round(e, 6).alias("expected"), F.round(F.log2((F.col("observed") + 1) / (e + 1)), 6).alias("log2fold"))
+    return n.join(obs, "cls", "left").na.fill(0, ["observed"]).select("cls", "observed", e.alias("expected"), F.log2((F.col("observed") + 1) / (e + 1)).alias("log2fold"))
 
 
 def shuffled(labels: DataFrame, replicates: int, seed: int = 1, stratum: str | None = None) -> DataFrame:

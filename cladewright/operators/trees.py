@@ -204,7 +204,7 @@ def mrca(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     x = x.select("a", "b", "at", F.col("a").alias("m"), inside.alias("done"))
     for table in reversed(lifted(nodes)):
         up = table.join(at.select(F.col("node").alias("anc"), "pre", "last"), "anc").select(F.col("node").alias("m"), "anc", "pre", "last")
-        x = x.join(up, "m", "left").select("a", "b", "at", F.when(~F.col("done") & F.col("anc").isNotNull() & ~inside, F.col("anc")).otherwise(F.col("m")).alias("m"), "done")
+        x = cut(x.join(up, "m", "left").select("a", "b", "at", F.when(~F.col("done") & F.col("anc").isNotNull() & ~inside, F.col("anc")).otherwise(F.col("m")).alias("m"), "done"))
     parent = nodes.select(F.col("node").alias("m"), "parent")
     return x.join(parent, "m").select("a", "b", F.when(F.col("done"), F.col("m")).otherwise(F.col("parent")).alias("mrca"))
 

@@ -36,4 +36,4 @@ def label_transfer(embeddings: DataFrame) -> DataFrame:
   SELECT c.src, c.dst, c.n, coalesce(r.n, 0) AS back, CASE WHEN c.n + coalesce(r.n, 0) >= 5 THEN round((c.n - coalesce(r.n, 0)) / (c.n + coalesce(r.n, 0)), 6) END AS asymmetry FROM c LEFT JOIN c r ON r.src = c.dst AND r.dst = c.src""", "nodes")
 def transition_asymmetry(nodes: DataFrame) -> DataFrame:
     up = nodes.select(F.col("node").alias("parent"), F.col("celltype").alias("src"))
-    return I.transitions(nodes.join(up, "parent").select("src", F.col("celltype").alias("dst")), 5)
+    return I.transitions(nodes.join(up, "parent").select("src", F.col("celltype").alias("dst")), 5).withColumn("asymmetry", F.round("asymmetry", 6))

@@ -26,24 +26,24 @@ def clade_cooccurrence(members: DataFrame) -> DataFrame:
   e AS (SELECT p.a, p.b, coalesce(observed, 0) AS observed, k - x.f - y.f + z.f AS e FROM p JOIN f x ON x.m = na JOIN f y ON y.m = nb JOIN f z ON z.m = na + nb LEFT JOIN o ON o.a = p.a AND o.b = p.b, t)
   SELECT a, b, observed, round(e, 6) AS expected, round(log2((observed + 1) / (e + 1)), 6) AS log2fold FROM e""", "members")
 def clade_enrichment(members: DataFrame) -> DataFrame:
-    return S.enrichment(members)
+    return S.enrichment(members).withColumn("expected", F.round("expected", 6)).withColumn("log2fold", F.round("log2fold", 6))
 
 
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY n) AS r, sum(n) OVER (PARTITION BY grp ORDER BY n DESC ROWS UNBOUNDED PRECEDING) AS cum, sum(n) OVER (PARTITION BY grp) AS total FROM {clones})
   SELECT grp, count(*) AS groups, round(2 * sum(r * n) / (count(*) * sum(n)) - (count(*) + 1) / count(*), 6) AS gini, count(*) FILTER (2 * (cum - n) < total) AS k_half FROM r GROUP BY grp""", "clones")
 def clone_gini(clones: DataFrame) -> DataFrame:
-    return S.gini(clones, "grp")
+    return S.gini(clones, "grp").withColumn("gini", F.round("gini", 6))
 
 
 @query("""SELECT grp, clone, n, round(sum(n) OVER (PARTITION BY grp) * sum(n) OVER (PARTITION BY clone) / sum(n) OVER (), 6) AS expected,
   CASE WHEN n >= 10 THEN round(log2(n / (sum(n) OVER (PARTITION BY grp) * sum(n) OVER (PARTITION BY clone) / sum(n) OVER ())), 6) END AS log2fc FROM {clones}""", "clones")
 def founder_type_log2fc(clones: DataFrame) -> DataFrame:
-    return S.log2_enrichment(clones, "grp", "clone")
+    return S.log2_enrichment(clones, "grp", "clone").withColumn("expected", F.round("expected", 6)).withColumn("log2fc", F.round("log2fc", 6))
 
 
 @query("""WITH x AS (SELECT id, p, p * count(*) OVER () / count(*) OVER (ORDER BY p RANGE UNBOUNDED PRECEDING) AS x FROM {tests}) SELECT id, p, round(least(1.0, min(x) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING)), 9) AS q FROM x""", "tests")
 def bh_qvalues(tests: DataFrame) -> DataFrame:
-    return S.bh(tests)
+    return S.bh(tests).withColumn("q", F.round("q", 9))
 
 
 _RANK = "rank() OVER (PARTITION BY l_returnflag ORDER BY {0}) + (count(*) OVER (PARTITION BY l_returnflag, {0}) - 1) / 2.0"
@@ -51,13 +51,14 @@ _RANK = "rank() OVER (PARTITION BY l_returnflag ORDER BY {0}) + (count(*) OVER (
 
 @query(f"SELECT l_returnflag, count(*) AS n, round(corr(x, y), 6) AS rho FROM (SELECT l_returnflag, {_RANK.format('l_quantity')} AS x, {_RANK.format('l_extendedprice')} AS y FROM {{lineitem}}) q GROUP BY l_returnflag".replace("{{lineitem}}", "{lineitem}"), "lineitem")
 def spearman_by_group(lineitem: DataFrame) -> DataFrame:
-    return S.spearman(lineitem.select("l_returnflag", "l_quantity", "l_extendedprice"), "l_quantity", "l_extendedprice", "l_returnflag")
+    return S.spearman(lineitem.select("l_returnflag", "l_quantity", "l_extendedprice"), "l_quantity", "l_extendedprice", "l_returnflag").withColumn("rho", F.round("rho", 6))
 
 
-@query(f"""WITH r AS (SELECT l_returnflag, l_linestatus = 'O' AS f, {_RANK.format('l_quantity')} AS r FROM {{lineitem}}), a AS (SELECT l_returnflag, count(*) FILTER (f) AS n1, count(*) FILTER (NOT f) AS n2, sum(r) FILTER (f) AS w FROM r GROUP BY l_returnflag)
-  SELECT l_returnflag, n1, n2, w - n1 * (n1 + 1) / 2 AS u, round((w - n1 * (n1 + 1) / 2 - n1 * n2 / 2) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12.0), 6) AS z FROM a""", "lineitem")
+@query(f"""WITH r AS (SELECT l_returnflag, l_linestatus = 'O' AS f, {_RANK.format('l_quantity')} AS r FROM {{lineitem}}), a AS (SELECT l_returnflag, count(*) FILTER (f) AS n1, count(*) FILTER (NOT f) AS n2, sum(r) FILTER (f) AS w FROM r GROUP BY l_returnflag), t AS (SELECT l_returnflag, sum(k * k * k - k) AS ties FROM (SELECT l_returnflag, l_quantity, CAST(count(*) AS DOUBLE) AS k FROM {{lineitem}} GROUP BY 1, 2) GROUP BY 1)
+  SELECT l_returnflag, n1, n2, w - n1 * (n1 + 1) / 2 AS u, round((w - n1 * (n1 + 1) / 2 - n1 * n2 / 2) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12.0), 6) AS z,
+  round((w - n1 * (n1 + 1) / 2 - n1 * n2 / 2) / sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1.0)))), 6) AS z_tied FROM a JOIN t USING (l_returnflag)""", "lineitem")
 def wilcoxon_z(lineitem: DataFrame) -> DataFrame:
-    return S.rank_sum(lineitem.select("l_returnflag", "l_quantity", (F.col("l_linestatus") == "O").alias("first")), "l_quantity", "first", "l_returnflag")
+    return S.rank_sum(lineitem.select("l_returnflag", "l_quantity", (F.col("l_linestatus") == "O").alias("first")), "l_quantity", "first", "l_returnflag").withColumn("z", F.round("z", 6)).withColumn("z_tied", F.round("z_tied", 6))
 
 
 @query("""WITH s AS (SELECT a.node AS a, b.node AS b, a.celltype AS ca, b.celltype AS cb FROM {nodes} a JOIN {nodes} b USING (parent) WHERE a.node < b.node AND a.is_leaf AND b.is_leaf), n AS (SELECT celltype AS cls, count(*) AS n FROM {nodes} WHERE is_leaf GROUP BY 1),
@@ -65,7 +66,7 @@ def wilcoxon_z(lineitem: DataFrame) -> DataFrame:
   SELECT cls, observed, round(e, 6) AS expected, round(log2((observed + 1) / (e + 1)), 6) AS log2fold FROM e""", "nodes")
 def sibling_concordance_exact(nodes: DataFrame) -> DataFrame:
     leaves = nodes.filter("is_leaf")
-    return S.sibling_concordance(T.sibling_pairs(leaves), leaves.select("node", F.col("celltype").alias("cls")))
+    return S.sibling_concordance(T.sibling_pairs(leaves), leaves.select("node", F.col("celltype").alias("cls"))).withColumn("expected", F.round("expected", 6)).withColumn("log2fold", F.round("log2fold", 6))
 
 
 @query("SELECT a, b, disc, shared FROM (SELECT l_orderkey AS a, l_partkey AS b, l_linenumber % 3 AS disc, l_suppkey % 5 AS shared FROM {lineitem}) q QUALIFY row_number() OVER (PARTITION BY a ORDER BY disc, shared DESC, b) = 1", "lineitem")
