@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,10 +21,12 @@ def reverse_complement(c: Column) -> Column:
     return F.reverse(F.translate(c, "ACGTNacgtn", "TGCANtgcan"))
 
 
-def depth(sites: Column) -> Column:
-    """Edited sites before the first that is unedited or missing."""
-    edited = lambda x: x.isNotNull() & (x != UNEDITED)
-    return F.aggregate(sites, F.struct(F.lit(True).alias("on"), F.lit(0).alias("n")), lambda s, x: F.struct((s["on"] & edited(x)).alias("on"), (s["n"] + (s["on"] & edited(x)).cast("int")).alias("n")), lambda s: s["n"])
+def depth(sites: Column, n_sites: int = 6) -> Column:
+    """Edited sites before the first that is unedited or missing, of arrays of up to ``n_sites`` sites."""
+    out = F.lit(n_sites)
+    for i in range(n_sites - 1, -1, -1):
+        out = F.when(F.coalesce(F.get(sites, F.lit(i)) != UNEDITED, F.lit(False)), out).otherwise(i)
+    return out
 
 
 def chain(sites: Column) -> Column:
@@ -34,10 +38,13 @@ def chain_text(sites: Column, sep: str = "-") -> Column:
     return F.when(depth(sites) == 0, F.lit("-")).otherwise(F.array_join(chain(sites), sep))
 
 
-def shared_prefix(a: Column, b: Column) -> Column:
-    """Leading sites that are edited and the same in both."""
-    same = F.zip_with(a, b, lambda x, y: F.coalesce((x == y) & (x != UNEDITED), F.lit(False)))
-    return F.aggregate(same, F.struct(F.lit(True).alias("on"), F.lit(0).alias("n")), lambda s, x: F.struct((s["on"] & x).alias("on"), (s["n"] + (s["on"] & x).cast("int")).alias("n")), lambda s: s["n"])
+def shared_prefix(a: Column, b: Column, n_sites: int = 6) -> Column:
+    """Leading sites that are edited and the same in both, of arrays of up to ``n_sites`` sites."""
+    out = F.lit(n_sites)
+    for i in range(n_sites - 1, -1, -1):
+        x, y = F.get(a, F.lit(i)), F.get(b, F.lit(i))
+        out = F.when(F.coalesce((x == y) & (x != UNEDITED), F.lit(False)), out).otherwise(i)
+    return out
 
 
 def tape_distance(a: Column, b: Column) -> Column:
@@ -45,17 +52,10 @@ def tape_distance(a: Column, b: Column) -> Column:
     return depth(a) + depth(b) - 2 * shared_prefix(a, b)
 
 
-def one_off(sites: Column) -> Column:
-    """All arrays that differ by one base at one edited site."""
-    alphabet = F.array(*[F.lit(c) for c in "ACGT"])
-
-    def at(i: Column) -> Column:
-        token = F.element_at(sites, i)
-        spots = F.when(token != UNEDITED, F.sequence(F.lit(1), F.length(token))).otherwise(F.array().cast("array<int>"))
-        changed = F.flatten(F.transform(spots, lambda p: F.transform(alphabet, lambda c: F.concat(F.substr(token, F.lit(1), p - 1), c, F.substr(token, p + 1, F.length(token))))))
-        return F.transform(F.filter(changed, lambda t: t != token), lambda t: F.transform(sites, lambda x, j: F.when(j == i - 1, t).otherwise(x)))
-
-    return F.flatten(F.transform(F.sequence(F.lit(1), F.size(sites)), at))
+def masks(word: Column, n: int, most: int) -> Column:
+    """All ways to blank ``most`` of the first ``n`` characters: words that differ in no more than ``most`` of them have one in common."""
+    places = F.array(*[F.array(*[F.lit(p + 1) for p in some]) for some in combinations(range(n), min(most, n))])
+    return F.transform(places, lambda some: F.aggregate(some, F.substring(word, 1, n), lambda s, p: F.overlay(s, F.lit("*"), p, F.lit(1))))
 
 
 def euclid(a: Column, b: Column) -> Column:

@@ -12,20 +12,41 @@ from cladewright.functions import columns as C
 from cladewright.functions import kernels as K
 from cladewright.shipping import ship
 
+from .scale import components, cut
+
 SITES = T.ArrayType(T.StringType())
 WALKED = T.StructType([T.StructField("sites", SITES), T.StructField("broken", T.BooleanType()), T.StructField("why", T.StringType())])
 
 
-def walk(reads: DataFrame, seq: str = "seq", start: str = "start", compat_frame_shift: bool = True) -> DataFrame:
-    """``reads`` with sites, broken and why (see ``kernels.walk``); a null start resolves nothing."""
+def spelled(g: K.Grammar = K.GRAMMAR) -> str:
+    """A pattern of an array without damage: as many monomers as there are sites, then the terminal one. Its groups are the tokens (empty: unedited)."""
+    monomer = f"{g.anchor}.{{{g.body - len(g.anchor)}}}(?:([A-Z]{{1,6}}){g.key})?{g.tail}"
+    return monomer * g.sites + g.terminal
+
+
+def walk(reads: DataFrame, seq: str = "seq", start: str = "start", compat_frame_shift: bool = True, g: K.Grammar = K.GRAMMAR) -> DataFrame:
+    """``reads`` with sites, broken and why (see ``kernels.walk``); a null start resolves nothing.
+
+    Arrays that are spelled without damage, with no anchor but their own, are read by one pattern in the JVM; only the others go to the kernel.
+    """
     ship(reads.sparkSession)
+    tail = F.substr(F.col(seq), F.col(start) + 1)
+    groups = "|".join(f"${i + 1}" for i in range(g.sites))
+    read = F.when(F.regexp_count(tail, F.lit(g.anchor)) == g.sites + 1, F.regexp_replace(tail, f"^.*?{spelled(g)}.*$", f"#{groups}"))
+    marked = reads.withColumn("_read", read)
+    whole = F.coalesce(F.startswith("_read", F.lit("#")), F.lit(False))
+    plain = marked.filter(whole).withColumn("_t", F.split(F.substr("_read", F.lit(2)), r"\|"))
+    first = F.array_position("_t", "")
+    states = F.when(first == 0, F.col("_t")).otherwise(F.concat(F.slice("_t", F.lit(1), F.greatest(first - 1, F.lit(0)).cast("int")), F.array_repeat(F.lit(C.UNEDITED), (g.sites + 1 - first).cast("int"))))
+    plain = plain.select(*reads.columns, states.alias("sites"), F.lit(False).alias("broken"), F.when(first == 0, "full").otherwise("unedited").alias("why"))
 
     @F.pandas_udf(WALKED)
     def walked(s: pd.Series, at: pd.Series) -> pd.DataFrame:
         rows = [K.walk(x, int(a), compat_frame_shift) if x is not None and a == a and a is not None else ([None] * 6, False, "short") for x, a in zip(s, at, strict=True)]
         return pd.DataFrame(rows, columns=WALKED.names)
 
-    return reads.withColumn("_w", walked(seq, start)).select(*reads.columns, "_w.*")
+    rest = marked.filter(~whole).withColumn("_w", walked(seq, start)).select(*reads.columns, "_w.*")
+    return plain.unionByName(rest)
 
 
 def parse_bulk(reads: DataFrame, compat_frame_shift: bool = True) -> DataFrame:
@@ -35,17 +56,59 @@ def parse_bulk(reads: DataFrame, compat_frame_shift: bool = True) -> DataFrame:
     return out.withColumn("resolved", ~F.col("broken") & F.forall("sites", lambda x: x.isNotNull()))
 
 
+def parse_cells(reads: DataFrame, compat_frame_shift: bool = True) -> DataFrame:
+    """``reads`` (header, seq) of single cells with cell, pcr, umi and sample of the header, barcode, sites, broken, why and resolved; reads with a shorter header go."""
+    named = reads.withColumn("_h", C.header_fields(F.col("header"))).filter("_h is not null")
+    found = named.withColumn("_b", C.extract_cell_barcode(F.col("seq"))).select(*reads.columns, "_h.*", F.col("_b.barcode").alias("barcode"), F.col("_b.start").alias("start"))
+    out = walk(found, compat_frame_shift=compat_frame_shift)
+    return out.withColumn("resolved", ~F.col("broken") & F.forall("sites", lambda x: x.isNotNull()))
+
+
+def flagged(parsed: DataFrame, whitelist: DataFrame, vocabulary: DataFrame, length: int = 12) -> DataFrame:
+    """``parsed`` (of ``parse_bulk``) with extracted, corrected (the whitelist's barcode), error and valid.
+
+    A barcode must have ``length`` bases; the order of a read's sites counts as an error only then; a read is valid if its barcode is corrected, all sites are resolved
+    and every edit is in the vocabulary (insertion). Whitelist (tapebc) and vocabulary are small tables.
+    """
+    ok = parsed.withColumn("extracted", F.coalesce(F.length("barcode") == length, F.lit(False)))
+    words = ok.filter("extracted").select(F.col("barcode").alias("word")).distinct()
+    near = unique_nearest(words, whitelist.select(F.col("tapebc").alias("entry"))).select("word", F.col("nearest").alias("corrected"))
+    ok = ok.join(near, F.col("extracted") & (F.col("barcode") == F.col("word")), "left").drop("word")
+    known = F.broadcast(vocabulary.agg(F.collect_set("insertion").alias("_vocab")))
+    error = F.col("extracted") & F.col("broken")
+    valid = F.col("corrected").isNotNull() & ~error & F.col("resolved") & F.forall("sites", lambda s: (s == C.UNEDITED) | F.array_contains("_vocab", s))
+    return ok.join(known).withColumn("error", error).withColumn("valid", F.coalesce(valid, F.lit(False))).drop("_vocab")
+
+
+def parse_funnel(flags: DataFrame) -> DataFrame:
+    """metric, n and pct of the six counters of ``flagged`` reads."""
+    ok = F.col("extracted")
+    return funnel(flags, {"total_reads": F.lit(True), "bc_extractable": ok, "bc_in_whitelist": F.col("corrected").isNotNull(), "ordering_errors": F.col("error"), "all_sites_resolved": ok & ~F.col("error") & F.col("resolved"), "valid_reads": F.col("valid")})
+
+
 def unique_nearest(words: DataFrame, dictionary: DataFrame, word: str = "word", entry: str = "entry", most: int = 2) -> DataFrame:
     """``words`` with ``nearest``: the dictionary entry within ``most`` mismatches that no other is as near as; null if there is none.
 
-    The dictionary is one array in each task; it is a whitelist of bounded size (checked: 100,000 entries).
+    Strings are compared over the shorter length. Candidates come from an equi-join on the forms with ``most`` characters blanked, once for each distinct word, so
+    the work goes with words and entries and not with their product. There are few lengths.
     """
-    held = dictionary.agg(F.array_sort(F.collect_set(entry)).alias("_all"), F.count("*").alias("_n")).filter(F.expr("assert_true(_n <= 100000) is null")).select("_all")
-    d = F.transform("_all", lambda e: F.struct(C.hamming(F.col(word), e).alias("d"), e.alias("e")))
-    best = F.array_min(F.transform("_d", lambda x: x["d"]))
-    hits = F.filter("_d", lambda x: x["d"] == F.col("_m"))
-    out = words.join(F.broadcast(held)).withColumn("_d", d).withColumn("_m", best)
-    return out.withColumn("nearest", F.when((F.col("_m") <= most) & (F.size(hits) == 1), hits[0]["e"])).drop("_all", "_d", "_m")
+    held, asked = dictionary.select(F.col(entry).alias("_e")).filter("_e is not null").distinct(), words.select(F.col(word).alias("_w")).filter("_w is not null").distinct()
+    of = lambda df, c: sorted(r[0] for r in df.select(F.length(c)).distinct().collect())  # noqa: E731  lengths
+    wl, el = of(asked, "_w"), of(held, "_e")
+
+    def keyed(df: DataFrame, c: str, mine: list[int], others: list[int]) -> DataFrame:
+        n = sorted({min(a, b) for a in mine for b in others})
+        met = F.explode(F.filter(F.array(*[F.lit(k) for k in n]), lambda k: k <= F.length(c)))
+        forms = F.lit(None).cast("array<string>")
+        for k in n:
+            forms = F.when(F.col("n") == k, C.masks(F.col(c), k, most)).otherwise(forms)
+        return df.select(c, met.alias("n")).select(c, "n", F.explode(forms).alias("m"))
+
+    met = keyed(asked, "_w", wl, el).join(keyed(held, "_e", el, wl), ["n", "m"]).filter("n = least(length(_w), length(_e))").select("_w", "_e").distinct()
+    d = met.withColumn("_d", C.hamming(F.col("_w"), F.col("_e"))).filter(F.col("_d") <= most)
+    best = d.groupBy("_w").agg(F.min(F.struct("_d", "_e")).alias("_b"), F.collect_list("_d").alias("_all"))
+    one = best.select("_w", F.when(F.size(F.filter("_all", lambda x: x == F.col("_b._d"))) == 1, F.col("_b._e")).alias("nearest"))
+    return words.join(one, F.col(word) == F.col("_w"), "left").drop("_w")
 
 
 def funnel(reads: DataFrame, stages: dict[str, Column]) -> DataFrame:
@@ -53,35 +116,58 @@ def funnel(reads: DataFrame, stages: dict[str, Column]) -> DataFrame:
     total = F.count("*")
     one = reads.agg(*[F.count_if(c).alias(k) for k, c in stages.items()], total.alias("_total"))
     rows = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("n")) for k in stages]))
-    return one.select("_total", rows.alias("r")).select("r.metric", "r.n", F.round(100 * F.col("r.n") / F.greatest(F.col("_total"), F.lit(1)), 4).alias("pct"))
+    return one.select("_total", rows.alias("r")).select("r.metric", "r.n", (100 * F.col("r.n") / F.greatest(F.col("_total"), F.lit(1))).alias("pct"))
+
 
+def counted(reads: DataFrame, barcode: str, sites: str) -> DataFrame:
+    """barcode, sites and _n: reads of each pattern. Patterns are few beside reads, and what is exploded later is them."""
+    return reads.groupBy(barcode, sites).agg(F.count("*").alias("_n"))
 
-def site_rates(reads: DataFrame, whitelist: DataFrame, barcode: str = "tape", sites: str = "sites") -> DataFrame:
+
+def site_rates(reads: DataFrame, whitelist: DataFrame, barcode: str = "tape", sites: str = "sites", n_sites: int = 6) -> DataFrame:
     """barcode, site, resolved, edited and rate, with zeros for whitelisted barcodes without reads."""
-    n = 6
-    seen = reads.select(barcode, F.posexplode(sites).alias("site", "s")).filter("s is not null").groupBy(barcode, (F.col("site") + 1).alias("site")).agg(F.count("*").alias("resolved"), F.count_if(F.col("s") != C.UNEDITED).alias("edited"))
-    grid = whitelist.select(barcode).distinct().select(barcode, F.explode(F.sequence(F.lit(1), F.lit(n))).alias("site"))
+    long = counted(reads, barcode, sites).select(barcode, F.posexplode(sites).alias("site", "s"), "_n").filter("s is not null")
+    seen = long.groupBy(barcode, (F.col("site") + 1).alias("site")).agg(F.sum("_n").alias("resolved"), F.sum(F.when(F.col("s") != C.UNEDITED, F.col("_n")).otherwise(0)).alias("edited"))
+    grid = whitelist.select(barcode).distinct().select(barcode, F.explode(F.sequence(F.lit(1), F.lit(n_sites))).alias("site"))
     out = grid.join(seen, [barcode, "site"], "left").na.fill(0, ["resolved", "edited"])
-    return out.withColumn("rate", F.when(F.col("resolved") > 0, F.round(F.col("edited") / F.col("resolved"), 6)).otherwise(0.0))
+    return out.withColumn("rate", F.when(F.col("resolved") > 0, F.col("edited") / F.col("resolved")).otherwise(0.0))
 
 
 def insertion_peaks(reads: DataFrame, least: int, barcode: str = "tape", sites: str = "sites") -> DataFrame:
     """insertion, peak (its greatest count over barcodes and sites) and admitted."""
-    per = reads.select(barcode, F.posexplode(sites).alias("site", "insertion")).filter(F.col("insertion") != C.UNEDITED).groupBy(barcode, "site", "insertion").agg(F.count("*").alias("n"))
+    per = counted(reads, barcode, sites).select(barcode, "_n", F.posexplode(sites).alias("site", "insertion")).filter(F.col("insertion") != C.UNEDITED).groupBy(barcode, "site", "insertion").agg(F.sum("_n").alias("n"))
     return per.groupBy("insertion").agg(F.max("n").alias("peak")).withColumn("admitted", F.col("peak") >= least)
 
 
-def spectrum(reads: DataFrame, sites: str = "sites", least: float = 0.0) -> DataFrame:
-    """site, insertion, n and share within the site, where the share is ``least`` or more."""
-    per = reads.select(F.posexplode(sites).alias("site", "insertion")).filter(F.col("insertion") != C.UNEDITED).groupBy((F.col("site") + 1).alias("site"), "insertion").agg(F.count("*").alias("n"))
-    return per.withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy("site")), 6)).filter(F.col("share") >= least)
+def spectrum(reads: DataFrame, sites: str = "sites", least: float = 0.0, pooled: bool = False) -> DataFrame:
+    """site (or, ``pooled``, pool: 1-2 or 3-6), insertion, n and share within it, where the share is ``least`` or more."""
+    by = "pool" if pooled else "site"
+    at = F.when(F.col("p") < 2, "1-2").otherwise("3-6") if pooled else F.col("p") + 1
+    long = reads.groupBy(sites).agg(F.count("*").alias("_n")).select("_n", F.posexplode(sites).alias("p", "insertion")).filter(F.col("insertion") != C.UNEDITED)
+    per = long.groupBy(at.alias(by), "insertion").agg(F.sum("_n").alias("n"))
+    return per.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy(by))).filter(F.round("share", 6) >= least)
+
 
+def edit_rates_by_position(reads: DataFrame, sites: str = "sites") -> DataFrame:
+    """site, edits and rate: the share of reads with an edit at each site."""
+    long = reads.groupBy(sites).agg(F.count("*").alias("_n")).select("_n", F.posexplode(sites).alias("p", "s"))
+    return long.groupBy((F.col("p") + 1).alias("site")).agg(F.sum(F.when(F.col("s") != C.UNEDITED, F.col("_n")).otherwise(0)).alias("edits"), (F.sum(F.when(F.col("s") != C.UNEDITED, F.col("_n")).otherwise(0)) / F.sum("_n")).alias("rate"))
 
-def whitelist(counts: DataFrame, share: float = 0.002, apart: int = 3, candidates: int = 5000) -> list[str]:
-    """Barcodes by descending count (ties by name) that hold ``share`` of all and are ``apart`` or more mismatches from each already taken. 1/share of them can qualify."""
+
+def symbol_usage(reads: DataFrame, barcode: str = "tape", sites: str = "sites", first: int = 3) -> DataFrame:
+    """barcode, insertion, n, rate (its share of the barcode's edits at sites ``first`` and later, times the number of insertions the barcode has) and log2 rate."""
+    long = counted(reads, barcode, sites).select(barcode, "_n", F.posexplode(sites).alias("p", "insertion")).filter((F.col("p") >= first - 1) & (F.col("insertion") != C.UNEDITED))
+    n = long.groupBy(barcode, "insertion").agg(F.sum("_n").alias("n"))
+    w = W.partitionBy(barcode)
+    rate = F.col("n") / F.sum("n").over(w) * F.count("*").over(w)
+    return n.withColumn("rate", rate).withColumn("log2rate", F.log2("rate"))
+
+
+def whitelist(counts: DataFrame, share: float = 0.002, apart: int = 3) -> list[str]:
+    """Barcodes by descending count (ties by name) that hold ``share`` of all and are ``apart`` or more mismatches from each already taken. No more than 1 / share of them can hold it."""
     total = counts.agg(F.sum("n")).first()[0] or 0
     out: list[str] = []
-    for r in counts.filter(F.col("n") >= share * total).orderBy(F.desc("n"), "barcode").limit(min(candidates, int(1 / share) + 1)).collect():
+    for r in counts.filter(F.col("n") >= share * total).orderBy(F.desc("n"), "barcode").collect():
         if all(sum(x != y for x, y in zip(r.barcode, o, strict=False)) >= apart for o in out):
             out.append(r.barcode)
     return out
@@ -119,27 +205,52 @@ def homes(patterns: DataFrame, key: str = "tape") -> DataFrame:
 
 
 def collapse(patterns: DataFrame, ratio: float = 2.0, key: str = "tape") -> DataFrame:
-    """key, sites and n after one-base errors were folded (``kernels.collapse_errors``). A barcode's distinct patterns are one group: their number is bounded by the read floor before."""
+    """key, sites and n after one-base errors were folded (``kernels.collapse_errors``).
+
+    A fold never leaves a connected component of the neighbour graph, and its order holds within it, so a task takes one component of one barcode, not the barcode.
+    """
     ship(patterns.sparkSession)
     kind = patterns.schema[key].dataType.simpleString()
+    text = F.array_join("sites", "|")
+    pairs = neighbour_pairs(patterns, key)
+    hashed = lambda c: F.xxhash64(key, c)
+    roots = components(pairs.select(hashed("a").alias("a"), hashed("b").alias("b")))
+    own = patterns.select(key, "sites", "n", hashed(text).alias("_id")).join(roots.withColumnRenamed("node", "_id"), "_id", "left").withColumn("_group", F.coalesce("root", "_id"))
 
     def fold(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rows = sorted(((tuple(s), int(n)) for s, n in zip(pdf.sites, pdf.n, strict=True)))
         out = K.collapse_errors(rows, ratio)
         return pd.DataFrame({key: [k[0]] * len(out), "sites": [list(p) for p in out], "n": list(out.values())})
 
-    return patterns.select(key, "sites", "n").groupBy(key).applyInPandas(fold, f"{key} {kind}, sites array<string>, n long")
+    lone = own.withColumn("_k", F.count("*").over(W.partitionBy(key, "_group")))
+    folded = lone.filter("_k > 1").select(key, "_group", "sites", "n").groupBy(key, "_group").applyInPandas(fold, f"{key} {kind}, sites array<string>, n long")
+    return folded.unionByName(lone.filter("_k = 1").select(key, "sites", "n"))
+
+
+def denoise(patterns: DataFrame, ratio: float = 2.0, min_reads: int = 2, cross_depth: int = 2, key: str = "tape", folding=collapse) -> tuple[DataFrame, DataFrame]:
+    """Clean ``patterns`` (key, sites, n), and key, raw, collapsed, chimera_filtered, ge_min_reads, cross_bc and clean: how many patterns each stage leaves (cross_bc: takes).
+
+    ``folding`` folds errors, chimeras go, then patterns under ``min_reads``; of patterns ``cross_depth`` deep or deeper only those at their home barcode stay.
+    """
+    folded = folding(patterns, ratio, key)
+    kept = cut(dechimera(folded.select(key, "sites", "n"), key).filter("not chimera").select(key, "sites", "n"))
+    floor = homes(kept.filter(F.col("n") >= min_reads), key).withColumn("cross", (C.depth(F.col("sites")) >= cross_depth) & ~F.col("is_home"))
+    n = lambda df, name: df.groupBy(key).agg(F.count("*").alias(name))
+    counts = n(patterns, "raw").join(n(folded, "collapsed"), key).join(n(kept, "chimera_filtered"), key, "left")
+    counts = counts.join(floor.groupBy(key).agg(F.count("*").alias("ge_min_reads"), F.count_if("cross").alias("cross_bc"), F.count_if(~F.col("cross")).alias("clean")), key, "left")
+    return floor.filter("not cross").select(key, "sites", "n"), counts.na.fill(0)
 
 
 def one_round_collapse(patterns: DataFrame, ratio: float = 2.0, key: str = "tape") -> DataFrame:
-    """The join form of ``collapse`` for large groups: each pattern that has a neighbour of ``ratio`` times its count goes to the most abundant one, once."""
+    """The join form of ``collapse``, key, sites and n: each pattern that has a neighbour of ``ratio`` times its count goes to the most abundant one, once."""
     text = F.array_join("sites", "|")
     own = patterns.select(key, text.alias("p"), "n")
     pairs = neighbour_pairs(patterns, key)
     both = pairs.unionByName(pairs.select(key, F.col("b").alias("a"), F.col("a").alias("b")))
     near = both.join(own.select(key, F.col("p").alias("a"), F.col("n").alias("na")), [key, "a"]).join(own.select(key, F.col("p").alias("b"), F.col("n").alias("nb")), [key, "b"])
     to = near.filter((F.col("nb") >= ratio * F.col("na")) & (F.col("nb") > F.col("na"))).groupBy(key, "a").agg(F.max_by("b", F.struct("nb", "b")).alias("to"))
-    return own.join(to.withColumnRenamed("a", "p"), [key, "p"], "left").groupBy(key, F.coalesce("to", "p").alias("p")).agg(F.sum("n").alias("n"))
+    out = own.join(to.withColumnRenamed("a", "p"), [key, "p"], "left").groupBy(key, F.coalesce("to", "p").alias("p")).agg(F.sum("n").alias("n"))
+    return out.select(key, F.split("p", r"\|").alias("sites"), "n")
 
 
 def merge_pairs(pairs: DataFrame, least: int = 15, most: int = 8, share: float = 0.3) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cladewright.catalog import VIEWS, query
 from cladewright.functions import columns as C
 from cladewright.operators import reads as R
+from cladewright.operators.scale import cut
 
 DNA = "translate(md5(CAST({} AS STRING)), '0123456789abcdef', 'ACGTACGTACGTACGT')"
 _SITE = ", ".join(f"CASE WHEN d >= {i} THEN substr(g, {3 * i - 2}, 3) ELSE 'U' END AS s{i}" for i in range(1, 7))
@@ -36,7 +37,7 @@ def with_sites(df: DataFrame) -> DataFrame:
   SELECT unnest(['total', 'edited', 'full', 'deep', 'first_side']) AS metric, unnest([count(*), count(*) FILTER (d > 0), count(*) FILTER (d = 6), count(*) FILTER (d >= 3), count(*) FILTER (side = 'B1')]) AS n, count(*) AS total FROM {sc_reads})""", "sc_reads")
 def read_funnel(reads: DataFrame) -> DataFrame:
     d = C.depth(all_sites())
-    return R.funnel(reads, {"total": F.lit(True), "edited": d > 0, "full": d == 6, "deep": d >= 3, "first_side": F.col("side") == "B1"})
+    return R.funnel(reads, {"total": F.lit(True), "edited": d > 0, "full": d == 6, "deep": d >= 3, "first_side": F.col("side") == "B1"}).withColumn("pct", F.round("pct", 4))
 
 
 _LONG = " UNION ALL ".join(f"SELECT tape, cell, {i} AS site, s{i} AS s FROM {{sc_reads}}" for i in range(1, 7))
@@ -46,7 +47,7 @@ _LONG = " UNION ALL ".join(f"SELECT tape, cell, {i} AS site, s{i} AS s FROM {{sc
   UNION ALL SELECT 'T99', unnest([1, 2, 3, 4, 5, 6]), 0, 0, 0.0""", "sc_reads")
 def site_edit_rate(reads: DataFrame) -> DataFrame:
     known = reads.select("tape").distinct().unionByName(reads.sparkSession.range(1).select(F.lit("T99").alias("tape")))
-    return R.site_rates(with_sites(reads), known)
+    return R.site_rates(with_sites(reads), known).withColumn("rate", F.round("rate", 6))
 
 
 @query("SELECT tape, pattern, n FROM {patterns}", "sc_reads")
@@ -67,7 +68,7 @@ def insertion_peak_vocab(reads: DataFrame) -> DataFrame:
 
 @query(f"""SELECT * FROM (SELECT site, s AS insertion, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY site), 6) AS share FROM ({_LONG}) q WHERE s <> 'U' GROUP BY site, s) z WHERE share >= 0.05""", "sc_reads")
 def insertion_spectrum(reads: DataFrame) -> DataFrame:
-    return R.spectrum(with_sites(reads), least=0.05)
+    return R.spectrum(with_sites(reads), least=0.05).withColumn("share", F.round("share", 6))
 
 
 @query("SELECT word, n, row_number() OVER (ORDER BY n DESC, word) AS rank FROM {barcodes} QUALIFY rank <= 200", "barcodes")
@@ -118,7 +119,7 @@ def parsed_reads(reads: DataFrame) -> DataFrame:
   t AS (SELECT tape, p, arg_max(q, (nb, q)) AS q FROM n GROUP BY tape, p)
   SELECT f.tape, coalesce(t.q, f.pattern) AS p, CAST(sum(f.n) AS BIGINT) AS n FROM {patterns} f LEFT JOIN t ON t.tape = f.tape AND t.p = f.pattern GROUP BY 1, 2""", "patterns")
 def one_round_collapse(patterns: DataFrame) -> DataFrame:
-    return R.one_round_collapse(with_sites(patterns))
+    return R.one_round_collapse(with_sites(patterns)).select("tape", F.array_join("sites", "|").alias("p"), "n")
 
 
 @query(None, "patterns")
@@ -141,3 +142,75 @@ def merge_rate(pairs: DataFrame) -> DataFrame:
     n = F.count("*")
     hits = F.count(F.when(F.col("merged"), 1))
     return R.merge_pairs(pairs).agg(n.alias("pairs"), hits.alias("merged"), F.round(hits / n, 6).alias("rate"))
+
+
+_BC = f"substr({DNA.format('tape')}, 1, 12)"
+
+
+def _monomer(k: int) -> str:
+    token = {1: "CASE m WHEN 6 THEN 'ACGGGA' WHEN 7 THEN CASE WHEN d >= 1 THEN 'AAAAAAGGA' ELSE '' END ELSE e1 END", 3: "CASE m WHEN 6 THEN 'ACGGGA' ELSE e3 END"}.get(k, f"CASE m WHEN 6 THEN '' ELSE e{k} END")
+    tail = {1: "CASE m WHEN 6 THEN 'TCAT' ELSE 'TGAT' END", 3: "CASE m WHEN 5 THEN 'TCAT' ELSE 'TGAT' END"}.get(k, "'TGAT'")
+    return f"'GGTGAGCACG' || {token} || {tail}"
+
+
+# One read in twenty has each kind of damage (m): 1 left flank, 2 a base of the barcode missing, 3 a base of it wrong, 4 an unknown barcode, 5 the junction of site 3, 6 sites out of order, 7 an insertion
+# that is no known one.
+VIEWS["bulk_reads"] = f"""SELECT read_no, cell, umi, tape, pattern, d, m, bc, concat('@c', CAST(cell AS STRING), ',P1,', umi, ',S', CAST(cell % 2 AS STRING)) AS header, repeat('I', 40) AS qual,
+  'TT' || CASE m WHEN 1 THEN 'GGCTTG' ELSE 'GGCATG' END || CASE m WHEN 2 THEN substr(bc, 1, 11) WHEN 3 THEN translate(substr(bc, 1, 1), 'ACGT', 'CATG') || substr(bc, 2, 11) WHEN 4 THEN 'TTTTTTTTTTTT' ELSE bc END || 'GCTCTGGATGAT'
+  || {' || '.join(_monomer(k) for k in range(1, 7))} || 'GGTGAGCCACAAGGCAATCC' AS seq
+  FROM (SELECT read_no, cell, umi, tape, pattern, d, read_no % 20 AS m, {_BC} AS bc, {', '.join(f"CASE WHEN s{k} = 'U' THEN '' ELSE s{k} || 'GGA' END AS e{k}" for k in range(1, 7))} FROM {{sc_reads}}) q"""
+VIEWS["whitelisted"] = "SELECT DISTINCT bc AS tapebc FROM {bulk_reads}"
+VIEWS["known_insertions"] = "SELECT DISTINCT insertion FROM (" + " UNION ALL ".join(f"SELECT s{k} AS insertion FROM {{sc_reads}}" for k in range(1, 7)) + ") q WHERE insertion <> 'U'"
+_RESOLVED = "m NOT IN (1, 2, 6) AND (m <> 5 OR d < 2)"
+_COUNTERS = f"""SELECT metric, n, round(100.0 * n / greatest(total, 1), 4) AS pct FROM (SELECT count(*) AS total,
+    unnest(['total_reads', 'bc_extractable', 'bc_in_whitelist', 'ordering_errors', 'all_sites_resolved', 'valid_reads']) AS metric,
+    unnest([count(*), count(*) FILTER (m NOT IN (1, 2)), count(*) FILTER (m NOT IN (1, 2, 4)), count(*) FILTER (m = 6), count(*) FILTER ({_RESOLVED}), count(*) FILTER ({_RESOLVED} AND m <> 4 AND (m <> 7 OR d < 1))]) AS n FROM {{bulk_reads}})"""
+
+
+@query(_COUNTERS, "bulk_reads", "whitelisted", "known_insertions")
+def parse_funnel(reads: DataFrame, whitelist: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    return R.parse_funnel(R.flagged(R.parse_bulk(cut(reads.select("seq"))), whitelist, vocabulary)).withColumn("pct", F.round("pct", 4))
+
+
+@query(f"""SELECT read_no, CASE WHEN m NOT IN (1, 2, 4) THEN bc END AS corrected, m = 6 AS error, {_RESOLVED} AND m <> 4 AND (m <> 7 OR d < 1) AS valid FROM {{bulk_reads}}""", "bulk_reads", "whitelisted", "known_insertions")
+def damaged_reads(reads: DataFrame, whitelist: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """What becomes of each damaged read."""
+    return R.flagged(R.parse_bulk(cut(reads.select("read_no", "seq"))), whitelist, vocabulary).select("read_no", "corrected", "error", "valid")
+
+
+@query("SELECT read_no, CASE WHEN m NOT IN (1, 2, 3, 4) THEN bc END AS barcode, concat('c', CAST(cell AS STRING)) AS cell, umi, concat('S', CAST(cell % 2 AS STRING)) AS sample, CASE WHEN m IN (5, 6, 7) THEN NULL ELSE pattern END AS pattern FROM {bulk_reads} WHERE cell % 2 = 1", "bulk_reads")
+def cell_reads(reads: DataFrame) -> DataFrame:
+    """Cells, UMIs and barcodes of single-cell reads of one sample, as headers and sequences say."""
+    parsed = R.parse_cells(cut(reads.select("read_no", "m", "header", "seq"))).filter(F.contains("sample", F.lit("S1")))
+    sound = ~F.col("m").isin(5, 6, 7)
+    return parsed.select("read_no", F.when(~F.col("m").isin(1, 2, 3, 4), F.col("barcode")).alias("barcode"), "cell", "umi", "sample", F.when(sound, F.array_join("sites", "|")).alias("pattern"))
+
+
+_ONE = """nb AS (SELECT a.tape, a.pattern AS p, b.pattern AS q, a.n AS na, b.n AS nb FROM {patterns} a JOIN {patterns} b ON a.tape = b.tape AND a.pattern <> b.pattern AND length(a.pattern) = length(b.pattern)
+    WHERE (CASE WHEN length(a.pattern) = length(b.pattern) THEN hamming(a.pattern, b.pattern) ELSE 9 END) = 1 AND b.n >= 2 * a.n AND b.n > a.n),
+  mv AS (SELECT tape, p, arg_max(q, (nb, q)) AS q FROM nb GROUP BY tape, p), co AS (SELECT f.tape, coalesce(mv.q, f.pattern) AS pattern, CAST(sum(f.n) AS BIGINT) AS n FROM {patterns} f LEFT JOIN mv ON mv.tape = f.tape AND mv.p = f.pattern GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_ONE}, p AS (SELECT tape, pattern, string_split(pattern, '|') AS s, n, row_number() OVER (PARTITION BY tape ORDER BY n DESC, pattern) AS rank FROM co), f AS (SELECT tape, pattern, s, rank FROM p WHERE pattern NOT LIKE '%U%'), k AS (SELECT f.*, unnest([1, 2, 3, 4, 5]) AS k FROM f),
+  ok AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.tape = p.tape AND k.pattern = p.pattern AND EXISTS (SELECT 1 FROM f a WHERE a.tape = k.tape AND a.rank < k.rank AND a.s[1:k.k] = k.s[1:k.k]) AND EXISTS (SELECT 1 FROM f b WHERE b.tape = k.tape AND b.rank < k.rank AND b.s[k.k+1:6] = k.s[k.k+1:6]))),
+  fl AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY n DESC, tape) > 1 AND s[1] <> 'U' AND s[2] <> 'U' AS cr FROM ok WHERE n >= 5)
+  SELECT tape, (SELECT count(*) FROM {{patterns}} r WHERE r.tape = t.tape) AS raw, (SELECT count(*) FROM co r WHERE r.tape = t.tape) AS collapsed, (SELECT count(*) FROM ok r WHERE r.tape = t.tape) AS chimera_filtered, (SELECT count(*) FROM fl r WHERE r.tape = t.tape) AS ge_min_reads,
+    (SELECT count(*) FROM fl r WHERE r.tape = t.tape AND cr) AS cross_bc, (SELECT count(*) FROM fl r WHERE r.tape = t.tape AND NOT cr) AS clean FROM (SELECT DISTINCT tape FROM {{patterns}}) t""", "patterns")
+def stage_counts(patterns: DataFrame) -> DataFrame:
+    return R.denoise(with_sites(patterns).select("tape", "sites", "n"), 2.0, 5, 2, folding=R.one_round_collapse)[1]
+
+
+@query(f"""SELECT * FROM (SELECT CASE WHEN site < 3 THEN '1-2' ELSE '3-6' END AS pool, s AS insertion, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY CASE WHEN site < 3 THEN '1-2' ELSE '3-6' END), 6) AS share FROM ({_LONG}) q WHERE s <> 'U' GROUP BY 1, 2) z WHERE share >= 0.05""", "sc_reads")
+def pooled_spectrum(reads: DataFrame) -> DataFrame:
+    return R.spectrum(with_sites(reads), least=0.05, pooled=True).withColumn("share", F.round("share", 6))
+
+
+@query(f"SELECT site, count(*) FILTER (s <> 'U') AS edits, round(count(*) FILTER (s <> 'U') / count(*), 6) AS rate FROM ({_LONG}) q GROUP BY site", "sc_reads")
+def edit_rate_by_position(reads: DataFrame) -> DataFrame:
+    return R.edit_rates_by_position(with_sites(reads)).withColumn("rate", F.round("rate", 6))
+
+
+@query(f"""WITH n AS (SELECT tape, s AS insertion, count(*) AS n FROM ({_LONG}) q WHERE s <> 'U' AND site >= 3 GROUP BY 1, 2), r AS (SELECT *, n / sum(n) OVER (PARTITION BY tape) * count(*) OVER (PARTITION BY tape) AS rate FROM n)
+  SELECT tape, insertion, n, round(rate, 6) AS rate, round(log2(rate), 6) AS log2rate FROM r""", "sc_reads")
+def symbol_usage(reads: DataFrame) -> DataFrame:
+    return R.symbol_usage(with_sites(reads)).withColumn("rate", F.round("rate", 6)).withColumn("log2rate", F.round("log2rate", 6))
