@@ -66,6 +66,24 @@ def consensus(called: DataFrame, least: int = 3, dominance: float = 0.9) -> Data
     return called.filter((F.col("support") >= least) & (F.col("dominance") >= dominance))
 
 
+def cell_qc(called: DataFrame) -> DataFrame:
+    """cell, n_loci, n_doublet_loci (branched), mean_dominance and molecules of the calls of each cell."""
+    return called.groupBy("cell").agg(F.count("*").alias("n_loci"), F.count_if("branched").alias("n_doublet_loci"), F.avg("dominance").alias("mean_dominance"), F.sum("support").alias("molecules"))
+
+
+def recovery(called: DataFrame, cells: DataFrame) -> DataFrame:
+    """tape, recovered and pct of all ``cells`` (cell)."""
+    n = cells.select("cell").distinct().agg(F.count("*").alias("_n"))
+    return called.groupBy("tape").agg(F.count("*").alias("recovered")).join(F.broadcast(n)).select("tape", "recovered", (100 * F.col("recovered") / F.col("_n")).alias("pct"))
+
+
+def molecules_per_cell(called: DataFrame, cells: DataFrame, n: str = "n") -> DataFrame:
+    """cells, recovered, mean and median of molecules of all ``cells`` (those without any count 0), and of the recovered ones."""
+    per = cells.select("cell").distinct().join(called.groupBy("cell").agg(F.sum(n).alias("_m")), "cell", "left")
+    all_, own = F.coalesce("_m", F.lit(0)), F.col("_m")
+    return per.agg(F.count("*").alias("cells"), F.count("_m").alias("recovered"), F.avg(all_).alias("mean_all"), F.percentile(all_, F.lit(0.5)).alias("median_all"), F.avg(own).alias("mean_recovered"), F.percentile(own, F.lit(0.5)).alias("median_recovered"))
+
+
 def fold_dropout(chains: DataFrame, key: str, ratio: float = 4.0, n_sites: int = 6, weight: str = "n") -> DataFrame:
     """key, chain and n after early stops were folded into deeper lineages.
 

@@ -82,9 +82,20 @@ def cell_qc_pivot(genotypes: DataFrame) -> DataFrame:
     return genotypes.groupBy("cell").agg(*[F.max(F.when(F.col("tape") == t, F.col("pattern"))).alias(t) for t in _T], F.count("*").alias("n_loci"), F.sum("n").alias("molecules"), F.round(F.avg("n"), 3).alias("mean_n"))
 
 
-@query("SELECT tape, count(*) AS recovered, round(100.0 * count(*) / 500, 4) AS pct FROM {genotypes} GROUP BY tape", "genotypes")
-def recovery_by_tape(genotypes: DataFrame) -> DataFrame:
-    return genotypes.groupBy("tape").agg(F.count("*").alias("recovered")).withColumn("pct", F.round(100 * F.col("recovered") / 500, 4))
+# A cell in seven has no genotype, and some cells lack a tape.
+VIEWS["all_cells"] = "SELECT DISTINCT cell FROM {genotypes}"
+VIEWS["some_calls"] = "SELECT * FROM {genotypes} WHERE cell % 7 <> 0 AND (cell + CAST(substr(tape, 2, 2) AS INT)) % 5 <> 0"
+
+
+@query("SELECT tape, count(*) AS recovered, round(100.0 * count(*) / (SELECT count(*) FROM {all_cells}), 4) AS pct FROM {some_calls} GROUP BY tape", "some_calls", "all_cells")
+def recovery_by_tape(calls: DataFrame, cells: DataFrame) -> DataFrame:
+    return L.recovery(calls, cells).withColumn("pct", F.round("pct", 4))
+
+
+@query("""WITH p AS (SELECT c.cell, sum(n) AS m FROM {all_cells} c LEFT JOIN {some_calls} s USING (cell) GROUP BY c.cell)
+  SELECT count(*) AS cells, count(m) AS recovered, round(avg(coalesce(m, 0)), 6) AS mean_all, CAST(median(coalesce(m, 0)) AS DOUBLE) AS median_all, round(avg(m), 6) AS mean_recovered, CAST(median(m) AS DOUBLE) AS median_recovered FROM p""", "some_calls", "all_cells")
+def molecules_per_cell(calls: DataFrame, cells: DataFrame) -> DataFrame:
+    return L.molecules_per_cell(calls, cells).withColumn("mean_all", F.round("mean_all", 6)).withColumn("mean_recovered", F.round("mean_recovered", 6))
 
 
 @query("""WITH m AS (SELECT cell, tape, umi, count(*) AS n FROM {sc_reads} GROUP BY cell, tape, umi), c AS (SELECT cell, count(*) AS umis FROM m GROUP BY cell)
@@ -174,11 +185,6 @@ def pendant_components(few: DataFrame) -> DataFrame:
     return p.groupBy("t", "c").agg(F.count("*").alias("shared"), F.sum("new").cast("long").alias("new_edits"), F.round(F.sum("new") / F.greatest(F.sum("pre"), F.lit(1)), 6).alias("per_shared"))
 
 
-@query(None, "sc_reads")
-def umi_molecules(reads: DataFrame) -> DataFrame:
-    return L.umi_molecules(reads.withColumn("sites", all_sites()), ["cell", "tape"], floor=1).select("cell", "tape", F.array_join("sites", "|").alias("pattern"), "molecules")
-
-
 _BEST = """u AS (SELECT *, array_to_string(string_split(prefix, '|')[1:depth-1], '|') AS node FROM t WHERE depth > 0),
   b AS (SELECT tape, node, prefix AS next, subtree AS weight FROM u QUALIFY row_number() OVER (PARTITION BY tape, node ORDER BY subtree DESC, prefix) = 1)"""
 _DOWN = ", ".join(f"m{k} AS (SELECT m.tape, coalesce(b.next, m.x) AS x, m.node, m.tip FROM m{k - 1} m LEFT JOIN b ON b.tape = m.tape AND b.node = m.x)" for k in range(1, 6))
