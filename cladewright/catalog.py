@@ -60,7 +60,7 @@ def query(sql: str | None, *names: str) -> Callable:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from .plans import files, imputation, lineages, reads, routing, statistics, timed, trees  # noqa: F401
+    from .plans import files, imputation, lineages, reads, routing, statistics, summaries, timed, trees  # noqa: F401
 
     return dict(QUERIES)
 

@@ -305,3 +305,107 @@ def break_cycles(matches: DataFrame) -> DataFrame:
     scored = least.join(matches.select("node", "score"), "node")
     held = scored.groupBy("low").agg(F.min_by("node", F.struct(-F.col("score"), "node")).alias("node")).select("node", F.lit(True).alias("held"))
     return matches.join(held, "node", "left").select("node", F.when(F.col("held").isNull(), F.col("match")).alias("parent"), F.coalesce("held", F.lit(False)).alias("held"))
+
+
+def binarised(nodes: DataFrame) -> DataFrame:
+    """node, parent, time and added: each node of k > 2 children gets k - 2 nodes below it, a chain at its own time, so that all have two children at most.
+
+    Children hang on the chain in the order of their ids; added nodes have negative ids that follow from the parent's and the place, where ids are 0 or more and a node
+    has under 1,000,000 children.
+    """
+    w = W.partitionBy("parent")
+    x = nodes.select("node", "parent", "time").withColumn("_r", F.row_number().over(w.orderBy("node"))).withColumn("_k", F.count("*").over(w))
+    extra = lambda place: -(F.col("parent") * 1_000_000 + place)
+    many = F.col("parent").isNotNull() & (F.col("_k") > 2)
+    hook = F.when(many & (F.col("_r") > 1), extra(F.least(F.col("_r") - 1, F.col("_k") - 2))).otherwise(F.col("parent"))
+    kept = x.select("node", hook.alias("parent"), "time", F.lit(False).alias("added"))
+    times = nodes.select(F.col("node").alias("parent"), F.col("time").alias("_t"))
+    chain = x.filter(many & (F.col("_r") <= F.col("_k") - 2)).join(times, "parent")
+    new = chain.select(extra(F.col("_r")).alias("node"), F.when(F.col("_r") == 1, F.col("parent")).otherwise(extra(F.col("_r") - 1)).alias("parent"), F.col("_t").alias("time"), F.lit(True).alias("added"))
+    return kept.unionByName(new)
+
+
+def rerooted(nodes: DataFrame, outgroup: int) -> DataFrame:
+    """node, parent and blen of the tree rooted where the leaf ``outgroup`` hangs, without it: branches on the way from there to the old root are turned round.
+
+    The way is found by pointer doubling. An old root that is left with one child stays as a node on its branch.
+    """
+    e = nodes.select("node", "parent", "blen")
+    hops = lifted(nodes)
+    way = cut(e.filter(F.col("node") == outgroup).select("node"))  # all that stand on the way: after the k-th table those up to 2 ** (k + 1) levels above
+    for table in hops:
+        way = cut(way.unionByName(way.join(table, "node").select(F.col("anc").alias("node"))).distinct())
+    turned = e.join(way, "node", "left_semi").filter(F.col("parent").isNotNull() & (F.col("node") != outgroup)).select(F.col("parent").alias("node"), F.col("node").alias("parent"), "blen")
+    first = e.filter(F.col("node") == outgroup).select(F.col("parent").alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(0.0).alias("blen"))
+    return e.join(way, "node", "left_anti").unionByName(turned).unionByName(first)
+
+
+def nonnegative(nodes: DataFrame) -> DataFrame:
+    """node, parent and blen: a branch of negative length becomes 0, and the branches below its node are shorter by as much, from the root down.
+
+    So a node's depth is the greatest sum of lengths on its way from the root so far (0 at least), and its length the difference to its parent's. Sums and greatest sums
+    of ways come by pointer doubling.
+    """
+    e = nodes.select("node", "parent", F.coalesce("blen", F.lit(0.0)).alias("blen"))
+    root = F.col("parent").isNull()
+    state = cut(e.select("node", "parent", F.col("parent").alias("up"), F.when(root, 0.0).otherwise(F.col("blen")).alias("sum"), F.when(root, 0.0).otherwise(F.greatest(F.lit(0.0), "blen")).alias("most")))
+    while not state.filter("up is not null").isEmpty():
+        far = state.select(F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("sum").alias("_s"), F.col("most").alias("_m"))
+        state = cut(state.join(far, F.col("up") == F.col("_n"), "left").select(
+            "node", "parent", F.col("_up").alias("up"), (F.col("sum") + F.coalesce("_s", F.lit(0.0))).alias("sum"), F.when(F.col("_s").isNull(), F.col("most")).otherwise(F.greatest("_m", F.col("_s") + F.col("most"))).alias("most")))
+    up = state.select(F.col("node").alias("parent"), F.col("most").alias("_d"))
+    return state.join(up, "parent", "left").select("node", "parent", (F.col("most") - F.col("_d")).alias("blen"))
+
+
+def synthetic_root(tapes: list[str], name: str = "root", alternative: str | None = None, n_sites: int = 6):
+    """A function of a session: rows cell, tape and sites of a cell without any edit, or, with ``alternative``, of an outgroup that has this token at every first site."""
+    sites = [alternative or C.UNEDITED] + [C.UNEDITED] * (n_sites - 1)
+    return lambda spark: spark.createDataFrame([(name, t, sites) for t in tapes], "cell string, tape string, sites array<string>")
+
+
+def cousins(nodes: DataFrame, queries: DataFrame, k: int = 10, by: str = "day") -> DataFrame:
+    """a, b, distance and rank: the ``k`` nodes nearest to each of ``queries`` (node) along the tree among those of the same ``by``, but for itself, its ancestors and its descendants; ties: the least node.
+
+    ``nodes`` has node, parent, pre, last, time and ``by``. All of a group are candidates of each query in it, so queries are a stated set.
+    """
+    n = nodes.select("node", by, "pre", "last")
+    q = n.join(queries.select("node"), "node", "left_semi").select(F.col("node").alias("a"), by, F.col("pre").alias("_p"), F.col("last").alias("_l"))
+    kin = (F.col("pre").between(F.col("_p"), F.col("_l"))) | (F.col("_p").between(F.col("pre"), F.col("last")))
+    pairs = q.join(n, by).filter(~kin).select("a", F.col("node").alias("b"))
+    near = patristic(nodes, pairs).select("a", "b", "distance")
+    return near.withColumn("rank", F.row_number().over(W.partitionBy("a").orderBy("distance", "b"))).filter(F.col("rank") <= k)
+
+
+def anchors(nodes: DataFrame, survivors: DataFrame, lost: DataFrame) -> DataFrame:
+    """node and anchor of each lost leaf: the surviving leaf with the least pre below its nearest ancestor that has any. ``nodes`` has node, parent, pre, last, is_leaf."""
+    keep = survivors.select("node").withColumn("_keep", F.lit(True))
+    alive = nodes.drop("tips").join(keep, "node", "left").withColumn("is_leaf", F.coalesce("_keep", F.lit(False)) & F.col("is_leaf")).drop("_keep")
+    counted = cut(tips_below(alive))
+    up = nearest_marked(counted.select("node", "parent", (F.col("tips") > 0).alias("marked"))).join(lost.select("node"), "node", "left_semi")
+    spans = up.filter("up is not null").join(counted.select(F.col("node").alias("up"), F.col("pre").alias("_pre")), "up").select("node", "_pre")
+    leaves = counted.filter("is_leaf").select((-F.col("pre")).alias("pre"), F.col("node").alias("anchor"))
+    # the first surviving leaf at or after the ancestor's place is below it
+    found = last_before(spans.select("node", (-F.col("_pre")).alias("pre")), leaves, "pre")
+    return found.select("node", F.col("_mark.anchor").alias("anchor"))
+
+
+def distances_from(edges: DataFrame, root: str) -> DataFrame:
+    """node and depth: the least number of steps from ``root`` over the edges (src, dst) of a small graph of states; a round for each step."""
+    edges = cut(edges.select("src", "dst").distinct())
+    seen = cut(edges.sparkSession.createDataFrame([(root,)], "node string").withColumn("depth", F.lit(0)))
+    front, depth = seen, 0
+    while True:
+        depth += 1
+        front = cut(edges.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        if front.isEmpty():
+            return seen
+        seen = cut(seen.unionByName(front))
+
+
+def unrelated_pairs(leaves: DataFrame, siblings: DataFrame, seed: int = 1, digits: int = 2) -> DataFrame:
+    """a and b (a < b): leaves (node, cls) paired within their type by a hash, each with the next in that order (among those whose hash begins with the same ``digits``), but for ``siblings`` (a, b): a control sample of pairs of one type."""
+    key = F.md5(F.concat_ws(":", F.lit(seed), "node").cast("binary"))
+    x = leaves.select("node", "cls").withColumn("_k", key)
+    after = F.lead("node").over(W.partitionBy("cls", F.substring("_k", 1, digits)).orderBy("_k", "node"))
+    pairs = x.select("node", after.alias("_b")).filter("_b is not null").select(F.least("node", "_b").alias("a"), F.greatest("node", "_b").alias("b"))
+    return pairs.join(siblings.select("a", "b"), ["a", "b"], "left_anti")

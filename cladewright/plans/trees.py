@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from cladewright.catalog import VIEWS, query
 from cladewright.operators import trees as T
@@ -107,10 +108,13 @@ def pruned_tree(nodes: DataFrame) -> DataFrame:
     return T.prune(r, r.filter("is_leaf and node % 3 = 0")).withColumn("blen", F.round("blen", 6))
 
 
-@query(None, "nodes")
+_UPW = _DESC + ", alive AS (SELECT DISTINCT anc FROM d JOIN {nodes} n ON n.node = d.node WHERE n.is_leaf), k AS (SELECT parent, count(*) AS k FROM {nodes} JOIN alive ON anc = node GROUP BY parent), w AS (SELECT node AS anc, node, 1.0E0 AS w FROM {nodes} UNION ALL SELECT w.anc, n.node, w.w / k.k FROM w JOIN {nodes} n ON n.parent = w.node JOIN k ON k.parent = w.node)"
+
+
+@query(f"WITH RECURSIVE {_UPW} SELECT anc AS node, round(sum(w * (n.node % 11)), 6) AS v0, round(sum(w * (n.node % 7)), 6) AS v1 FROM w JOIN {{nodes}} n ON n.node = w.node WHERE n.is_leaf GROUP BY anc", "nodes")
 def children_mean_vectors(nodes: DataFrame) -> DataFrame:
     leaves = nodes.filter("is_leaf").select("node", F.array((F.col("node") % 11).cast("double"), (F.col("node") % 7).cast("double")).alias("v"))
-    return T.children_means(nodes, leaves, 2)
+    return T.children_means(nodes, leaves, 2).select("node", *[F.round(F.get("v", F.lit(i)), 6).alias(f"v{i}") for i in range(2)])
 
 
 @query("SELECT n.node AS tip, n.node + 1000000 AS cell, round(greatest(p.time, 12.0 - (n.node % 9)), 9) AS time, CAST(1 AS BIGINT) AS place FROM {nodes} n JOIN {nodes} p ON p.node = n.parent WHERE n.is_leaf", "nodes")
@@ -120,8 +124,93 @@ def grafted_cells(nodes: DataFrame) -> DataFrame:
     return T.grafted(dated, cells, 12.0).withColumn("place", F.col("place").cast("long"))
 
 
-@query(None, "nodes")
+@query("SELECT node AS tree_id, printf('((a%d:1,b:2.50)x:1,(c:1,d:0,e:3e-1):2);', node) AS newick, true AS same FROM {nodes}", "nodes")
 def newick_round_trip(nodes: DataFrame) -> DataFrame:
     texts = nodes.select(F.col("node").alias("tree_id"), F.format_string("((a%d:1,b:2.50)x:1,(c:1,d:0,e:3e-1):2);", "node").alias("newick"))
     back = T.write_newick(T.read_newick(texts))
-    return texts.join(back.withColumnRenamed("newick", "written"), "tree_id").withColumn("same", F.col("newick") == F.col("written"))
+    return texts.join(back.withColumnRenamed("newick", "written"), "tree_id").select("tree_id", F.col("written").alias("newick"), (F.col("newick") == F.col("written")).alias("same"))
+
+
+@query("""SELECT node AS tree_id, unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS pre, unnest([0.0E0, 1.0, 2.0, 3.5, 2.0, 3.0, 2.0, 2.3]) AS time, unnest([7, 3, 2, 3, 7, 5, 6, 7]) AS last, unnest([false, false, true, true, false, true, true, true]) AS is_leaf FROM {nodes}""", "nodes")
+def newick_nodes(nodes: DataFrame) -> DataFrame:
+    """Ranks, times and leaves of Newick texts."""
+    texts = nodes.select(F.col("node").alias("tree_id"), F.format_string("((a%d:1,b:2.50)x:1,(c:1,d:0,e:3e-1):2);", "node").alias("newick"))
+    return T.read_newick(texts).select("tree_id", "pre", F.round("time", 6).alias("time"), "last", "is_leaf")
+
+
+# Node i has parent i div 5, so that inner nodes have five children.
+VIEWS["bushy"] = "SELECT i AS node, CASE WHEN i > 0 THEN CAST(floor((i - 1) / 5.0) AS BIGINT) END AS parent, i / 10.0E0 AS time FROM (SELECT c_custkey - 1 AS i FROM {customer} WHERE c_custkey > 0) q"
+
+
+@query("""WITH x AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY node) AS r, count(*) OVER (PARTITION BY parent) AS k FROM {bushy})
+  SELECT node, CASE WHEN parent IS NOT NULL AND k > 2 AND r > 1 THEN -(parent * 1000000 + least(r - 1, k - 2)) ELSE parent END AS parent, time, false AS added FROM x
+  UNION ALL SELECT -(x.parent * 1000000 + r), CASE WHEN r = 1 THEN x.parent ELSE -(x.parent * 1000000 + r - 1) END, p.time, true FROM x JOIN {bushy} p ON p.node = x.parent WHERE k > 2 AND r <= k - 2""", "bushy")
+def binarised_tree(bushy: DataFrame) -> DataFrame:
+    return T.binarised(bushy)
+
+
+VIEWS["lengths"] = "SELECT node, parent, is_leaf, (node * 7 % 13 - 3) / 8.0E0 AS blen FROM {nodes}"
+
+
+@query("""WITH RECURSIVE o AS (SELECT max(node) AS o FROM {nodes}), up AS (SELECT node, parent, blen FROM {lengths}, o WHERE node = o UNION ALL SELECT l.node, l.parent, l.blen FROM up JOIN {lengths} l ON l.node = up.parent)
+  SELECT node, parent, blen FROM {lengths} WHERE node NOT IN (SELECT node FROM up) UNION ALL SELECT parent, node, blen FROM up, o WHERE parent IS NOT NULL AND node <> o UNION ALL SELECT parent, NULL, 0.0 FROM up, o WHERE node = o""", "lengths")
+def rerooted_tree(lengths: DataFrame) -> DataFrame:
+    return T.rerooted(lengths, lengths.agg(F.max("node")).first()[0])
+
+
+@query("""WITH RECURSIVE t AS (SELECT node, parent, 0.0E0 AS owed, CAST(NULL AS DOUBLE) AS blen FROM {lengths} WHERE parent IS NULL
+  UNION ALL SELECT l.node, l.parent, CASE WHEN l.blen + t.owed < 0 THEN l.blen + t.owed ELSE 0 END, greatest(l.blen + t.owed, 0) FROM t JOIN {lengths} l ON l.parent = t.node) SELECT node, parent, round(blen, 6) AS blen FROM t""", "lengths")
+def nonnegative_lengths(lengths: DataFrame) -> DataFrame:
+    return T.nonnegative(lengths).withColumn("blen", F.round("blen", 6))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS node, CAST(NULL AS BIGINT) AS parent, 0.0E0 AS time UNION ALL SELECT node, coalesce(parent, 0), time + 1.5 FROM {nodes} UNION ALL SELECT node + 1000000, coalesce(parent + 1000000, 0), time + 1.5 FROM {nodes} WHERE node < 64", "nodes")
+def merged_sides(nodes: DataFrame) -> DataFrame:
+    other = nodes.filter("node < 64").select((F.col("node") + 1000000).alias("node"), (F.col("parent") + 1000000).alias("parent"), "time")
+    return T.merged([nodes, other], 0, 1.5)
+
+
+# Matches run up the tree, but for each node that 16 divides, which closes a cycle over its four ancestors.
+VIEWS["matches"] = "SELECT node, CASE WHEN node % 16 = 0 AND node >= 16 THEN node ELSE parent END AS match, node * 37 % 101 + 0.0E0 AS score FROM (SELECT node, CASE WHEN parent IS NULL THEN (SELECT max(node) FROM {nodes} WHERE node < 16) ELSE parent END AS parent FROM {nodes}) q"
+
+
+@query("""WITH RECURSIVE c AS (SELECT node AS start, match AS hop, 1 AS k FROM {matches} UNION ALL SELECT c.start, m.match, c.k + 1 FROM c JOIN {matches} m ON m.node = c.hop WHERE c.hop <> c.start AND c.k < 40),
+  cy AS (SELECT DISTINCT start FROM c WHERE hop = start), me AS (SELECT c.start, min(least(c.start, c.hop)) AS low FROM c JOIN cy USING (start) GROUP BY c.start),
+  h AS (SELECT me.start AS node FROM me JOIN {matches} m ON m.node = me.start QUALIFY row_number() OVER (PARTITION BY low ORDER BY score DESC, me.start) = 1)
+  SELECT m.node, CASE WHEN h.node IS NULL THEN m.match END AS parent, h.node IS NOT NULL AS held FROM {matches} m LEFT JOIN h ON h.node = m.node""", "matches")
+def broken_cycles(matches: DataFrame) -> DataFrame:
+    return T.break_cycles(matches)
+
+
+_REL = f"{_DESC}, m AS (SELECT x.node AS a, y.node AS b, max(x.anc) AS mrca FROM d x JOIN d y ON y.anc = x.anc JOIN {{nodes}} p ON p.node = x.node JOIN {{nodes}} q ON q.node = y.node AND q.depth = p.depth WHERE x.node % 50 = 0 AND x.node <> y.node GROUP BY 1, 2)"
+
+
+@query(f"""WITH RECURSIVE {_REL}, c AS (SELECT a, b, round(p.time + q.time - 2 * z.time, 6) AS distance FROM m JOIN {{nodes}} p ON p.node = a JOIN {{nodes}} q ON q.node = b JOIN {{nodes}} z ON z.node = mrca WHERE mrca <> a AND mrca <> b)
+  SELECT a, b, distance, row_number() OVER (PARTITION BY a ORDER BY distance, b) AS rank FROM c QUALIFY rank <= 10""", "nodes")
+def nearest_cousins(nodes: DataFrame) -> DataFrame:
+    tree = cut(T.nested_set(nodes.drop("depth"))).withColumn("day", F.col("depth"))
+    out = T.cousins(tree, nodes.filter("node % 50 = 0").select("node"), 10)
+    return out.withColumn("distance", F.round("distance", 6)).withColumn("rank", F.row_number().over(W.partitionBy("a").orderBy("distance", "b")).cast("long"))
+
+
+@query(f"""WITH RECURSIVE {_DESC}, lo AS (SELECT node FROM {{nodes}} WHERE is_leaf AND node % 4 <> 1), su AS (SELECT node FROM {{nodes}} WHERE is_leaf AND node % 4 = 1 AND node % 3 = 0),
+  k AS (SELECT d.anc, count(*) AS n FROM d JOIN su ON su.node = d.node GROUP BY 1), u AS (SELECT lo.node, max(d.anc) AS up FROM lo JOIN d ON d.node = lo.node AND d.anc <> lo.node JOIN k ON k.anc = d.anc GROUP BY 1),
+  key AS (SELECT su.node, d.anc, su.node << (20 - CAST(length(bin(su.node)) AS INT)) AS place FROM su JOIN d ON d.node = su.node) SELECT u.node, arg_min(key.node, place) AS anchor FROM u JOIN key ON key.anc = u.up GROUP BY u.node""", "nodes")
+def true_anchors(nodes: DataFrame) -> DataFrame:
+    leaf = nodes.filter("is_leaf")
+    return T.anchors(cut(ranked(nodes)), leaf.filter("node % 4 = 1 and node % 3 = 0"), leaf.filter("node % 4 <> 1"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT concat('s', CAST(n_nationkey AS VARCHAR)) AS src, concat('s', CAST(x AS VARCHAR)) AS dst FROM (SELECT n_nationkey, unnest([n_nationkey * 2 % 25, (n_nationkey + 7) % 25]) AS x FROM {nation} WHERE n_nationkey % 6 <> 5)),
+  b AS (SELECT 's1' AS node, 0 AS depth UNION SELECT e.dst, depth + 1 FROM b JOIN e ON e.src = b.node WHERE depth < 30) SELECT node, CAST(min(depth) AS INT) AS depth FROM b GROUP BY node""", "nation")
+def state_graph_depths(nation: DataFrame) -> DataFrame:
+    k = F.col("n_nationkey")
+    edges = nation.filter("n_nationkey % 6 <> 5").select(k.alias("k"), F.explode(F.array(k * 2 % 25, (k + 7) % 25)).alias("x"))
+    return T.distances_from(edges.select(F.concat(F.lit("s"), F.col("k").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("x").cast("string")).alias("dst")), "s1")
+
+
+@query("""WITH x AS (SELECT node, celltype, parent, md5('1:' || CAST(node AS VARCHAR)) AS k FROM {nodes} WHERE is_leaf), y AS (SELECT node, lead(node) OVER (PARTITION BY celltype, substr(k, 1, 1) ORDER BY k, node) AS b FROM x), p AS (SELECT least(node, b) AS a, greatest(node, b) AS b FROM y WHERE b IS NOT NULL)
+  SELECT a, b FROM p WHERE NOT EXISTS (SELECT 1 FROM {nodes} m JOIN {nodes} n ON n.parent = m.parent WHERE m.node = p.a AND n.node = p.b)""", "nodes")
+def control_pairs(nodes: DataFrame) -> DataFrame:
+    leaves = nodes.filter("is_leaf")
+    return T.unrelated_pairs(leaves.select("node", F.col("celltype").alias("cls")), T.sibling_pairs(leaves), digits=1)
