@@ -2,22 +2,47 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cladewright.functions import columns as C
+from cladewright.shipping import ship
+
+
+def packed(vectors: DataFrame, prefix: str, per: int = 2048) -> DataFrame:
+    """Rows (id, v) in blocks of about ``per``: one row for each, with ids and their vectors."""
+    blocks = max(1, -(-vectors.count() // per))
+    at = vectors.select("id", F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("_b"))
+    return at.groupBy("_b").agg(F.collect_list(F.struct("id", "v")).alias("_x")).select(F.col("_x.id").alias(f"{prefix}_ids"), F.col("_x.v").alias(f"{prefix}_v"))
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """q, c, distance and rank of the k nearest others of each query (id, v): exact, each query against all vectors; equal distances go to the least id.
 
-    Queries are a stated set, dealt in blocks that each meet every block of vectors; only k rows for each query and block are kept before ranks meet.
+    Queries are a stated set, dealt in blocks that each meet every block of vectors in one row; a block pair is compared as matrices and gives k rows for each query.
     """
-    d = queries.select(F.col("id").alias("q"), F.col("v").alias("qv")).join(vectors.select(F.col("id").alias("c"), "v", F.pmod(F.xxhash64("id"), F.lit(64)).alias("blk")), F.col("q") != F.col("c"))
-    d = d.select("q", "c", "blk", C.euclid(F.col("qv"), F.col("v")).alias("distance"))
-    near = d.withColumn("r", F.row_number().over(W.partitionBy("q", "blk").orderBy("distance", "c"))).filter(F.col("r") <= k)
-    return near.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy("distance", "c"))).filter(F.col("rank") <= k).select("q", "c", F.round("distance", 5).alias("distance"), F.col("rank").cast("long").alias("rank"))
+    ship(vectors.sparkSession)
+    met = packed(queries, "q").crossJoin(packed(vectors, "c"))  # blocks, not rows
+
+    def nearest(batches):
+        for pdf in batches:
+            for qi, qv, ci, cv in zip(pdf.q_ids, pdf.q_v, pdf.c_ids, pdf.c_v, strict=True):
+                own, other, ids = np.stack(qv), np.stack(cv), np.asarray(ci)
+                out = []
+                for low in range(0, len(own), 64):
+                    d = np.sqrt(((own[low:low + 64, None, :] - other[None]) ** 2).sum(2))
+                    for r, q in enumerate(qi[low:low + 64]):
+                        d[r, ids == q] = np.inf
+                        edge = np.partition(d[r], min(k, len(ids)) - 1)[min(k, len(ids)) - 1]
+                        near = np.flatnonzero((d[r] <= edge) & (d[r] < np.inf))
+                        near = near[np.lexsort((ids[near], d[r, near]))][:k]
+                        out += [(q, ids[j], d[r, j]) for j in near]
+                yield pd.DataFrame(out, columns=["q", "c", "distance"])
+
+    near = met.mapInPandas(nearest, "q long, c long, distance double")
+    return near.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy("distance", "c"))).filter(F.col("rank") <= k).select("q", "c", "distance", F.col("rank").cast("long").alias("rank"))
 
 
 def mutual(edges: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -117,7 +119,7 @@ def shuffled(labels: DataFrame, replicates: int, seed: int = 1, stratum: str | N
     """rep, node and cls: labels shuffled within strata, once for each replicate. The order is that of a hash of (node, rep, seed), so any partitioning gives the same."""
     by = ["rep"] + ([stratum] if stratum else [])
     reps = labels.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    to = reps.withColumn("_k", F.row_number().over(W.partitionBy(*by).orderBy(F.xxhash64("node", "rep", F.lit(seed)), "node"))).select(*by, "node", "_k")
+    to = reps.withColumn("_k", F.row_number().over(W.partitionBy(*by).orderBy(F.md5(F.concat_ws(":", F.lit(seed), "rep", "node").cast("binary")), "node"))).select(*by, "node", "_k")
     what = reps.withColumn("_k", F.row_number().over(W.partitionBy(*by).orderBy("node"))).select(*by, "cls", "_k")
     return to.join(what, [*by, "_k"]).drop("_k")
 
@@ -126,3 +128,28 @@ def captured_pairings(pairs: DataFrame) -> DataFrame:
     """One partner for each cell (a, b, disc, shared): the least disc, then the most shared, then the least b."""
     w = W.partitionBy("a").orderBy("disc", F.desc("shared"), "b")
     return pairs.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+
+
+def uniform(*parts: object) -> Column:
+    """A number in (0, 1) from the md5 of ``parts``: the same for any partitioning."""
+    text = F.concat_ws(":", *[p if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / float(16**12)
+
+
+def geometric_sizes(founders: DataFrame, p: float, replicates: int, seed: int = 1) -> DataFrame:
+    """rep, founder and n: clone sizes of a pure birth process, geometric from 1 on with chance ``p``, for each founder and replicate."""
+    reps = founders.select("founder", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
+    u = uniform(seed, F.col("rep"), F.col("founder"))
+    return reps.select("rep", "founder", (1 + F.floor(F.ln(u) / math.log1p(-p))).cast("long").alias("n"))
+
+
+def null_band(values: DataFrame, by: str, value: str, low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """by, median, lo and hi of ``value`` over replicates."""
+    q = F.percentile(value, F.array(F.lit(low), F.lit(0.5), F.lit(high)))
+    return values.groupBy(by).agg(q.alias("_q")).select(by, F.get("_q", F.lit(1)).alias("median"), F.get("_q", F.lit(0)).alias("lo"), F.get("_q", F.lit(2)).alias("hi"))
+
+
+def permutation_moments(counts: DataFrame, keys: list[str], replicates: int) -> DataFrame:
+    """keys, mean and variance of ``n`` over ``replicates``; replicates without a row count 0."""
+    s, q, r = F.sum("n"), F.sum(F.col("n") * F.col("n")), F.lit(replicates)
+    return counts.groupBy(*keys).agg((s / r).alias("mean"), ((q - s * s / r) / (r - 1)).alias("variance"))

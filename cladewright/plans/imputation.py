@@ -18,7 +18,7 @@ def nearest(e: DataFrame, some: str = "id % 20 = 0") -> DataFrame:
 
 @query(f"WITH {_KNN} SELECT q, c, round(d, 5) AS distance, row_number() OVER (PARTITION BY q ORDER BY d, c) AS rank FROM knn", "embeddings")
 def knn_topk(embeddings: DataFrame) -> DataFrame:
-    return nearest(embeddings)
+    return nearest(embeddings).withColumn("distance", F.round("distance", 5))
 
 
 @query(f"WITH {_KNN.replace('a.vec_id % 20 = 0 AND ', '')} SELECT x.q AS a, x.c AS b FROM knn x JOIN knn y ON y.q = x.c AND y.c = x.q WHERE x.q < x.c", "embeddings")

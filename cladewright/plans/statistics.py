@@ -74,12 +74,40 @@ def captured_pairings(lineitem: DataFrame) -> DataFrame:
     return S.captured_pairings(lineitem.select(F.col("l_orderkey").alias("a"), F.col("l_partkey").alias("b"), (F.col("l_linenumber") % 3).alias("disc"), (F.col("l_suppkey") % 5).alias("shared")))
 
 
-@query(None, "nodes")
-def permuted_concordance(nodes: DataFrame) -> DataFrame:
-    """Mean and variance over 20 shuffles of the sibling pairs of one type; it agrees with the closed form."""
-    leaves = nodes.filter("is_leaf").select("node", F.col("celltype").alias("cls"))
-    s = S.shuffled(leaves, 20)
+_U = "(CAST('0x' || substr(md5('1:' || CAST(rep AS VARCHAR) || ':' || CAST(founder AS VARCHAR)), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0"
+
+
+@query(f"""WITH g AS (SELECT rep, founder, CAST(1 + floor(ln({_U}) / ln(1 - 0.05)) AS BIGINT) AS n FROM (SELECT n_nationkey AS founder, unnest(range(1, 51)) AS rep FROM {{nation}})), r AS (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY n) AS r FROM g),
+  i AS (SELECT rep, 2 * sum(r * n) / (count(*) * sum(n)) - (count(*) + 1) / count(*) AS gini FROM r GROUP BY rep) SELECT 'all' AS grp, round(quantile_cont(gini, 0.5), 6) AS median, round(quantile_cont(gini, 0.025), 6) AS lo, round(quantile_cont(gini, 0.975), 6) AS hi FROM i""", "nation")
+def gini_null(nation: DataFrame) -> DataFrame:
+    """The band of the Gini index of clone sizes under a pure birth process."""
+    sizes = S.geometric_sizes(nation.select(F.col("n_nationkey").alias("founder")), 0.05, 50)
+    band = S.null_band(S.gini(sizes, "rep").withColumn("grp", F.lit("all")), "grp", "gini")
+    return band.select("grp", *[F.round(c, 6).alias(c) for c in ("median", "lo", "hi")])
+
+
+def concordance_null(nodes: DataFrame, stratum: str | None) -> DataFrame:
+    leaves = nodes.filter("is_leaf").select("node", F.col("celltype").alias("cls"), (F.col("node") % 2).alias("side"))
+    s = S.shuffled(leaves, 20, stratum=stratum)
     pairs = T.sibling_pairs(nodes.filter("is_leaf"))
     both = pairs.join(s.select(F.col("node").alias("a"), "rep", F.col("cls").alias("ca")), "a").join(s.select(F.col("node").alias("b"), "rep", F.col("cls").alias("cb")), ["b", "rep"])
     per = both.groupBy("rep", F.col("ca").alias("cls")).agg(F.count_if(F.col("ca") == F.col("cb")).alias("n"))
-    return per.groupBy("cls").agg(F.avg("n").alias("mean"), F.var_samp("n").alias("variance"))
+    return S.permutation_moments(per, ["cls"], 20).select("cls", F.round("mean", 6).alias("mean"), F.round("variance", 6).alias("variance"))
+
+
+def _null(stratum: str) -> str:
+    return f"""WITH l AS (SELECT node, parent, celltype AS cls, {stratum} AS side, rep FROM {{nodes}}, (SELECT unnest(range(1, 21)) AS rep) WHERE is_leaf), t AS (SELECT *, row_number() OVER (PARTITION BY rep, side ORDER BY md5('1:' || CAST(rep AS VARCHAR) || ':' || CAST(node AS VARCHAR)), node) AS k, row_number() OVER (PARTITION BY rep, side ORDER BY node) AS j FROM l),
+  s AS (SELECT a.rep, a.node, a.parent, b.cls FROM t a JOIN t b ON a.rep = b.rep AND a.side = b.side AND a.k = b.j), p AS (SELECT x.rep, x.cls, count(*) FILTER (x.cls = y.cls) AS n FROM s x JOIN s y ON x.rep = y.rep AND x.parent = y.parent AND x.node < y.node GROUP BY 1, 2)
+  SELECT cls, round(sum(n) / 20, 6) AS mean, round((sum(n * n) - sum(n) * sum(n) / 20) / 19, 6) AS variance FROM p GROUP BY cls"""
+
+
+@query(_null("0"), "nodes")
+def permuted_concordance(nodes: DataFrame) -> DataFrame:
+    """Mean and variance over 20 shuffles of the sibling pairs of one type; the mean is near that of the closed form."""
+    return concordance_null(nodes, None)
+
+
+@query(_null("node % 2"), "nodes")
+def stratified_concordance(nodes: DataFrame) -> DataFrame:
+    """The same with labels shuffled within each of two strata."""
+    return concordance_null(nodes, "side")

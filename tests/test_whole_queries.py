@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cladewright import catalog
 
@@ -88,3 +89,80 @@ def test_mutual_pairs_of_all_rows(spark):
     near = {int(i): set(ids[np.lexsort((ids, d[k]))[:10]].tolist()) for k, i in enumerate(ids)}
     want = {(a, b) for a in near for b in near[a] if a < b and a in near[b]}
     assert {(r.a, r.b) for r in catalog.queries()["mutual_nn"](spark, SF).collect()} == want
+
+
+def test_collapse_by_components_equals_collapse_of_whole_barcodes(spark):
+    from cladewright.functions import kernels as K
+
+    want = set()
+    by = {}
+    for r in catalog.view(spark, SF, "patterns").collect():
+        by.setdefault(r.tape, []).append((tuple(r[f"s{i}"] for i in range(1, 7)), r.n))
+    for tape, rows in by.items():
+        want |= {(tape, "|".join(p), n) for p, n in K.collapse_errors(sorted(rows), 2.0).items()}
+    assert {(r.tape, r.pattern, r.n) for r in catalog.queries()["collapsed_patterns"](spark, SF).collect()} == want
+
+
+def test_leading_axis_equals_dense_algebra(spark):
+    from cladewright.operators import routing as R
+    from cladewright.plans.routing import alleles
+
+    rows = alleles(catalog.view(spark, SF, "routable")).filter("cell < 120")
+    weights = R.rarity(rows)
+    w = {(r.tape, r.allele): r.weight for r in weights.collect() if r.allele != "U" and r.weight > 0}
+    cells, names = sorted({r.cell for r in rows.collect()}), sorted(w)
+    x = np.zeros((len(cells), len(names)))
+    for r in rows.collect():
+        if (r.tape, r.allele) in w:
+            x[cells.index(r.cell), names.index((r.tape, r.allele))] = np.sqrt(w[r.tape, r.allele])
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    y = x - x.mean(0)
+    want = y @ np.linalg.eigh(y.T @ y)[1][:, -1]
+    scores = R.leading_axis(rows, weights)
+    got = {r.cell: r.score for r in scores.collect()}
+    got = np.array([got[c] for c in cells])
+    np.testing.assert_allclose(np.abs(got), np.abs(want), atol=1e-8)
+    v, best = np.sort(got), (-1.0, 0)
+    for t in np.unique(np.clip((np.linspace(0.02, 0.98, 385) * len(v)).astype(int), 1, len(v) - 1)):
+        f = t / len(v)
+        best = max(best, (f * (1 - f) * (v[t:].mean() - v[:t].mean()) ** 2, -t))
+    t = -best[1]
+    assert R.best_split(scores) == pytest.approx((v[t - 1] + v[t]) / 2)
+
+
+def test_tree_cache_and_manifest(spark, tmp_path):
+    import json
+
+    from cladewright.sources import tables
+
+    (tmp_path / "a.nwk").write_text("(a:1,b:2);")
+    key = tables.content_key(spark, [str(tmp_path / "a.nwk")], k=1)
+    assert key == tables.content_key(spark, [str(tmp_path / "a.nwk")], k=1) != tables.content_key(spark, [str(tmp_path / "a.nwk")], k=2)
+    made = []
+    for _ in range(2):
+        out = tables.kept(spark, str(tmp_path / "kept"), key, lambda: made.append(1) or spark.range(3))
+        assert out.count() == 3
+    assert made == [1]
+    tables.write_manifest(spark, str(tmp_path / "m"), [str(tmp_path / "a.nwk")], k=1)
+    text = json.loads(spark.read.text(str(tmp_path / "m")).first().value)
+    assert text["parameters"] == {"k": 1} and text["inputs"][0]["length"] == 10
+    tables.report(spark.createDataFrame([("total", 10, 100.0), ("some", 3, 30.0)], "metric string, n long, pct double"), str(tmp_path / "r"))
+    assert [r.value.split() for r in spark.read.text(str(tmp_path / "r")).collect()] == [["some", "3", "(30.00%)"], ["total", "10", "(100.00%)"]]
+
+
+def test_fastq_limit_and_many_files(spark, tmp_path):
+    from cladewright.sources import fastq
+
+    reads = spark.range(100).select(*[F.concat(F.lit(c), F.col("id").cast("string")).alias(c) for c in ("header", "seq", "qual")])
+    fastq.write_fastq(reads.repartition(3), str(tmp_path / "f"))
+    got = fastq.read_fastq(spark, str(tmp_path / "f"))
+    assert sorted((r.header, r.seq, r.qual) for r in got.collect()) == sorted((f"header{i}", f"seq{i}", f"qual{i}") for i in range(100))
+    few = fastq.read_fastq(spark, str(tmp_path / "f"), limit=5).collect()
+    assert len(few) == 15 and max(r.read_no for r in few) == 4
+
+
+def test_whitelist_is_greedy_by_count(spark):
+    from cladewright.operators import reads as R
+
+    rows = [("AAAAAA", 100), ("AAAAAT", 90), ("CCCCCC", 80), ("CCCAAA", 70), ("GGGGGG", 1)]
+    assert R.whitelist(spark.createDataFrame(rows, "barcode string, n long"), 0.01, 3) == ["AAAAAA", "CCCCCC", "CCCAAA"]
