@@ -173,6 +173,18 @@ def whitelist(counts: DataFrame, share: float = 0.002, apart: int = 3) -> list[s
     return out
 
 
+def rank_abundance(counts: DataFrame, dictionary: DataFrame, top: int = 5000, report: int = 200) -> DataFrame:
+    """rank, word, n and share of the ``report`` most abundant barcodes, after the ``top`` raw ones were folded to their unique nearest dictionary entry, where they have one.
+
+    The shares are of all raw counts. ``counts`` has word and n, the dictionary entry.
+    """
+    raw = counts.orderBy(F.desc("n"), "word").limit(top)
+    folded = unique_nearest(raw, dictionary).groupBy(F.coalesce("nearest", "word").alias("word")).agg(F.sum("n").alias("n"))
+    first = folded.orderBy(F.desc("n"), "word").limit(report)
+    all_ = counts.agg(F.sum("n").alias("_all"))
+    return first.join(F.broadcast(all_)).select(F.row_number().over(W.orderBy(F.desc("n"), "word")).alias("rank"), "word", "n", (F.col("n") / F.col("_all")).alias("share"))
+
+
 def neighbour_pairs(patterns: DataFrame, key: str = "tape") -> DataFrame:
     """key, a, b: patterns (sites) of one barcode that differ by one base at one edited site, by an equi-join on masked keys."""
     places = F.flatten(F.transform("sites", lambda t, i: F.when(t != C.UNEDITED, F.transform(F.sequence(F.lit(1), F.length(t)), lambda p: F.struct(i.alias("i"), p.alias("p")))).otherwise(F.array().cast("array<struct<i:int,p:int>>"))))

@@ -357,6 +357,15 @@ def nonnegative(nodes: DataFrame) -> DataFrame:
     return state.join(up, "parent", "left").select("node", "parent", (F.col("most") - F.col("_d")).alias("blen"))
 
 
+def with_depths(nodes: DataFrame, length: str = "blen") -> DataFrame:
+    """``nodes`` with time: the sum of branch lengths from the root, by pointer doubling."""
+    state = cut(nodes.select("node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0.0).otherwise(F.coalesce(length, F.lit(0.0))).alias("time")))
+    while not state.filter("up is not null").isEmpty():
+        far = state.select(F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("time").alias("_t"))
+        state = cut(state.join(far, F.col("up") == F.col("_n"), "left").select("node", F.col("_up").alias("up"), (F.col("time") + F.coalesce("_t", F.lit(0.0))).alias("time")))
+    return nodes.drop("time").join(state.select("node", "time"), "node")
+
+
 def synthetic_root(tapes: list[str], name: str = "root", alternative: str | None = None, n_sites: int = 6):
     """A function of a session: rows cell, tape and sites of a cell without any edit, or, with ``alternative``, of an outgroup that has this token at every first site."""
     sites = [alternative or C.UNEDITED] + [C.UNEDITED] * (n_sites - 1)

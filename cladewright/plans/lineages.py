@@ -69,9 +69,22 @@ def copy_number_units(patterns: DataFrame) -> DataFrame:
     return L.copies(patterns.groupBy("tape").agg(F.sum("n").alias("reads")))
 
 
-@query("SELECT tape, pattern, n, CAST(round_even(n / 3.0, 0) AS BIGINT) AS cells FROM {patterns} WHERE round_even(n / 3.0, 0) >= 1", "patterns")
+_UNIT = "u AS (SELECT tape, median(n) AS u FROM {patterns} GROUP BY tape), c AS (SELECT tape, pattern, n, CAST(round_even(n / u, 0) AS BIGINT) AS cells FROM {patterns} JOIN u USING (tape) WHERE round_even(n / u, 0) >= 1)"
+
+
+def celled(patterns: DataFrame) -> DataFrame:
+    unit = patterns.groupBy("tape").agg(F.percentile("n", F.lit(0.5)).alias("unit"))
+    return L.cells(patterns.join(F.broadcast(unit), "tape"), F.col("unit"))
+
+
+@query(f"WITH {_UNIT} SELECT * FROM c", "patterns")
 def cells_per_pattern(patterns: DataFrame) -> DataFrame:
-    return L.cells(patterns, F.lit(3.0)).select("tape", "pattern", "n", "cells")
+    return celled(patterns).select("tape", "pattern", "n", "cells")
+
+
+@query(f"WITH {_UNIT} SELECT tape, count(*) AS patterns, CAST(sum(cells) AS BIGINT) AS equivalents FROM c GROUP BY tape", "patterns")
+def genomic_equivalents(patterns: DataFrame) -> DataFrame:
+    return celled(patterns).groupBy("tape").agg(F.count("*").alias("patterns"), F.sum("cells").alias("equivalents"))
 
 
 _T = [f"T{i}" for i in range(11)]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cladewright.catalog import VIEWS, query
@@ -71,10 +70,11 @@ def insertion_spectrum(reads: DataFrame) -> DataFrame:
     return R.spectrum(with_sites(reads), least=0.05).withColumn("share", F.round("share", 6))
 
 
-@query("SELECT word, n, row_number() OVER (ORDER BY n DESC, word) AS rank FROM {barcodes} QUALIFY rank <= 200", "barcodes")
-def barcode_rank_topk(words: DataFrame) -> DataFrame:
-    top = words.orderBy(F.desc("n"), "word").limit(200)  # the report's length
-    return top.select("word", "n", F.row_number().over(W.orderBy(F.desc("n"), "word")).cast("long").alias("rank"))
+@query("""WITH t AS (SELECT word, n FROM {barcodes} ORDER BY n DESC, word LIMIT 5000), d AS (SELECT word, n, entry, hamming(word, entry) AS d FROM t, {entries}), m AS (SELECT word, n, min(d) AS m FROM d GROUP BY word, n),
+  f AS (SELECT m.word, m.n, CASE WHEN m <= 2 AND count(*) = 1 THEN min(entry) END AS nearest FROM m JOIN d ON d.word = m.word AND d.d = m.m GROUP BY m.word, m.n, m), g AS (SELECT coalesce(nearest, word) AS word, CAST(sum(n) AS BIGINT) AS n FROM f GROUP BY 1)
+  SELECT CAST(row_number() OVER (ORDER BY n DESC, word) AS INT) AS rank, word, n, round(n / (SELECT sum(n) FROM {barcodes}), 6) AS share FROM g QUALIFY rank <= 200""", "barcodes", "entries")
+def barcode_rank_topk(words: DataFrame, entries: DataFrame) -> DataFrame:
+    return R.rank_abundance(words, entries).withColumn("share", F.round("share", 6))
 
 
 @query("""WITH p AS (SELECT tape, pattern, string_split(pattern, '|') AS s, n, row_number() OVER (PARTITION BY tape ORDER BY n DESC, pattern) AS rank FROM {patterns}),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cladewright.catalog import VIEWS, query
+from cladewright.functions import udfs as U
 from cladewright.operators import trees as T
 from cladewright.operators.scale import cut
 
@@ -214,3 +215,29 @@ def state_graph_depths(nation: DataFrame) -> DataFrame:
 def control_pairs(nodes: DataFrame) -> DataFrame:
     leaves = nodes.filter("is_leaf")
     return T.unrelated_pairs(leaves.select("node", F.col("celltype").alias("cls")), T.sibling_pairs(leaves), digits=1)
+
+
+@query("SELECT node AS tree_id, unnest(['a', 'b', 'c', 'd', 'e']) AS name, unnest([2.0E0, 3.5, 3.0, 2.0, 2.3]) AS time FROM {nodes}", "nodes")
+def newick_leaves(nodes: DataFrame) -> DataFrame:
+    """The leaves of Newick texts, by the table function for SQL."""
+    U.register(nodes.sparkSession)
+    texts = nodes.select(F.col("node").alias("tree_id"), F.lit("((a:1,b:2.50)x:1,(c:1,d:0,e:3e-1):2);").alias("newick"))
+    return nodes.sparkSession.sql("SELECT t.tree_id, n.name, round(n.time, 6) AS time FROM {texts} t, LATERAL newick_nodes(t.newick) n WHERE n.is_leaf", texts=texts)
+
+
+VIEWS["additive"] = "SELECT a.r_regionkey AS grp, x.n_nationkey AS i, y.n_nationkey AS j, (x.n_nationkey + 1.0E0) + (y.n_nationkey + 1) + abs(x.n_nationkey - y.n_nationkey) * (a.r_regionkey + 1) AS d FROM {region} a, {nation} x, {nation} y WHERE x.n_nationkey < y.n_nationkey AND y.n_nationkey < 9"
+
+
+@query("SELECT grp, i AS a, j AS b, round(d, 6) AS distance FROM {additive}", "additive")
+def joined_trees(additive: DataFrame) -> DataFrame:
+    """Distances along trees that neighbour joining built give back the additive distances they were built from."""
+    edges = cut(T.small_tree(additive, "grp"))
+    key = lambda c: F.col("grp") * 1000 + F.col(c) + 100
+    nodes = edges.select(key("child").alias("node"), key("parent").alias("parent"), "length")
+    top = edges.select(key("parent").alias("node")).join(nodes.select("node"), "node", "left_anti").distinct()
+    all_ = cut(T.nested_set(nodes.unionByName(top.select("node", F.lit(None).cast("long").alias("parent"), F.lit(0.0).alias("length")))))
+    times = T.with_depths(all_, "length")
+    pairs = additive.select(key("i").alias("a"), key("j").alias("b"))
+    out = T.patristic(times, pairs)
+    grp = F.expr("a div 1000")
+    return out.select(grp.alias("grp"), (F.col("a") - 100 - 1000 * grp).alias("a"), (F.col("b") - 100 - 1000 * grp).alias("b"), F.round("distance", 6).alias("distance"))
