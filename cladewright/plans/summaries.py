@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladewright.catalog import VIEWS, query
+from cladewright.functions import columns as C
 from cladewright.operators import reads as R
 from cladewright.operators import summaries as S
 from cladewright.operators import trees as T
@@ -223,3 +224,19 @@ def common_genes(expression: DataFrame) -> DataFrame:
 @query("SELECT a, b, age, disc FROM (SELECT l_orderkey AS a, l_partkey AS b, l_linenumber * 2.5E0 AS age, l_suppkey % 4 - 1.0E0 AS disc FROM {lineitem}) q WHERE age >= 12.5 AND disc >= 0 AND disc <= 1", "lineitem")
 def eligible_pairs(lineitem: DataFrame) -> DataFrame:
     return S.eligible(lineitem.select(F.col("l_orderkey").alias("a"), F.col("l_partkey").alias("b"), (F.col("l_linenumber") * 2.5).alias("age"), (F.col("l_suppkey") % 4 - 1.0).alias("disc")), 12.5, 1.0)
+
+
+@query("""SELECT cell, tape, CASE WHEN s1 = 'U' THEN '-' ELSE replace(regexp_replace(pattern, '(\\|U)+$', ''), '|', '-') END AS chain, CAST((CAST(substr(tape, 2, 2) AS BIGINT) * 6 + 2) * 8192 + length(s3) AS BIGINT) AS token FROM {genotypes}""", "genotypes")
+def chain_texts(genotypes: DataFrame) -> DataFrame:
+    sites = F.array(*[F.col(f"s{i}") for i in range(1, 7)])
+    token = C.token_id(F.substring("tape", 2, 2).cast("long"), F.lit(2), F.length("s3"))
+    return genotypes.select("cell", "tape", C.chain_text(sites).alias("chain"), token.cast("long").alias("token"))
+
+
+@query("""SELECT node, CASE WHEN time < 0 THEN NULL WHEN time < 1.5 THEN 'E0' WHEN time < 1.75 THEN 'E1.5' WHEN time < 4.25 THEN 'E1.75' WHEN time < 8.5 THEN 'E4.25' ELSE 'E8.5' END AS day, coalesce(m.name, n.key) AS name FROM (SELECT node, time, trim(regexp_replace(lower(concat(' ', celltype, '--Of_', celltype)), '[^a-z0-9]+', ' ', 'g')) AS key FROM {nodes}) n
+  LEFT JOIN (SELECT 'ct1 of ct1' AS key, 'one' AS name) m USING (key)""", "nodes")
+def day_labels(nodes: DataFrame) -> DataFrame:
+    """Day labels of times, and names in normal form with a manual map."""
+    by_hand = nodes.sparkSession.createDataFrame([("ct1 of ct1", "one")], "key string, name string")
+    x = nodes.select("node", C.day_bin(F.col("time"), [0.0, 1.5, 1.75, 4.25, 8.5]).alias("day"), C.normal_name(F.concat(F.lit(" "), "celltype", F.lit("--Of_"), "celltype")).alias("key"))
+    return x.join(F.broadcast(by_hand), "key", "left").select("node", "day", F.coalesce("name", "key").alias("name"))
