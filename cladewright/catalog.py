@@ -19,6 +19,7 @@ _NAME = re.compile(r"\{(\w+)\}")
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view, or else the table of that name."""
+    queries()
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = VIEWS[name]
