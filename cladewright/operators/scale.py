@@ -34,6 +34,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fresh(df: DataFrame) -> DataFrame:
+    """``cut`` for rounds of self-joins: without the plan's estimate of the table's size.
+
+    A checkpoint keeps that estimate, and each self-join squares it; after some rounds the planner multiplies numbers of millions of digits.
+    """
+    spark, done = df.sparkSession, cut(df)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system that is no longer needed."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -127,13 +136,13 @@ def nearest_marked(nodes: DataFrame) -> DataFrame:
     """node and up of ``nodes`` (node, parent, marked): the nearest marked node strictly above, null if there is none. Pointer doubling: rounds go with the log of the depth."""
     flags = nodes.select("node", F.coalesce("marked", F.lit(False)).alias("marked"))
     state = nodes.select("node", "parent").join(flags.select(F.col("node").alias("parent"), F.col("marked").alias("up_marked")), "parent", "left")
-    state = cut(state.select("node", F.col("parent").alias("at"), (F.col("parent").isNull() | F.coalesce("up_marked", F.lit(True))).alias("done")))
+    state = fresh(state.select("node", F.col("parent").alias("at"), (F.col("parent").isNull() | F.coalesce("up_marked", F.lit(True))).alias("done")))
     while not state.filter("not done").isEmpty():
         for _ in range(2):
             far = state.select(F.col("node").alias("_n"), F.col("at").alias("_at"), F.col("done").alias("_done"))
             state = state.join(far, (F.col("at") == F.col("_n")) & ~F.col("done"), "left").select(
                 "node", F.when(F.col("done"), F.col("at")).otherwise(F.col("_at")).alias("at"), (F.col("done") | F.coalesce("_done", F.lit(True))).alias("done"))
-        state = cut(state)
+        state = fresh(state)
     # a chain that ends in a node without a row, or in an unmarked root, has no mark
     held = flags.filter("marked").select(F.col("node").alias("at"), F.lit(True).alias("_ok"))
     return state.join(held, "at", "left").select("node", F.when(F.col("_ok"), F.col("at")).alias("up"))

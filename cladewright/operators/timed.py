@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from cladewright.functions import columns as C
 
-from .scale import cut, nearest_marked, running
+from .scale import cut, fresh, nearest_marked, running
 from .statistics import enrichment, gini
 from .trees import nearest_chosen
 
@@ -103,10 +103,10 @@ def state_paths(nodes: DataFrame, tips: DataFrame) -> DataFrame:
     """node and path of each labelled tip: the labels from the root down, runs of one label taken as one. Paths double: rounds go with the log of the number of labelled ancestors."""
     steps = labelled_steps(nodes)
     lab = nodes.filter("label is not null").select("node", "label")
-    state = cut(lab.join(steps.select("node", "up"), "node", "left").select("node", "up", F.array("label").alias("path")))
+    state = fresh(lab.join(steps.select("node", "up"), "node", "left").select("node", "up", F.array("label").alias("path")))
     while not state.filter("up is not null").isEmpty():
         far = state.select(F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("path").alias("_path"))
-        state = cut(state.join(far, F.col("up") == F.col("_n"), "left").select("node", F.col("_up").alias("up"), F.when(F.col("_path").isNull(), F.col("path")).otherwise(F.concat("_path", "path")).alias("path")))
+        state = fresh(state.join(far, F.col("up") == F.col("_n"), "left").select("node", F.col("_up").alias("up"), F.when(F.col("_path").isNull(), F.col("path")).otherwise(F.concat("_path", "path")).alias("path")))
     runs = F.filter(F.transform("path", lambda x, i: F.when((i == 0) | (x != F.element_at("path", F.greatest(i, F.lit(1)))), x)), lambda x: x.isNotNull())
     return state.join(tips.select("node"), "node", "left_semi").select("node", runs.alias("path"))
 

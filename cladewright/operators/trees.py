@@ -11,7 +11,7 @@ from cladewright.functions import columns as C
 from cladewright.functions import kernels as K
 from cladewright.shipping import ship
 
-from .scale import cut, last_before, nearest_marked, running_at
+from .scale import cut, fresh, last_before, nearest_marked, running_at
 
 
 NODE = "pre int, last int, parent_pre int, depth int, blen double, blen_text string, name string, n_children int, is_leaf boolean, time double"
@@ -60,13 +60,13 @@ def nested_set(nodes: DataFrame) -> DataFrame:
     tour = x.select(F.explode(F.array(
         step(own, F.coalesce(2 * F.col("first"), own + 1), 1, 1),
         step(own + 1, F.coalesce(2 * F.col("right"), 2 * F.col("parent") + 1), 0, -1))).alias("s")).select("s.*")
-    tour = cut(tour)
+    tour = fresh(tour)
     while not tour.filter("to is not null").isEmpty():
         for _ in range(2):
             far = tour.select(F.col("i").alias("_i"), F.col("to").alias("_to"), F.col("enters").alias("_e"), F.col("deeper").alias("_d"))
             tour = tour.join(far, F.col("to") == F.col("_i"), "left").select(
                 "i", F.col("_to").alias("to"), (F.col("enters") + F.coalesce("_e", F.lit(0))).alias("enters"), (F.col("deeper") + F.coalesce("_d", F.lit(0))).alias("deeper"))
-        tour = cut(tour)
+        tour = fresh(tour)
     n = nodes.count()
     ends = tour.groupBy(F.expr("CAST(floor(i / 2) AS BIGINT)").alias("node")).agg(
         F.max(F.when(F.pmod("i", F.lit(2)) == 0, F.struct("enters", "deeper"))).alias("on"), F.max(F.when(F.pmod("i", F.lit(2)) == 1, F.col("enters"))).alias("off"))
@@ -184,10 +184,10 @@ def branch_support(nodes: DataFrame, states: DataFrame) -> DataFrame:
 
 def lifted(nodes: DataFrame) -> list[DataFrame]:
     """Tables (node, anc) of the nodes 1, 2, 4, ... levels above each: n rows for each power of two of the depth."""
-    out = [cut(nodes.filter("parent is not null").select("node", F.col("parent").alias("anc")))]
+    out = [fresh(nodes.filter("parent is not null").select("node", F.col("parent").alias("anc")))]
     while True:
         far = out[-1].select(F.col("node").alias("anc"), F.col("anc").alias("far"))
-        more = cut(out[-1].join(far, "anc").select("node", F.col("far").alias("anc")))
+        more = fresh(out[-1].join(far, "anc").select("node", F.col("far").alias("anc")))
         if more.isEmpty():
             return out
         out.append(more)
@@ -204,7 +204,7 @@ def mrca(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     x = x.select("a", "b", "at", F.col("a").alias("m"), inside.alias("done"))
     for table in reversed(lifted(nodes)):
         up = table.join(at.select(F.col("node").alias("anc"), "pre", "last"), "anc").select(F.col("node").alias("m"), "anc", "pre", "last")
-        x = cut(x.join(up, "m", "left").select("a", "b", "at", F.when(~F.col("done") & F.col("anc").isNotNull() & ~inside, F.col("anc")).otherwise(F.col("m")).alias("m"), "done"))
+        x = fresh(x.join(up, "m", "left").select("a", "b", "at", F.when(~F.col("done") & F.col("anc").isNotNull() & ~inside, F.col("anc")).otherwise(F.col("m")).alias("m"), "done"))
     parent = nodes.select(F.col("node").alias("m"), "parent")
     return x.join(parent, "m").select("a", "b", F.when(F.col("done"), F.col("m")).otherwise(F.col("parent")).alias("mrca"))
 
@@ -291,16 +291,16 @@ def break_cycles(matches: DataFrame) -> DataFrame:
     """
     m = matches.select("node", F.col("match").alias("to"))
     n = m.count()
-    jump, step = cut(m), 1
+    jump, step = fresh(m), 1
     while step < n:  # after n hops every node that still has a place stands on a cycle
         nxt = jump.withColumnRenamed("to", "mid").join(jump.select(F.col("node").alias("mid"), "to"), "mid").select("node", "to")
-        jump, step = cut(nxt), step * 2
-    on = cut(jump.select(F.col("to").alias("node")).distinct().join(m, "node"))
+        jump, step = fresh(nxt), step * 2
+    on = fresh(jump.select(F.col("to").alias("node")).distinct().join(m, "node"))
     least, step = on.select("node", "to", F.col("node").alias("low")), 1
     size = on.count()
     while step < size:
         far = least.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("low").alias("low2"))
-        least = cut(least.join(far, "to").select("node", F.col("to2").alias("to"), F.least("low", "low2").alias("low")))
+        least = fresh(least.join(far, "to").select("node", F.col("to2").alias("to"), F.least("low", "low2").alias("low")))
         step *= 2
     scored = least.join(matches.select("node", "score"), "node")
     held = scored.groupBy("low").agg(F.min_by("node", F.struct(-F.col("score"), "node")).alias("node")).select("node", F.lit(True).alias("held"))
@@ -332,9 +332,9 @@ def rerooted(nodes: DataFrame, outgroup: int) -> DataFrame:
     """
     e = nodes.select("node", "parent", "blen")
     hops = lifted(nodes)
-    way = cut(e.filter(F.col("node") == outgroup).select("node"))  # all that stand on the way: after the k-th table those up to 2 ** (k + 1) levels above
+    way = fresh(e.filter(F.col("node") == outgroup).select("node"))  # all that stand on the way: after the k-th table those up to 2 ** (k + 1) levels above
     for table in hops:
-        way = cut(way.unionByName(way.join(table, "node").select(F.col("anc").alias("node"))).distinct())
+        way = fresh(way.unionByName(way.join(table, "node").select(F.col("anc").alias("node"))).distinct())
     turned = e.join(way, "node", "left_semi").filter(F.col("parent").isNotNull() & (F.col("node") != outgroup)).select(F.col("parent").alias("node"), F.col("node").alias("parent"), "blen")
     first = e.filter(F.col("node") == outgroup).select(F.col("parent").alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(0.0).alias("blen"))
     return e.join(way, "node", "left_anti").unionByName(turned).unionByName(first)
@@ -348,10 +348,10 @@ def nonnegative(nodes: DataFrame) -> DataFrame:
     """
     e = nodes.select("node", "parent", F.coalesce("blen", F.lit(0.0)).alias("blen"))
     root = F.col("parent").isNull()
-    state = cut(e.select("node", "parent", F.col("parent").alias("up"), F.when(root, 0.0).otherwise(F.col("blen")).alias("sum"), F.when(root, 0.0).otherwise(F.greatest(F.lit(0.0), "blen")).alias("most")))
+    state = fresh(e.select("node", "parent", F.col("parent").alias("up"), F.when(root, 0.0).otherwise(F.col("blen")).alias("sum"), F.when(root, 0.0).otherwise(F.greatest(F.lit(0.0), "blen")).alias("most")))
     while not state.filter("up is not null").isEmpty():
         far = state.select(F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("sum").alias("_s"), F.col("most").alias("_m"))
-        state = cut(state.join(far, F.col("up") == F.col("_n"), "left").select(
+        state = fresh(state.join(far, F.col("up") == F.col("_n"), "left").select(
             "node", "parent", F.col("_up").alias("up"), (F.col("sum") + F.coalesce("_s", F.lit(0.0))).alias("sum"), F.when(F.col("_s").isNull(), F.col("most")).otherwise(F.greatest("_m", F.col("_s") + F.col("most"))).alias("most")))
     up = state.select(F.col("node").alias("parent"), F.col("most").alias("_d"))
     return state.join(up, "parent", "left").select("node", "parent", (F.col("most") - F.col("_d")).alias("blen"))
@@ -359,10 +359,10 @@ def nonnegative(nodes: DataFrame) -> DataFrame:
 
 def with_depths(nodes: DataFrame, length: str = "blen") -> DataFrame:
     """``nodes`` with time: the sum of branch lengths from the root, by pointer doubling."""
-    state = cut(nodes.select("node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0.0).otherwise(F.coalesce(length, F.lit(0.0))).alias("time")))
+    state = fresh(nodes.select("node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0.0).otherwise(F.coalesce(length, F.lit(0.0))).alias("time")))
     while not state.filter("up is not null").isEmpty():
         far = state.select(F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("time").alias("_t"))
-        state = cut(state.join(far, F.col("up") == F.col("_n"), "left").select("node", F.col("_up").alias("up"), (F.col("time") + F.coalesce("_t", F.lit(0.0))).alias("time")))
+        state = fresh(state.join(far, F.col("up") == F.col("_n"), "left").select("node", F.col("_up").alias("up"), (F.col("time") + F.coalesce("_t", F.lit(0.0))).alias("time")))
     return nodes.drop("time").join(state.select("node", "time"), "node")
 
 
@@ -400,15 +400,15 @@ def anchors(nodes: DataFrame, survivors: DataFrame, lost: DataFrame) -> DataFram
 
 def distances_from(edges: DataFrame, root: str) -> DataFrame:
     """node and depth: the least number of steps from ``root`` over the edges (src, dst) of a small graph of states; a round for each step."""
-    edges = cut(edges.select("src", "dst").distinct())
-    seen = cut(edges.sparkSession.createDataFrame([(root,)], "node string").withColumn("depth", F.lit(0)))
+    edges = fresh(edges.select("src", "dst").distinct())
+    seen = fresh(edges.sparkSession.createDataFrame([(root,)], "node string").withColumn("depth", F.lit(0)))
     front, depth = seen, 0
     while True:
         depth += 1
-        front = cut(edges.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        front = fresh(edges.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             return seen
-        seen = cut(seen.unionByName(front))
+        seen = fresh(seen.unionByName(front))
 
 
 def unrelated_pairs(leaves: DataFrame, siblings: DataFrame, seed: int = 1, digits: int = 2) -> DataFrame:
