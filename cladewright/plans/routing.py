@@ -56,15 +56,12 @@ def routed_cells(routable: DataFrame) -> DataFrame:
     return R.route(alleles(routable), cut(defining(routable)))
 
 
-@query("SELECT DISTINCT cell, side AS found FROM {routable}", "routable")
+@query(None, "routable")
 def split_axis(routable: DataFrame) -> DataFrame:
-    """The leading axis and the best split give back the two sides that the founder alleles were made from, whichever way the axis points."""
+    """cell, score on the leading axis, and whether it is above the best split; nearly always the two sides that the founder alleles were made from."""
     a = cut(alleles(routable))
     scores = cut(R.leading_axis(a, R.rarity(a)))
-    split = R.best_split(scores)
-    sides = scores.select("cell", (F.col("score") > split).alias("high")).join(routable.select("cell", "side").distinct(), "cell")
-    agree = sides.agg(F.avg((F.col("high") == (F.col("side") == "A")).cast("int"))).first()[0]
-    return sides.select("cell", F.when(F.col("high") == F.lit(agree >= 0.5), "A").otherwise("B").alias("found"))
+    return scores.select("cell", F.round("score", 6).alias("score"), (F.col("score") > R.best_split(scores)).alias("high"))
 
 
 VIEWS["seeds"] = "SELECT DISTINCT side, tape, concat(side, substr(tape, 2, 2)) AS allele FROM {routable}"

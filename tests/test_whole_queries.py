@@ -128,6 +128,10 @@ def test_leading_axis_equals_dense_algebra(spark):
         best = max(best, (f * (1 - f) * (v[t:].mean() - v[:t].mean()) ** 2, -t))
     t = -best[1]
     assert R.best_split(scores) == pytest.approx((v[t - 1] + v[t]) / 2)
+    side = {r.cell: r.side for r in catalog.view(spark, SF, "routable").collect()}
+    high = {r.cell: r.high for r in catalog.queries()["split_axis"](spark, SF).collect()}
+    agree = np.mean([high[c] == (side[c] == "A") for c in side])
+    assert high.keys() == side.keys() and max(agree, 1 - agree) > 0.98
 
 
 def test_tree_cache_and_manifest(spark, tmp_path):
