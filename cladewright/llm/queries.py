@@ -1,4 +1,4 @@
-"""The ten operators over the whole tables they are for, and SQL for those that SQL can express."""
+"""The operators over the whole tables they are for, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, language_id, license_scan, line_dedup, media, mixing, quality, sharding, simhash
+from . import chat, decontam, language_id, license_scan, line_dedup, media, merkle, mixing, quality, sharding, simhash
 from .common import table
 
 
@@ -55,8 +55,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audited(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_language_id, op3_chat_format, op4_simhash, op5_license_scan, op6_line_dedup, op7_decontamination, op8_media_columns, op9_quality, op10_sharding)
+    f.__name__: f for f in (op1_mixing, op2_language_id, op3_chat_format, op4_simhash, op5_license_scan, op6_line_dedup, op7_decontamination, op8_media_columns, op9_quality, op10_sharding, op13_merkle_manifest)
 }
 
 _HELD = r"regexp_matches({0}, '<\|im_(start|end)\|>|<\\+\|')"
@@ -87,6 +91,7 @@ _LICENSES = f"""WITH {_MATCH.format(n=len(license_scan.TEMPLATES + license_scan.
     SELECT doc_id, dir || '/' || name AS path, m.license AS license, m.cosine AS cosine, m.line AS line, coalesce(m.license, given) AS effective,
       CASE WHEN m IS NULL THEN h.dir END AS from_dir, CASE WHEN m IS NULL AND given IS NOT NULL THEN 0 END AS up FROM f LEFT JOIN h USING (dir)"""
 ORACLES: dict[str, str] = {
+    "op13_merkle_manifest": merkle.SQL,
     "op5_license_scan": _LICENSES,
     "op3_chat_format": f"""WITH a AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
       UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '<|im_end|><|im_start|>assistant ok'),
