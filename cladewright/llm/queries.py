@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, language_id, license_scan, line_dedup, media, merkle, mixing, quality, sharding, simhash
+from . import alignment, bpe, chat, decontam, language_id, license_scan, line_dedup, media, merkle, mixing, quality, sharding, simhash
 from .common import table
 
 
@@ -59,12 +59,17 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), bpe.spec_of(bpe.path_of("byte_bpe_50k.json")))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(bpe.path_of("piece_bpe_32k.model"), "rb") as f:
+        return alignment.align(table(spark, sf_dir, "documents"), bpe.spec_of(bpe.path_of("byte_bpe_50k.json")), f.read())
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audited(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_language_id, op3_chat_format, op4_simhash, op5_license_scan, op6_line_dedup, op7_decontamination, op8_media_columns, op9_quality, op10_sharding, op11_bpe, op13_merkle_manifest)
+    f.__name__: f for f in (op1_mixing, op2_language_id, op3_chat_format, op4_simhash, op5_license_scan, op6_line_dedup, op7_decontamination, op8_media_columns, op9_quality, op10_sharding, op11_bpe, op12_alignment, op13_merkle_manifest)
 }
 
 _HELD = r"regexp_matches({0}, '<\|im_(start|end)\|>|<\\+\|')"
