@@ -155,7 +155,7 @@ class Codec:
             return self.plain(raw)
         b = np.frombuffer(raw, np.uint8)
         at = chunk_ends(b, np.array([0, len(b)]))[0]
-        return self.joined([(None, raw[s:e]) for s, e in zip([0, *at[:-1]], at, strict=True)])
+        return self.joined([(None, raw[s:e]) for s, e in zip([0, *at], at, strict=False)])
 
 
 def _upto(ends: np.ndarray, at: int) -> int | None:
@@ -220,7 +220,7 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
     whole, offsets = _texts(batch)
     for i, ends in enumerate(chunk_ends(np.frombuffer(whole, np.uint8), offsets)):
         low = int(offsets[i])
-        yield i, [whole[low + s:low + e] for s, e in zip([0, *ends[:-1]], ends, strict=True)]
+        yield i, [whole[low + s:low + e] for s, e in zip([0, *ends], ends, strict=False)]
 
 
 def counted(docs: DataFrame) -> DataFrame:
