@@ -38,14 +38,14 @@ def render(role: Column, text: Column) -> Column:
 
 
 def parse(rendered: Column) -> Column:
-    """Turns (role, text, raw: the text as it stands in the rendering) of a rendered string; a part that is not a turn has a null role."""
+    """Turns (role, text, raw: the text as it stands in the rendering, lead: the characters before it) of a rendered string; a part that is not a turn has a null role."""
     def turn(part: Column) -> Column:
         line = F.locate("\n", part)
         ok = part.startswith(START) & (line > 0) & (F.locate(START, part, 2) == 0)
         raw = F.substr(part, line + 1)
         return F.struct(
             F.when(ok, unescape_role(F.substr(part, F.lit(len(START) + 1), line - len(START) - 1))).alias("role"),
-            unescape(raw).alias("text"), raw.alias("raw"))
+            unescape(raw).alias("text"), raw.alias("raw"), line.alias("lead"))
 
     parts = F.split(rendered, r"<\|im_end\|>\n?", -1)
     whole = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
@@ -83,13 +83,28 @@ def format_chats(turns: DataFrame) -> DataFrame:
 def read_back(chats: DataFrame) -> DataFrame:
     """What the rendering and its spans say, read from them alone: turns, their digest, and the text under the loss mask.
 
-    The spans of whole texts of turns are the parser's own pieces, so they are taken from those by their number instead of being sought from the start each time.
+    A running sum over the parser's parts gives the place of each text; the texts that lie under a span, of its place and length, are the text under the mask, in order and
+    unescaped. A span that is not exactly over a text, a repeated one, or parts that don't fill the rendering stop the query.
     """
-    said = F.array_join(F.transform("parsed", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    learned = F.array_join(F.transform(F.filter("parsed", lambda x: x["role"] == LEARNED), lambda x: x["text"]), "")
-    masked = F.aggregate("loss_spans", F.lit(0).cast("long"), lambda n, s: n + s["length"])
-    under = F.aggregate(F.filter("parsed", lambda x: x["role"] == LEARNED), F.lit(0).cast("long"), lambda n, x: n + F.length(x["raw"]))
-    text = F.when(masked == under, learned).otherwise(F.raise_error(F.lit("the loss mask does not hold the learned texts")).cast("string"))
-    return chats.select(
-        "conv_id", F.size("parsed").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
-        F.length(text).cast("long").alias("loss_chars"), F.sha2(text.cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+    none = lambda t: F.lit(None).cast(t)
+    turns = F.transform("parsed", lambda x, i: F.struct(
+        F.lit(1).alias("kind"), i.alias("i"), x["role"].alias("role"), x["text"].alias("text"), F.length(x["raw"]).alias("length"), (x["lead"] + F.length(x["raw"]) + len(_END_LINE)).alias("whole"), none("int").alias("start")))
+    spans = F.transform("loss_spans", lambda s: F.struct(
+        F.lit(0).alias("kind"), none("int").alias("i"), none("string").alias("role"), none("string").alias("text"), s["length"].alias("length"), F.lit(0).alias("whole"), s["start"].alias("start")))
+    rows = chats.select("conv_id", F.length("formatted").alias("chars"), F.explode(F.concat(turns, spans)).alias("x")).select("conv_id", "chars", "x.*")
+    of = W.partitionBy("conv_id")
+    end = F.sum("whole").over(of.orderBy("kind", "i").rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn("start", F.coalesce("start", (end - len(_END_LINE) - F.col("length")).cast("int")))
+    above = F.lag(F.struct("kind", "start", "length")).over(of.orderBy("start", "kind", "i"))
+    under = (F.col("kind") == 1) & F.coalesce(above == F.struct(F.lit(0).alias("kind"), "start", "length"), F.lit(False))
+    # an empty text may share its place with nothing else, as a turn has a head and an end
+    rows = rows.withColumn("under", under)
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == 1, F.struct("i", F.concat("role", F.lit("\n"), "text", F.lit("\n")).alias("x"))))), lambda t: t["x"]), "")
+    learned = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("under"), F.struct("i", "text")))), lambda t: t["text"]), "")
+    per = rows.groupBy("conv_id").agg(
+        F.sum(F.col("kind").cast("long")).alias("n_turns"), said.alias("said"), learned.alias("learned"), F.max("chars").cast("long").alias("formatted_chars"),
+        (F.count_if("under") == F.count_if(F.col("kind") == 0)).alias("met"), (F.sum("whole") == F.max("chars")).alias("filled"))
+    text = F.when(F.col("met") & F.col("filled"), F.col("learned")).otherwise(F.raise_error(F.lit("the loss mask is not over texts of the rendering")).cast("string"))
+    return per.select(
+        "conv_id", "n_turns", F.sha2(F.col("said").cast("binary"), 256).alias("turns_sha256"), F.length(text).cast("long").alias("loss_chars"),
+        F.sha2(text.cast("binary"), 256).alias("loss_sha256"), "formatted_chars")

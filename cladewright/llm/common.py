@@ -20,6 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, longer by as many underscores as it takes to be no column of ``df``."""
+    known = {c.lower() for c in df.columns}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def workers_ready(spark: SparkSession) -> None:
     """Let workers import this package, and bound Arrow batches by bytes: the same bound for every plan of the session, whenever it runs."""
     ship(spark)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut, workers_ready
+from .common import cut, unused, workers_ready
 
 MIN_TILE, COVERAGE = 5, 0.6
 #: Bits of the bitmap of seeds (8 MB), a power of two.
@@ -109,7 +109,7 @@ def tile_by_rows(item: np.ndarray, doc: np.ndarray, n_item: int, n_doc: int, k:
 def seeds(benchmark: DataFrame, min_tile: int) -> DataFrame:
     """item (a hash of its words) and its windows (``_WINDOWS``: words in all, and length, place and two hashes of each window), once for equal items; and ids.
 
-    Items with a null id or without words are left out. ids are the item_id of the rows that say the same.
+    Items without words are left out. ids has the item_id of each row that says the same, null where that is null.
     """
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,9 +123,9 @@ def seeds(benchmark: DataFrame, min_tile: int) -> DataFrame:
                     out.append((i, item, len(order), np.full(len(h), k, np.int32), np.arange(len(h), dtype=np.int32), h, g))
             yield pd.DataFrame(out, columns=["id", "item", "n", "k", "at", "h", "g"])
 
-    held = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("id"), "text")
+    held = benchmark.filter("text is not null").select(F.col("item_id").cast("string").alias("id"), "text")
     made = held.mapInPandas(cut_up, "id string, item long, " + _WINDOWS)
-    return made.groupBy("item").agg(F.first(F.struct("n", "k", "at", "h", "g")).alias("w"), F.array_sort(F.collect_list("id")).alias("ids")).select("item", "w.*", "ids")
+    return made.groupBy("item").agg(F.first(F.struct("n", "k", "at", "h", "g")).alias("w"), F.array_sort(F.collect_list(F.struct("id"))).alias("ids")).select("item", "w.*", "ids")
 
 
 def bitmap(windows: DataFrame) -> np.ndarray:
@@ -195,7 +195,7 @@ def tiles_of(item: dict, doc: dict) -> list[tuple[int, int, int]]:
 def leaks(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, coverage: float = COVERAGE) -> DataFrame:
     """text_id (``xxhash64(text)``), item_id, coverage and tiles (item_at, doc_at, words) of each text of ``docs`` and item that it covers to ``coverage`` or more.
 
-    Null and empty texts cover nothing; items with a null id or without words cannot be matched and are left out. An item of fewer than ``min_tile`` words is covered
+    Null and empty texts cover nothing; items without words cannot be matched and are left out; an item without an id counts like any other. An item of fewer than ``min_tile`` words is covered
     where all of it stands in a row. Repeated items each count, repeated texts are one.
     """
     workers_ready(docs.sparkSession)
@@ -227,7 +227,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, cover
 
     said = met.mapInPandas(tiled, "text_id long, item long, coverage double, tiles array<struct<item_at:int,doc_at:int,words:int>>")
     kind = benchmark.schema["item_id"].dataType
-    return said.join(items.select("item", "ids"), "item").select("text_id", F.explode("ids").alias("item_id"), "coverage", "tiles").withColumn("item_id", F.col("item_id").cast(kind))
+    return said.join(items.select("item", "ids"), "item").select("text_id", F.explode("ids").alias("item_id"), "coverage", "tiles").withColumn("item_id", F.col("item_id.id").cast(kind))
 
 
 def _arrays(w: dict) -> dict:
@@ -242,6 +242,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that leak no item."""
-    found = cut(leaks(docs, benchmark, **options).select(F.col("text_id").alias("_leaks")).distinct())
-    return docs.join(F.broadcast(found) if found.count() <= FEW else found, F.when(docs["text"].isNotNull(), F.xxhash64(docs["text"])) == F.col("_leaks"), "left_anti")
+    """The rows of ``docs`` that leak no item, whatever columns they have. Null and empty texts stay, repeated rows each do; without items or without rows nothing changes."""
+    of = unused(docs, "_leak")
+    found = cut(leaks(docs, benchmark, **options).select(F.col("text_id").alias(of)).distinct())
+    return docs.join(F.broadcast(found) if found.count() <= FEW else found, F.when(docs["text"].isNotNull(), F.xxhash64(docs["text"])) == F.col(of), "left_anti")

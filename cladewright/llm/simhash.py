@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, cut, look_up, workers_ready
+from .common import components, cut, look_up, unused, workers_ready
 
 SHINGLE, WITHIN, SEED, PIVOTS = 4, 4, 42, 16
 _SPACE = bytes(range(9, 14))
@@ -222,17 +222,16 @@ def keep_first(docs: DataFrame, within: int = WITHIN, run_cap: int = 1024) -> Da
 
 
 def first_of(docs: DataFrame, classed: DataFrame, key: Callable[[str], Column]) -> DataFrame:
-    """``keep_first`` of the components in ``classed`` (doc_id, fp, component_id), where ``key`` of a text gives its fp."""
-    kept = cut(classed.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("_copies")))
-    once = docs.join(kept.filter("_copies = 1").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    if not (more := kept.filter("_copies > 1").select("doc_id")).isEmpty():
-        once = once.unionByName(docs.join(more, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
-    bare = classed.filter("doc_id is null and component_id is null").select("fp").distinct()
+    """``keep_first`` of the components in ``classed`` (doc_id, fp, component_id), where ``key`` of a text gives its fp. ``docs`` may have columns of any other names."""
+    of, copies = unused(docs, "_of"), unused(docs, "_copies")
+    kept = cut(classed.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias(of)).agg(F.count("*").alias(copies)))
+    held = lambda some: docs.join(some.select(of), docs["doc_id"] == F.col(of), "left_semi")
+    once = held(kept.filter(F.col(copies) == 1))
+    more = kept.filter(F.col(copies) > 1)
+    if not more.isEmpty():
+        once = once.unionByName(held(more).dropDuplicates(["doc_id"]))
+    bare = classed.filter("doc_id is null and component_id is null").select(F.col("fp").alias(of)).distinct()
     if not bare.isEmpty():
-        nameless = docs.filter("doc_id is null").dropDuplicates(["text"])
-        once = once.unionByName(nameless.join(bare, key("text") == F.col("fp"), "left_semi").select(docs.columns))
+        nameless = docs.filter(docs["doc_id"].isNull()).dropDuplicates(["text"])
+        once = once.unionByName(nameless.join(bare, key("text") == F.col(of), "left_semi"))
     return once
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
