@@ -223,6 +223,21 @@ def nearest_match(genotypes: DataFrame, candidates: DataFrame) -> DataFrame:
     return d.groupBy("q").agg(best.alias("b")).select("q", "b.c", "b.distance", "b.shared")
 
 
+def nearest_matches(genotypes: DataFrame, candidates: DataFrame, backbone: DataFrame) -> DataFrame:
+    """q; c, distance and shared of the nearest candidate (q, c); and b, b_distance and b_shared of the nearest among ``backbone`` (cell), null where a query has none.
+
+    Distances are means over shared tapes; ties go to more shared tapes, then to the candidate with more tapes of its own, then to the least cell. Both are picked from one pass over the pairs.
+    """
+    g = genotypes.select("cell", "tape", "sites")
+    loci = g.groupBy(F.col("cell").alias("c")).agg(F.count("*").alias("loci")).join(backbone.select(F.col("cell").alias("c")).distinct().withColumn("is_b", F.lit(True)), "c", "left")
+    d = candidates.select("q", "c").join(g.select(F.col("cell").alias("q"), "tape", F.col("sites").alias("sq")), "q").join(g.select(F.col("cell").alias("c"), "tape", F.col("sites").alias("sc")), ["c", "tape"])
+    d = d.groupBy("q", "c").agg(F.avg(C.tape_distance(F.col("sq"), F.col("sc"))).alias("distance"), F.count("*").alias("shared")).join(loci, "c")
+    order = F.struct("distance", -F.col("shared"), -F.col("loci"), "c")
+    best = lambda on: F.min_by(F.struct("c", "distance", "shared"), F.when(on, order))
+    out = d.groupBy("q").agg(best(F.lit(True)).alias("a"), best(F.col("is_b")).alias("b"))
+    return out.select("q", "a.c", "a.distance", "a.shared", F.col("b.c").alias("b"), F.col("b.distance").alias("b_distance"), F.col("b.shared").alias("b_shared"))
+
+
 def irreversible(pairs: DataFrame) -> DataFrame:
     """``pairs`` (sites of the template as st, of the cell as sc) with violates: an edit of the template that the cell, observed there, does not have."""
     return pairs.withColumn("violates", F.exists(F.arrays_zip("st", "sc"), lambda z: (z["st"] != C.UNEDITED) & z["sc"].isNotNull() & (z["st"] != z["sc"])))

@@ -182,6 +182,16 @@ def nearest_match(genotypes: DataFrame) -> DataFrame:
     return L.nearest_match(g, L.overlaps(g, genotypes.filter("cell % 20 = 0").select("cell").distinct())).withColumn("distance", F.round("distance", 6))
 
 
+@query(f"""WITH {_TOP}, k AS (SELECT cell, count(*) AS loci FROM {{genotypes}} GROUP BY cell), d AS (SELECT o.q, o.c, avg({_dist('a', 'b')}) AS distance, count(*) AS shared FROM o JOIN {{genotypes}} a ON a.cell = o.q JOIN {{genotypes}} b ON b.cell = o.c AND a.tape = b.tape GROUP BY 1, 2),
+  r AS (SELECT q, c, distance, shared, c % 3 = 0 AS bb, row_number() OVER (PARTITION BY q ORDER BY distance, shared DESC, loci DESC, c) AS r, row_number() OVER (PARTITION BY q, c % 3 = 0 ORDER BY distance, shared DESC, loci DESC, c) AS rb FROM d JOIN k ON k.cell = d.c)
+  SELECT x.q, x.c, round(x.distance, 6) AS distance, x.shared, y.c AS b, round(y.distance, 6) AS b_distance, y.shared AS b_shared FROM r x LEFT JOIN r y ON y.q = x.q AND y.bb AND y.rb = 1 WHERE x.r = 1""", "genotypes")
+def backbone_matches(genotypes: DataFrame) -> DataFrame:
+    g = with_sites(genotypes)
+    cells = genotypes.select("cell").distinct()
+    out = L.nearest_matches(g, L.overlaps(g, cells.filter("cell % 20 = 0")), cells.filter("cell % 3 = 0"))
+    return out.withColumn("distance", F.round("distance", 6)).withColumn("b_distance", F.round("b_distance", 6))
+
+
 @query("SELECT a.cell AS t, b.cell AS c, a.tape, " + " OR ".join(f"(a.s{i} <> 'U' AND a.s{i} <> b.s{i})" for i in range(1, 7)) + " AS violates FROM {few} a JOIN {few} b ON a.tape = b.tape AND b.cell = a.cell + 1", "few")
 def irreversibility_flags(few: DataFrame) -> DataFrame:
     g = with_sites(few)

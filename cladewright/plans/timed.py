@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladewright.catalog import VIEWS, query
+from cladewright.operators import dating
 from cladewright.operators import imputation as I
 from cladewright.operators import timed as M
 from cladewright.operators import trees as T
@@ -132,6 +133,18 @@ def age_constraints(nodes: DataFrame, ceiling: DataFrame) -> DataFrame:
     return M.age_constraints(nodes, ceiling, 1.5).withColumn("min_day", F.round("min_day", 6)).withColumn("day", F.round("day", 6))
 
 
+@query(None, "lengths", "ceiling")
+def dated_nodes(lengths: DataFrame, ceiling: DataFrame) -> DataFrame:
+    """Root at day 1.5, leaves at 13.5, branches of two hours at least, no more lineages than the ceiling allows, from one ranking."""
+    found = dating.dated_under(lengths, ceiling, 1.5, 13.5, 2 / 24, 1)
+    return found.select("node", F.round("day", 5).alias("day"), F.round("rate", 6).alias("rate"))
+
+
+@query(f"WITH RECURSIVE {_DESC} SELECT anc AS node, CAST(max(n.depth) - min(n.depth) AS BIGINT) AS below FROM d JOIN {{nodes}} n ON n.node = d.node GROUP BY anc", "nodes")
+def levels_below(nodes: DataFrame) -> DataFrame:
+    return dating.levels_below(nodes).withColumn("below", F.col("below").cast("long"))
+
+
 @query(f"""WITH RECURSIVE {_DESC}, p AS (SELECT node AS a, node + 3 AS b FROM {{nodes}} WHERE is_leaf AND node + 3 <= (SELECT max(node) FROM {{nodes}})), m AS (SELECT a, b, max(x.anc) AS mrca FROM p JOIN d x ON x.node = a JOIN d y ON y.node = b AND y.anc = x.anc GROUP BY a, b)
   SELECT a, b, mrca, n.time AS mrca_time, round(x.time + y.time - 2 * n.time, 6) AS distance FROM m JOIN {{nodes}} n ON n.node = mrca JOIN {{nodes}} x ON x.node = a JOIN {{nodes}} y ON y.node = b""", "nodes")
 def patristic_distances(nodes: DataFrame) -> DataFrame:

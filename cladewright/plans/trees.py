@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from cladewright.catalog import VIEWS, query
 from cladewright.functions import udfs as U
+from cladewright.operators import grafting as G
 from cladewright.operators import trees as T
 from cladewright.operators.scale import cut
 
@@ -125,6 +126,35 @@ def grafted_cells(nodes: DataFrame) -> DataFrame:
     return T.grafted(dated, cells, 12.0).withColumn("place", F.col("place").cast("long"))
 
 
+#: Cells on dated leaves and on each other: chains of three, ties, cells without days, an unknown host and a cycle.
+VIEWS["attached"] = """SELECT node + 1000000 AS cell, node AS host, (node % 9) / 2.0E0 AS days, node % 2 AS side FROM {nodes} WHERE is_leaf
+  UNION ALL SELECT node + 2000000, node + 1000000, (node % 5) * 0.9E0, node % 2 FROM {nodes} WHERE is_leaf AND node % 3 <> 0 UNION ALL SELECT node + 3000000, node + 2000000, (node % 7) * 0.5E0, node % 2 FROM {nodes} WHERE is_leaf AND node % 3 = 1
+  UNION ALL SELECT node + 4000000, node, CASE WHEN node % 4 = 0 THEN (node % 9) / 2.0E0 ELSE 0.0E0 END, node % 2 FROM {nodes} WHERE is_leaf AND node % 2 = 0
+  UNION ALL SELECT node + 5000000, CASE WHEN node % 16 = 1 THEN -7 ELSE node + 5000000 END, 1.0E0, node % 2 FROM {nodes} WHERE is_leaf AND node % 16 < 2"""
+_CAPS = """a AS (SELECT *, days / (1.0 + side) AS d FROM {attached}), ca AS (SELECT a.cell, host, d, least(d, 24.0 - p.time) AS c, d > 24.0 - p.time + 1e-9 AS clamped FROM a JOIN {nodes} n ON n.node = a.host AND n.is_leaf JOIN {nodes} p ON p.node = n.parent
+    UNION ALL SELECT a.cell, a.host, a.d, least(a.d, ca.c), a.d > ca.c + 1e-9 FROM ca JOIN a ON a.host = ca.cell), cc AS (SELECT *, round(c, 9) AS cap FROM ca)"""
+
+
+def attached_days(attached: DataFrame) -> DataFrame:
+    rates = attached.sparkSession.createDataFrame([(0, 1.0), (1, 2.0)], "side long, rate double")
+    return G.pendant_days(attached.withColumnRenamed("days", "distance"), rates)
+
+
+@query(f"WITH RECURSIVE {_CAPS} SELECT cell, host, cap, clamped FROM cc", "nodes", "attached")
+def capped_pendants(nodes: DataFrame, attached: DataFrame) -> DataFrame:
+    up = nodes.select(F.col("node").alias("parent"), (24.0 - F.col("time")).alias("budget"))
+    return G.capped(nodes.filter("is_leaf").join(up, "parent"), attached_days(attached)).select("cell", "host", "cap", "clamped")
+
+
+@query(f"""WITH RECURSIVE {_CAPS}, s AS (SELECT host, cap, (SELECT max(cell) FROM {{attached}}) + row_number() OVER (ORDER BY host, cap DESC) AS split FROM (SELECT DISTINCT host, cap FROM cc) q),
+  r AS (SELECT *, lag(split) OVER (PARTITION BY host ORDER BY cap DESC) AS older, lead(split) OVER (PARTITION BY host ORDER BY cap DESC) AS next FROM s), o AS (SELECT cell, split AS sp FROM cc JOIN s USING (host, cap))
+  SELECT split AS node, coalesce(older, o.sp, n.parent) AS parent, round(24.0 - cap, 6) AS time, 'split' AS kind FROM r LEFT JOIN o ON o.cell = r.host LEFT JOIN {{nodes}} n ON n.node = r.host
+  UNION ALL SELECT o.cell, coalesce(r.split, o.sp), 24.0, 'cell' FROM o LEFT JOIN r ON r.host = o.cell AND r.next IS NULL
+  UNION ALL SELECT n.node, coalesce(r.split, n.parent), CASE WHEN is_leaf THEN 24.0 ELSE round(time, 6) END, 'backbone' FROM {{nodes}} n LEFT JOIN r ON r.host = n.node AND r.next IS NULL""", "nodes", "attached")
+def grafted_forest(nodes: DataFrame, attached: DataFrame) -> DataFrame:
+    return G.forest(nodes, attached_days(attached), 24.0).withColumn("time", F.round("time", 6))
+
+
 @query("SELECT node AS tree_id, printf('((a%d:1,b:2.50)x:1,(c:1,d:0,e:3e-1):2);', node) AS newick, true AS same FROM {nodes}", "nodes")
 def newick_round_trip(nodes: DataFrame) -> DataFrame:
     texts = nodes.select(F.col("node").alias("tree_id"), F.format_string("((a%d:1,b:2.50)x:1,(c:1,d:0,e:3e-1):2);", "node").alias("newick"))
