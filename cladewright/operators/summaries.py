@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +11,9 @@ from pyspark.sql import Window as W
 
 from cladewright.functions import columns as C
 
+#: A variance of up to so many times the mean counts as that of a Poisson distribution.
+NEARLY = 1.05
+
 
 def founder_rows(founders: DataFrame, genotype: str = "genotype", none: str = "(unedited)", sep: str = "-") -> DataFrame:
     """tape, site (from 1) and token of each edit that a founder genotype (tape, genotype) spells; blank and unedited ones give none."""
@@ -162,57 +167,68 @@ def failures(parsed: DataFrame) -> DataFrame:
     return n.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("why")))
 
 
+def _poisson(n: int, m: float) -> float:
+    """P(X >= n) at mean m, summed from the greater terms down."""
+    if n <= 0:
+        return 1.0
+    if m <= 0:
+        return 0.0
+    if n > m:
+        total, term, i = 0.0, math.exp(n * math.log(m) - m - math.lgamma(n + 1)), n
+        while term > total * 1e-17:
+            total += term
+            i += 1
+            term *= m / i
+        return min(1.0, total)
+    total, i, term = 0.0, n - 1, math.exp((n - 1) * math.log(m) - m - math.lgamma(n))
+    while i >= 0 and term > total * 1e-17:
+        total += term
+        term *= i / m
+        i -= 1
+    return max(0.0, 1.0 - total)
+
+
+def _negative_binomial(n: int, m: float, v: float) -> float:
+    """P(X >= n) at mean m and variance v > m; a term follows from the one before."""
+    if n <= 0:
+        return 1.0
+    r, p = m * m / (v - m), m / v
+    log = math.lgamma(n + r) - math.lgamma(r) - math.lgamma(n + 1) + r * math.log(p) + n * math.log1p(-p)
+    if n > m:
+        total, term, i = 0.0, math.exp(log), n
+        while term > total * 1e-17:
+            total += term
+            term *= (i + r) / (i + 1) * (1 - p)
+            i += 1
+        return min(1.0, total)
+    total, i, term = 0.0, n - 1, math.exp(log) * n / ((n - 1 + r) * (1 - p))
+    while i >= 0 and term > total * 1e-17:
+        total += term
+        term *= i / ((i - 1 + r) * (1 - p)) if i else 0.0
+        i -= 1
+    return max(0.0, 1.0 - total)
+
+
 @F.pandas_udf(T.DoubleType())
 def poisson_tail(k, mean):
-    """P(X >= k) of a Poisson distribution, summed from the greater terms down in logarithms."""
-    import math
-
+    """P(X >= k) of a Poisson distribution; null where either is null."""
     import pandas as pd
 
-    def tail(n, m):
-        if n <= 0:
-            return 1.0
-        if m <= 0:
-            return 0.0
-        low = n > m
-        total, term, i = 0.0, math.exp(n * math.log(m) - m - math.lgamma(n + 1)), n
-        if low:
-            while term > total * 1e-17:
-                total += term
-                i += 1
-                term *= m / i
-            return min(1.0, total)
-        i, term = n - 1, math.exp((n - 1) * math.log(m) - m - math.lgamma(n))
-        while i >= 0 and term > total * 1e-17:
-            total += term
-            term *= i / m
-            i -= 1
-        return max(0.0, 1.0 - total)
-
-    return pd.Series([tail(int(a), float(b)) for a, b in zip(k, mean, strict=True)])
+    return pd.Series([None if pd.isna(a) or pd.isna(b) else _poisson(int(a), float(b)) for a, b in zip(k, mean, strict=True)], dtype=float)
 
 
 @F.pandas_udf(T.DoubleType())
 def negative_binomial_tail(k, mean, variance):
-    """P(X >= k) of a negative binomial distribution of that mean and variance (greater than the mean)."""
-    import math
-
+    """P(X >= k) of a negative binomial distribution of that mean and variance, or, up to a variance of ``NEARLY`` times the mean, of a Poisson distribution; null where any is null."""
     import pandas as pd
 
-    def tail(n, m, v):
-        if n <= 0:
-            return 1.0
-        r, p = m * m / (v - m), m / v
-        log = lambda i: math.lgamma(i + r) - math.lgamma(r) - math.lgamma(i + 1) + r * math.log(p) + i * math.log1p(-p)
-        if n > m:
-            total, i = 0.0, n
-            while (term := math.exp(log(i))) > total * 1e-17:
-                total += term
-                i += 1
-            return min(1.0, total)
-        return max(0.0, 1.0 - sum(math.exp(log(i)) for i in range(n)))
-
-    return pd.Series([tail(int(a), float(b), float(c)) for a, b, c in zip(k, mean, variance, strict=True)])
+    tail = lambda n, m, v: _negative_binomial(n, m, v) if v > NEARLY * m and m > 0 else _poisson(n, m)
+    return pd.Series([None if pd.isna([a, b, c]).any() else tail(int(a), float(b), float(c)) for a, b, c in zip(k, mean, variance, strict=True)], dtype=float)
+
+
+def overdispersed_tail(observed: Column, expected: Column, variance: Column, pseudo: float = 1.0) -> Column:
+    """``negative_binomial_tail`` of a count against the moments of its null, to each of which ``pseudo`` is added, so that pairings that the null never saw get no p of 0."""
+    return negative_binomial_tail(observed, expected + pseudo, variance + pseudo)
 
 
 def hypergeometric(groups: DataFrame, total: Column, marked: Column, drawn: Column, hits: Column) -> DataFrame:

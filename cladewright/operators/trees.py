@@ -210,13 +210,73 @@ def mrca(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def patristic(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with mrca, mrca_time and distance along the tree, from ``nodes`` with time."""
+    """``pairs`` (a, b) with mrca, mrca_time and distance along the tree, from ``nodes`` with time; null for nodes of different trees."""
     t = nodes.select("node", "time")
-    out = mrca(nodes, pairs).join(t.select(F.col("node").alias("a"), F.col("time").alias("ta")), "a").join(t.select(F.col("node").alias("b"), F.col("time").alias("tb")), "b")
-    out = out.join(t.select(F.col("node").alias("mrca"), F.col("time").alias("mrca_time")), "mrca")
+    out = mrca(nodes, pairs).join(t.select(F.col("node").alias("a"), F.col("time").alias("ta")), "a", "left").join(t.select(F.col("node").alias("b"), F.col("time").alias("tb")), "b", "left")
+    out = out.join(t.select(F.col("node").alias("mrca"), F.col("time").alias("mrca_time")), "mrca", "left")
     return out.select("a", "b", "mrca", "mrca_time", (F.col("ta") + F.col("tb") - 2 * F.col("mrca_time")).alias("distance"))
 
 
+def lca(ranked: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs`` (a, b and others) with lca: their lowest common ancestor, from ``ranked`` (``nested_set``: node, parent, pre, depth); null for nodes of different trees or unknown ones.
+
+    Between two places of the pre-order the least deep node after the first hangs on the ancestor sought. Two runs of a power of two of places cover that stretch; tables of the
+    least deep node of each such run double, so that every pair is joined twice, with the table of its own length.
+    """
+    at = ranked.select("node", "parent", "pre", "depth")
+    place = lambda c: at.select(F.col("node").alias(f"_{c}"), F.col("pre").alias(f"_pre_{c}"))
+    x = pairs.join(place("a"), F.col("a") == F.col("_a"), "left").join(place("b"), F.col("b") == F.col("_b"), "left")
+    low, high = F.least("_pre_a", "_pre_b"), F.greatest("_pre_a", "_pre_b")
+    known = F.col("_pre_a").isNotNull() & F.col("_pre_b").isNotNull()
+    x = fresh(x.select(*pairs.columns, F.when(known, low + 1).alias("_lo"), F.when(known, high).alias("_hi")).withColumn("_n", F.coalesce(F.col("_hi") - F.col("_lo") + 1, F.lit(-1))))
+    out = x.filter("_n <= 0").select(*pairs.columns, F.when((F.col("_n") == 0), F.col("a")).alias("lca"))
+    table = fresh(at.select("pre", F.struct("depth", "pre", "parent").alias("m")))
+    step, most = 1, x.agg(F.coalesce(F.max("_n"), F.lit(0))).first()[0]
+    while step <= most:
+        own = x.filter(F.col("_n").between(step, 2 * step - 1))
+        first, last = (table.select(F.col("pre").alias(f"_p{k}"), F.col("m").alias(f"_m{k}")) for k in "fl")
+        met = own.join(first, F.col("_lo") == F.col("_pf")).join(last, F.col("_hi") - step + 1 == F.col("_pl"))
+        out = out.unionByName(met.select(*pairs.columns, F.least("_mf", "_ml")["parent"].alias("lca")))
+        far = table.select((F.col("pre") - step).alias("_p"), F.col("m").alias("_m"))
+        table = fresh(table.join(far, F.col("pre") == F.col("_p")).select("pre", F.least("m", "_m").alias("m")))
+        step *= 2
+    return out
+
+
+def witnesses(ranked: DataFrame, tips: DataFrame) -> DataFrame:
+    """node, first, last and tips of each node of ``ranked`` with ``tips`` (node) at or below it: the first and the last of these in pre-order, and how many there are."""
+    held = tips.select("node").distinct().withColumn("_held", F.lit(1))
+    x = fresh(ranked.select("node", F.col("pre").cast("long").alias("pre"), F.col("last").cast("long").alias("last")).join(held, "node", "left"))
+    seen = fresh(running_at(x, {"cum": F.coalesce("_held", F.lit(0)).cast("long")}, "pre"))
+    end = seen.select(F.col("pre").alias("_l"), F.col("cum").alias("_hi"))
+    span = seen.join(end, F.col("last") == F.col("_l")).select("node", (F.col("cum") - F.coalesce("_held", F.lit(0)) + 1).alias("_lo"), "_hi").filter("_hi >= _lo")
+    nth = seen.filter("_held is not null").select("cum", F.col("node").alias("_tip"))
+    one = span.join(nth.select(F.col("cum").alias("_c"), F.col("_tip").alias("first")), F.col("_lo") == F.col("_c"))
+    both = one.join(nth.select(F.col("cum").alias("_d"), F.col("_tip").alias("last")), F.col("_hi") == F.col("_d"))
+    return both.select("node", "first", "last", (F.col("_hi") - F.col("_lo") + 1).alias("tips"))
+
+
+def node_map(one: DataFrame, two: DataFrame, tips: DataFrame) -> DataFrame:
+    """node, tips, mapped, mapped_tips, back and same of each node of ``one`` that has shared tips below: its counterpart in ``two``.
+
+    ``one`` and ``two`` have node and parent; ``tips`` (a, b) says which leaf of one is which of two. A node is told by the first and the last shared tip below it: its counterpart is the lowest common
+    ancestor of these in two, and back that of the counterpart's in one. same says that the node comes back and both have as many shared tips.
+    """
+    r1, r2 = fresh(nested_set(one.select("node", "parent"))), fresh(nested_set(two.select("node", "parent")))
+    pairs = tips.select("a", "b").join(r1.select(F.col("node").alias("a")), "a", "left_semi").join(r2.select(F.col("node").alias("b")), "b", "left_semi")
+    pairs = fresh(pairs)
+
+    def there(ranked: DataFrame, other: DataFrame, own: str, its: str) -> DataFrame:
+        w = witnesses(ranked, pairs.select(F.col(own).alias("node")))
+        f, l = (pairs.select(F.col(own).alias(f"_{k}"), F.col(its).alias(k)) for k in "ab")  # noqa: E741
+        return lca(other, w.join(f, F.col("first") == F.col("_a")).join(l, F.col("last") == F.col("_b")).select("node", "tips", "a", "b")).select("node", "tips", "lca")
+
+    to, fro = fresh(there(r1, r2, "a", "b")), fresh(there(r2, r1, "b", "a"))
+    met = to.join(fro.select(F.col("node").alias("_m"), F.col("tips").alias("mapped_tips"), F.col("lca").alias("back")), F.col("lca") == F.col("_m"), "left")
+    same = (F.col("back") == F.col("node")) & (F.col("tips") == F.col("mapped_tips"))
+    return met.select("node", "tips", F.col("lca").alias("mapped"), "mapped_tips", "back", F.coalesce(same, F.lit(False)).alias("same"))
+
+
 def prune(nodes: DataFrame, keep: DataFrame) -> DataFrame:
     """node, parent and blen of the tree on the kept leaves: nodes with kept leaves below; those with one child give way to it, lengths added up."""
     kept = keep.select("node").withColumn("_keep", F.lit(1))
@@ -310,12 +370,12 @@ def break_cycles(matches: DataFrame) -> DataFrame:
 def binarised(nodes: DataFrame) -> DataFrame:
     """node, parent, time and added: each node of k > 2 children gets k - 2 nodes below it, a chain at its own time, so that all have two children at most.
 
-    Children hang on the chain in the order of their ids; added nodes have negative ids that follow from the parent's and the place, where ids are 0 or more and a node
-    has under 1,000,000 children.
+    Children hang on the chain in the order of their ids; added nodes have negative ids that follow from the parent's and the place, where ids are 0 or more; a node
+    of over 1,000,000 children stops the query.
     """
     w = W.partitionBy("parent")
     x = nodes.select("node", "parent", "time").withColumn("_r", F.row_number().over(w.orderBy("node"))).withColumn("_k", F.count("*").over(w))
-    extra = lambda place: -(F.col("parent") * 1_000_000 + place)
+    extra = lambda place: F.when(place < 1_000_000, -(F.col("parent") * 1_000_000 + place)).otherwise(F.raise_error(F.lit("a node has 1,000,000 children or more")).cast("long"))
     many = F.col("parent").isNotNull() & (F.col("_k") > 2)
     hook = F.when(many & (F.col("_r") > 1), extra(F.least(F.col("_r") - 1, F.col("_k") - 2))).otherwise(F.col("parent"))
     kept = x.select("node", hook.alias("parent"), "time", F.lit(False).alias("added"))
@@ -340,6 +400,61 @@ def rerooted(nodes: DataFrame, outgroup: int) -> DataFrame:
     return e.join(way, "node", "left_anti").unionByName(turned).unionByName(first)
 
 
+def diameter(nodes: DataFrame) -> tuple[int, int, float, DataFrame]:
+    """Two leaves that are farthest from each other (the deepest of all first; ties: the least node), their distance, and the nodes (node, parent, time, level) with ``up``: the lowest node above or at
+    each that stands over the first. Branch lengths are 0 or more, and the tree has one root.
+
+    The leaf farthest from any node ends a longest way, so it is sought from the root, and then from there. How far all others are from the first leaf follows from where their ways up meet its own.
+    """
+    deep = with_depths(nodes.select("node", "parent", F.lit(1.0).alias("blen"))).select(F.col("node").alias("_d"), F.col("time").alias("level"))
+    timed = fresh(with_depths(nodes.select("node", "parent", "blen")).join(deep, F.col("node") == F.col("_d")).select("node", "parent", "time", "level"))
+    inner = timed.filter("parent is not null").select(F.col("parent").alias("_i")).distinct()
+    leaves = timed.join(inner, F.col("node") == F.col("_i"), "left_anti")
+    first = leaves.agg(F.min_by("node", F.struct(-F.col("time"), "node"))).first()[0]
+    way = fresh(timed.filter(F.col("node") == first).select("node"))
+    for table in lifted(timed):
+        way = fresh(way.unionByName(way.join(table, "node").select(F.col("anc").alias("node"))).distinct())
+    marked = timed.join(way.select(F.col("node").alias("_w")), F.col("node") == F.col("_w"), "left")
+    above = nearest_marked(marked.select("node", "parent", F.col("_w").isNotNull().alias("marked")))
+    met = marked.join(above.select(F.col("node").alias("_n"), F.col("up").alias("_up")), F.col("node") == F.col("_n")).select("node", "parent", "time", "level", F.coalesce("_w", "_up").alias("up"))
+    met = fresh(met)
+    at = timed.select(F.col("node").alias("_u"), F.col("time").alias("_ut"))
+    deep = leaves.agg(F.max("time")).first()[0]
+    far = met.join(inner, F.col("node") == F.col("_i"), "left_anti").join(at, F.col("up") == F.col("_u")).filter(F.col("node") != first).select("node", (F.lit(deep) + F.col("time") - 2 * F.col("_ut")).alias("d"))
+    last = far.agg(F.min_by(F.struct("node", "d"), F.struct(-F.col("d"), "node"))).first()[0]
+    return first, last.node if last else first, last.d if last else 0.0, met
+
+
+def midpoint_rooted(nodes: DataFrame, root: int) -> DataFrame:
+    """node, parent and blen of the tree of ``nodes`` (node, parent, blen of 0 or more; null counts as 0) with a new root, the node ``root``, in the middle of its longest way from leaf to leaf.
+
+    The middle is on the way up from the deepest leaf. Branches between it and the old root are turned round; an old root that is left with one child stays as a node on its branch. A
+    middle that falls on a node gets a branch of length 0 to it. A tree of one node is only renamed below its root.
+    """
+    first, _, length, met = diameter(nodes)
+    deep = met.filter(F.col("node") == first).first().time
+    middle = deep - length / 2
+    way = met.filter(F.col("up") == F.col("node"))  # over the first leaf
+    time_up = met.select(F.col("node").alias("_p"), F.col("time").alias("_pt"))
+    rows = fresh(met.join(time_up, F.col("parent") == F.col("_p"), "left").withColumn("blen", F.col("time") - F.coalesce("_pt", F.lit(0.0))))
+    below = way.filter(F.col("time") >= middle - 1e-12).agg(F.min_by(F.struct("node", "parent", "time", "level"), "level")).first()[0]
+    if below.parent is None:
+        new = [(root, None, 0.0), (below.node, root, 0.0)]
+        turned, cut_off = rows.limit(0), [below.node]
+    else:
+        above = met.filter(F.col("node") == below.parent).first().time
+        new = [(root, None, 0.0), (below.node, root, below.time - middle), (below.parent, root, middle - above)]
+        turned = rows.join(way.select(F.col("node").alias("_w")), F.col("node") == F.col("_w"), "left_semi").filter((F.col("level") < below.level) & F.col("parent").isNotNull())
+        cut_off = [below.node]
+    turned = fresh(turned.select("node", "parent", "blen"))
+    moved = turned.select(F.col("parent").alias("node"), F.col("node").alias("parent"), "blen")
+    gone = turned.select(F.col("node").alias("_t")).unionByName(moved.select(F.col("node").alias("_t")))
+    made = nodes.sparkSession.createDataFrame(new, "node long, parent long, blen double")
+    kept = rows.select("node", "parent", "blen").filter(~F.col("node").isin(cut_off + ([below.parent] if below.parent is not None else [])))
+    kept = kept.join(gone.distinct(), F.col("node") == F.col("_t"), "left_anti")
+    return kept.unionByName(moved).unionByName(made)
+
+
 def nonnegative(nodes: DataFrame) -> DataFrame:
     """node, parent and blen: a branch of negative length becomes 0, and the branches below its node are shorter by as much, from the root down.
 

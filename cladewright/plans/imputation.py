@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cladewright.catalog import query
 from cladewright.operators import imputation as I
+from cladewright.operators import neighbours as N
 
 _KNN = "knn AS (SELECT a.vec_id AS q, b.vec_id AS c, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d FROM {embeddings} a JOIN {embeddings} b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY d, b.vec_id) <= 10)"
 
@@ -21,6 +22,13 @@ def knn_topk(embeddings: DataFrame) -> DataFrame:
     return nearest(embeddings).withColumn("distance", F.round("distance", 5))
 
 
+@query(None, "embeddings")
+def forest_neighbours(embeddings: DataFrame) -> DataFrame:
+    """Near others by the forest; its share of the true ones is held against ``knn_topk`` by a test."""
+    v = embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return N.forest_knn(v, v.filter("id % 20 = 0"), 10).withColumn("distance", F.round("distance", 5))
+
+
 @query(f"WITH {_KNN.replace('a.vec_id % 20 = 0 AND ', '')} SELECT x.q AS a, x.c AS b FROM knn x JOIN knn y ON y.q = x.c AND y.c = x.q WHERE x.q < x.c", "embeddings")
 def mutual_nn(embeddings: DataFrame) -> DataFrame:
     """Pairs among all rows: mutuality needs the neighbours of both ends, so every row is a query."""

@@ -271,3 +271,26 @@ def joined_trees(additive: DataFrame) -> DataFrame:
     out = T.patristic(times, pairs)
     grp = F.expr("a div 1000")
     return out.select(grp.alias("grp"), (F.col("a") - 100 - 1000 * grp).alias("a"), (F.col("b") - 100 - 1000 * grp).alias("b"), F.round("distance", 6).alias("distance"))
+
+
+_BUSHY_TIPS = "bt AS (SELECT node AS a, node - 1 AS b FROM {nodes} WHERE is_leaf)"
+
+
+@query(f"""WITH RECURSIVE {_DESC}, e AS (SELECT node AS anc, node FROM {{bushy}} UNION ALL SELECT e.anc, b.node FROM e JOIN {{bushy}} b ON b.parent = e.node), {_BUSHY_TIPS},
+  x AS (SELECT anc, count(*) AS n FROM d JOIN bt ON bt.a = d.node GROUP BY anc), y AS (SELECT anc, count(*) AS n FROM e JOIN bt ON bt.b = e.node GROUP BY anc),
+  -- the preorder of both trees, children by id, as paths of zero-padded ids
+  p1 AS (SELECT node, printf('%09d', node) AS path FROM {{nodes}} WHERE parent IS NULL UNION ALL SELECT n.node, p1.path || printf('%09d', n.node) FROM p1 JOIN {{nodes}} n ON n.parent = p1.node),
+  p2 AS (SELECT node, printf('%09d', node) AS path FROM {{bushy}} WHERE parent IS NULL UNION ALL SELECT n.node, p2.path || printf('%09d', n.node) FROM p2 JOIN {{bushy}} n ON n.parent = p2.node),
+  w1 AS (SELECT anc, arg_min(bt.b, path) AS f, arg_max(bt.b, path) AS l FROM d JOIN bt ON bt.a = d.node JOIN p1 ON p1.node = bt.a GROUP BY anc),
+  w2 AS (SELECT anc, arg_min(bt.a, path) AS f, arg_max(bt.a, path) AS l FROM e JOIN bt ON bt.b = e.node JOIN p2 ON p2.node = bt.b GROUP BY anc),
+  m1 AS (SELECT w1.anc AS node, arg_max(u.anc, length(p2.path)) AS mapped FROM w1 JOIN e u ON u.node = f JOIN e v ON v.node = l AND v.anc = u.anc JOIN p2 ON p2.node = u.anc GROUP BY 1),
+  m2 AS (SELECT w2.anc AS node, arg_max(u.anc, length(p1.path)) AS back FROM w2 JOIN d u ON u.node = f JOIN d v ON v.node = l AND v.anc = u.anc JOIN p1 ON p1.node = u.anc GROUP BY 1)
+  SELECT m1.node, x.n AS tips, mapped, y.n AS mapped_tips, back, back = m1.node AND x.n = y.n AS same FROM m1 JOIN x ON x.anc = m1.node JOIN y ON y.anc = mapped JOIN m2 ON m2.node = mapped""", "nodes", "bushy")
+def mapped_nodes(nodes: DataFrame, bushy: DataFrame) -> DataFrame:
+    """Nodes of the binary tree and their counterparts in the tree of five children on the same customers."""
+    return T.node_map(nodes, bushy, nodes.filter("is_leaf").select(F.col("node").alias("a"), (F.col("node") - 1).alias("b")))
+
+
+@query(None, "lengths")
+def midpoint_rooted(lengths: DataFrame) -> DataFrame:
+    return T.midpoint_rooted(lengths.withColumn("blen", F.abs("blen")), 0).withColumn("blen", F.round("blen", 6))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -13,10 +14,11 @@ ROOT = Path(__file__).resolve().parent.parent
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the workers once for each context, unless they find it by PYTHONPATH or their working folder."""
+    """Send the package to the workers once for each context, unless they are the driver's own and find it by its PYTHONPATH or working folder."""
     sc = spark.sparkContext
-    known = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if getattr(sc, "_cladewright_shipped", False) or any(Path(p).resolve() == ROOT for p in [*known, os.getcwd()]):
+    known = [*[p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p], os.getcwd()]
+    own = re.match(r"local(\[|$)", sc.master) and any(Path(p).resolve() == ROOT for p in known)
+    if own or getattr(sc, "_cladewright_shipped", False):
         return
     at = Path(tempfile.mkdtemp()) / "cladewright.zip"
     with zipfile.ZipFile(at, "w") as z:

@@ -109,11 +109,12 @@ def read_gene_sets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sparse(spark: SparkSession, path: str) -> DataFrame:
-    """i, j (from 1) and v of the entries of a Matrix Market coordinate file; its size line, the first that is no comment, is left out."""
+    """i, j (from 1) and v of the entries of Matrix Market coordinate files; the size line of each, its first that is no comment, is left out. Entries without a value are 1."""
     f = F.split(F.trim("value"), r"\s+")
-    body = spark.read.text(path).filter(~F.col("value").startswith("%") & (F.trim("value") != "")).withColumn("_id", F.monotonically_increasing_id())
-    size = body.agg(F.min("_id").alias("_first"))
-    return body.join(F.broadcast(size)).filter("_id > _first").select(f[0].cast("long").alias("i"), f[1].cast("long").alias("j"), F.when(F.size(f) > 2, f[2].cast("double")).otherwise(1.0).alias("v"))
+    body = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_id"))
+    body = body.filter(~F.col("value").startswith("%") & (F.trim("value") != ""))
+    size = body.groupBy(F.col("_file").alias("_of")).agg(F.min("_id").alias("_first"))  # a row for each file
+    return body.join(F.broadcast(size), (F.col("_file") == F.col("_of")) & (F.col("_id") > F.col("_first"))).select(f[0].cast("long").alias("i"), f[1].cast("long").alias("j"), F.when(F.size(f) > 2, f[2].cast("double")).otherwise(1.0).alias("v"))
 
 
 def phylip_lines(distances: DataFrame, names: DataFrame, digits: int = 6, fill: float | None = None) -> DataFrame:

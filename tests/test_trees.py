@@ -127,3 +127,74 @@ def test_lineages_through_time(spark):
     grid = [0.0, 0.5, 1.0, 2.5, 3.0, 99.0]
     got = {r.t: r.lineages for r in T.lineages_through_time(table(spark, parent, time=time), spark.createDataFrame([(t,) for t in grid], "t double")).collect()}
     assert got == {t: sum(p is not None and time[p] < t <= time[x] for x, p in parent.items()) for t in grid}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_lca_of_forests(spark, seed):
+    one, two = random_tree(seed, 50), {x + 2000: None if p is None else p + 2000 for x, p in random_tree(seed + 9, 20).items()}
+    parent = one | two
+    rng = random.Random(seed)
+    pairs = [(rng.choice(list(parent)), rng.choice(list(parent))) for _ in range(200)] + [(next(iter(one)), 99999)]
+    got = T.lca(scale.cut(T.nested_set(table(spark, parent))), spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(pairs)], "a long, b long, nth int")).collect()
+    want = {i: next((x for x in above(parent, a) if x in above(parent, b)), None) if b in parent else None for i, (a, b) in enumerate(pairs)}
+    assert {r.nth: r.lca for r in got} == want and len(got) == len(pairs)
+
+
+def test_node_map_of_a_tree_with_other_ids_and_of_another_tree(spark):
+    parent = random_tree(4, 60)
+    inner = {p for p in parent.values() if p is not None}
+    leaves = [x for x in parent if x not in inner]
+    renamed = {x + 5000: None if p is None else p + 5000 for x, p in parent.items()}
+    tips = spark.createDataFrame([(x, x + 5000) for x in leaves], "a long, b long")
+    got = {r.node: r for r in T.node_map(table(spark, parent), table(spark, renamed), tips).collect()}
+    below = {x: {y for y in leaves if x in above(parent, y)} for x in parent}
+    assert set(got) == set(parent)
+    for x, r in got.items():
+        assert r.tips == len(below[x]) and below[r.mapped - 5000] == below[x] and r.mapped_tips == r.tips
+        assert below[r.back] == below[x] and r.same == (r.back == x)
+    star = {7000: None} | {x + 5000: 7000 for x in leaves}
+    got = {r.node: r for r in T.node_map(table(spark, parent), table(spark, star), tips).collect()}
+    root = next(x for x, p in parent.items() if p is None)
+    assert all(r.mapped == (next(iter(below[x])) + 5000 if len(below[x]) == 1 else 7000) for x, r in got.items()) and sum(r.same for x, r in got.items() if len(below[x]) > 1) == (len(below[root]) > 1)
+
+
+def ways(edges):
+    """Lengths between all nodes of an undirected tree."""
+    out = {}
+    for s in edges:
+        seen, todo = {s: 0.0}, [s]
+        while todo:
+            x = todo.pop()
+            for y, d in edges[x].items():
+                if y not in seen:
+                    seen[y] = seen[x] + d
+                    todo.append(y)
+        out[s] = seen
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_midpoint_root(spark, seed):
+    parent = random_tree(seed, 40) if seed < 3 else {0: None, 1: 0, 2: 0, 3: 2}
+    rng = random.Random(seed)
+    length = {x: rng.choice([0.0, 0.5, 1.0, 2.5]) if seed < 3 else 1.0 if x < 2 else 0.5 for x in parent}
+    edges = {x: {} for x in parent}
+    for x, p in parent.items():
+        if p is not None:
+            edges[x][p] = edges[p][x] = length[x]
+    inner = {p for p in parent.values() if p is not None}
+    leaves = [x for x in parent if x not in inner]
+    far = ways(edges)
+    longest = max(far[a][b] for a in leaves for b in leaves)
+    first, last, d, _ = T.diameter(table(spark, parent, blen=length))
+    assert d == pytest.approx(longest) == pytest.approx(far[first][last])
+    got = T.midpoint_rooted(table(spark, parent, blen=length), 9000).collect()
+    now = {r.node: r.parent for r in got}
+    assert len(got) == len(now) == len(parent) + 1 and [x for x, p in now.items() if p is None] == [9000] and all(r.blen >= 0 for r in got)
+    new = {x: {} for x in now}
+    for r in got:
+        if r.parent is not None:
+            new[r.node][r.parent] = new[r.parent][r.node] = r.blen
+    after = ways(new)
+    assert max(after[9000][x] for x in leaves) == pytest.approx(longest / 2) == pytest.approx(after[9000][first])
+    assert all(after[a][b] == pytest.approx(far[a][b]) for a in leaves for b in leaves)
