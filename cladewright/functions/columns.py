@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from itertools import combinations
 
 from pyspark.sql import Column
@@ -107,3 +109,14 @@ def header_fields(c: Column) -> Column:
 def token_id(group: Column, site: Column, allele: Column, n_sites: int = 6, base: int = 8192) -> Column:
     """One number for an allele of a site of a tape."""
     return (group * n_sites + site) * base + allele
+
+
+def log_factorial(n: Column) -> Column:
+    """ln n! of a count, without a table: Stirling's series nine steps further on, where it is exact to a double, less the logarithm of these steps."""
+    z = n.cast("double")
+    steps = F.lit(0.0)
+    for k in range(1, 10):
+        steps += F.ln(z + k)
+    w = z + 10
+    series = 1 / (12 * w) - 1 / (360 * w**3) + 1 / (1260 * w**5) - 1 / (1680 * w**7) + 1 / (1188 * w**9)
+    return (w - 0.5) * F.ln(w) - w + 0.5 * math.log(2 * math.pi) + series - steps

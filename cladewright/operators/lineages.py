@@ -150,25 +150,13 @@ def chao1(counts: DataFrame, key: str, n: str = "n") -> DataFrame:
     return a.withColumn("f0", f0).withColumn("chao1", F.col("s_obs") + f0)
 
 
-def log_factorials(n_max: DataFrame) -> DataFrame:
-    """n and lf = ln n! for n from 0 to the one number of ``n_max``: sums within runs of 1,024 and over runs."""
-    at = n_max.select(F.explode(F.expr("sequence(0L, n_max div 1024)")).alias("run"), "n_max").withColumn("n", F.explode(F.expr("sequence(run * 1024, least(n_max, run * 1024 + 1023))")))
-    at = at.withColumn("l", F.when(F.col("n") > 0, F.ln(F.col("n").cast("double"))).otherwise(0.0))
-    runs = at.groupBy("run").agg(F.sum("l").alias("s")).withColumn("before", F.sum("s").over(W.orderBy("run")) - F.col("s"))
-    return at.withColumn("in", F.sum("l").over(W.partitionBy("run").orderBy("n"))).join(F.broadcast(runs), "run").select("n", (F.col("in") + F.col("before")).alias("lf"))
-
-
 def rarefied(counts: DataFrame, grid: DataFrame, key: str, n: str = "n") -> DataFrame:
     """key, m and expected distinct: S - sum of C(N - c, m) / C(N, m) up to N (Hurlbert), Chao1's extrapolation beyond it. Counts enter as a histogram."""
     hist = counts.filter(F.col(n) > 0).groupBy(key, F.col(n).alias("c")).agg(F.count("*").alias("times"))
     at = chao1(counts, key, n).join(grid, key)
-    lf = log_factorials(counts.groupBy(key).agg(F.sum(n).alias("s")).agg(F.max("s").alias("n_max")))
-    get = lambda name: lf.select(F.col("n").alias(f"_{name}"), F.col("lf").alias(name))
     low = at.filter("m <= total").join(hist, key).filter("total - c >= m")
-    low = low.withColumn("a", F.col("total") - F.col("c")).withColumn("b", F.col("total") - F.col("c") - F.col("m")).withColumn("d", F.col("total") - F.col("m"))
-    for c, name in (("a", "la"), ("b", "lb"), ("d", "ld"), ("total", "lt")):
-        low = low.join(get(name), F.col(c) == F.col(f"_{name}")).drop(f"_{name}")
-    lost = low.groupBy(key, "m").agg(F.sum(F.col("times") * F.exp(F.col("la") - F.col("lb") - F.col("lt") + F.col("ld"))).alias("lost"))
+    lf, c, m, all_ = C.log_factorial, F.col("c"), F.col("m"), F.col("total")
+    lost = low.groupBy(key, "m").agg(F.sum(F.col("times") * F.exp(lf(all_ - c) - lf(all_ - c - m) - lf(all_) + lf(all_ - m))).alias("lost"))
     denom = F.col("total") * F.col("f0") + F.col("f1")
     beyond = F.when((denom > 0) & (F.col("f0") > 0), F.col("f0") * (1 - F.pow(1 - F.col("f1") / denom, F.col("m") - F.col("total")))).otherwise(0.0)
     out = at.join(lost, [key, "m"], "left")

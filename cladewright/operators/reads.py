@@ -12,7 +12,7 @@ from cladewright.functions import columns as C
 from cladewright.functions import kernels as K
 from cladewright.shipping import ship
 
-from .scale import components, cut
+from .scale import components, cut, running
 
 SITES = T.ArrayType(T.StringType())
 WALKED = T.StructType([T.StructField("sites", SITES), T.StructField("broken", T.BooleanType()), T.StructField("why", T.StringType())])
@@ -33,20 +33,21 @@ def walk(reads: DataFrame, seq: str = "seq", start: str = "start", compat_frame_
     tail = F.substr(F.col(seq), F.col(start) + 1)
     groups = "|".join(f"${i + 1}" for i in range(g.sites))
     read = F.when(F.regexp_count(tail, F.lit(g.anchor)) == g.sites + 1, F.regexp_replace(tail, f"^.*?{spelled(g)}.*$", f"#{groups}"))
-    marked = reads.withColumn("_read", read)
     whole = F.coalesce(F.startswith("_read", F.lit("#")), F.lit(False))
-    plain = marked.filter(whole).withColumn("_t", F.split(F.substr("_read", F.lit(2)), r"\|"))
-    first = F.array_position("_t", "")
-    states = F.when(first == 0, F.col("_t")).otherwise(F.concat(F.slice("_t", F.lit(1), F.greatest(first - 1, F.lit(0)).cast("int")), F.array_repeat(F.lit(C.UNEDITED), (g.sites + 1 - first).cast("int"))))
-    plain = plain.select(*reads.columns, states.alias("sites"), F.lit(False).alias("broken"), F.when(first == 0, "full").otherwise("unedited").alias("why"))
 
     @F.pandas_udf(WALKED)
     def walked(s: pd.Series, at: pd.Series) -> pd.DataFrame:
-        rows = [K.walk(x, int(a), compat_frame_shift) if x is not None and a == a and a is not None else ([None] * 6, False, "short") for x, a in zip(s, at, strict=True)]
+        none = None, None, None  # a read that the pattern tells
+        rows = [none if x is None else K.walk(x, int(a), compat_frame_shift) if a == a and a is not None else ([None] * 6, False, "short") for x, a in zip(s, at, strict=True)]
         return pd.DataFrame(rows, columns=WALKED.names)
 
-    rest = marked.filter(~whole).withColumn("_w", walked(seq, start)).select(*reads.columns, "_w.*")
-    return plain.unionByName(rest)
+    marked = reads.withColumn("_read", read).withColumn("_w", walked(F.when(~whole, F.coalesce(seq, F.lit(""))), start))
+    marked = marked.withColumn("_t", F.when(whole, F.split(F.substr("_read", F.lit(2)), r"\|")))
+    first = F.array_position("_t", "")
+    states = F.when(first == 0, F.col("_t")).otherwise(F.concat(F.slice("_t", F.lit(1), F.greatest(first - 1, F.lit(0)).cast("int")), F.array_repeat(F.lit(C.UNEDITED), (g.sites + 1 - first).cast("int"))))
+    return marked.select(
+        *reads.columns, F.when(whole, states).otherwise(F.col("_w.sites")).alias("sites"), F.when(whole, F.lit(False)).otherwise(F.col("_w.broken")).alias("broken"),
+        F.when(whole, F.when(first == 0, "full").otherwise("unedited")).otherwise(F.col("_w.why")).alias("why"))
 
 
 def parse_bulk(reads: DataFrame, compat_frame_shift: bool = True) -> DataFrame:
@@ -199,13 +200,13 @@ def dechimera(patterns: DataFrame, key: str = "tape") -> DataFrame:
 
     Patterns are ranked by n (ties by text); those removed still lend their prefixes and suffixes, so that the least rank of each decides.
     """
-    text = F.array_join("sites", "|")
-    ranked = patterns.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc("n"), text)))
+    down = patterns.withColumn("_down", -F.col("n")).withColumn("_text", F.array_join("sites", "|"))
+    ranked = cut(running(down, ["_down", "_text"], {"rank": "1L"}, [key]).withColumn("rank", F.col("rank").cast("int")).drop("_down", "_text"))
     full = F.forall("sites", lambda x: x != C.UNEDITED)
     split = ranked.filter(full).withColumn("k", F.explode(F.sequence(F.lit(1), F.size("sites") - 1)))
     split = split.withColumn("head", F.array_join(F.slice("sites", F.lit(1), F.col("k")), "|")).withColumn("tail", F.array_join(F.slice("sites", F.col("k") + 1, F.size("sites")), "|"))
-    best = lambda c: F.min("rank").over(W.partitionBy(key, "k", c))
-    split = split.withColumn("h", best("head")).withColumn("t", best("tail"))
+    for c, best in (("head", "h"), ("tail", "t")):
+        split = split.join(split.groupBy(key, "k", c).agg(F.min("rank").alias(best)), [key, "k", c])
     bad = split.filter((F.col("h") < F.col("rank")) & (F.col("t") < F.col("rank"))).select(key, "rank").distinct().withColumn("chimera", F.lit(True))
     return ranked.join(bad, [key, "rank"], "left").na.fill(False, ["chimera"])
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .lineages import log_factorials
+from cladewright.functions import columns as C
+
 from .scale import cut, running
 
 
@@ -32,11 +33,9 @@ def enrichment(members: DataFrame, by: list[str] | None = None) -> DataFrame:
     obs = cooccurrence(members, by)
     pairs = n_of.select(*by, F.col("cls").alias("a"), F.col("n").alias("na")).join(n_of.select(*by, F.col("cls").alias("b"), F.col("n").alias("nb")), by).filter("a < b").withColumn("nab", F.col("na") + F.col("nb"))
     m = pairs.select(*by, F.explode(F.array("na", "nb", "nab")).alias("m")).distinct()
-    lf = cut(log_factorials(tot.agg(F.max("total").alias("n_max"))))
+    lf, left, size, all_ = C.log_factorial, F.col("total") - F.col("m"), F.col("s"), F.col("total")
     g = m.join(tot, by).join(hist, by).filter("total - m >= s")
-    for c, name in ((F.col("total") - F.col("m"), "l1"), (F.col("total") - F.col("m") - F.col("s"), "l2"), (F.col("total"), "l3"), (F.col("total") - F.col("s"), "l4")):
-        g = g.withColumn("_k", c).join(lf.select(F.col("n").alias("_k"), F.col("lf").alias(name)), "_k").drop("_k")
-    miss = cut(g.groupBy(*by, "m").agg(F.sum(F.col("times") * F.exp(F.col("l1") - F.col("l2") - F.col("l3") + F.col("l4"))).alias("f")))
+    miss = cut(g.groupBy(*by, "m").agg(F.sum(F.col("times") * F.exp(lf(left) - lf(left - size) - lf(all_) + lf(all_ - size))).alias("f")))
     out = pairs
     for c in ("na", "nb", "nab"):
         out = out.join(miss.select(*by, F.col("m").alias(c), F.col("f").alias(f"f_{c}")), [*by, c], "left").na.fill(0.0, [f"f_{c}"])
@@ -68,13 +67,21 @@ def log2_enrichment(counts: DataFrame, a: str, b: str, n: str = "n", least: int
     return out.select(*counts.columns, e.alias("expected"), F.when(F.col(n) >= least, F.log2(F.col(n) / e)).alias("log2fc"))
 
 
-def bh(tests: DataFrame, p: str = "p") -> DataFrame:
-    """``tests`` with q: Benjamini-Hochberg, the least p * n / rank of its own and all greater p. Equal p are one row, and ranks and least values go by ranges of p."""
-    g = tests.groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_n"))
-    ranked = running(g, ["_p"], {"_rank": "_n"})
-    x = ranked.join(F.broadcast(g.agg(F.sum("_n").alias("_all")))).withColumn("_x", F.col("_p") * F.col("_all") / F.col("_rank")).withColumn("_down", -F.col("_p"))
-    q = running(x, ["_down"], {"_q": "_x"}, how="min").select("_p", F.least(F.lit(1.0), "_q").alias("q"))
-    return tests.join(q, F.col(p).eqNullSafe(F.col("_p"))).drop("_p")
+def bh(tests: DataFrame, p: str = "p", by: list[str] | None = None) -> DataFrame:
+    """``tests`` with q: Benjamini-Hochberg in each of ``by``, the least p * n / rank of its own and all greater p. Equal p are one row, and ranks and least values go by ranges of p."""
+    by = by or []
+    g = tests.groupBy(*by, F.col(p).alias("_p")).agg(F.count("*").alias("_n"))
+    ranked = running(g, ["_p"], {"_rank": "_n"}, by)
+    all_ = g.groupBy(*[F.col(c).alias(f"_all_{c}") for c in by]).agg(F.sum("_n").alias("_all"))
+    same = F.lit(True)
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_all_{c}"))
+    x = ranked.join(F.broadcast(all_) if not by else all_, same).withColumn("_x", F.col("_p") * F.col("_all") / F.col("_rank")).withColumn("_down", -F.col("_p"))
+    q = running(x.select(*by, "_p", "_x", "_down"), ["_down"], {"_q": "_x"}, by, how="min").select(*[F.col(c).alias(f"_by_{c}") for c in by], "_p", F.least(F.lit(1.0), "_q").alias("q"))
+    on = F.col(p).eqNullSafe(F.col("_p"))
+    for c in by:
+        on &= F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return tests.join(q, on).select(*tests.columns, "q")
 
 
 def ranked_values(df: DataFrame, value: str, key: str, **counts) -> DataFrame:

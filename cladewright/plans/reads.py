@@ -169,19 +169,19 @@ _COUNTERS = f"""SELECT metric, n, round(100.0 * n / greatest(total, 1), 4) AS pc
 
 @query(_COUNTERS, "bulk_reads", "whitelisted", "known_insertions")
 def parse_funnel(reads: DataFrame, whitelist: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    return R.parse_funnel(R.flagged(R.parse_bulk(cut(reads.select("seq"))), whitelist, vocabulary)).withColumn("pct", F.round("pct", 4))
+    return R.parse_funnel(R.flagged(R.parse_bulk(reads.select("seq")), whitelist, vocabulary)).withColumn("pct", F.round("pct", 4))
 
 
 @query(f"""SELECT read_no, CASE WHEN m NOT IN (1, 2, 4) THEN bc END AS corrected, m = 6 AS error, {_RESOLVED} AND m <> 4 AND (m <> 7 OR d < 1) AS valid FROM {{bulk_reads}}""", "bulk_reads", "whitelisted", "known_insertions")
 def damaged_reads(reads: DataFrame, whitelist: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """What becomes of each damaged read."""
-    return R.flagged(R.parse_bulk(cut(reads.select("read_no", "seq"))), whitelist, vocabulary).select("read_no", "corrected", "error", "valid")
+    return R.flagged(R.parse_bulk(reads.select("read_no", "seq")), whitelist, vocabulary).select("read_no", "corrected", "error", "valid")
 
 
 @query("SELECT read_no, CASE WHEN m NOT IN (1, 2, 3, 4) THEN bc END AS barcode, concat('c', CAST(cell AS STRING)) AS cell, umi, concat('S', CAST(cell % 2 AS STRING)) AS sample, CASE WHEN m IN (5, 6, 7) THEN NULL ELSE pattern END AS pattern FROM {bulk_reads} WHERE cell % 2 = 1", "bulk_reads")
 def cell_reads(reads: DataFrame) -> DataFrame:
     """Cells, UMIs and barcodes of single-cell reads of one sample, as headers and sequences say."""
-    parsed = R.parse_cells(cut(reads.select("read_no", "m", "header", "seq"))).filter(F.contains("sample", F.lit("S1")))
+    parsed = R.parse_cells(reads.select("read_no", "m", "header", "seq")).filter(F.contains("sample", F.lit("S1")))
     sound = ~F.col("m").isin(5, 6, 7)
     return parsed.select("read_no", F.when(~F.col("m").isin(1, 2, 3, 4), F.col("barcode")).alias("barcode"), "cell", "umi", "sample", F.when(sound, F.array_join("sites", "|")).alias("pattern"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladewright.catalog import VIEWS, query
+from cladewright.operators import pairings as P
 from cladewright.operators import statistics as S
 from cladewright.operators import trees as T
 
@@ -111,3 +112,26 @@ def permuted_concordance(nodes: DataFrame) -> DataFrame:
 def stratified_concordance(nodes: DataFrame) -> DataFrame:
     """The same with labels shuffled within each of two strata."""
     return concordance_null(nodes, "side")
+
+
+#: Sibling leaves of the tree of five children: two strata, ages of their parents, edits in which they differ and that they share.
+VIEWS["typed_tips"] = "SELECT b.node, b.parent, CASE WHEN b.parent % 3 = 0 THEN 'B1' ELSE 'B2' END AS stratum, concat('ct', CAST((b.node * 7 + CAST(floor(b.node / 5.0) AS BIGINT)) % 5 AS STRING)) AS cls FROM {bushy} b WHERE b.node NOT IN (SELECT parent FROM {bushy} WHERE parent IS NOT NULL)"
+VIEWS["sibling_tips"] = "SELECT a.node AS a, b.node AS b, 11.5E0 + a.parent % 5 * 0.5E0 AS age, (a.node * 3 + b.node) % 5 - 1 AS disc, (a.node + b.node) % 7 AS shared FROM {typed_tips} a, {typed_tips} b WHERE a.parent = b.parent AND a.node < b.node"
+POST, AGES, DISCS = ["ct0", "ct3"], [0.0, 12.0, 12.5, 13.0], [2, 1, 0]
+_GRIDDED = """di AS (SELECT a, b, age, disc, shared FROM {sibling_tips} WHERE disc >= 0 UNION ALL SELECT b, a, age, disc, shared FROM {sibling_tips} WHERE disc >= 0), th AS (SELECT unnest([0.0E0, 12.0, 12.5, 13.0]) AS t),
+  se AS (SELECT t, x.stratum, x.cls AS kind, y.cls AS progenitor, di.disc AS d FROM di JOIN {typed_tips} x ON x.node = di.a JOIN {typed_tips} y ON y.node = di.b JOIN th ON age >= t WHERE x.cls IN ('ct0', 'ct3') AND y.cls NOT IN ('ct0', 'ct3') QUALIFY row_number() OVER (PARTITION BY t, di.a ORDER BY di.disc, shared DESC, di.b) = 1)"""
+
+
+@query(f"WITH {_GRIDDED} SELECT stratum, t AS age, g.disc, progenitor, kind, count(*) AS n FROM se, (SELECT unnest([0, 1, 2]) AS disc) g WHERE d <= g.disc GROUP BY ALL", "sibling_tips", "typed_tips")
+def pairing_grid(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Captured divisions by progenitor and kind, for all twelve thresholds."""
+    return P.observed(pairs, labels, POST, AGES, DISCS).withColumn("disc", F.col("disc").cast("int"))
+
+
+@query(None, "sibling_tips", "typed_tips")
+def pairing_test(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The same against 50 permutations of the labels within strata."""
+    moments = P.null_moments(pairs, labels, POST, AGES, DISCS, 50)
+    out = P.captured(P.observed(pairs, labels, POST, AGES, DISCS), moments, fold=1.1)
+    return out.select("stratum", "age", "disc", "progenitor", "kind", "n", *[F.round(c, 6).alias(c) for c in ("mean", "variance", "fold", "p", "q")], "captured")
+
