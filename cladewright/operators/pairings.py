@@ -1,16 +1,20 @@
 """Captured pairings of sibling cells against permuted labels, for all thresholds at once.
 
 A post-mitotic cell pairs with the progenitor among its siblings that differs least. Labels are permuted within strata by a keyed permutation of ranks: each node's rank goes to another by
-a pseudorandom bijection of the replicate, and the labels stand in the order of their kinds, so that a label is read off a few running totals. No replicate is sorted or gathered: pairs are dealt by cell once, and
-all replicates of a cell's pairs stay in its task; what leaves it are counts.
+a pseudorandom bijection of the replicate, and the labels stand in the order of their kinds, so that a label is read off a few running totals. No replicate is sorted or gathered: a node carries its kinds in
+all replicates, pairs are dealt by cell once, and all replicates of a cell's pairs stay in its task; what leaves it are counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from cladewright.shipping import ship
+
 from .scale import cut, running
 from .statistics import bh
 from .summaries import overdispersed_tail
@@ -18,46 +22,70 @@ from .summaries import overdispersed_tail
 ROUNDS = 24
 
 
-def permuted(x: Column, n: Column, *key: Column) -> Column:
-    """Where a bijection of 0 .. n - 1, one for each ``key``, sends x: in each round x and its mirror image about a keyed point change places or not, as a keyed bit of the two says."""
-    def step(v: Column, r: Column) -> Column:
-        y = F.pmod(F.pmod(F.xxhash64(*key, r), n) - v, n)
-        return F.when(F.xxhash64(*key, r, F.greatest(v, y)).bitwiseAND(F.lit(1)) == 1, y).otherwise(v)
+def mixed(*parts: np.ndarray | int) -> np.ndarray:
+    """A hash of 64 bits of some numbers, element by element."""
+    h = np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        for p in parts:
+            h = (h ^ np.asarray(p).astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+            h = h ^ h >> np.uint64(31)
+    return h
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), x, step)
+
+def permuted(x: np.ndarray, n: np.ndarray, *key: np.ndarray | int) -> np.ndarray:
+    """Where a bijection of 0 .. n - 1, one for each ``key``, sends x: in each round x and its mirror image about a keyed point change places or not, as a keyed bit of the two says."""
+    for r in range(ROUNDS):
+        y = ((mixed(*key, r) % n.astype(np.uint64)).astype(np.int64) - x) % n
+        x = np.where(mixed(*key, r, np.maximum(x, y)) & np.uint64(1) == 1, y, x)
+    return x
 
 
 def ranked_labels(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``labels`` (node, stratum, cls) with rank (from 0 in the stratum, by node), and for each stratum n and kinds: (hi, cls), the running totals of its kinds in order. Kinds are few."""
+    """``labels`` (node, stratum, cls) with rank (from 0 in the stratum, by node), and for each stratum n, key and kinds: (hi, cls), the running totals of its kinds in order. Kinds are few."""
     ranked = running(labels.select("node", "stratum", "cls"), ["node"], {"upto": "1L"}, ["stratum"]).withColumn("rank", F.col("upto") - 1).drop("upto")
     n = labels.groupBy("stratum", "cls").agg(F.count("*").alias("_n"))
     upto = n.withColumn("hi", F.sum("_n").over(W.partitionBy("stratum").orderBy("cls")))  # a row for each kind
-    return ranked, upto.groupBy("stratum").agg(F.sum("_n").alias("n"), F.array_sort(F.collect_list(F.struct("hi", "cls"))).alias("kinds"))
+    return ranked, upto.groupBy("stratum").agg(F.sum("_n").alias("n"), F.array_sort(F.collect_list(F.struct("hi", "cls"))).alias("kinds")).withColumn("key", F.xxhash64("stratum"))
+
+
+def drawn(labels: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """``labels`` (node, stratum, cls) with kinds and draws: for each replicate the number of the kind, from 0, that the node gets."""
+    ship(labels.sparkSession)
+
+    @F.pandas_udf("array<int>")
+    def draws(rank: pd.Series, key: pd.Series, n: pd.Series, upto: pd.Series) -> pd.Series:
+        rep, out = np.arange(1, replicates + 1)[None], [None] * len(rank)
+        for k in key.unique():
+            rows = np.flatnonzero(key == k)
+            hi = np.asarray(upto.iloc[rows[0]])
+            for low in range(0, len(rows), 1024):
+                own = rows[low:low + 1024]
+                x = np.repeat(rank.iloc[own].to_numpy(np.int64)[:, None], replicates, 1)
+                kinds = np.searchsorted(hi, permuted(x, n.iloc[own].to_numpy(np.int64)[:, None], seed, int(k) & (1 << 64) - 1, rep), "right")
+                for i, row in zip(own, kinds, strict=True):
+                    out[i] = row
+        return pd.Series(out, dtype=object)
 
-
-def _drawn(rank: Column, seed: int) -> Column:
-    at = permuted(rank, F.col("n"), F.lit(seed), F.col("rep"), F.col("stratum"))
-    return F.get(F.filter("kinds", lambda k: k["hi"] > at), F.lit(0))["cls"]
+    ranked, strata = ranked_labels(labels)
+    x = ranked.join(F.broadcast(strata.withColumnRenamed("stratum", "_s")), F.col("stratum").eqNullSafe(F.col("_s")))
+    return x.select("node", "stratum", "cls", F.transform("kinds", lambda k: k["cls"]).alias("kinds"), draws("rank", "key", "n", F.transform("kinds", lambda k: k["hi"])).alias("draws"))
 
 
 def relabelled(labels: DataFrame, replicates: int, seed: int = 1) -> DataFrame:
     """rep, node, stratum and cls of ``labels`` (node, stratum, cls; nodes told apart, none null) permuted within strata, for each replicate."""
-    ranked, strata = ranked_labels(labels)
-    x = ranked.drop("cls").join(F.broadcast(strata.withColumnRenamed("stratum", "_s")), F.col("stratum").eqNullSafe(F.col("_s")))
-    x = x.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    return x.select("rep", "node", "stratum", _drawn(F.col("rank"), seed).alias("cls"))
+    x = drawn(labels, replicates, seed).select("node", "stratum", "kinds", F.posexplode("draws").alias("_r", "_k"))
+    return x.select((F.col("_r") + 1).alias("rep"), "node", "stratum", F.get("kinds", F.col("_k")).alias("cls"))
 
 
 def directed(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Each of ``pairs`` (a, b, age, disc, shared; a null or negative disc is left out) from either end, with ranks, labels and the stratum, dealt by the first end. Pairs need labels of one stratum."""
-    ranked, strata = ranked_labels(labels)
-    ranked = cut(ranked)
-    end = lambda c: ranked.select(F.col("node").alias(f"_{c}"), F.col("rank").alias(f"rank_{c}"), F.col("cls").alias(f"cls_{c}"), F.col("stratum").alias(f"stratum_{c}"))
+    """Each of ``pairs`` (a, b, age, disc, shared; a null or negative disc is left out) from either end, dealt by the first end, with a_ and b_ of all columns of ``labels`` (node, stratum, ...). Pairs need
+    labels of one stratum."""
+    end = lambda c: labels.select(*[F.col(x).alias(f"{c}_{x}") for x in labels.columns])
     known = pairs.filter("disc >= 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "age", "disc", "shared")
     both = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"), "age", "disc", "shared"))
-    met = both.join(end("a"), F.col("a") == F.col("_a")).join(end("b"), (F.col("b") == F.col("_b")) & F.col("stratum_a").eqNullSafe(F.col("stratum_b")))
-    met = met.join(F.broadcast(strata), F.col("stratum_a").eqNullSafe(F.col("stratum"))).select("a", "b", "age", "disc", "shared", "rank_a", "rank_b", "cls_a", "cls_b", F.col("stratum_a").alias("stratum"), "n", "kinds")
-    return met.repartition("a")
+    met = both.join(end("a"), F.col("a") == F.col("a_node")).join(end("b"), (F.col("b") == F.col("b_node")) & F.col("a_stratum").eqNullSafe(F.col("b_stratum")))
+    return met.withColumnRenamed("a_stratum", "stratum").repartition("a")
 
 
 def counted(rows: DataFrame, post: list[str], ages: list[float], discs: list[int]) -> DataFrame:
@@ -78,7 +106,7 @@ def counted(rows: DataFrame, post: list[str], ages: list[float], discs: list[int
 
 def observed(pairs: DataFrame, labels: DataFrame, post: list[str], ages: list[float], discs: list[int]) -> DataFrame:
     """stratum, age, disc, progenitor, kind and n of the labels as they are (see ``counted``); a pairing that occurs nowhere has no row."""
-    rows = directed(pairs, labels).select("a", "b", "age", "disc", "shared", "stratum", F.lit(0).alias("rep"), F.col("cls_a").alias("_a"), F.col("cls_b").alias("_b"))
+    rows = directed(pairs, labels.select("node", "stratum", "cls")).select("a", "b", "age", "disc", "shared", "stratum", F.lit(0).alias("rep"), F.col("a_cls").alias("_a"), F.col("b_cls").alias("_b"))
     return counted(rows, post, ages, discs).drop("rep")
 
 
@@ -87,8 +115,9 @@ def null_moments(pairs: DataFrame, labels: DataFrame, post: list[str], ages: lis
 
     Partners are selected anew in every replicate. Pairings that no replicate has are left out: both moments are 0.
     """
-    rows = directed(pairs, labels).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    rows = rows.withColumn("_a", _drawn(F.col("rank_a"), seed)).withColumn("_b", _drawn(F.col("rank_b"), seed))
+    rows = directed(pairs, cut(drawn(labels, replicates, seed).drop("cls"))).withColumn("_z", F.arrays_zip("a_draws", "b_draws"))
+    rows = rows.select("a", "b", "age", "disc", "shared", "stratum", "a_kinds", F.posexplode("_z").alias("rep", "_z"))
+    rows = rows.select("a", "b", "age", "disc", "shared", "stratum", "rep", F.get("a_kinds", F.col("_z.a_draws")).alias("_a"), F.get("a_kinds", F.col("_z.b_draws")).alias("_b"))
     n = cut(counted(rows, post, ages, discs))
     keys = ["stratum", "age", "disc", "progenitor", "kind"]
     all_ = n.unionByName(n.groupBy("rep", *keys[1:]).agg(F.sum("n").alias("n")).withColumn("stratum", F.lit(pooled)))
