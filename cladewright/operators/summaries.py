@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 
 from cladewright.functions import columns as C
 
+from .scale import cut, running
+
 #: A variance of up to so many times the mean counts as that of a Poisson distribution.
 NEARLY = 1.05
 
@@ -259,26 +261,91 @@ def variable_genes(values: DataFrame, cells: int, k: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("_d"), "gene"))).drop("_d")
 
 
-def scaled(values: DataFrame, genes: DataFrame, most: float = 10.0) -> DataFrame:
-    """cell, gene and z of the values of ``genes`` (gene, mean, variance), at most ``most``."""
-    return values.join(F.broadcast(genes.select("gene", "mean", "variance")), "gene").select("cell", "gene", F.least(F.lit(most), F.try_divide(F.col("value") - F.col("mean"), F.sqrt("variance"))).alias("z"))
+def scaled(values: DataFrame, genes: DataFrame, cells: DataFrame, most: float = 10.0) -> DataFrame:
+    """cell, gene and z of every one of ``cells`` (cell) and ``genes`` (gene, mean, variance; those that were chosen, so few), at most ``most``; a value that is not there is 0, and a gene that does not vary gives 0."""
+    own = F.broadcast(genes.agg(F.collect_list(F.struct("gene", "mean", "variance")).alias("_g")))
+    grid = cells.select("cell").distinct().join(own).select("cell", F.explode("_g").alias("_g")).select("cell", "_g.*")
+    held = values.select(F.col("cell").alias("_c"), F.col("gene").alias("_n"), "value").join(F.broadcast(genes.select(F.col("gene").alias("_n"))), "_n", "left_semi")
+    met = grid.join(held, (F.col("cell") == F.col("_c")) & (F.col("gene") == F.col("_n")), "left")
+    z = F.try_divide(F.coalesce("value", F.lit(0.0)) - F.col("mean"), F.sqrt("variance"))
+    return met.select("cell", "gene", F.least(F.lit(most), F.coalesce(z, F.lit(0.0))).alias("z"))
+
+
+def control_genes(values: DataFrame, sets: DataFrame, bins: int = 24, controls: int = 100, seed: int = 1) -> DataFrame:
+    """name and gene of the control genes of each set (name, gene): for each of its genes ``controls`` of those of like mean, each once.
+
+    Genes are ranked by their sum over all cells (ties: the least gene) and dealt in ``bins`` of equal number; a gene's controls are those of its bin with the least md5 of seed, set, gene and control.
+    """
+    sums = values.groupBy("gene").agg(F.sum("value").alias("_s"))
+    ranked = running(sums, ["_s", "gene"], {"place": "1L"}).drop("_s")
+    n = ranked.agg(F.max("place").alias("_all"))
+    binned = ranked.join(F.broadcast(n)).select("gene", F.floor((F.col("place") - 1) * bins / F.col("_all")).alias("_bin"))
+    own = sets.select("name", F.col("gene").alias("_of")).distinct().join(binned.withColumnRenamed("gene", "_of"), "_of")
+    key = F.md5(F.concat_ws(":", F.lit(seed), "name", "_of", "gene").cast("binary"))
+    tried = F.broadcast(own).join(binned, "_bin").withColumn("_k", F.row_number().over(W.partitionBy("name", "_of").orderBy(key, "gene")))
+    return tried.filter(F.col("_k") <= controls).select("name", "gene").distinct()
+
+
+def module_score(values: DataFrame, sets: DataFrame, cells: DataFrame, bins: int = 24, controls: int = 100, seed: int = 1) -> DataFrame:
+    """cell, name and score of every one of ``cells`` and each gene set (name, gene): the mean of its genes less that of their control genes. Values that are not there are 0; genes that no cell has are left out."""
+    known = values.select("gene").distinct()
+    own = sets.select("name", "gene").distinct().join(known, "gene", "left_semi")
+    both = own.withColumn("_own", F.lit(1.0)).unionByName(control_genes(values, own, bins, controls, seed).withColumn("_own", F.lit(-1.0)))
+    sizes = both.groupBy("name", "_own").agg(F.count("*").alias("_n"))
+    weights = cut(both.join(sizes, ["name", "_own"]).groupBy("name", "gene").agg(F.sum(F.col("_own") / F.col("_n")).alias("_w")))  # sets and controls are few
+    sums = values.join(F.broadcast(weights), "gene").groupBy("cell", "name").agg(F.sum(F.col("value") * F.col("_w")).alias("_s"))
+    names = F.broadcast(weights.agg(F.array_sort(F.collect_set("name")).alias("_names")))
+    grid = cells.select("cell").distinct().join(names).select("cell", F.explode("_names").alias("name"))
+    return grid.join(sums, ["cell", "name"], "left").select("cell", "name", F.coalesce("_s", F.lit(0.0)).alias("score"))
+
+
+def _group_sums(values: DataFrame, cells: DataFrame, first: str) -> DataFrame:
+    """gene, n1, n2 and for both groups the sum s, of squares q, of counts before the logarithm e, and the cells k with a value above 0."""
+    f = F.col(first)
+    held = values.filter("value > 0").join(cells.select("cell", first), "cell")
+    v = F.col("value")
+    of = lambda on, k: [F.coalesce(F.sum(F.when(on, x)), F.lit(0.0)).alias(f"{n}{k}") for n, x in (("s", v), ("q", v * v), ("e", F.expm1(v)))] + [F.count_if(on).alias(f"k{k}")]
+    n = cells.agg(F.count_if(f).alias("n1"), F.count_if(~f).alias("n2"))
+    return held.groupBy("gene").agg(*of(f, 1), *of(~f, 2)).join(F.broadcast(n))
+
 
+def effect_sizes(values: DataFrame, cells: DataFrame, first: str = "first") -> DataFrame:
+    """gene, n1, n2, difference of means and Cohen's d (over the root of the mean of both variances) of the ``cells`` (cell, ``first``) where ``first`` holds against the others; values that are not there are 0."""
+    x = _group_sums(values, cells, first)
+    var = lambda k: (F.col(f"q{k}") - F.col(f"s{k}") ** 2 / F.col(f"n{k}")) / (F.col(f"n{k}") - 1)
+    apart = F.try_divide("s1", "n1") - F.try_divide("s2", "n2")
+    return x.select("gene", "n1", "n2", apart.alias("difference"), F.try_divide(apart, F.sqrt(F.greatest(F.lit(0.0), (var(1) + var(2)) / 2))).alias("d"))
 
-def module_score(values: DataFrame, sets: DataFrame) -> DataFrame:
-    """cell, name and score: the mean of the values of a gene set's genes (name, gene) less the cell's mean over all of its genes."""
-    all_ = values.groupBy("cell").agg(F.avg("value").alias("_all"))
-    own = values.join(F.broadcast(sets), "gene").groupBy("cell", "name").agg(F.avg("value").alias("_own"))
-    return own.join(all_, "cell").select("cell", "name", (F.col("_own") - F.col("_all")).alias("score"))
 
+def markers(values: DataFrame, cells: DataFrame, first: str = "first", least: float = 0.01) -> DataFrame:
+    """gene, pct1, pct2, log2fc, u, z and p of the rank-sum test of the ``cells`` where ``first`` holds against the others, for genes that a share of ``least`` of either group has.
 
-def effect_sizes(values: DataFrame, first: str, key: str = "gene", value: str = "value") -> DataFrame:
-    """key, n1, n2, difference of means and Cohen's d of rows where ``first`` holds against the others."""
+    Values are 0 or more, and those that are not there are 0: they are one tie below all others, so only stored values are ranked. z is corrected for ties and continuity, p two-sided from the normal
+    distribution; log2fc compares means before the logarithm, 1 added to each.
+    """
     f = F.col(first)
-    s = lambda c: (F.count_if(c), F.avg(F.when(c, F.col(value))), F.var_samp(F.when(c, F.col(value))))
-    (n1, m1, v1), (n2, m2, v2) = s(f), s(~f)
-    x = values.groupBy(key).agg(n1.alias("n1"), n2.alias("n2"), m1.alias("_m1"), m2.alias("_m2"), v1.alias("_v1"), v2.alias("_v2"))
-    pooled = F.sqrt(((F.col("n1") - 1) * F.col("_v1") + (F.col("n2") - 1) * F.col("_v2")) / (F.col("n1") + F.col("n2") - 2))
-    return x.select(key, "n1", "n2", (F.col("_m1") - F.col("_m2")).alias("difference"), F.try_divide(F.col("_m1") - F.col("_m2"), pooled).alias("d"))
+    held = values.filter("value > 0").join(cells.select("cell", first), "cell")
+    t = held.groupBy("gene", "value").agg(F.count("*").alias("_t"), F.count_if(f).alias("_t1"))
+    ranked = running(t, ["value"], {"_upto": "_t"}, ["gene"])
+    k, n1, n2 = F.col("_t").cast("double"), F.col("n1").cast("double"), F.col("n2").cast("double")
+    rank = F.col("_upto") - (k - 1) / 2
+    r = ranked.groupBy("gene").agg(F.sum(F.col("_t1") * rank).alias("_w"), F.sum(k * k * k - k).alias("_ties"), F.sum("_t1").alias("_f"), F.sum("_t").alias("_k"))
+    x = _group_sums(values, cells, first).join(r, "gene")
+    n, zeros = n1 + n2, n1 + n2 - F.col("_k")
+    u = F.col("_w") + F.col("_f") * zeros + (n1 - F.col("_f")) * (zeros + 1) / 2 - n1 * (n1 + 1) / 2
+    off = u - n1 * n2 / 2
+    sd = F.sqrt(n1 * n2 / 12 * (n + 1 - (F.col("_ties") + zeros * zeros * zeros - zeros) / (n * (n - 1))))
+    z = F.when(sd > 0, F.signum(off) * F.greatest(F.lit(0.0), F.abs(off) - 0.5) / sd)
+    out = x.select("gene", (F.col("k1") / n1).alias("pct1"), (F.col("k2") / n2).alias("pct2"), (F.log2(F.col("e1") / n1 + 1) - F.log2(F.col("e2") / n2 + 1)).alias("log2fc"), u.alias("u"), z.alias("z"))
+    return out.filter((F.col("pct1") >= least) | (F.col("pct2") >= least)).withColumn("p", two_sided("z"))
+
+
+@F.pandas_udf(T.DoubleType())
+def two_sided(z):
+    """The chance of a standard normal value as far from 0 as z on either side; 1 where z is null."""
+    import pandas as pd
+
+    return pd.Series([1.0 if pd.isna(x) else math.erfc(abs(x) / math.sqrt(2)) for x in z], dtype=float)
 
 
 def common(one: DataFrame, two: DataFrame, key: str = "gene") -> DataFrame:

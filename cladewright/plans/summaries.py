@@ -197,23 +197,41 @@ def log_normal(expression: DataFrame) -> DataFrame:
     return S.log_normal(expression).withColumn("value", F.round("value", 6))
 
 
-@query(f"WITH {_NORM}, {_VAR} SELECT v.cell, v.gene, round(least(10, (value - mean) / sqrt(variance)), 5) AS z FROM v JOIN h USING (gene) WHERE rank <= 20", "expression")
-def scaled_variable_genes(expression: DataFrame) -> DataFrame:
-    v = cut(S.log_normal(expression))
-    return S.scaled(v, S.variable_genes(v, 200, 20)).withColumn("z", F.round("z", 5))
+#: Few of a cell's genes are seen in it, and some cells have none.
+VIEWS["sparse"] = "SELECT l_orderkey % 200 AS cell, concat('g', CAST(l_partkey % 60 AS STRING)) AS gene, count(*) AS n FROM {lineitem} WHERE (l_partkey * 7 + l_orderkey) % 5 = 0 AND l_orderkey % 200 <> 17 GROUP BY 1, 2"
+VIEWS["all_cells"] = "SELECT l_orderkey % 200 AS cell, l_orderkey % 200 % 2 = 0 AS first FROM {lineitem} GROUP BY 1, 2"
+_SPARSE = "v AS (SELECT cell, gene, ln(1 + 10000.0 * n / sum(n) OVER (PARTITION BY cell)) AS value FROM {sparse}), gr AS (SELECT cell, first, gene, coalesce(value, 0) AS value FROM {all_cells} c CROSS JOIN (SELECT DISTINCT gene FROM v) g LEFT JOIN v USING (cell, gene))"
+_DENSE = "g AS (SELECT gene, avg(value) AS mean, var_samp(value) AS variance FROM gr GROUP BY gene), h AS (SELECT *, row_number() OVER (ORDER BY round(variance / mean, 9) DESC, gene) AS rank FROM g)"
 
 
-@query(f"WITH {_NORM}, a AS (SELECT cell, avg(value) AS m FROM v GROUP BY cell) SELECT v.cell, 'm' || CAST(CAST(substr(gene, 2) AS INT) % 3 AS VARCHAR) AS name, round(avg(value) - max(m), 6) AS score FROM v JOIN a USING (cell) WHERE CAST(substr(gene, 2) AS INT) < 30 GROUP BY 1, 2", "expression")
-def module_scores(expression: DataFrame) -> DataFrame:
-    sets = expression.sparkSession.createDataFrame([(f"m{k % 3}", f"g{k}") for k in range(30)], "name string, gene string")
-    return S.module_score(S.log_normal(expression), sets).withColumn("score", F.round("score", 6))
+@query(f"WITH {_SPARSE}, {_DENSE} SELECT cell, gene, round(least(10, (value - mean) / sqrt(variance)), 5) AS z FROM gr JOIN h USING (gene) WHERE rank <= 20", "sparse", "all_cells")
+def scaled_variable_genes(sparse: DataFrame, cells: DataFrame) -> DataFrame:
+    v = cut(S.log_normal(sparse))
+    return S.scaled(v, S.variable_genes(v, cells.count(), 20), cells).withColumn("z", F.round("z", 5))
 
 
-@query(f"""WITH {_NORM}, s AS (SELECT gene, count(*) FILTER (cell % 2 = 0) AS n1, count(*) FILTER (cell % 2 = 1) AS n2, avg(value) FILTER (cell % 2 = 0) AS m1, avg(value) FILTER (cell % 2 = 1) AS m2, var_samp(value) FILTER (cell % 2 = 0) AS v1, var_samp(value) FILTER (cell % 2 = 1) AS v2 FROM v GROUP BY gene)
-  SELECT gene, n1, n2, round(m1 - m2, 6) AS difference, round((m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)), 5) AS d FROM s""", "expression")
-def effect_sizes(expression: DataFrame) -> DataFrame:
-    v = S.log_normal(expression).withColumn("first", F.col("cell") % 2 == 0)
-    return S.effect_sizes(v, "first").withColumn("difference", F.round("difference", 6)).withColumn("d", F.round("d", 5))
+@query(f"""WITH {_SPARSE}, s AS (SELECT gene, sum(value) AS s FROM v GROUP BY gene), b AS (SELECT gene, floor((row_number() OVER (ORDER BY s, gene) - 1) * 6 / count(*) OVER ()) AS bin FROM s),
+  own AS (SELECT 'm' || CAST(k % 3 AS VARCHAR) AS name, 'g' || CAST(k AS VARCHAR) AS gene FROM (SELECT unnest(range(0, 30)) AS k) q WHERE 'g' || CAST(k AS VARCHAR) IN (SELECT gene FROM s)),
+  ct AS (SELECT DISTINCT name, gene FROM (SELECT o.name, y.gene FROM own o JOIN b x ON x.gene = o.gene JOIN b y ON y.bin = x.bin QUALIFY row_number() OVER (PARTITION BY o.name, o.gene ORDER BY md5('1:' || o.name || ':' || o.gene || ':' || y.gene), y.gene) <= 4) z),
+  a AS (SELECT cell, name, avg(value) AS x FROM gr JOIN own USING (gene) GROUP BY 1, 2), c AS (SELECT cell, name, avg(value) AS x FROM gr JOIN ct USING (gene) GROUP BY 1, 2) SELECT cell, name, round(a.x - c.x, 6) AS score FROM a JOIN c USING (cell, name)""", "sparse", "all_cells")
+def module_scores(sparse: DataFrame, cells: DataFrame) -> DataFrame:
+    sets = sparse.sparkSession.createDataFrame([(f"m{k % 3}", f"g{k}") for k in range(30)] + [("m0", "unknown")], "name string, gene string")
+    return S.module_score(cut(S.log_normal(sparse)), sets, cells, 6, 4).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {_SPARSE}, s AS (SELECT gene, count(*) FILTER (first) AS n1, count(*) FILTER (NOT first) AS n2, avg(value) FILTER (first) AS m1, avg(value) FILTER (NOT first) AS m2, var_samp(value) FILTER (first) AS v1, var_samp(value) FILTER (NOT first) AS v2 FROM gr GROUP BY gene)
+  SELECT gene, n1, n2, round(m1 - m2, 6) AS difference, round((m1 - m2) / sqrt((v1 + v2) / 2), 5) AS d FROM s""", "sparse", "all_cells")
+def effect_sizes(sparse: DataFrame, cells: DataFrame) -> DataFrame:
+    return S.effect_sizes(cut(S.log_normal(sparse)), cells).withColumn("difference", F.round("difference", 6)).withColumn("d", F.round("d", 5))
+
+
+@query(f"""WITH {_SPARSE}, r AS (SELECT *, rank() OVER (PARTITION BY gene ORDER BY value) + (count(*) OVER (PARTITION BY gene, value) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY gene, value) AS t FROM gr),
+  s AS (SELECT gene, CAST(count(*) FILTER (first) AS DOUBLE) AS n1, CAST(count(*) FILTER (NOT first) AS DOUBLE) AS n2, sum(rk) FILTER (first) AS w, sum(CAST(t AS DOUBLE) * t - 1) AS ties, avg(CAST(value > 0 AS INT)) FILTER (first) AS pct1, avg(CAST(value > 0 AS INT)) FILTER (NOT first) AS pct2, avg(exp(value) - 1) FILTER (first) AS e1, avg(exp(value) - 1) FILTER (NOT first) AS e2 FROM r GROUP BY gene),
+  u AS (SELECT *, w - n1 * (n1 + 1) / 2 AS u, w - n1 * (n1 + 1) / 2 - n1 * n2 / 2 AS o, sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS sd FROM s)
+  SELECT gene, round(pct1, 6) AS pct1, round(pct2, 6) AS pct2, round(log2(e1 + 1) - log2(e2 + 1), 6) AS log2fc, round(u, 3) AS u, round(sign(o) * greatest(0, abs(o) - 0.5) / sd, 6) AS z FROM u WHERE pct1 >= 0.01 OR pct2 >= 0.01""", "sparse", "all_cells")
+def marker_genes(sparse: DataFrame, cells: DataFrame) -> DataFrame:
+    out = S.markers(cut(S.log_normal(sparse)), cells)
+    return out.select("gene", *[F.round(c, 6).alias(c) for c in ("pct1", "pct2", "log2fc")], F.round("u", 3).alias("u"), F.round("z", 6).alias("z"))
 
 
 @query("WITH a AS (SELECT cell, gene, n FROM {expression} WHERE cell < 100 AND gene <> 'g7'), b AS (SELECT cell, gene, n FROM {expression} WHERE cell >= 100 AND gene <> 'g9') SELECT * FROM (SELECT * FROM a UNION ALL SELECT * FROM b) q WHERE gene IN (SELECT gene FROM a INTERSECT SELECT gene FROM b)", "expression")

@@ -74,3 +74,34 @@ def test_binarised_refuses_ids_that_would_collide(spark):
     nodes = spark.range(1_000_010).select("id", F.when(F.col("id") > 0, F.lit(0)).cast("long").alias("parent"), F.lit(0.0).alias("time")).withColumnRenamed("id", "node")
     with pytest.raises(Exception, match="1,000,000 children"):
         T.binarised(nodes).agg(F.max("node"), F.min("parent")).collect()
+
+
+def test_markers_count_absent_values_as_zeros(spark):
+    cells = spark.createDataFrame([(i, i < 4) for i in range(10)], "cell long, first boolean")
+    values = spark.createDataFrame([(0, "a", 1.0), (1, "a", 2.0), (2, "a", 2.0), (5, "a", 0.5), (6, "a", 0.0), (0, "b", 1.0), (5, "c", 1.0)], "cell long, gene string, value double")
+    got = {r.gene: r for r in S.markers(values, cells).collect()}
+    for gene, held in (("a", {0: 1.0, 1: 2.0, 2: 2.0, 5: 0.5}), ("b", {0: 1.0}), ("c", {5: 1.0})):
+        x = [held.get(i, 0.0) for i in range(10)]
+        u = sum((x[i] > x[j]) + (x[i] == x[j]) / 2 for i in range(4) for j in range(4, 10))
+        ties = sum(x.count(v) ** 3 - x.count(v) for v in set(x))
+        z = max(0.0, abs(u - 12) - 0.5) / math.sqrt(4 * 6 / 12 * (11 - ties / 90)) * (1 if u > 12 else -1)
+        r = got[gene]
+        assert (r.u, r.z, r.p) == (pytest.approx(u), pytest.approx(z), pytest.approx(math.erfc(abs(z) / math.sqrt(2)))) and r.pct1 == sum(i < 4 for i in held) / 4
+    d = {r.gene: r for r in S.effect_sizes(values, cells).collect()}["a"]
+    m1, m2 = 5 / 4, 0.5 / 6
+    v1, v2 = sum((v - m1) ** 2 for v in (1, 2, 2, 0)) / 3, (0.5 - m2) ** 2 / 5 + m2 ** 2
+    assert (d.difference, d.d) == (pytest.approx(m1 - m2), pytest.approx((m1 - m2) / math.sqrt((v1 + v2) / 2)))
+
+
+def test_module_scores_of_all_cells(spark):
+    cells = spark.createDataFrame([(i,) for i in range(6)], "cell long")
+    values = spark.createDataFrame([(i, f"g{g}", float(i * g % 4 + 1)) for i in range(5) for g in range(12)], "cell long, gene string, value double")
+    sets = spark.createDataFrame([("s", "g1"), ("s", "g2"), ("s", "none"), ("t", "g5")], "name string, gene string")
+    controls = {}
+    for r in S.control_genes(values, sets, 3, 2).collect():
+        controls.setdefault(r.name, set()).add(r.gene)
+    held = {(r.cell, r.gene): r.value for r in values.collect()}
+    got = {(r.cell, r.name): r.score for r in S.module_score(values, sets, cells, 3, 2).collect()}
+    assert set(got) == {(c, n) for c in range(6) for n in "st"} and all(len(c) <= 4 for c in controls.values())
+    mean = lambda c, genes: sum(held.get((c, g), 0.0) for g in genes) / len(genes)
+    assert got == pytest.approx({(c, n): mean(c, {"s": ["g1", "g2"], "t": ["g5"]}[n]) - mean(c, controls[n]) for c in range(6) for n in "st"})
