@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 
 from cladewright.shipping import ship
 
+from .neighbours import nearest as nearest_of
+
 
 def packed(vectors: DataFrame, prefix: str, per: int = 2048) -> DataFrame:
     """Rows (id, v) in blocks of about ``per``: one row for each, with ids and their vectors."""
@@ -29,17 +31,8 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     def nearest(batches):
         for pdf in batches:
             for qi, qv, ci, cv in zip(pdf.q_ids, pdf.q_v, pdf.c_ids, pdf.c_v, strict=True):
-                own, other, ids = np.stack(qv), np.stack(cv), np.asarray(ci)
-                out = []
-                for low in range(0, len(own), 64):
-                    d = np.sqrt(((own[low:low + 64, None, :] - other[None]) ** 2).sum(2))
-                    for r, q in enumerate(qi[low:low + 64]):
-                        d[r, ids == q] = np.inf
-                        edge = np.partition(d[r], min(k, len(ids)) - 1)[min(k, len(ids)) - 1]
-                        near = np.flatnonzero((d[r] <= edge) & (d[r] < np.inf))
-                        near = near[np.lexsort((ids[near], d[r, near]))][:k]
-                        out += [(q, ids[j], d[r, j]) for j in near]
-                yield pd.DataFrame(out, columns=["q", "c", "distance"])
+                out = nearest_of(np.asarray(qi), np.stack(qv), np.asarray(ci), np.stack(cv), k)
+                yield pd.DataFrame(dict(zip(("q", "c", "distance"), out, strict=True)))
 
     near = met.mapInPandas(nearest, "q long, c long, distance double")
     return near.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy("distance", "c"))).filter(F.col("rank") <= k).select("q", "c", "distance", F.col("rank").cast("long").alias("rank"))

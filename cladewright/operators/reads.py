@@ -276,3 +276,9 @@ def merge_pairs(pairs: DataFrame, least: int = 15, most: int = 8, share: float =
 
     out = pairs.withColumn("_m", overlap("r1", "r2"))
     return out.withColumn("seq", F.coalesce(C.reverse_complement(F.col("_m")), F.col("r2"))).withColumn("merged", F.col("_m").isNotNull()).drop("_m")
+
+
+def deep_barcodes(patterns: DataFrame, least: int = 2000, key: str = "tape") -> DataFrame:
+    """The rows of ``patterns`` (key, n) whose barcode has ``least`` reads or more in all."""
+    deep = patterns.groupBy(F.col(key).alias("_deep")).agg(F.sum("n").alias("_n")).filter(F.col("_n") >= least).select("_deep")
+    return patterns.join(deep, F.col(key).eqNullSafe(F.col("_deep")), "left_semi")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cladewright.catalog import VIEWS, query
 from cladewright.functions import columns as C
 from cladewright.operators import lineages as L
+from cladewright.operators import trees as T
 
 from .reads import all_sites, with_sites
 
@@ -227,3 +228,12 @@ def folded_lineages(patterns: DataFrame) -> DataFrame:
   SELECT r.tape, round(pow(10, coalesce(sm.x, r.x)), 4) AS unit FROM r LEFT JOIN sm ON sm.tape = r.tape""", "patterns")
 def reads_per_cell(patterns: DataFrame) -> DataFrame:
     return L.reads_per_cell(patterns, "tape", floor=5).withColumn("unit", F.round("unit", 4))
+
+
+@query(f"SELECT cell, count(*) AS tapes, round(avg(CASE {' '.join(f'WHEN s{i} = {chr(39)}U{chr(39)} THEN {i - 1}' for i in range(1, 7))} ELSE 6 END), 6) AS distance FROM {{genotypes}} WHERE tape <> 'T3' GROUP BY cell", "genotypes")
+def root_distances(genotypes: DataFrame) -> DataFrame:
+    """How far cells are from a root without edits, over the tapes that it has."""
+    root = T.synthetic_root([f"T{k}" for k in range(12) if k != 3])(genotypes.sparkSession).select("tape", F.col("sites").alias("root"))
+    met = with_sites(genotypes).join(F.broadcast(root), "tape")
+    return met.groupBy("cell").agg(F.count("*").alias("tapes"), F.round(F.avg(C.tape_distance(F.col("root"), F.col("sites"))), 6).alias("distance"))
+

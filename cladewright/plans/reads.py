@@ -214,3 +214,10 @@ def edit_rate_by_position(reads: DataFrame) -> DataFrame:
   SELECT tape, insertion, n, round(rate, 6) AS rate, round(log2(rate), 6) AS log2rate FROM r""", "sc_reads")
 def symbol_usage(reads: DataFrame) -> DataFrame:
     return R.symbol_usage(with_sites(reads)).withColumn("rate", F.round("rate", 6)).withColumn("log2rate", F.round("log2rate", 6))
+
+
+@query("SELECT tape, pattern, n FROM {patterns} WHERE tape IN (SELECT tape FROM {patterns} GROUP BY tape HAVING sum(n) >= (SELECT avg(s) FROM (SELECT sum(n) AS s FROM {patterns} GROUP BY tape) q))", "patterns")
+def deep_barcodes(patterns: DataFrame) -> DataFrame:
+    """Patterns of barcodes with at least as many reads as they have on average."""
+    mean = patterns.groupBy("tape").agg(F.sum("n").alias("s")).agg(F.avg("s")).first()[0]
+    return R.deep_barcodes(patterns, mean).select("tape", "pattern", "n")

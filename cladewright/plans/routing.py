@@ -140,3 +140,12 @@ def sc_cell_qc(reads: DataFrame) -> DataFrame:
     return R.passes(L.cell_qc(called(reads)), 4, 3, 0.75).withColumn("mean_dominance", F.round("mean_dominance", 3))
 
 
+#: The founders of side A, as its cells mostly have them, on two tapes.
+VIEWS["side_founders"] = "SELECT DISTINCT tape, 1 AS site, concat('A', substr(tape, 2, 2)) AS token FROM {routable} WHERE side = 'A' AND tape IN ('T1', 'T4')"
+
+
+@query("""WITH c AS (SELECT cell, cell % 7 <> 0 AS pass_qc, count(*) AS n_loci FROM {routable} GROUP BY cell), d AS (SELECT cell, count(*) AS divergent FROM {routable} r JOIN {side_founders} f ON f.tape = r.tape WHERE r.s1 <> f.token GROUP BY cell)
+  SELECT cell, pass_qc, n_loci, pass_qc AND n_loci >= 6 AS quality, coalesce(divergent, 0) AS divergent, pass_qc AND n_loci >= 6 AND divergent IS NULL AS kept FROM c LEFT JOIN d USING (cell)""", "routable", "side_founders")
+def quality_gate(routable: DataFrame, founders: DataFrame) -> DataFrame:
+    cells = routable.groupBy("cell").agg((F.col("cell") % 7 != 0).alias("pass_qc"), F.count("*").alias("n_loci"))
+    return R.quality_gate(cells, with_sites(routable).select("cell", "tape", "sites"), founders, 6)

@@ -42,6 +42,17 @@ def test_recall_on_the_tables(spark, sf):
     assert hits >= 0.9 * sum(map(len, want.values()))
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_mutual_neighbours_equal_a_plain_search(spark, sf):
+    sf = f"/root/testdata/{sf}"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
+    ids, x = [r.vec_id for r in rows], np.array([r.embedding for r in rows], float)
+    near = {i: set(c) for i, c in exact(x, range(len(x)), 10).items()}
+    want = {(ids[a], ids[b]) for a in near for b in near[a] if a < b and a in near[b]}
+    got = [(r.a, r.b) for r in catalog.queries()["mutual_nn"](spark, sf).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_clustered_vectors_small_sample_and_blocks(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(40, 16))[rng.integers(0, 40, 4000)] * 4 + rng.normal(size=(4000, 16))
