@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from cladewright.catalog import VIEWS, query
 from cladewright.functions import udfs as U
 from cladewright.operators import grafting as G
+from cladewright.operators import state_graphs as SG
 from cladewright.operators import trees as T
 from cladewright.operators.scale import cut
 
@@ -294,3 +295,21 @@ def mapped_nodes(nodes: DataFrame, bushy: DataFrame) -> DataFrame:
 @query(None, "lengths")
 def midpoint_rooted(lengths: DataFrame) -> DataFrame:
     return T.midpoint_rooted(lengths.withColumn("blen", F.abs("blen")), 0).withColumn("blen", F.round("blen", 6))
+
+
+VIEWS["state_edges"] = "SELECT DISTINCT concat('s', CAST(n_nationkey AS STRING)) AS src, concat('s', CAST((n_nationkey * 2 + n_regionkey) % 25 AS STRING)) AS dst FROM {nation} WHERE n_nationkey % 6 <> 5"
+VIEWS["state_steps"] = "SELECT concat('s', CAST(l_partkey % 25 AS STRING)) AS src, concat('s', CAST(CASE WHEN l_orderkey % 3 = 0 THEN l_suppkey % 27 ELSE (l_partkey % 25 * 2 + 1) % 25 END AS STRING)) AS dst FROM {lineitem}"
+
+
+@query("""WITH RECURSIVE e AS (SELECT src AS a, dst AS b FROM {state_edges} UNION SELECT dst, src FROM {state_edges}), w AS (SELECT a, a AS b, 0 AS d FROM e UNION SELECT w.a, e.b, w.d + 1 FROM w JOIN e ON e.a = w.b WHERE w.d < 26)
+  SELECT a, b, min(d) AS d FROM w GROUP BY a, b""", "state_edges")
+def state_distances(edges: DataFrame) -> DataFrame:
+    return SG.all_distances(edges)
+
+
+@query(None, "state_steps", "state_edges")
+def adjacency_test(steps: DataFrame, edges: DataFrame) -> DataFrame:
+    """Steps between states of line items against the graph of nations, with 499 permutations."""
+    states = steps.select(F.explode(F.array("src", "dst")).alias("state")).distinct()
+    out = SG.adjacency_test(steps, edges, states, 499)
+    return out.select("steps", "median", *[F.round(c, 6).alias(c) for c in ("adjacent", "null_mean", "null_sd", "enrichment", "p")])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cladewright.functions import columns as C
 from cladewright.operators import pairings as P
+from cladewright.operators import state_graphs as G
 from cladewright.operators import statistics as S
 
 POST, AGES, DISCS = ["x", "y"], [0.0, 12.0, 13.0], [2, 1, 0]
@@ -111,3 +112,34 @@ def test_adjusted_within_groups(spark):
     rows = [("a", 0.01), ("a", 0.04), ("a", 0.03), ("b", 0.5), (None, 0.2), (None, 0.2)]
     got = sorted((str(r.g), r.p, round(r.q, 9)) for r in S.bh(spark.createDataFrame(rows, "g string, p double"), "p", ["g"]).collect())
     assert got == [("None", 0.2, 0.2), ("None", 0.2, 0.2), ("a", 0.01, 0.03), ("a", 0.03, 0.04), ("a", 0.04, 0.04), ("b", 0.5, 0.5)]
+
+
+def test_adjacency_equals_a_plain_count(spark):
+    edges = [("a", "b"), ("b", "c"), ("c", "d"), ("e", "f"), ("d", "d")]
+    steps = [("a", "b")] * 3 + [("b", "a"), ("a", "c"), ("a", "d"), ("c", "d"), ("e", "f"), ("a", "e"), ("a", "unknown"), (None, "a")]
+    link = defaultdict(set)
+    for x, y in edges:
+        link[x].add(y)
+        link[y].add(x)
+    far = {}
+    for s in "abcdef":
+        far[s, s], front, d = 0, {s}, 0
+        while front:
+            d += 1
+            front = {y for x in front for y in link[x] if (s, y) not in far}
+            far |= {(s, y): d for y in front}
+    df = spark.createDataFrame(edges, "src string, dst string")
+    assert {(r.a, r.b): r.d for r in G.all_distances(df).collect()} == far
+    one_way = {(r.a, r.b): r.d for r in G.all_distances(df, True).collect()}
+    assert one_way["a", "d"] == 3 and ("d", "a") not in one_way
+    states = spark.createDataFrame([(x,) for x in "abcdef"], "state string")
+    r = G.adjacency_test(spark.createDataFrame(steps, "src string, dst string"), df, states, 99).first()
+    share = lambda to: np.mean([far[to[x], to[y]] == 1 for x, y in steps if x in to and y in to and (to[x], to[y]) in far])
+    label = defaultdict(dict)
+    for x in P.relabelled(states.select(F.col("state").alias("node"), F.lit("all").alias("stratum"), F.col("state").alias("cls")), 99).collect():
+        label[x.rep][x.node] = x.cls
+    null = [share(label[k]) for k in range(1, 100)]
+    own = share({x: x for x in "abcdef"})
+    assert (r.steps, r.adjacent, r["median"]) == (8, pytest.approx(own), 1.0)
+    assert (r.null_mean, r.null_sd, r.p) == (pytest.approx(np.mean(null)), pytest.approx(np.std(null)), pytest.approx((1 + sum(x >= own - 1e-12 for x in null)) / 100))
+    assert G.adjacency_test(spark.createDataFrame([], "src string, dst string"), df, states, 5).first().p is None

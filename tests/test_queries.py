@@ -41,7 +41,7 @@ def test_query_equals_its_sql(spark, db, name):
 
 def test_every_query_without_sql_has_a_test_of_its_own():
     """These are tested against brute force in test_whole_queries.py, test_dating.py, test_trees.py, test_neighbours.py and test_pairings.py."""
-    assert set(catalog.queries()) - set(catalog.oracles()) == {"collapsed_patterns", "split_axis", "dated_nodes", "midpoint_rooted", "forest_neighbours", "pairing_test", "mutual_nn"}
+    assert set(catalog.queries()) - set(catalog.oracles()) == {"collapsed_patterns", "split_axis", "dated_nodes", "midpoint_rooted", "forest_neighbours", "pairing_test", "mutual_nn", "adjacency_test"}
 
 
 def test_entry(spark):
