@@ -167,16 +167,29 @@ def described(media: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=list(SAID))
 
 
+def page(text: Column, digest: Column) -> Column:
+    """The HTML of a text whose image has ``digest``: its lines as paragraphs, the first half of them before the image and the others after it, and the number of bytes as caption."""
+    safe = text
+    for c, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        safe = F.replace(safe, F.lit(c), F.lit(entity))
+    lines = F.transform(F.split(F.coalesce(safe, F.lit("")), "\n"), lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>")))
+    half = (F.size(lines) / 2).cast("int")
+    figure = F.concat(F.lit(f'<figure><img src="{SCHEME}'), digest, F.lit('"><figcaption>'), F.coalesce(F.octet_length(text), F.lit(0)).cast("string"), F.lit(" bytes</figcaption></figure>"))
+    return F.concat(F.lit("<article>"), F.array_join(F.slice(lines, F.lit(1), half), ""), figure, F.array_join(F.slice(lines, half + 1, F.size(lines)), ""), F.lit("</article>"))
+
+
 def text_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature and pos of every row of ``docs``.
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, pos, elements and text_sha256 of every row of ``docs``.
 
-    Each text is a page that refers to an image by digest, with its number of bytes as caption; the image is stored once for each different text (once for each part of a text that many rows have). Pages are parsed,
-    references resolved by joining the stored bytes, and these read back. Repeated rows each have a row; equal texts have equal values. Only doc_id and text are read.
+    Each text is a page of its paragraphs with an image between them (``page``) that it refers to by digest; the image is stored once for each different text (once for each part of a text that many
+    rows have). Pages are parsed into sequences, references resolved by joining the stored bytes, and these read back. pos is the image's place among the ``elements`` of the
+    sequence, text_sha256 the digest of its text elements in order, joined by line ends (runs of white space are one space there, and empty paragraphs no elements). Repeated
+    rows each have a row; equal texts have equal values; a null text is like an empty one. Only doc_id and text are read.
     """
     workers_ready(docs.sparkSession)
     digest = F.sha2(payload(F.col("text")), 256)
-    page = F.concat(F.lit(f'<article><figure><img src="{SCHEME}'), digest, F.lit('"><figcaption>'), F.coalesce(F.octet_length("text"), F.lit(0)).cast("string"), F.lit(" bytes</figcaption></figure></article>"))
-    elements = cut(parse_html(docs.select("doc_id", page.alias("html"))).select("doc_id", F.explode("sequence").alias("e")).select("doc_id", "e.*"))
-    store = docs.select("doc_id", digest.alias("digest"), stored(F.col("text")).alias("media"))
-    found = resolve(elements, store, "doc_id").filter("kind = 'media'").withColumn("d", described("media"))
-    return found.select("doc_id", F.regexp_extract("text", r"^(\d+)", 1).cast("long").alias("n_bytes"), *[f"d.{c}" for c in SAID], "pos")
+    of = lambda kind: F.filter("sequence", lambda x: x["kind"] == kind)
+    said = F.sha2(F.array_join(F.transform(of("text"), lambda x: x["text"]), "\n").cast("binary"), 256)
+    pages = parse_html(docs.select("doc_id", page(F.col("text"), digest).alias("html"))).select("doc_id", F.size("sequence").alias("elements"), said.alias("text_sha256"), F.explode(of("media")).alias("e"))
+    found = resolve(cut(pages.select("doc_id", "elements", "text_sha256", "e.*")), docs.select("doc_id", digest.alias("digest"), stored(F.col("text")).alias("media")), "doc_id").withColumn("d", described("media"))
+    return found.select("doc_id", F.regexp_extract("text", r"^(\d+)", 1).cast("long").alias("n_bytes"), *[f"d.{c}" for c in SAID], "pos", "elements", "text_sha256")

@@ -273,7 +273,10 @@ def told(doc_id, text):
     cells = [sum(own[a:b]) for a, b in zip(edges, edges[1:], strict=False)] if n >= 65 else [own[i % n] for i in range(65)]
     sign = sum(1 << (63 - i) for i in range(64) if cells[i + 1] > cells[i])
     feature = f"{mean:.6f};{deviation:.6f};{','.join(f'{b:.6f}' for b in bins)};{sign:016x}"
-    return doc_id, len(raw), n, hashlib.sha256(own).hexdigest(), zlib.crc32(own[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, 0
+    lines = (text or "").split("\n")
+    before, all_ = ([" ".join(x.split()) for x in some if x.split()] for some in (lines[:len(lines) // 2], lines))
+    said = hashlib.sha256("\n".join(all_).encode()).hexdigest()
+    return doc_id, len(raw), n, hashlib.sha256(own).hexdigest(), zlib.crc32(own[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, len(before), len(all_) + 1, said
 
 
 def test_html_sequences():

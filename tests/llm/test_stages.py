@@ -84,3 +84,18 @@ def test_a_mask_that_is_not_over_texts_stops_the_query(spark, change):
     made = chats(spark)
     with pytest.raises(Exception, match="loss mask"):
         chat.read_back(made.withColumn("loss_spans", change(F.col("loss_spans")))).collect()
+
+
+def test_pages_hold_the_text_around_the_image(spark):
+    import hashlib
+
+    from cladewright.llm import media
+
+    texts = ["one\ntwo  words\n\nthree & <b>more</b>\nfour", "", None, "a single line", "\n\n", "é\t中\nx"] + ["para %d\n" % i * 3 for i in range(5)]
+    got = {r.doc_id: r for r in media.text_media(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        lines = (t or "").split("\n")
+        before, after = lines[:len(lines) // 2], lines[len(lines) // 2:]
+        kept = lambda some: [" ".join(x.split()) for x in some if x.split()]
+        assert (got[i].pos, got[i].elements) == (len(kept(before)), len(kept(lines)) + 1)
+        assert got[i].text_sha256 == hashlib.sha256("\n".join(kept(before) + kept(after)).encode()).hexdigest() and got[i].n_bytes == len((t or "").encode())
