@@ -229,3 +229,26 @@ def nearest_matches(genotypes: DataFrame, candidates: DataFrame, backbone: DataF
 def irreversible(pairs: DataFrame) -> DataFrame:
     """``pairs`` (sites of the template as st, of the cell as sc) with violates: an edit of the template that the cell, observed there, does not have."""
     return pairs.withColumn("violates", F.exists(F.arrays_zip("st", "sc"), lambda z: (z["st"] != C.UNEDITED) & z["sc"].isNotNull() & (z["st"] != z["sc"])))
+
+
+def pendant_parts(matches: DataFrame, genotypes: DataFrame, founders: DataFrame | None = None) -> DataFrame:
+    """cell, host, pendant, residual, new_edits, shared_edits and n_shared of each of ``matches`` (cell, host), from ``genotypes`` (cell, tape, sites; a row for each observed tape).
+
+    Over the tapes that both have: new_edits are the cell's edits beyond the prefix that it shares with its host, pendant is their mean by tape and residual that of the host's own; shared_edits are the
+    shared prefixes beyond each tape's founder prefix (``founders``: tape, n, few). Cells without a shared tape have 0 in all.
+    """
+    g = genotypes.select("cell", "tape", "sites")
+    own = g.select(F.col("cell").alias("_c"), "tape", F.col("sites").alias("_sc"))
+    its = g.select(F.col("cell").alias("_h"), F.col("tape").alias("_th"), F.col("sites").alias("_sh"))
+    met = matches.select("cell", "host").join(own, F.col("cell") == F.col("_c")).join(its, (F.col("host") == F.col("_h")) & (F.col("tape") == F.col("_th")))
+    if founders is None:
+        met = met.withColumn("_f", F.lit(0))
+    else:
+        met = met.join(F.broadcast(founders.select(F.col("tape").alias("_tf"), F.col("n").alias("_f"))), F.col("tape") == F.col("_tf"), "left")
+    edits = lambda c: F.size(F.filter(c, lambda x: x.isNotNull() & (x != C.UNEDITED)))
+    shared = C.shared_prefix(F.col("_sc"), F.col("_sh"))
+    per = met.select("cell", "host", (edits("_sc") - shared).alias("_new"), (edits("_sh") - shared).alias("_old"), F.greatest(F.lit(0), shared - F.coalesce("_f", F.lit(0))).alias("_same"))
+    n = per.groupBy(F.col("cell").alias("_c"), F.col("host").alias("_h")).agg(*[F.sum(c).cast("long").alias(c) for c in ("_new", "_old", "_same")], F.count("*").alias("_n"))
+    out = matches.select("cell", "host").join(n, (F.col("cell") == F.col("_c")) & (F.col("host") == F.col("_h")), "left").na.fill(0, ["_new", "_old", "_same", "_n"])
+    by = F.greatest(F.lit(1), "_n")
+    return out.select("cell", "host", (F.col("_new") / by).alias("pendant"), (F.col("_old") / by).alias("residual"), F.col("_new").alias("new_edits"), F.col("_same").alias("shared_edits"), F.col("_n").alias("n_shared"))

@@ -91,13 +91,16 @@ def ranked_values(df: DataFrame, value: str, key: str, **counts) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str, key: str) -> DataFrame:
-    """key, n and rho: correlation of average ranks, of the rows that have both values. Equal pairs of values are one row."""
+    """key, n and rho: correlation of average ranks, of the rows that have both values. Equal pairs of values are one row, counted once; ranks and sizes follow from these counts."""
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, x, y)
-    rx, ry = (ranked_values(both, c, key).select(key, c, F.col("rank").alias(r)) for c, r in ((x, "_rx"), (y, "_ry")))
-    pairs = both.groupBy(key, x, y).agg(F.count("*").alias("_w")).join(rx, [key, x]).join(ry, [key, y])
-    n = both.groupBy(key).agg(F.count("*").alias("n"))
+    pairs = cut(both.groupBy(key, x, y).agg(F.count("*").alias("_w")))
+    ranks = []
+    for c, r in ((x, "_rx"), (y, "_ry")):
+        upto = running(pairs.groupBy(key, c).agg(F.sum("_w").alias("_t")), [c], {"_upto": "_t"}, [key])
+        ranks.append(upto.select(key, c, (F.col("_upto") - (F.col("_t") - 1) / 2.0).alias(r)))
+    n = pairs.groupBy(key).agg(F.sum("_w").alias("n"))
     a, b, w = F.col("_rx") - (F.col("n") + 1) / 2.0, F.col("_ry") - (F.col("n") + 1) / 2.0, F.col("_w")
-    s = pairs.join(n, key).groupBy(key, "n").agg(F.sum(w * a * b).alias("ab"), F.sum(w * a * a).alias("aa"), F.sum(w * b * b).alias("bb"))
+    s = pairs.join(ranks[0], [key, x]).join(ranks[1], [key, y]).join(n, key).groupBy(key, "n").agg(F.sum(w * a * b).alias("ab"), F.sum(w * a * a).alias("aa"), F.sum(w * b * b).alias("bb"))
     return s.select(key, "n", F.try_divide("ab", F.sqrt(F.col("aa") * F.col("bb"))).alias("rho"))
 
 

@@ -237,3 +237,17 @@ def root_distances(genotypes: DataFrame) -> DataFrame:
     met = with_sites(genotypes).join(F.broadcast(root), "tape")
     return met.groupBy("cell").agg(F.count("*").alias("tapes"), F.round(F.avg(C.tape_distance(F.col("root"), F.col("sites"))), 6).alias("distance"))
 
+
+def _edits(a: str) -> str:
+    return "(" + " + ".join(f"CASE WHEN {a}.s{i} <> 'U' THEN 1 ELSE 0 END" for i in range(1, 7)) + ")"
+
+
+@query(f"""WITH m AS (SELECT DISTINCT cell, cell + 7 AS host FROM {{few}}), p AS (SELECT m.cell, m.host, b.tape, {_edits('a')} AS ea, {_edits('b')} AS eb, {_prefix('a', 'b')} AS sp, CASE WHEN b.tape IN ('T1', 'T2', 'T5') THEN 1 ELSE 0 END AS f
+    FROM m JOIN {{few}} a ON a.cell = m.cell LEFT JOIN {{few}} b ON b.cell = m.host AND b.tape = a.tape)
+  SELECT cell, host, round(coalesce(sum(ea - sp) FILTER (tape IS NOT NULL), 0) / greatest(count(tape), 1), 6) AS pendant, round(coalesce(sum(eb - sp) FILTER (tape IS NOT NULL), 0) / greatest(count(tape), 1), 6) AS residual,
+    CAST(coalesce(sum(ea - sp) FILTER (tape IS NOT NULL), 0) AS BIGINT) AS new_edits, CAST(coalesce(sum(greatest(sp - f, 0)) FILTER (tape IS NOT NULL), 0) AS BIGINT) AS shared_edits, count(tape) AS n_shared FROM p GROUP BY cell, host""", "few")
+def pendant_parts(few: DataFrame) -> DataFrame:
+    founders = few.sparkSession.createDataFrame([("T1", 1), ("T2", 1), ("T5", 1)], "tape string, n int")
+    out = L.pendant_parts(few.select("cell", (F.col("cell") + 7).alias("host")).distinct(), with_sites(few), founders)
+    return out.withColumn("pendant", F.round("pendant", 6)).withColumn("residual", F.round("residual", 6))
+
