@@ -240,6 +240,50 @@ def hypergeometric(groups: DataFrame, total: Column, marked: Column, drawn: Colu
     return groups.withColumn("expected", mean).withColumn("fold", F.try_divide(hits, mean)).withColumn("z", F.try_divide(hits - mean, F.sqrt(var)))
 
 
+def _two_tails(total: int, marked: int, drawn: int, hits: int) -> float:
+    """The chance that ``drawn`` of ``total`` rows hold a number of the ``marked`` that is as far from its mean as ``hits``. Either tail is summed outwards from its edge, where terms only fall."""
+    low, high = max(0, drawn + marked - total), min(drawn, marked)
+    mean = drawn * marked / total
+    far = abs(hits - mean) - 1e-9 * max(1.0, mean)
+    if far <= 0:
+        return 1.0
+    of = math.lgamma
+    whole = of(total + 1) - of(drawn + 1) - of(total - drawn + 1)
+    out = 0.0
+    for k, step in ((math.floor(mean - far), -1), (math.ceil(mean + far), 1)):
+        if not low <= k <= high:
+            continue
+        term = math.exp(of(marked + 1) - of(k + 1) - of(marked - k + 1) + of(total - marked + 1) - of(drawn - k + 1) - of(total - marked - drawn + k + 1) - whole)
+        sum_ = 0.0
+        while low <= k <= high and term > sum_ * 1e-17:
+            sum_ += term
+            if step > 0:
+                term *= (marked - k) * (drawn - k) / ((k + 1) * (total - marked - drawn + k + 1))
+            else:
+                term *= k * (total - marked - drawn + k) / ((marked - k + 1) * (drawn - k + 1))
+            k += step
+        out += sum_
+    return min(1.0, out)
+
+
+@F.pandas_udf(T.DoubleType())
+def two_tails(total, marked, drawn, hits):
+    """The exact two-sided chance of random subsets (see ``_two_tails``); null where a number is null or there are no rows."""
+    import pandas as pd
+
+    rows = zip(total, marked, drawn, hits, strict=True)
+    return pd.Series([None if pd.isna(r).any() or not r[0] else _two_tails(*map(int, r)) for r in map(list, rows)], dtype=float)
+
+
+def tested_subsets(groups: DataFrame, total: Column, marked: Column, drawn: Column, hits: Column, fdr: float = 0.05, fold: float = 1.5) -> DataFrame:
+    """``hypergeometric`` with p (two-sided, exact), q (adjusted over all rows) and the flags low and high: q below ``fdr`` and a fold of 1 / ``fold`` or less, or of ``fold`` or more."""
+    from .statistics import bh
+
+    x = cut(hypergeometric(groups, total, marked, drawn, hits).withColumn("p", two_tails(total.cast("double"), marked.cast("double"), drawn.cast("double"), hits.cast("double"))))
+    sure = F.coalesce(F.col("q") < fdr, F.lit(False))
+    return bh(x, "p").withColumn("low", sure & F.coalesce(F.col("fold") <= 1 / fold, F.lit(False))).withColumn("high", sure & F.coalesce(F.col("fold") >= fold, F.lit(False)))
+
+
 def diverse_clade(below: DataFrame, low: int, high: int, target: int) -> DataFrame:
     """node, tips, kinds and rank of clades of ``low`` to ``high`` tips, most kinds of tips first, then closest to ``target`` tips, then the least node; from node, cls, n (``trees.class_counts``)."""
     c = below.groupBy("node").agg(F.sum("n").alias("tips"), F.count_if(F.col("n") > 0).alias("kinds")).filter(F.col("tips").between(low, high))

@@ -180,6 +180,22 @@ def subset_null(typed: DataFrame) -> DataFrame:
     return out.select("cls", "drawn", "hits", *r6("expected", "fold", "z"))
 
 
+_FAR = "lgamma(marked + 1) - lgamma(k + 1) - lgamma(marked - k + 1) + lgamma(total - marked + 1) - lgamma(drawn - k + 1) - lgamma(total - marked - drawn + k + 1) - lgamma(total + 1) + lgamma(drawn + 1) + lgamma(total - drawn + 1)"
+
+
+@query(f"""WITH g AS (SELECT id % 5 AS batch, cls, count(*) AS drawn, count(*) FILTER (side = 'A' OR id % 23 < 2) AS hits FROM {{typed}} GROUP BY 1, 2), a AS (SELECT *, sum(drawn) OVER (PARTITION BY batch) AS total, sum(hits) OVER (PARTITION BY batch) AS marked FROM g),
+  m AS (SELECT *, drawn * marked / total AS mean FROM a), k AS (SELECT *, unnest(range(CAST(greatest(0, drawn + marked - total) AS BIGINT), CAST(least(drawn, marked) AS BIGINT) + 1)) AS k FROM m),
+  p AS (SELECT batch, cls, drawn, hits, mean, least(1, sum(CASE WHEN abs(k - mean) >= abs(hits - mean) - 1e-9 * greatest(1, mean) THEN exp({_FAR}) ELSE 0 END)) AS p FROM k GROUP BY batch, cls, drawn, hits, mean),
+  q AS (SELECT *, p * count(*) OVER () / count(*) OVER (ORDER BY p RANGE UNBOUNDED PRECEDING) AS x FROM p), r AS (SELECT *, least(1, min(x) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING)) AS q FROM q)
+  SELECT batch, cls, drawn, hits, round(hits / mean, 6) AS fold, round(p, 7) AS p, round(q, 7) AS q, q < 0.3 AND hits / mean <= 1 / 1.05 AS low, q < 0.3 AND hits / mean >= 1.05 AS high FROM r""", "typed")
+def subset_tests(typed: DataFrame) -> DataFrame:
+    mark = F.count_if((F.col("side") == "A") | (F.col("id") % 23 < 2)).alias("hits")
+    g = typed.groupBy((F.col("id") % 5).alias("batch"), "cls").agg(F.count("*").alias("drawn"), mark)
+    all_ = g.groupBy(F.col("batch").alias("_b")).agg(F.sum("drawn").alias("total"), F.sum("hits").alias("marked"))
+    out = S.tested_subsets(g.join(F.broadcast(all_), F.col("batch") == F.col("_b")), F.col("total"), F.col("marked"), F.col("drawn"), F.col("hits"), 0.3, 1.05)
+    return out.select("batch", "cls", "drawn", "hits", F.round("fold", 6).alias("fold"), F.round("p", 7).alias("p"), F.round("q", 7).alias("q"), "low", "high")
+
+
 @query(f"""WITH RECURSIVE {_DESC}, c AS (SELECT anc AS node, count(*) AS tips, count(DISTINCT n.celltype) AS kinds FROM d JOIN {{nodes}} n ON n.node = d.node WHERE n.is_leaf GROUP BY anc)
   SELECT node, CAST(tips AS BIGINT) AS tips, kinds, CAST(row_number() OVER (ORDER BY kinds DESC, abs(tips - 12), node) AS BIGINT) AS rank FROM c WHERE tips BETWEEN 6 AND 30 QUALIFY rank <= 10""", "nodes")
 def diverse_clades(nodes: DataFrame) -> DataFrame:

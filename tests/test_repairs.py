@@ -105,3 +105,15 @@ def test_module_scores_of_all_cells(spark):
     assert set(got) == {(c, n) for c in range(6) for n in "st"} and all(len(c) <= 4 for c in controls.values())
     mean = lambda c, genes: sum(held.get((c, g), 0.0) for g in genes) / len(genes)
     assert got == pytest.approx({(c, n): mean(c, {"s": ["g1", "g2"], "t": ["g5"]}[n]) - mean(c, controls[n]) for c in range(6) for n in "st"})
+
+
+def test_exact_two_sided_subsets(spark):
+    rows = [(n, m, d, k) for n, m, d in ((10, 4, 5), (30, 7, 11), (50, 25, 10), (9, 9, 3), (9, 0, 3), (12, 5, 0)) for k in range(max(0, m + d - n), min(m, d) + 1)] + [(0, 0, 0, 0), (None, 1, 1, 1)]
+    got = spark.createDataFrame(rows, "n double, m double, d double, k double".replace("double", "long")).select("n", "m", "d", "k", S.two_tails(*[F.col(c).cast("double") for c in "nmdk"]).alias("p")).collect()
+    for r in got:
+        if not r.n:
+            assert r.p is None
+            continue
+        chance = {k: math.comb(r.m, k) * math.comb(r.n - r.m, r.d - k) / math.comb(r.n, r.d) for k in range(max(0, r.m + r.d - r.n), min(r.m, r.d) + 1)}
+        mean = r.m * r.d / r.n
+        assert r.p == pytest.approx(sum(c for k, c in chance.items() if abs(k - mean) >= abs(r.k - mean) - 1e-9))
