@@ -61,6 +61,29 @@ def umi_molecules(reads: DataFrame, keys: list[str], merge: int = 1, floor: int
     return counted.groupBy(*keys).applyInPandas(collapse, f"{kinds}, sites array<string>, molecules long")
 
 
+def branch_stop(chains: DataFrame, key: str | list[str], share: float = 0.25, least: float = 2, n_sites: int = 6, weight: str = "n") -> DataFrame:
+    """key, chain, branched and dominance: from the root to the heaviest child (ties: the least token), until a leaf or a branch.
+
+    A node branches where two children have ``least`` each, and ``share`` of what goes through the node; the chain ends there. dominance is the heaviest child's share of the node's own weight, at the
+    branch, or else at the last node before the leaf (1 if no chain has an edit).
+    """
+    keys = [key] if isinstance(key, str) else key
+    packed = chains.withColumn("_key", F.struct(*keys))
+    t = cut(trie(packed, "_key", weight))
+    through = F.col("weight") + F.col("off")
+    tips = t.select(F.col("_key").alias("_k"), F.col("prefix").alias("_n"), "tip")
+    best = heaviest(t, "_key").join(tips, (F.col("_key") == F.col("_k")) & (F.col("node") == F.col("_n")))
+    best = cut(best.select("_key", "node", "depth", "next", (F.coalesce(F.col("second") >= least, F.lit(False)) & (F.col("second") >= share * through)).alias("splits"), (F.col("weight") / (through + F.col("tip"))).alias("own")))
+    path = packed.select("_key").distinct().select("_key", F.lit("").alias("node"), F.lit(True).alias("open"), F.lit(False).alias("branched"), F.lit(1.0).alias("dominance"))
+    for k in range(1, n_sites + 1):
+        step = best.filter(F.col("depth") == k).select(F.col("_key").alias("_k"), F.col("node").alias("_n"), "next", "splits", "own")
+        on = path.join(step, F.col("open") & (F.col("_key") == F.col("_k")) & (F.col("node") == F.col("_n")), "left")
+        goes = F.col("next").isNotNull()
+        path = on.select("_key", F.when(goes & ~F.col("splits"), F.col("next")).otherwise(F.col("node")).alias("node"), (goes & ~F.coalesce("splits", F.lit(True))).alias("open"),
+                         (F.col("branched") | F.coalesce("splits", F.lit(False))).alias("branched"), F.when(goes, F.col("own")).otherwise(F.col("dominance")).alias("dominance"))
+    return path.select(*[F.col(f"_key.{c}").alias(c) for c in keys], F.col("node").alias("chain"), "branched", "dominance")
+
+
 def consensus(called: DataFrame, least: int = 3, dominance: float = 0.9) -> DataFrame:
     """Rows of ``dominant`` that have ``least`` molecules and ``dominance``."""
     return called.filter((F.col("support") >= least) & (F.col("dominance") >= dominance))

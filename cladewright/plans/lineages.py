@@ -44,6 +44,15 @@ def dominant_chain(patterns: DataFrame) -> DataFrame:
     return L.dominant(with_sites(patterns), "tape").withColumn("dominance", F.round("dominance", 6))
 
 
+@query(f"""WITH RECURSIVE {_TRIE}, c AS (SELECT tape, regexp_replace(prefix, '\\|?[^|]*$', '') AS node, prefix, subtree, row_number() OVER (PARTITION BY tape, regexp_replace(prefix, '\\|?[^|]*$', '') ORDER BY subtree DESC, prefix) AS r FROM t WHERE depth > 0),
+  b AS (SELECT c.tape, node, min(c.prefix) FILTER (r = 1) AS next, coalesce(max(c.subtree) FILTER (r = 2) >= greatest(2, 0.08 * sum(c.subtree)), false) AS splits, max(c.subtree) / (sum(c.subtree) + max(t.tip)) AS own FROM c JOIN t ON t.tape = c.tape AND t.prefix = c.node GROUP BY c.tape, node),
+  w AS (SELECT DISTINCT tape, '' AS node, 1.0E0 AS dominance FROM t UNION ALL SELECT w.tape, b.next, b.own FROM w JOIN b ON b.tape = w.tape AND b.node = w.node WHERE NOT splits),
+  e AS (SELECT w.tape, w.node, coalesce(splits, false) AS branched, CASE WHEN splits THEN own ELSE dominance END AS dominance FROM w LEFT JOIN b ON b.tape = w.tape AND b.node = w.node WHERE coalesce(splits, true))
+  SELECT tape, node AS chain, branched, round(dominance, 6) AS dominance FROM e""", "patterns")
+def branch_stops(patterns: DataFrame) -> DataFrame:
+    return L.branch_stop(with_sites(patterns), "tape", 0.08).withColumn("dominance", F.round("dominance", 6))
+
+
 _CHAO = """a AS (SELECT tape, sum(n) AS total, count(*) AS s_obs, count(*) FILTER (n = 1) AS f1, count(*) FILTER (n = 2) AS f2 FROM {patterns} GROUP BY tape),
   f AS (SELECT *, (total - 1) / total * CASE WHEN f2 > 0 THEN f1 * f1 / (2 * f2) ELSE f1 * (f1 - 1) / 2.0 END AS f0 FROM a)"""
 

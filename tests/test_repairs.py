@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cladewright import shipping
+from cladewright.operators import lineages as L
 from cladewright.operators import summaries as S
 from cladewright.operators import trees as T
 from cladewright.sources import fastq, tables
@@ -117,3 +118,12 @@ def test_exact_two_sided_subsets(spark):
         chance = {k: math.comb(r.m, k) * math.comb(r.n - r.m, r.d - k) / math.comb(r.n, r.d) for k in range(max(0, r.m + r.d - r.n), min(r.m, r.d) + 1)}
         mean = r.m * r.d / r.n
         assert r.p == pytest.approx(sum(c for k, c in chance.items() if abs(k - mean) >= abs(r.k - mean) - 1e-9))
+
+
+def test_consensus_stops_at_a_branch(spark):
+    rows = [
+        ("leaf", ["A", "B", "C"], 5), ("leaf", ["A", "B", "U"], 2), ("split", ["A", "B", "U"], 6), ("split", ["A", "C", "U"], 4), ("split", ["A", "U", "U"], 1), ("few", ["A", "U", "U"], 9), ("few", ["B", "U", "U"], 1),
+        ("none", ["U", "U", "U"], 3), ("share", ["A", "U", "U"], 90), ("share", ["B", "U", "U"], 10), ("tie", ["B", "U", "U"], 1), ("tie", ["A", "U", "U"], 1), ("gap", ["A", None, "C"], 4),
+    ]
+    got = {r.cell: (r.chain, r.branched, pytest.approx(r.dominance)) for r in L.branch_stop(spark.createDataFrame(rows, "cell string, sites array<string>, n long"), "cell", n_sites=3).collect()}
+    assert got == {"leaf": ("A|B|C", False, 5 / 7), "split": ("A", True, 6 / 11), "few": ("A", False, 0.9), "none": ("", False, 1.0), "share": ("A", False, 0.9), "tie": ("A", False, 0.5), "gap": ("A", False, 1.0)}
