@@ -167,6 +167,20 @@ def described(media: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=list(SAID))
 
 
+_ELEMENT = T.StructType([T.StructField("pos", T.IntegerType()), *[T.StructField(c, T.StringType()) for c in ("kind", "text", "digest")]])
+
+
+@F.pandas_udf(T.StructType([T.StructField("elements", T.IntegerType()), T.StructField("text_sha256", T.StringType()), T.StructField("media", T.ArrayType(_ELEMENT))]))
+def told_pages(html: pd.Series) -> pd.DataFrame:
+    """Of each page the number of its elements, the digest of its text elements in order, joined by line ends, and its media elements. Its texts don't leave the worker."""
+    rows = []
+    for x in html:
+        sequence = sequence_of(x)
+        said = hashlib.sha256("\n".join([e["text"] for e in sequence if e["kind"] == "text"]).encode()).hexdigest()
+        rows.append((len(sequence), said, [e for e in sequence if e["kind"] == "media"]))
+    return pd.DataFrame(rows, columns=["elements", "text_sha256", "media"])
+
+
 def page(text: Column, digest: Column) -> Column:
     """The HTML of a text whose image has ``digest``: its lines as paragraphs, the first half of them before the image and the others after it, and the number of bytes as caption."""
     safe = text
@@ -188,8 +202,6 @@ def text_media(docs: DataFrame) -> DataFrame:
     """
     workers_ready(docs.sparkSession)
     digest = F.sha2(payload(F.col("text")), 256)
-    of = lambda kind: F.filter("sequence", lambda x: x["kind"] == kind)
-    said = F.sha2(F.array_join(F.transform(of("text"), lambda x: x["text"]), "\n").cast("binary"), 256)
-    pages = parse_html(docs.select("doc_id", page(F.col("text"), digest).alias("html"))).select("doc_id", F.size("sequence").alias("elements"), said.alias("text_sha256"), F.explode(of("media")).alias("e"))
+    pages = docs.select("doc_id", told_pages(page(F.col("text"), digest)).alias("p")).select("doc_id", "p.elements", "p.text_sha256", F.explode("p.media").alias("e"))
     found = resolve(cut(pages.select("doc_id", "elements", "text_sha256", "e.*")), docs.select("doc_id", digest.alias("digest"), stored(F.col("text")).alias("media")), "doc_id").withColumn("d", described("media"))
     return found.select("doc_id", F.regexp_extract("text", r"^(\d+)", 1).cast("long").alias("n_bytes"), *[f"d.{c}" for c in SAID], "pos", "elements", "text_sha256")
