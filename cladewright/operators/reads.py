@@ -282,3 +282,48 @@ def deep_barcodes(patterns: DataFrame, least: int = 2000, key: str = "tape") ->
     """The rows of ``patterns`` (key, n) whose barcode has ``least`` reads or more in all."""
     deep = patterns.groupBy(F.col(key).alias("_deep")).agg(F.sum("n").alias("_n")).filter(F.col("_n") >= least).select("_deep")
     return patterns.join(deep, F.col(key).eqNullSafe(F.col("_deep")), "left_semi")
+
+
+def _pieces(start: str, seq: str, g: K.Grammar) -> Column:
+    """What stands before the first anchor of an array, and after each."""
+    return F.split(F.substr(F.col(seq), F.col(start) + 1), g.anchor, -1)
+
+
+def junction_failures(parsed: DataFrame, seq: str = "seq", start: str = "start", g: K.Grammar = K.GRAMMAR) -> DataFrame:
+    """lacks, length, kind, near, n and share (of all that lack the same) of the junctions at which the forward reading of ``parsed`` (``walk``) ended.
+
+    The segment goes from the body of the site's anchor to the next anchor; it lacks the tail, or else the key before it. kind tells segments of whole length (U without an edit, E3 and E4 with an
+    insertion of three or four bases), where bases were replaced, from odd ones, where some were lost or added. near says that what it lacks is there but for one base. Sites without a next anchor are left out.
+    """
+    site = F.array_position(F.transform("sites", lambda x: x.isNull()), True).cast("int")
+    x = parsed.filter(F.col("why") == "junction").select(site.alias("_site"), _pieces(start, seq, g).alias("_p")).filter((F.col("_site") > 0) & (F.size("_p") >= F.col("_site") + 2))
+    body, tail = g.body - len(g.anchor), len(g.tail)
+    x = x.select(F.substr(F.get("_p", F.col("_site")), F.lit(body + 1)).alias("_seg")).withColumn("length", F.length("_seg"))
+    has = F.endswith("_seg", F.lit(g.tail))
+    block = F.substr("_seg", F.lit(1), F.greatest(F.lit(0), F.col("length") - tail))
+    near = lambda c, word: (F.length(c) >= len(word)) & (C.hamming(F.right(c, F.lit(len(word))), F.lit(word)) <= 1)
+    whole = {tail: "U", tail + len(g.key) + 3: "E3", tail + len(g.key) + 4: "E4"}
+    kind = F.lit("odd")
+    for n, k in whole.items():
+        kind = F.when(F.col("length") == n, k).otherwise(kind)
+    x = x.select(F.when(has, g.key).otherwise(g.tail).alias("lacks"), "length", kind.alias("kind"), F.when(has, near(block, g.key)).otherwise(near(F.col("_seg"), g.tail)).alias("near"))
+    n = x.groupBy("lacks", "length", "kind", "near").agg(F.count("*").alias("n"))
+    return n.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("lacks")))  # a row for each length
+
+
+def anchor_offsets(parsed: DataFrame, most: int = 41, seq: str = "seq", start: str = "start", g: K.Grammar = K.GRAMMAR) -> DataFrame:
+    """sites, away, reads and resolved: how far from an array's start its first anchor stands (``most`` for more), by how many anchors stand before its terminal.
+
+    Where the first anchor was missed, the offset is a monomer longer and the array a site shorter. Reads without an array, an anchor, or the terminal as it is spelled, are left out.
+    """
+    x = parsed.filter(F.col(start).isNotNull()).withColumn("_tail", F.substr(F.col(seq), F.col(start) + 1)).withColumn("_end", F.locate(g.terminal, F.col("_tail")))
+    x = x.filter("_end > 0").withColumn("_p", F.split(F.substr("_tail", F.lit(1), F.col("_end") - 1), g.anchor, -1))
+    first = F.length(F.get("_p", F.lit(0)))
+    whole = ~F.col("broken") & F.forall("sites", lambda s: s.isNotNull())
+    return x.groupBy((F.size("_p") - 1).alias("sites"), F.least(F.lit(most), first).alias("away")).agg(F.count("*").alias("reads"), F.count_if(whole).alias("resolved"))
+
+
+def order_patterns(parsed: DataFrame) -> DataFrame:
+    """pattern and n of reads whose sites are out of order: E for an edited site, U for an unedited, a dot for an open one."""
+    text = F.array_join(F.transform("sites", lambda s: F.when(s.isNull(), ".").when(s == C.UNEDITED, "U").otherwise("E")), "")
+    return parsed.filter("broken").groupBy(text.alias("pattern")).agg(F.count("*").alias("n"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cladewright import shipping
 from cladewright.operators import lineages as L
+from cladewright.operators import reads as R
 from cladewright.operators import summaries as S
 from cladewright.operators import trees as T
 from cladewright.sources import fastq, tables
@@ -127,3 +128,20 @@ def test_consensus_stops_at_a_branch(spark):
     ]
     got = {r.cell: (r.chain, r.branched, pytest.approx(r.dominance)) for r in L.branch_stop(spark.createDataFrame(rows, "cell string, sites array<string>, n long"), "cell", n_sites=3).collect()}
     assert got == {"leaf": ("A|B|C", False, 5 / 7), "split": ("A", True, 6 / 11), "few": ("A", False, 0.9), "none": ("", False, 1.0), "share": ("A", False, 0.9), "tie": ("A", False, 0.5), "gap": ("A", False, 1.0)}
+
+
+def test_junction_forensics(spark):
+    unit = lambda token, key="GGA", tail="TGAT": "GGTGAGCACG" + (token + key if token else "") + tail
+    array = lambda *units: "ATGAT" + "".join(units) + "GGTGAGCCACAAGGCAATCC"
+    ok = [unit("ACG")] * 5
+    reads = {
+        "whole": array(*ok, unit("TTT")), "tail1": array(unit("ACG"), unit("ACG", tail="TGAA"), *ok[:4]), "tail2": array(unit("ACG", tail="TCAA"), *ok), "key": array(unit("ACG"), unit("ACG"), unit("ACG", key="GTA"), *ok[:3]),
+        "odd": array(unit("ACGTT", tail="TGCT"), *ok), "four": array(unit("GATG", key="CCC"), *ok), "missed": "ATGAT" + "GGTGACCACGACGGGATGAT" + "".join(ok) + "GGTGAGCCACAAGGCAATCC", "no array": "ATGAT", "far": "A" * 60 + array(*ok, unit("")),
+    }
+    parsed = R.walk(spark.createDataFrame([(k, v, 0) for k, v in reads.items()] + [("null", None, None)], "name string, seq string, start int"))
+    got = {(r.lacks, r.length, r.kind, r.near): (r.n, r.share) for r in R.junction_failures(parsed).collect()}
+    assert got == {("TGAT", 10, "E3", True): (1, 1 / 3), ("TGAT", 10, "E3", False): (1, 1 / 3), ("TGAT", 12, "odd", True): (1, 1 / 3), ("GGA", 10, "E3", True): (1, 0.5), ("GGA", 11, "E4", False): (1, 0.5)}
+    offsets = {(r.sites, r.away): r.reads for r in R.anchor_offsets(parsed).collect()}
+    assert offsets == {(6, 5): 6, (5, 25): 1, (6, 41): 1}
+    some = spark.createDataFrame([(["A", "U", None], True), (["A", "U", None], True), (["U", "A", "A"], True), (["A", "U", "U"], False)], "sites array<string>, broken boolean")
+    assert {r.pattern: r.n for r in R.order_patterns(some).collect()} == {"EU.": 2, "UEE": 1}
