@@ -11,7 +11,7 @@ from cladewright.functions import columns as C
 from cladewright.functions import kernels as K
 from cladewright.shipping import ship
 
-from .scale import cut
+from .scale import cut, running
 
 
 def trie(chains: DataFrame, key: str, weight: str = "n") -> DataFrame:
@@ -275,3 +275,11 @@ def pendant_parts(matches: DataFrame, genotypes: DataFrame, founders: DataFrame
     out = matches.select("cell", "host").join(n, (F.col("cell") == F.col("_c")) & (F.col("host") == F.col("_h")), "left").na.fill(0, ["_new", "_old", "_same", "_n"])
     by = F.greatest(F.lit(1), "_n")
     return out.select("cell", "host", (F.col("_new") / by).alias("pendant"), (F.col("_old") / by).alias("residual"), F.col("_new").alias("new_edits"), F.col("_same").alias("shared_edits"), F.col("_n").alias("n_shared"))
+
+
+def sampled_tips(leaves: DataFrame, dropped: list[str], keep: int, seed: int = 1) -> DataFrame:
+    """``leaves`` (node, trajectory) without those of ``dropped`` trajectories (null ones stay), and of the rest the ``keep`` with the least md5 of seed and node: a sample for robustness, the same for any partitioning."""
+    rest = leaves.filter(~F.coalesce(F.col("trajectory").isin(dropped), F.lit(False))) if dropped else leaves
+    keyed = rest.withColumn("_key", F.md5(F.concat_ws(":", F.lit(seed), "node").cast("binary")))
+    return running(keyed, ["_key", "node"], {"_nth": "1L"}).filter(F.col("_nth") <= keep).select(*leaves.columns)
+

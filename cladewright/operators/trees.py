@@ -103,6 +103,13 @@ def maximal_clades(sized: DataFrame, least: int, most: int) -> DataFrame:
     return sized.join(up, "parent").filter(F.col("tips").between(least, most) & (F.col("up_tips") > most)).drop("up_tips")
 
 
+def band_clades(sized: DataFrame, least: int, most: int) -> DataFrame:
+    """Inner nodes with ``least`` to ``most`` tips whose parent has more than ``most``, and roots in that band; no two of them share a tip. Ends count as in the band."""
+    up = sized.select(F.col("node").alias("_up"), F.col("tips").alias("_tips"))
+    met = sized.filter(~F.col("is_leaf") & F.col("tips").between(least, most)).join(up, F.col("parent") == F.col("_up"), "left")
+    return met.filter(F.col("parent").isNull() | (F.col("_tips") > most)).drop("_up", "_tips")
+
+
 def time_cut(nodes: DataFrame, times: DataFrame) -> DataFrame:
     """t and the nodes whose branch crosses each t: parent's time < t <= own time."""
     up = nodes.select(F.col("node").alias("parent"), F.col("time").alias("up_time"))

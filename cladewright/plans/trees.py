@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from cladewright.catalog import VIEWS, query
 from cladewright.functions import udfs as U
 from cladewright.operators import grafting as G
+from cladewright.operators import lineages as L
 from cladewright.operators import state_graphs as SG
 from cladewright.operators import trees as T
 from cladewright.operators.scale import cut
@@ -313,3 +314,13 @@ def adjacency_test(steps: DataFrame, edges: DataFrame) -> DataFrame:
     states = steps.select(F.explode(F.array("src", "dst")).alias("state")).distinct()
     out = SG.adjacency_test(steps, edges, states, 499)
     return out.select("steps", "median", *[F.round(c, 6).alias(c) for c in ("adjacent", "null_mean", "null_sd", "enrichment", "p")])
+
+
+@query(f"WITH RECURSIVE {_SIZE} SELECT n.node, z.tips FROM {{nodes}} n JOIN z ON z.node = n.node LEFT JOIN z p ON p.node = n.parent WHERE NOT n.is_leaf AND z.tips BETWEEN 20 AND 40 AND (n.parent IS NULL OR p.tips > 40)", "nodes")
+def band_clades(nodes: DataFrame) -> DataFrame:
+    return T.band_clades(T.tips_below(ranked(nodes)), 20, 40).select("node", "tips")
+
+
+@query("SELECT node, celltype AS trajectory FROM {nodes} WHERE is_leaf AND celltype NOT IN ('ct1', 'ct4') QUALIFY row_number() OVER (ORDER BY md5('1:' || CAST(node AS VARCHAR)), node) <= 40", "nodes")
+def sampled_tips(nodes: DataFrame) -> DataFrame:
+    return L.sampled_tips(nodes.filter("is_leaf").select("node", F.col("celltype").alias("trajectory")), ["ct1", "ct4"], 40)
