@@ -296,9 +296,12 @@ def junction_failures(parsed: DataFrame, seq: str = "seq", start: str = "start",
     insertion of three or four bases), where bases were replaced, from odd ones, where some were lost or added. near says that what it lacks is there but for one base. Sites without a next anchor are left out.
     """
     site = F.array_position(F.transform("sites", lambda x: x.isNull()), True).cast("int")
-    x = parsed.filter(F.col("why") == "junction").select(site.alias("_site"), _pieces(start, seq, g).alias("_p")).filter((F.col("_site") > 0) & (F.size("_p") >= F.col("_site") + 2))
+    x = parsed.select("why", site.alias("_site"), _pieces(start, seq, g).alias("_p"))
     body, tail = g.body - len(g.anchor), len(g.tail)
-    x = x.select(F.substr(F.get("_p", F.col("_site")), F.lit(body + 1)).alias("_seg")).withColumn("length", F.length("_seg"))
+    ends = (F.col("why") == "junction") & (F.col("_site") > 0) & (F.size("_p") >= F.col("_site") + 2)
+    # a filter before the count would be pushed below the parse, and all that it reads said again for each mention; segments are few beside reads
+    x = x.select(F.when(ends, F.substr(F.get("_p", F.col("_site")), F.lit(body + 1))).alias("_seg"))
+    x = x.groupBy("_seg").agg(F.count("_seg").alias("_n")).filter("_n > 0").withColumn("length", F.length("_seg"))
     has = F.endswith("_seg", F.lit(g.tail))
     block = F.substr("_seg", F.lit(1), F.greatest(F.lit(0), F.col("length") - tail))
     near = lambda c, word: (F.length(c) >= len(word)) & (C.hamming(F.right(c, F.lit(len(word))), F.lit(word)) <= 1)
@@ -306,8 +309,8 @@ def junction_failures(parsed: DataFrame, seq: str = "seq", start: str = "start",
     kind = F.lit("odd")
     for n, k in whole.items():
         kind = F.when(F.col("length") == n, k).otherwise(kind)
-    x = x.select(F.when(has, g.key).otherwise(g.tail).alias("lacks"), "length", kind.alias("kind"), F.when(has, near(block, g.key)).otherwise(near(F.col("_seg"), g.tail)).alias("near"))
-    n = x.groupBy("lacks", "length", "kind", "near").agg(F.count("*").alias("n"))
+    x = x.select(F.when(has, g.key).otherwise(g.tail).alias("lacks"), "length", kind.alias("kind"), F.when(has, near(block, g.key)).otherwise(near(F.col("_seg"), g.tail)).alias("near"), "_n")
+    n = x.groupBy("lacks", "length", "kind", "near").agg(F.sum("_n").alias("n"))
     return n.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("lacks")))  # a row for each length
 
 

@@ -109,7 +109,7 @@ def rank_sum(df: DataFrame, value: str, first: str, key: str) -> DataFrame:
     r = ranked_values(df, value, key, _n1=F.count_if(first), _n2=F.count_if(~F.col(first)))
     t = F.col("_t").cast("double")
     a = r.groupBy(key).agg(F.sum("_n1").alias("n1"), F.sum("_n2").alias("n2"), F.sum(F.col("_n1") * F.col("rank")).alias("w"), F.sum(t * t * t - t).alias("ties"))
-    n1, n2 = F.col("n1"), F.col("n2")
+    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")  # their products outgrow a long
     n, u = n1 + n2, F.col("w") - n1 * (n1 + 1) / 2
     off = u - n1 * n2 / 2
     return a.select(key, "n1", "n2", u.alias("u"), F.try_divide(off, F.sqrt(n1 * n2 * (n + 1) / 12.0)).alias("z"), F.try_divide(off, F.sqrt(n1 * n2 / 12.0 * (n + 1 - F.try_divide(F.col("ties"), n * (n - 1))))).alias("z_tied"))
