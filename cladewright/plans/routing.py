@@ -122,7 +122,7 @@ def molecules(reads: DataFrame) -> DataFrame:
 
 
 def called(reads: DataFrame) -> DataFrame:
-    return L.consensus(L.dominant(molecules(reads), ["cell", "tape"], weight="molecules"), 3, 0.6)
+    return L.consensus(L.dominant(cut(molecules(reads)), ["cell", "tape"], weight="molecules"), 3, 0.6)
 
 
 @query(f"WITH {_MOL} SELECT cell, tp AS tape, pattern, n AS molecules FROM mo", "far_umis")
