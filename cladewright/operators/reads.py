@@ -27,7 +27,8 @@ def spelled(g: K.Grammar = K.GRAMMAR) -> str:
 def walk(reads: DataFrame, seq: str = "seq", start: str = "start", compat_frame_shift: bool = True, g: K.Grammar = K.GRAMMAR) -> DataFrame:
     """``reads`` with sites, broken and why (see ``kernels.walk``); a null start resolves nothing.
 
-    Arrays that are spelled without damage, with no anchor but their own, are read by one pattern in the JVM; only the others go to the kernel.
+    Arrays that are spelled without damage, with no anchor but their own, are read by one pattern in the JVM; only the others go to the kernel. The kernel is marked so that no filter on what it
+    gives is pushed below it: that would run it twice, and the making of its input once for each mention.
     """
     ship(reads.sparkSession)
     tail = F.substr(F.col(seq), F.col(start) + 1)
@@ -41,7 +42,7 @@ def walk(reads: DataFrame, seq: str = "seq", start: str = "start", compat_frame_
         rows = [none if x is None else K.walk(x, int(a), compat_frame_shift) if a == a and a is not None else ([None] * 6, False, "short") for x, a in zip(s, at, strict=True)]
         return pd.DataFrame(rows, columns=WALKED.names)
 
-    marked = reads.withColumn("_read", read).withColumn("_w", walked(F.when(~whole, F.coalesce(seq, F.lit(""))), start))
+    marked = reads.withColumn("_read", read).withColumn("_w", walked.asNondeterministic()(F.when(~whole, F.coalesce(seq, F.lit(""))), start))
     marked = marked.withColumn("_t", F.when(whole, F.split(F.substr("_read", F.lit(2)), r"\|")))
     first = F.array_position("_t", "")
     states = F.when(first == 0, F.col("_t")).otherwise(F.concat(F.slice("_t", F.lit(1), F.greatest(first - 1, F.lit(0)).cast("int")), F.array_repeat(F.lit(C.UNEDITED), (g.sites + 1 - first).cast("int"))))
@@ -57,9 +58,11 @@ def parse_bulk(reads: DataFrame, compat_frame_shift: bool = True) -> DataFrame:
     return out.withColumn("resolved", ~F.col("broken") & F.forall("sites", lambda x: x.isNotNull()))
 
 
-def parse_cells(reads: DataFrame, compat_frame_shift: bool = True) -> DataFrame:
-    """``reads`` (header, seq) of single cells with cell, pcr, umi and sample of the header, barcode, sites, broken, why and resolved; reads with a shorter header go."""
+def parse_cells(reads: DataFrame, compat_frame_shift: bool = True, sample: str = "") -> DataFrame:
+    """``reads`` (header, seq) of single cells with cell, pcr, umi and sample of the header, barcode, sites, broken, why and resolved; reads with a shorter header go, and those whose sample does not contain ``sample``."""
     named = reads.withColumn("_h", C.header_fields(F.col("header"))).filter("_h is not null")
+    if sample:
+        named = named.filter(F.contains("_h.sample", F.lit(sample)))
     found = named.withColumn("_b", C.extract_cell_barcode(F.col("seq"))).select(*reads.columns, "_h.*", F.col("_b.barcode").alias("barcode"), F.col("_b.start").alias("start"))
     out = walk(found, compat_frame_shift=compat_frame_shift)
     return out.withColumn("resolved", ~F.col("broken") & F.forall("sites", lambda x: x.isNotNull()))
@@ -72,9 +75,11 @@ def flagged(parsed: DataFrame, whitelist: DataFrame, vocabulary: DataFrame, leng
     and every edit is in the vocabulary (insertion). Whitelist (tapebc) and vocabulary are small tables.
     """
     ok = parsed.withColumn("extracted", F.coalesce(F.length("barcode") == length, F.lit(False)))
-    words = ok.filter("extracted").select(F.col("barcode").alias("word")).distinct()
-    near = unique_nearest(words, whitelist.select(F.col("tapebc").alias("entry"))).select("word", F.col("nearest").alias("corrected"))
-    ok = ok.join(near, F.col("extracted") & (F.col("barcode") == F.col("word")), "left").drop("word")
+    # words and entries are asked for several times, and reads are gone through once for them; a filter would be pushed below the count of words
+    words = cut(ok.select(F.when(F.col("extracted"), F.col("barcode")).alias("word")).distinct()).filter("word is not null")
+    near = unique_nearest(words, cut(whitelist.select(F.col("tapebc").alias("entry")).distinct())).select("word", F.col("nearest").alias("corrected"))
+    # words with an entry are that or within two mismatches of it: a few hundred for each entry, so that no barcode's reads are gathered
+    ok = ok.join(F.broadcast(near.filter("corrected is not null")), F.col("extracted") & (F.col("barcode") == F.col("word")), "left").drop("word")
     known = F.broadcast(vocabulary.agg(F.collect_set("insertion").alias("_vocab")))
     error = F.col("extracted") & F.col("broken")
     valid = F.col("corrected").isNotNull() & ~error & F.col("resolved") & F.forall("sites", lambda s: (s == C.UNEDITED) | F.array_contains("_vocab", s))

@@ -181,7 +181,7 @@ def damaged_reads(reads: DataFrame, whitelist: DataFrame, vocabulary: DataFrame)
 @query("SELECT read_no, CASE WHEN m NOT IN (1, 2, 3, 4) THEN bc END AS barcode, concat('c', CAST(cell AS STRING)) AS cell, umi, concat('S', CAST(cell % 2 AS STRING)) AS sample, CASE WHEN m IN (5, 6, 7) THEN NULL ELSE pattern END AS pattern FROM {bulk_reads} WHERE cell % 2 = 1", "bulk_reads")
 def cell_reads(reads: DataFrame) -> DataFrame:
     """Cells, UMIs and barcodes of single-cell reads of one sample, as headers and sequences say."""
-    parsed = R.parse_cells(reads.select("read_no", "m", "header", "seq")).filter(F.contains("sample", F.lit("S1")))
+    parsed = R.parse_cells(reads.select("read_no", "m", "header", "seq"), sample="S1")
     sound = ~F.col("m").isin(5, 6, 7)
     return parsed.select("read_no", F.when(~F.col("m").isin(1, 2, 3, 4), F.col("barcode")).alias("barcode"), "cell", "umi", "sample", F.when(sound, F.array_join("sites", "|")).alias("pattern"))
 
