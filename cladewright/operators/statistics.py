@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from cladewright.functions import columns as C
 
-from .scale import cut, running
+from .scale import cut, fresh, running
 
 
 def cooccurrence(members: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -126,12 +126,16 @@ def sibling_concordance(pairs: DataFrame, leaves: DataFrame) -> DataFrame:
 
 
 def shuffled(labels: DataFrame, replicates: int, seed: int = 1, stratum: str | None = None) -> DataFrame:
-    """rep, node and cls: labels shuffled within strata, once for each replicate. The order is that of a hash of (node, rep, seed), so any partitioning gives the same."""
-    by = ["rep"] + ([stratum] if stratum else [])
-    reps = labels.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    to = reps.withColumn("_k", F.row_number().over(W.partitionBy(*by).orderBy(F.md5(F.concat_ws(":", F.lit(seed), "rep", "node").cast("binary")), "node"))).select(*by, "node", "_k")
-    what = reps.withColumn("_k", F.row_number().over(W.partitionBy(*by).orderBy("node"))).select(*by, "cls", "_k")
-    return to.join(what, [*by, "_k"]).drop("_k")
+    """rep, node and cls: labels shuffled within strata, once for each replicate. The order is that of a hash of (node, rep, seed), so any partitioning gives the same.
+
+    Ranks go by ranges, so no task takes a replicate; sizes are told as they are, so that no join gathers the labels in the driver."""
+    own = [stratum] if stratum else []
+    reps = labels.select(*own, "node", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
+    key = F.md5(F.concat_ws(":", F.lit(seed), "rep", "node").cast("binary"))
+    to = running(reps.withColumn("_h", key), ["_h", "node"], {"_k": "1L"}, ["rep", *own]).select("rep", *own, "node", "_k")
+    # the order of nodes is the same in all replicates
+    what = running(labels.select(*own, "node", "cls"), ["node"], {"_k": "1L"}, own).select(*own, "cls", "_k")
+    return fresh(to.join(fresh(what), [*own, "_k"]).select("rep", "node", "cls"))
 
 
 def captured_pairings(pairs: DataFrame) -> DataFrame:
