@@ -222,15 +222,16 @@ def dated(nodes: DataFrame, root_day: float, tip_day: float, shortest: float = 0
         forms = own.join(tips, F.col("node") == F.col("_t"), "left").select("node", "parent", *EDGE, *[(F.col(m) + F.coalesce(f"_{m}", F.lit(0.0))).alias(m) for m in NODE])
         x = solved(fresh(forms), plans)
         rate = x.first().w
-        if not rate > 0:
-            raise ValueError("the constraints cannot all hold, or the branch lengths give no positive rate")
+        size = abs(rate) * span  # before its constraints hold a solution may run backwards
         at = state.join(x.select(F.col("node").alias("_x"), "x"), F.col("node") == F.col("_x"), "left").withColumn("x", F.when(F.col("tip"), F.lit(span * rate)).otherwise(F.col("x"))).drop("_x")
         up = at.filter("not tip").select(F.col("node").alias("_u"), F.col("x").alias("_xu"))
         at = at.join(up, F.col("parent") == F.col("_u"), "left")
-        at = at.withColumn("_e", F.coalesce(shortest * rate + F.col("_xu") - F.col("x"), F.lit(-1.0) * rate * span)).withColumn("_l", F.coalesce(F.col("low") * rate - F.col("x"), F.lit(-1.0) * rate * span))
+        at = at.withColumn("_e", F.coalesce(shortest * rate + F.col("_xu") - F.col("x"), F.lit(-size))).withColumn("_l", F.coalesce(F.col("low") * rate - F.col("x"), F.lit(-size)))
         at = fresh(at.withColumn("_pressed", F.col("force") + stiff * F.col("_e") > 0).withColumn("_held", F.col("hold") + stiff * F.col("_l") > 0))
         changed, worst = at.agg(F.count_if((F.col("_pressed") != F.col("pressed")) | (F.col("_held") != F.col("held"))), F.max(F.greatest("_e", "_l"))).first()
-        if not changed and worst <= TOLERANCE * rate * span:
+        if not changed and not rate > 0:
+            raise ValueError("the constraints cannot all hold, or the branch lengths give no positive rate")
+        if not changed and worst <= TOLERANCE * size:
             return at.select("node", (F.lit(root_day) + F.col("x") / rate).alias("day"), F.lit(rate).alias("rate"))
         force, hold = (F.when(F.lit(bool(changed)), F.col(m)).otherwise(F.greatest(none, F.col(m) + stiff * F.col(c))).alias(m) for m, c in (("force", "_e"), ("hold", "_l")))
         state = fresh(at.select("node", "parent", "b", "k", "tip", "low", force, hold, F.col("_pressed").alias("pressed"), F.col("_held").alias("held")))
