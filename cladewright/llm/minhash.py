@@ -1,4 +1,4 @@
-"""Near-duplicates by Jaccard similarity of word shingles: MinHash bands give candidates, exact similarity decides.
+"""Near-duplicates by Jaccard similarity of word shingles: op4's SimHash fingerprints and their pivot tables, and MinHash bands for what they miss, give candidates; exact similarity decides.
 
 Two texts link where the sets of their shingles of ``SHINGLE`` words (ASCII lower case, split at white space; a shorter text is one shingle) have Jaccard similarity
 ``SIMILAR`` or more, and links join transitively. A pair of similarity s shares one of ``BANDS`` bands of ``ROWS`` least hashes with chance
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, workers_ready
-from .simhash import _LOWER, components, first_of, in_components
+from .simhash import _LOWER, components, fingerprints, first_of, in_components, print_links
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS, STARS = 20, 5, 1
@@ -170,8 +170,8 @@ def apart_links(left: DataFrame, sets: DataFrame, nodes: DataFrame, least: float
     return rows.select("task", "c", "key", "root", "block", "held", "bands").repartition(dealt_out, "task").sortWithinPartitions("task", "c", "key").mapInArrow(verify, "a long, b long")
 
 
-def set_links(members: DataFrame, sets: DataFrame, nodes: DataFrame, least: float = SIMILAR, stars: int = STARS) -> DataFrame:
-    """node and root of the keys that links join, from ``members`` (c, band, key) of shared buckets, ``sets`` (key, held) and ``nodes`` (key, bands)."""
+def set_links(members: DataFrame, sets: DataFrame, nodes: DataFrame, least: float = SIMILAR, stars: int = STARS, near: DataFrame | None = None) -> DataFrame:
+    """node and root of the keys that links join, from ``members`` (c, band, key) of shared buckets, ``sets`` (key, held) and ``nodes`` (key, bands); ``near`` (a, b) are pairs to be tried beside those of the buckets."""
     similar = _similar(least)
     # whoever shares buckets with most others is the likeliest source of a group of near copies
     sizes = members.groupBy("c", "band").agg(F.count("*").alias("_n"))
@@ -184,6 +184,8 @@ def set_links(members: DataFrame, sets: DataFrame, nodes: DataFrame, least: floa
         hub = left.groupBy("c", "band").agg(F.min_by(F.struct("key", "root"), turn).alias("h"))
         met = left.join(hub, ["c", "band"]).select("key", "root", F.col("h.key").alias("other"), F.col("h.root").alias("other_root"))
         pairs = met.filter("root <> other_root").select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+        if near is not None and k == 0:
+            pairs = pairs.unionByName(near).distinct()
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
         x = pairs.join(sets.select(F.col("key").alias("a"), F.col("held").alias("ha")), "a").join(sets.select(F.col("key").alias("b"), F.col("held").alias("hb")), "b")
@@ -200,17 +202,29 @@ def set_links(members: DataFrame, sets: DataFrame, nodes: DataFrame, least: floa
     return components(rest if links is None else links.unionByName(rest))
 
 
+def print_pairs(nodes: DataFrame) -> DataFrame:
+    """a, b: keys of ``nodes`` (key, print) whose SimHash fingerprints op4's pivot tables link, by the least key of each fingerprint."""
+    first = cut(nodes.groupBy(F.col("print").alias("fp")).agg(F.min("key").alias("first")))
+    same = nodes.join(first, F.col("print") == F.col("fp")).select(F.col("key").alias("a"), F.col("first").alias("b"))
+    of = lambda c: first.select(F.col("fp").alias(f"_{c}"), F.col("first").alias(f"first_{c}"))
+    linked = print_links(first.select("fp"))
+    apart = linked.join(of("a"), F.col("a") == F.col("_a")).join(of("b"), F.col("b") == F.col("_b")).select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    return same.unionByName(apart).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _classed(docs: DataFrame, least: float, stars: int) -> DataFrame:
     workers_ready(docs.sparkSession)
-    rows = cut(docs.select("doc_id", sketches("text").alias("s")).select("doc_id", "s.key", "s.bands"))
-    nodes = cut(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("times"), F.first("bands").alias("bands")))
+    rows = cut(docs.select("doc_id", sketches("text").alias("s"), fingerprints("text").alias("print")).select("doc_id", "s.key", "s.bands", "print"))
+    nodes = cut(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("times"), F.first("bands").alias("bands"), F.min("print").alias("print")))
+    near = cut(print_pairs(nodes))
     keyed = nodes.select("key", F.posexplode("bands").alias("c", "band"))
     shared = keyed.groupBy("c", "band").agg(F.count("*").alias("n")).filter("n > 1").select("c", "band")
     members = cut(keyed.join(shared, ["c", "band"], "left_semi"))
-    wanted = cut(nodes.join(members.select("key").distinct(), "key", "left_semi").select("key", "least"))
+    asked = members.select("key").unionByName(near.select(F.explode(F.array("a", "b")).alias("key"))).distinct()
+    wanted = cut(nodes.join(asked, "key", "left_semi").select("key", "least"))
     texts = docs.select("doc_id", "text").join(wanted.select(F.col("least").alias("_least")).distinct(), F.col("doc_id").eqNullSafe(F.col("_least")), "left_semi")
     sets = texts.select(held_sets("text").alias("s")).select("s.key", "s.held").join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(F.first("held").alias("held"))
-    roots = set_links(members, cut(sets), nodes, least, stars)
+    roots = set_links(members, cut(sets), nodes, least, stars, near)
     return in_components(rows.select("doc_id", F.col("key").alias("fp")), nodes.select(F.col("key").alias("fp"), "least", "times"), roots)
 
 

@@ -195,13 +195,15 @@ def _classed(docs: DataFrame, within: int, run_cap: int) -> DataFrame:
     workers_ready(docs.sparkSession)
     rows = cut(docs.select("doc_id", fingerprints("text").alias("fp")))
     fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("times")))
-    found = cut(bucket_links(fps.select("fp"), within, run_cap).distinct())
+    return in_components(rows, fps, components(print_links(fps.select("fp"), within, run_cap)))
+
+
+def print_links(fps: DataFrame, within: int = WITHIN, run_cap: int = 1024) -> DataFrame:
+    """a, b: links that join the distinct ``fp`` as far as they are joined."""
+    found = cut(bucket_links(fps, within, run_cap).distinct())
     hot = found.filter("b is null").select(F.col("a").alias("fp")).distinct()
     links = found.filter("b is not null")
-    if not hot.isEmpty():
-        links = links.unionByName(midpoints(hot, within))
-    roots = components(links)
-    return in_components(rows, fps, roots)
+    return links if hot.isEmpty() else links.unionByName(midpoints(hot, within))
 
 
 def in_components(rows: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
