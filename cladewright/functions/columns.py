@@ -101,9 +101,8 @@ def extract_cell_barcode(seq: Column, n: int = 12, right: str = "CTCTGG") -> Col
 
 
 def header_fields(c: Column) -> Column:
-    """cell, pcr, umi and sample of ``@cell,PCR,umi,sample``; null if there are fewer than four fields."""
-    f = F.split(F.regexp_replace(c, "^@", ""), ",")
-    return F.when(F.size(f) >= 4, F.struct(f[0].alias("cell"), f[1].alias("pcr"), f[2].alias("umi"), f[3].alias("sample")))
+    """The fields of ``@cell,PCR,umi,sample``, of any number."""
+    return F.split(F.when(F.startswith(c, F.lit("@")), F.substr(c, F.lit(2))).otherwise(c), ",")
 
 
 def token_id(group: Column, site: Column, allele: Column, n_sites: int = 6, base: int = 8192) -> Column:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,14 +37,17 @@ def walk(reads: DataFrame, seq: str = "seq", start: str = "start", compat_frame_
     ship(reads.sparkSession)
     tail = F.substr(F.col(seq), F.col(start) + 1)
     groups = "|".join(f"${i + 1}" for i in range(g.sites))
-    read = F.when(F.regexp_count(tail, F.lit(g.anchor)) == g.sites + 1, F.regexp_replace(tail, f"^.*?{spelled(g)}.*$", f"#{groups}"))
+    anchors = (F.length(tail) - F.length(F.replace(tail, F.lit(g.anchor), F.lit("")))) / len(g.anchor)
+    read = F.when(anchors == g.sites + 1, F.regexp_replace(tail, f"^.*?{spelled(g)}.*$", f"#{groups}"))
     whole = F.coalesce(F.startswith("_read", F.lit("#")), F.lit(False))
 
-    @F.pandas_udf(WALKED)
-    def walked(s: pd.Series, at: pd.Series) -> pd.DataFrame:
-        none = None, None, None  # a read that the pattern tells
-        rows = [none if x is None else K.walk(x, int(a), compat_frame_shift) if a == a and a is not None else ([None] * 6, False, "short") for x, a in zip(s, at, strict=True)]
-        return pd.DataFrame(rows, columns=WALKED.names)
+    @F.arrow_udf(WALKED)
+    def walked(s: pa.Array, at: pa.Array) -> pa.Array:
+        out: list[list] = [[None] * len(s) for _ in WALKED]
+        for i in np.flatnonzero(s.is_valid().to_numpy(zero_copy_only=False)).tolist():  # the others are reads that the pattern tells
+            for c, x in zip(out, K.walk(s[i].as_py(), at[i].as_py(), compat_frame_shift) if at[i].is_valid else ([None] * g.sites, False, "short"), strict=True):
+                c[i] = x
+        return pa.StructArray.from_arrays([pa.array(c, kind) for c, kind in zip(out, (pa.list_(pa.string()), pa.bool_(), pa.string()), strict=True)], WALKED.names)
 
     marked = reads.withColumn("_read", read).withColumn("_w", walked.asNondeterministic()(F.when(~whole, F.coalesce(seq, F.lit(""))), start))
     marked = marked.withColumn("_t", F.when(whole, F.split(F.substr("_read", F.lit(2)), r"\|")))
@@ -51,6 +58,18 @@ def walk(reads: DataFrame, seq: str = "seq", start: str = "start", compat_frame_
         F.when(whole, F.when(first == 0, "full").otherwise("unedited")).otherwise(F.col("_w.why")).alias("why"))
 
 
+def dereplicated(reads: DataFrame, seq: str = "seq", n: str = "n_reads") -> DataFrame:
+    """``seq`` and ``n``: each sequence once, and how many reads have it. Amplicons are read many times over; what only counts reads need parse each sequence but once."""
+    return reads.groupBy(seq).agg(F.count("*").alias(n))
+
+
+def _number(n: str | None, where: Column | None = None) -> Column:
+    """How many reads (``where`` holds): rows, or the sum of their ``n``."""
+    if n is None:
+        return F.count("*") if where is None else F.count_if(where)
+    return F.coalesce(F.sum(n if where is None else F.when(where, F.col(n)).otherwise(0)), F.lit(0))
+
+
 def parse_bulk(reads: DataFrame, compat_frame_shift: bool = True) -> DataFrame:
     """``reads`` (seq) with barcode, sites, broken, why and resolved."""
     found = reads.withColumn("_b", C.extract_barcode(F.col("seq"))).withColumn("barcode", F.col("_b.barcode")).withColumn("start", F.col("_b.start")).drop("_b")
@@ -60,10 +79,12 @@ def parse_bulk(reads: DataFrame, compat_frame_shift: bool = True) -> DataFrame:
 
 def parse_cells(reads: DataFrame, compat_frame_shift: bool = True, sample: str = "") -> DataFrame:
     """``reads`` (header, seq) of single cells with cell, pcr, umi and sample of the header, barcode, sites, broken, why and resolved; reads with a shorter header go, and those whose sample does not contain ``sample``."""
-    named = reads.withColumn("_h", C.header_fields(F.col("header"))).filter("_h is not null")
-    if sample:
-        named = named.filter(F.contains("_h.sample", F.lit(sample)))
-    found = named.withColumn("_b", C.extract_cell_barcode(F.col("seq"))).select(*reads.columns, "_h.*", F.col("_b.barcode").alias("barcode"), F.col("_b.start").alias("start"))
+    # the filter is pushed below the making of headers, which is said again for each mention: so it has one
+    fourth = "[^,]*,[^,]*,[^,]*," + (f"[^,]*{re.escape(sample)}" if sample else "")
+    named = reads.filter(F.lit("," not in sample) & F.col("header").rlike(f"^{fourth}"))
+    named = named.withColumn("_f", C.header_fields(F.col("header")))
+    fields = [F.col("_f")[i].alias(c) for i, c in enumerate(("cell", "pcr", "umi", "sample"))]
+    found = named.withColumn("_b", C.extract_cell_barcode(F.col("seq"))).select(*reads.columns, *fields, F.col("_b.barcode").alias("barcode"), F.col("_b.start").alias("start"))
     out = walk(found, compat_frame_shift=compat_frame_shift)
     return out.withColumn("resolved", ~F.col("broken") & F.forall("sites", lambda x: x.isNotNull()))
 
@@ -86,10 +107,10 @@ def flagged(parsed: DataFrame, whitelist: DataFrame, vocabulary: DataFrame, leng
     return ok.join(known).withColumn("error", error).withColumn("valid", F.coalesce(valid, F.lit(False))).drop("_vocab")
 
 
-def parse_funnel(flags: DataFrame) -> DataFrame:
-    """metric, n and pct of the six counters of ``flagged`` reads."""
+def parse_funnel(flags: DataFrame, n: str | None = None) -> DataFrame:
+    """metric, n and pct of the six counters of ``flagged`` reads, or of ``n`` reads a row."""
     ok = F.col("extracted")
-    return funnel(flags, {"total_reads": F.lit(True), "bc_extractable": ok, "bc_in_whitelist": F.col("corrected").isNotNull(), "ordering_errors": F.col("error"), "all_sites_resolved": ok & ~F.col("error") & F.col("resolved"), "valid_reads": F.col("valid")})
+    return funnel(flags, {"total_reads": F.lit(True), "bc_extractable": ok, "bc_in_whitelist": F.col("corrected").isNotNull(), "ordering_errors": F.col("error"), "all_sites_resolved": ok & ~F.col("error") & F.col("resolved"), "valid_reads": F.col("valid")}, n)
 
 
 def unique_nearest(words: DataFrame, dictionary: DataFrame, word: str = "word", entry: str = "entry", most: int = 2) -> DataFrame:
@@ -117,10 +138,9 @@ def unique_nearest(words: DataFrame, dictionary: DataFrame, word: str = "word",
     return words.join(one, F.col(word) == F.col("_w"), "left").drop("_w")
 
 
-def funnel(reads: DataFrame, stages: dict[str, Column]) -> DataFrame:
-    """metric, n and pct (of all) of each condition."""
-    total = F.count("*")
-    one = reads.agg(*[F.count_if(c).alias(k) for k, c in stages.items()], total.alias("_total"))
+def funnel(reads: DataFrame, stages: dict[str, Column], n: str | None = None) -> DataFrame:
+    """metric, n and pct (of all) of each condition; a row may stand for ``n`` reads."""
+    one = reads.agg(*[_number(n, c).alias(k) for k, c in stages.items()], _number(n).alias("_total"))
     rows = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("n")) for k in stages]))
     return one.select("_total", rows.alias("r")).select("r.metric", "r.n", (100 * F.col("r.n") / F.greatest(F.col("_total"), F.lit(1))).alias("pct"))
 
@@ -294,19 +314,19 @@ def _pieces(start: str, seq: str, g: K.Grammar) -> Column:
     return F.split(F.substr(F.col(seq), F.col(start) + 1), g.anchor, -1)
 
 
-def junction_failures(parsed: DataFrame, seq: str = "seq", start: str = "start", g: K.Grammar = K.GRAMMAR) -> DataFrame:
+def junction_failures(parsed: DataFrame, seq: str = "seq", start: str = "start", g: K.Grammar = K.GRAMMAR, n: str | None = None) -> DataFrame:
     """lacks, length, kind, near, n and share (of all that lack the same) of the junctions at which the forward reading of ``parsed`` (``walk``) ended.
 
     The segment goes from the body of the site's anchor to the next anchor; it lacks the tail, or else the key before it. kind tells segments of whole length (U without an edit, E3 and E4 with an
     insertion of three or four bases), where bases were replaced, from odd ones, where some were lost or added. near says that what it lacks is there but for one base. Sites without a next anchor are left out.
     """
     site = F.array_position(F.transform("sites", lambda x: x.isNull()), True).cast("int")
-    x = parsed.select("why", site.alias("_site"), _pieces(start, seq, g).alias("_p"))
+    x = parsed.select("why", site.alias("_site"), _pieces(start, seq, g).alias("_p"), (F.col(n) if n else F.lit(1)).alias("_of"))
     body, tail = g.body - len(g.anchor), len(g.tail)
     ends = (F.col("why") == "junction") & (F.col("_site") > 0) & (F.size("_p") >= F.col("_site") + 2)
     # a filter before the count would be pushed below the parse, and all that it reads said again for each mention; segments are few beside reads
-    x = x.select(F.when(ends, F.substr(F.get("_p", F.col("_site")), F.lit(body + 1))).alias("_seg"))
-    x = x.groupBy("_seg").agg(F.count("_seg").alias("_n")).filter("_n > 0").withColumn("length", F.length("_seg"))
+    x = x.select(F.when(ends, F.substr(F.get("_p", F.col("_site")), F.lit(body + 1))).alias("_seg"), "_of")
+    x = x.groupBy("_seg").agg(F.sum(F.when(F.col("_seg").isNotNull(), F.col("_of")).otherwise(0)).alias("_n")).filter("_n > 0").withColumn("length", F.length("_seg"))
     has = F.endswith("_seg", F.lit(g.tail))
     block = F.substr("_seg", F.lit(1), F.greatest(F.lit(0), F.col("length") - tail))
     near = lambda c, word: (F.length(c) >= len(word)) & (C.hamming(F.right(c, F.lit(len(word))), F.lit(word)) <= 1)
@@ -319,7 +339,7 @@ def junction_failures(parsed: DataFrame, seq: str = "seq", start: str = "start",
     return n.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("lacks")))  # a row for each length
 
 
-def anchor_offsets(parsed: DataFrame, most: int = 41, seq: str = "seq", start: str = "start", g: K.Grammar = K.GRAMMAR) -> DataFrame:
+def anchor_offsets(parsed: DataFrame, most: int = 41, seq: str = "seq", start: str = "start", g: K.Grammar = K.GRAMMAR, n: str | None = None) -> DataFrame:
     """sites, away, reads and resolved: how far from an array's start its first anchor stands (``most`` for more), by how many anchors stand before its terminal.
 
     Where the first anchor was missed, the offset is a monomer longer and the array a site shorter. Reads without an array, an anchor, or the terminal as it is spelled, are left out.
@@ -328,10 +348,10 @@ def anchor_offsets(parsed: DataFrame, most: int = 41, seq: str = "seq", start: s
     x = x.filter("_end > 0").withColumn("_p", F.split(F.substr("_tail", F.lit(1), F.col("_end") - 1), g.anchor, -1))
     first = F.length(F.get("_p", F.lit(0)))
     whole = ~F.col("broken") & F.forall("sites", lambda s: s.isNotNull())
-    return x.groupBy((F.size("_p") - 1).alias("sites"), F.least(F.lit(most), first).alias("away")).agg(F.count("*").alias("reads"), F.count_if(whole).alias("resolved"))
+    return x.groupBy((F.size("_p") - 1).alias("sites"), F.least(F.lit(most), first).alias("away")).agg(_number(n).alias("reads"), _number(n, whole).alias("resolved"))
 
 
-def order_patterns(parsed: DataFrame) -> DataFrame:
+def order_patterns(parsed: DataFrame, n: str | None = None) -> DataFrame:
     """pattern and n of reads whose sites are out of order: E for an edited site, U for an unedited, a dot for an open one."""
     text = F.array_join(F.transform("sites", lambda s: F.when(s.isNull(), ".").when(s == C.UNEDITED, "U").otherwise("E")), "")
-    return parsed.filter("broken").groupBy(text.alias("pattern")).agg(F.count("*").alias("n"))
+    return parsed.filter("broken").groupBy(text.alias("pattern")).agg(_number(n).alias("n"))
