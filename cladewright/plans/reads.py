@@ -169,7 +169,9 @@ _COUNTERS = f"""SELECT metric, n, round(100.0 * n / greatest(total, 1), 4) AS pc
 
 @query(_COUNTERS, "bulk_reads", "whitelisted", "known_insertions")
 def parse_funnel(reads: DataFrame, whitelist: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    return R.parse_funnel(R.flagged(R.parse_bulk(reads.select("seq")), whitelist, vocabulary)).withColumn("pct", F.round("pct", 4))
+    # they are gone through twice, for the words and for the counts
+    parsed = R.parse_bulk(cut(R.dereplicated(reads)))
+    return R.parse_funnel(R.flagged(parsed, whitelist, vocabulary), "n_reads").withColumn("pct", F.round("pct", 4))
 
 
 @query(f"""SELECT read_no, CASE WHEN m NOT IN (1, 2, 4) THEN bc END AS corrected, m = 6 AS error, {_RESOLVED} AND m <> 4 AND (m <> 7 OR d < 1) AS valid FROM {{bulk_reads}}""", "bulk_reads", "whitelisted", "known_insertions")
