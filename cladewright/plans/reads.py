@@ -228,7 +228,7 @@ def deep_barcodes(patterns: DataFrame) -> DataFrame:
 @query("""WITH j AS (SELECT CASE WHEN m = 6 OR d >= 3 THEN 10 ELSE 4 END AS length FROM {bulk_reads} WHERE m = 6 OR m = 5 AND d >= 2)
   SELECT 'TGAT' AS lacks, length, CASE length WHEN 10 THEN 'E3' ELSE 'U' END AS kind, true AS near, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM j GROUP BY length""", "bulk_reads")
 def junction_table(reads: DataFrame) -> DataFrame:
-    return R.junction_failures(R.parse_bulk(reads.select("seq"))).withColumn("share", F.round("share", 6))
+    return R.junction_failures(R.parse_bulk(R.dereplicated(reads)), n="n_reads").withColumn("share", F.round("share", 6))
 
 
 @query("SELECT 6 AS sites, 5 AS away, count(*) AS reads, count(*) FILTER (m <> 6 AND (m <> 5 OR d < 2)) AS resolved FROM {bulk_reads} WHERE m <> 1", "bulk_reads")
@@ -238,4 +238,4 @@ def first_anchors(reads: DataFrame) -> DataFrame:
 
 @query("SELECT '.UEUUU' AS pattern, count(*) AS n FROM {bulk_reads} WHERE m = 6", "bulk_reads")
 def order_patterns(reads: DataFrame) -> DataFrame:
-    return R.order_patterns(R.parse_bulk(reads.select("seq")))
+    return R.order_patterns(R.parse_bulk(R.dereplicated(reads)), "n_reads")
