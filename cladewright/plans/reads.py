@@ -233,7 +233,7 @@ def junction_table(reads: DataFrame) -> DataFrame:
 
 @query("SELECT 6 AS sites, 5 AS away, count(*) AS reads, count(*) FILTER (m <> 6 AND (m <> 5 OR d < 2)) AS resolved FROM {bulk_reads} WHERE m <> 1", "bulk_reads")
 def first_anchors(reads: DataFrame) -> DataFrame:
-    return R.anchor_offsets(R.parse_bulk(reads.select("seq")))
+    return R.anchor_offsets(R.parse_bulk(R.dereplicated(reads)), n="n_reads")
 
 
 @query("SELECT '.UEUUU' AS pattern, count(*) AS n FROM {bulk_reads} WHERE m = 6", "bulk_reads")
