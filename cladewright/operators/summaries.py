@@ -110,10 +110,25 @@ def open_histogram(rows: DataFrame, by: str, value: str, top: int) -> DataFrame:
 
 
 def runs(rows: DataFrame, order: str, category: str, by: str) -> DataFrame:
-    """by, category, first, last and n of each run of one category in the order of ``order`` within by."""
-    w = W.partitionBy(by).orderBy(order)
-    new = F.coalesce((F.col(category) != F.lag(category).over(w)).cast("int"), F.lit(1))
-    x = rows.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w))
+    """by, category, first, last and n of each run of one category in the order of ``order`` within by.
+
+    Rows are dealt by ranges of by and order, so that no task takes all of one by; only a row of each range, with its last category and its number of starts, meets those of others.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select(by, order, category).repartitionByRange(parts, F.col(by).asc_nulls_last(), F.col(order).asc_nulls_first())
+    dealt = cut(dealt.withColumn("_range", F.spark_partition_id()))
+    inner = W.partitionBy(by, "_range").orderBy(order)
+    over = W.partitionBy(by).orderBy("_range")  # a row for each range
+    ends = dealt.groupBy(by, "_range").agg(F.max_by(F.struct(category), F.struct(F.col(order).isNotNull(), order)).alias("_end"))
+    ends = ends.select(F.col(by).alias("_by"), F.col("_range").alias("_r"), F.lag(f"_end.{category}").over(over).alias("_prior"))
+    met = dealt.join(F.broadcast(ends), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_r")))
+    before = F.when(F.row_number().over(inner) == 1, F.col("_prior")).otherwise(F.lag(category).over(inner))
+    new = F.coalesce((F.col(category) != before).cast("int"), F.lit(1))
+    x = cut(met.select(by, order, category, "_range", new.alias("_new")))
+    starts = x.groupBy(by, "_range").agg(F.sum("_new").alias("_s"))
+    starts = starts.select(F.col(by).alias("_by"), F.col("_range").alias("_r"), F.coalesce(F.sum("_s").over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    x = x.withColumn("_own", F.sum("_new").over(inner)).join(F.broadcast(starts), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_r")))
+    x = x.withColumn("_run", F.col("_own") + F.col("_before"))
     return x.groupBy(by, "_run", category).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).drop("_run")
 
 
