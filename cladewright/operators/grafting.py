@@ -23,25 +23,26 @@ def capped(tips: DataFrame, attached: DataFrame) -> DataFrame:
 
     A host is a tip or another attached cell. cap is the least of the cell's own days, of those of all cells that it hangs on, and of its tip's budget, to ``PLACES`` places;
     clamped says that the cell has more days than its host has budget. Caps compose (the least of two), so they come by pointer doubling: rounds go with the log of the longest
-    chain. Cells with null days, in a cycle or on an unknown host are left out, with all that hang on them.
+    chain that leads to a tip, and only cells that are still on their way take part. Cells with null days, in a cycle or on an unknown host are left out, with all that hang on them.
     """
-    known = attached.filter("days is not null").select("cell", "host", F.col("days").cast("double").alias("days"))
-    roots = tips.select(F.col("node").alias("_n"), F.lit(None).cast("long").alias("_to"), F.col("budget").cast("double").alias("_least"), F.lit(True).alias("_done"))
-    state = fresh(known.select("cell", F.col("host").alias("to"), F.col("days").alias("least"), F.lit(False).alias("done")))
-    left = state.count()
-    rounds = max(1, left).bit_length() + 1
-    for _ in range(rounds):
-        hops = state.select(F.col("cell").alias("_n"), F.col("to").alias("_to"), F.col("least").alias("_least"), F.col("done").alias("_done"))
-        met = state.join(hops.unionByName(roots), (F.col("to") == F.col("_n")) & ~F.col("done"), "left")
-        step = met.filter("done or _n is not null")  # an unknown host leads nowhere
-        state = fresh(step.select("cell", F.when(~F.col("done"), F.col("_to")).otherwise(F.col("to")).alias("to"), F.when(F.col("done"), F.col("least")).otherwise(F.least("least", "_least")).alias("least"),
-                                  (F.col("done") | F.coalesce("_done", F.lit(False))).alias("done")))
-        if state.filter("not done").isEmpty():
+    known = fresh(attached.filter("days is not null and cell <> host").select("cell", "host", F.col("days").cast("double").alias("days")))
+    over = lambda least: (F.col("days") > least + 1e-9).alias("clamped")
+    budget = tips.select(F.col("node").alias("_n"), F.col("budget").cast("double").alias("_least"))
+    done = fresh(known.join(budget, F.col("host") == F.col("_n")).select("cell", "host", "days", F.least("days", "_least").alias("least"), over(F.col("_least"))))
+    left = known.join(known.select(F.col("cell").alias("_n")), F.col("host") == F.col("_n"), "left_semi")
+    left = fresh(left.select("cell", "host", "days", F.col("host").alias("to"), F.col("days").alias("least")))
+    both = F.least("least", "_least")
+    for _ in range(known.count().bit_length() + 1):
+        if left.isEmpty():
             break
-    caps = state.filter("done").select(F.col("cell").alias("_c"), F.col("least").alias("cap"))
-    budget = caps.select(F.col("_c").alias("_h"), F.col("cap").alias("_b")).unionByName(tips.select(F.col("node").alias("_h"), F.col("budget").cast("double").alias("_b")))
-    out = known.join(caps, F.col("cell") == F.col("_c")).join(budget, F.col("host") == F.col("_h"))
-    return out.select("cell", "host", "days", F.round("cap", PLACES).alias("cap"), (F.col("days") > F.col("_b") + 1e-9).alias("clamped"))
+        ends = done.select(F.col("cell").alias("_n"), F.col("least").alias("_least"))
+        new = fresh(left.join(ends, F.col("to") == F.col("_n")).select("cell", "host", "days", both.alias("least"), over(both)))
+        if new.isEmpty():  # a longer chain has a shorter one in it, so that all others run in cycles
+            break
+        hops = left.select(F.col("cell").alias("_n"), F.col("to").alias("_to"), F.col("least").alias("_least"))
+        left = fresh(left.join(hops, F.col("to") == F.col("_n")).select("cell", "host", "days", F.col("_to").alias("to"), both.alias("least")))
+        done = done.unionByName(new)
+    return done.select("cell", "host", "days", F.round("least", PLACES).alias("cap"), "clamped")
 
 
 def forest(nodes: DataFrame, attached: DataFrame, present: float) -> DataFrame:
