@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from .common import cut, workers_ready
 from .simhash import _LOWER, components, fingerprints, first_of, in_components, print_links
@@ -64,10 +65,10 @@ def _key(held: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(held.tobytes())).view(np.int64))
 
 
-@F.pandas_udf(T.StructType([T.StructField("key", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
+@F.pandas_udf(T.StructType([T.StructField("key", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("bytes", T.LongType())]))
 def sketches(texts: pd.Series) -> pd.DataFrame:
     sets = [shingles(t) for t in texts]
-    return pd.DataFrame({"key": [_key(s) for s in sets], "bands": [bands(s) for s in sets]})
+    return pd.DataFrame({"key": [_key(s) for s in sets], "bands": [bands(s) for s in sets], "bytes": [s.nbytes for s in sets]})
 
 
 @F.pandas_udf(T.StructType([T.StructField("key", T.LongType()), T.StructField("held", T.BinaryType())]))
@@ -132,16 +133,16 @@ def joined_sets(key: list[int], root: list[int], held: list[bytes], bands: np.nd
     return out
 
 
-def apart_links(left: DataFrame, sets: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """a, b: links among the members (c, band, key, root) of each bucket whose roots differ, found by exact similarity in the task that holds the bucket's sets.
+def apart_links(left: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """a, b: links among the members (c, band, key, root, bytes) of each bucket whose roots differ, found by exact similarity in the task that holds the bucket's sets.
 
     A large bucket is dealt in blocks by a hash of the key, and each two blocks meet in a task of their own. Pairs stay in the task.
     """
-    sized = left.join(sets.select("key", F.octet_length("held").alias("_bytes")), "key").groupBy("c", "band").agg(F.count("*").alias("_n"), F.sum("_bytes").alias("_bytes"))
+    sized = left.groupBy("c", "band").agg(F.count("*").alias("_n"), F.sum("bytes").alias("_bytes"))
     blocks = sized.select("c", "band", F.greatest(F.ceil(F.col("_n") / BLOCK_SETS), F.ceil(F.col("_bytes") / BLOCK_BYTES), F.lit(1)).cast("int").alias("_blocks"))
     dealt = left.join(blocks, ["c", "band"]).withColumn("_own", F.pmod(F.xxhash64("key"), "_blocks").cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     dealt = dealt.select("c", "key", "root", F.xxhash64("c", "band", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("task"), F.when(F.col("_own") == F.col("_other"), -1).otherwise(F.col("_own")).alias("block"))
-    rows = dealt.join(sets, "key").join(nodes.select("key", "bands"), "key")
+    rows = dealt.join(sets, "key")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[tuple] = []
@@ -170,35 +171,35 @@ def apart_links(left: DataFrame, sets: DataFrame, nodes: DataFrame, least: float
     return rows.select("task", "c", "key", "root", "block", "held", "bands").repartition(dealt_out, "task").sortWithinPartitions("task", "c", "key").mapInArrow(verify, "a long, b long")
 
 
-def set_links(members: DataFrame, sets: DataFrame, nodes: DataFrame, least: float = SIMILAR, stars: int = STARS, near: DataFrame | None = None) -> DataFrame:
-    """node and root of the keys that links join, from ``members`` (c, band, key) of shared buckets, ``sets`` (key, held) and ``nodes`` (key, bands); ``near`` (a, b) are pairs to be tried beside those of the buckets."""
+def set_links(members: DataFrame, sets: DataFrame, least: float = SIMILAR, stars: int = STARS, near: DataFrame | None = None) -> DataFrame:
+    """node and root of the keys that links join, from ``members`` (c, band, key, bytes, _n, _central) of shared buckets and ``sets`` (key, held, bands); ``near`` (a, b) are pairs to be tried beside those of the buckets.
+
+    _n is the size of the bucket, _central the sum of these over the buckets of the key.
+    """
     similar = _similar(least)
-    # whoever shares buckets with most others is the likeliest source of a group of near copies
-    sizes = members.groupBy("c", "band").agg(F.count("*").alias("_n"))
-    members = members.join(sizes, ["c", "band"])
-    central = members.groupBy("key").agg(F.sum("_n").alias("_central"))
-    members = cut(members.join(central, "key"))
     left, tried, links, roots = members.withColumn("root", F.col("key")), None, None, None
     for k in range(stars):
+        # whoever shares buckets with most others is the likeliest source of a group of near copies
         turn = F.struct(-F.col("_central"), "key") if k == 0 else F.struct(F.xxhash64("key", F.lit(k)), "key")
         hub = left.groupBy("c", "band").agg(F.min_by(F.struct("key", "root"), turn).alias("h"))
         met = left.join(hub, ["c", "band"]).select("key", "root", F.col("h.key").alias("other"), F.col("h.root").alias("other_root"))
-        pairs = met.filter("root <> other_root").select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+        pairs = met.filter("root <> other_root").select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"))
         if near is not None and k == 0:
-            pairs = pairs.unionByName(near).distinct()
+            pairs = pairs.unionByName(near)
+        pairs = pairs.distinct()
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
         x = pairs.join(sets.select(F.col("key").alias("a"), F.col("held").alias("ha")), "a").join(sets.select(F.col("key").alias("b"), F.col("held").alias("hb")), "b")
         new = cut(x.filter(similar("ha", "hb")).select("a", "b"))
         links = new if links is None else links.unionByName(new)
-        roots = cut(components(links))
+        roots = components(links)
         # of two members the only pair has been tried
-        named = members.filter("_n > 2").join(roots, F.col("key") == F.col("node"), "left").select("c", "band", "key", F.coalesce("root", "key").alias("root"), "_n", "_central")
+        named = cut(members.filter("_n > 2").join(roots, F.col("key") == F.col("node"), "left").select("c", "band", "key", F.coalesce("root", "key").alias("root"), "bytes", "_n", "_central"))
         apart = named.groupBy("c", "band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("c", "band")
         left = cut(named.join(apart, ["c", "band"], "left_semi"))
         if left.isEmpty():
             return roots
-    rest = apart_links(left.select("c", "band", "key", "root"), sets, nodes, least)
+    rest = apart_links(left.select("c", "band", "key", "root", "bytes"), sets, least)
     return components(rest if links is None else links.unionByName(rest))
 
 
@@ -214,17 +215,18 @@ def print_pairs(nodes: DataFrame) -> DataFrame:
 
 def _classed(docs: DataFrame, least: float, stars: int) -> DataFrame:
     workers_ready(docs.sparkSession)
-    rows = cut(docs.select("doc_id", sketches("text").alias("s"), fingerprints("text").alias("print")).select("doc_id", "s.key", "s.bands", "print"))
-    nodes = cut(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("times"), F.first("bands").alias("bands"), F.min("print").alias("print")))
+    rows = cut(docs.select("doc_id", sketches("text").alias("s"), fingerprints("text").alias("print")).select("doc_id", "s.*", "print"))
+    nodes = cut(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("times"), F.first("bands").alias("bands"), F.first("bytes").alias("bytes"), F.min("print").alias("print")))
     near = cut(print_pairs(nodes))
-    keyed = nodes.select("key", F.posexplode("bands").alias("c", "band"))
-    shared = keyed.groupBy("c", "band").agg(F.count("*").alias("n")).filter("n > 1").select("c", "band")
-    members = cut(keyed.join(shared, ["c", "band"], "left_semi"))
+    keyed = nodes.select("key", "bytes", F.posexplode("bands").alias("c", "band"))
+    shared = keyed.groupBy("c", "band").agg(F.count("*").alias("_n")).filter("_n > 1")
+    # a key is in BANDS buckets at most
+    members = cut(keyed.join(shared, ["c", "band"]).withColumn("_central", F.sum("_n").over(W.partitionBy("key"))))
     asked = members.select("key").unionByName(near.select(F.explode(F.array("a", "b")).alias("key"))).distinct()
-    wanted = cut(nodes.join(asked, "key", "left_semi").select("key", "least"))
-    texts = docs.select("doc_id", "text").join(wanted.select(F.col("least").alias("_least")).distinct(), F.col("doc_id").eqNullSafe(F.col("_least")), "left_semi")
-    sets = texts.select(held_sets("text").alias("s")).select("s.key", "s.held").join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(F.first("held").alias("held"))
-    roots = set_links(members, cut(sets), nodes, least, stars, near)
+    wanted = cut(nodes.join(asked, "key", "left_semi").select("key", "least", "bands"))
+    texts = docs.select("doc_id", "text").join(wanted.select(F.col("least").alias("_least")), F.col("doc_id").eqNullSafe(F.col("_least")), "left_semi")
+    sets = texts.select(held_sets("text").alias("s")).select("s.key", "s.held").join(wanted.select("key", "bands"), "key").groupBy("key").agg(F.first("held").alias("held"), F.first("bands").alias("bands"))
+    roots = set_links(members, cut(sets), least, stars, near)
     return in_components(rows.select("doc_id", F.col("key").alias("fp")), nodes.select(F.col("key").alias("fp"), "least", "times"), roots)
 
 

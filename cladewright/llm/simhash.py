@@ -226,14 +226,16 @@ def keep_first(docs: DataFrame, within: int = WITHIN, run_cap: int = 1024) -> Da
 def first_of(docs: DataFrame, classed: DataFrame, key: Callable[[str], Column]) -> DataFrame:
     """``keep_first`` of the components in ``classed`` (doc_id, fp, component_id), where ``key`` of a text gives its fp. ``docs`` may have columns of any other names."""
     of, copies = unused(docs, "_of"), unused(docs, "_copies")
+    classed = cut(classed)
     kept = cut(classed.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias(of)).agg(F.count("*").alias(copies)))
     held = lambda some: docs.join(some.select(of), docs["doc_id"] == F.col(of), "left_semi")
     once = held(kept.filter(F.col(copies) == 1))
     more = kept.filter(F.col(copies) > 1)
     if not more.isEmpty():
         once = once.unionByName(held(more).dropDuplicates(["doc_id"]))
-    bare = classed.filter("doc_id is null and component_id is null").select(F.col("fp").alias(of)).distinct()
+    bare = classed.filter("doc_id is null and component_id is null")
     if not bare.isEmpty():
+        bare = bare.select(F.col("fp").alias(of)).distinct()
         nameless = docs.filter(docs["doc_id"].isNull()).dropDuplicates(["text"])
         once = once.unionByName(nameless.join(bare, key("text") == F.col(of), "left_semi"))
     return once

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from cladewright.llm import minhash
+from cladewright.llm import minhash, simhash
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -71,3 +71,20 @@ def test_documents_equal_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
     assert got == brute({r.doc_id: word_shingles(r.text) for r in docs.collect()})
+
+
+def test_classes_are_worked_out_once(spark):
+    """Rows to keep and rows without any id come from one pass over the classes, which are the longest plan of the stage."""
+    docs = spark.createDataFrame([(i, f"text {i // 2}", "en", "a", 1) for i in range(8)], COLUMNS)
+    passed = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            passed.add(b.num_rows)
+            yield b
+
+    classed = docs.selectExpr("doc_id", "doc_id div 2 AS fp", "doc_id - doc_id % 2 AS component_id").coalesce(1)
+    classed = classed.mapInArrow(counted, classed.schema)
+    got = sorted(r.doc_id for r in simhash.first_of(docs, classed, minhash.set_keys).collect())
+    assert got == [0, 2, 4, 6]
+    assert passed.value == 8
