@@ -6,8 +6,10 @@ the sum of squares is a quadratic form in all x and the rate: a term for each br
 * Rake: all subtrees under ``per`` nodes that hang on larger ones, each in one task, become messages to the nodes that they hang on.
 * Compress: chains of what is left are cut into runs of ``per`` nodes; each run, in one task, becomes one branch between its ends.
 
-That is repeated until ``per`` nodes are left, which one task solves; so the rounds go with the log of the number of nodes to a base near ``per`` / 4, whatever the tree's shape, and the
-rounds depend on the tree alone and are made once. Eliminated nodes are told as linear functions of the ends of their cluster, so that dates come down by joins.
+A tree of ``WHOLE`` times ``per`` nodes is one task's (``forests``). Of larger ones the first rake is by parts, each some subtrees that a task holds as arrays: one pass over the parts both places their nodes and
+sends the next messages. What is above the parts is ``per`` nodes at most, which the driver holds, unless the tree is deep. Then rake and compress are repeated until ``per`` nodes are left, which one task solves;
+so the rounds go with the log of the number of nodes to a base near ``per`` / 4, whatever the tree's shape, and depend on the tree alone and are made once. Eliminated nodes are told as linear functions of the
+ends of their cluster, so that dates come down by joins.
 
 Branches of at least ``shortest`` days and days of at least ``earliest`` are inequalities. An active set of them is held by an augmented Lagrangian: all that the last solution breaks, or
 whose multiplier holds, join the form as penalty terms, until the set stays; then multipliers are raised, until the constraints hold to ``TOLERANCE`` of the time from root to leaves.
@@ -15,17 +17,22 @@ whose multiplier holds, join the form as penalty terms, until the set stays; the
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladewright.shipping import ship
 
+from . import forests as S
 from . import timed as M
 from . import trees as T
-from .scale import fresh, last_before
+from .forests import STEPS, STIFFNESS, TOLERANCE  # noqa: F401
+from .scale import forget, fresh, last_before
 
-PER, TOLERANCE, STEPS, STIFFNESS = 2048, 1e-8, 100, 1e4
+PER, WHOLE = 8192, 16
+#: Nodes whose levels one task counts.
+FEW = 65_536
 #: A form over a branch (p: its upper, v: its lower end, w: the rate, and 1), and over a node.
 EDGE = ["pp", "pv", "pw", "p1", "vv", "vw", "v1", "ww", "w1", "k0"]
 NODE = ["nvv", "nvw", "nv1", "nww", "nw1", "nc"]
@@ -189,12 +196,12 @@ def _square(k: Column, p: float, v: float, w: Column, one: Column) -> dict[str,
     return {name: k * z[a] * z[b] for name, (a, b) in zip(EDGE, ("pp", "pv", "pw", "p1", "vv", "vw", "v1", "ww", "w1", "11"), strict=True)}
 
 
-def dated(nodes: DataFrame, root_day: float, tip_day: float, shortest: float = 0.0, earliest: DataFrame | None = None, sites: int = 66, smoothing: float | None = None, per: int = PER) -> DataFrame:
+def dated(nodes: DataFrame, root_day: float, tip_day: float, shortest: float = 0.0, earliest: DataFrame | None = None, sites: int = 66, smoothing: float | None = None, per: int = PER, clusters: tuple[DataFrame, ...] | None = None) -> DataFrame:
     """node, day and rate (the same everywhere; substitutions per site and day) of each of ``nodes`` (node, parent, blen; a null blen counts as 0), one tree of two levels or more.
 
     The root is at ``root_day`` and all leaves are at ``tip_day``; no branch is shorter than ``shortest`` days, no node of ``earliest`` (node, min_day; inner nodes other than the root, others
     and null days are not bounded) stands before its day. ``smoothing`` is what is added to a branch's length in its variance (10 / sites if not given). Constraints that cannot all hold
-    raise an error. Equal input gives equal dates to within ``TOLERANCE``; no nodes give no rows.
+    raise an error. Equal input gives equal dates to within ``TOLERANCE``; no nodes give no rows. ``clusters`` may be given where a tree is dated again.
     """
     ship(nodes.sparkSession)
     span, soft = tip_day - root_day, 10.0 / sites if smoothing is None else smoothing
@@ -206,53 +213,297 @@ def dated(nodes: DataFrame, root_day: float, tip_day: float, shortest: float = 0
     bounds = nodes.select("node", F.lit(None).cast("double").alias("low")).limit(0) if earliest is None else earliest.select("node", (F.col("min_day") - root_day).alias("low"))
     bounds = bounds.groupBy(F.col("node").alias("_b")).agg(F.max("low").alias("low"))
     s = s.join(bounds, F.col("node") == F.col("_b"), "left").withColumn("low", F.when(~F.col("tip") & F.col("parent").isNotNull() & (F.col("low") > 0), F.col("low"))).drop("_b")
-    state = fresh(s.select("*", *[F.lit(0.0).alias(c) for c in ("force", "hold")], *[F.lit(False).alias(c) for c in ("pressed", "held")]))
-    plans, _ = rounds(state.filter("not tip").select("node", "parent"), per)
-    zero = {k: F.lit(0.0) for k in EDGE}
-    add = lambda f, g: {k: f[k] + g[k] for k in EDGE}
-    only = lambda on, f: {k: F.when(on, v).otherwise(F.lit(0.0)) for k, v in f.items()}
-    stiff, k, none = STIFFNESS * F.col("k"), F.col("k"), F.lit(0.0)
+    state, kind = fresh(s), nodes.schema["node"].dataType
+    if clusters is None:
+        clusters = clustered(nodes, per)
+    x, rate = _apart(state, clusters, span, shortest, per) if clusters else _whole(state, span, shortest)
+    return x.select(F.col("node").cast(kind).alias("node"), (F.lit(root_day) + F.col("x") / rate).alias("day"), F.lit(rate).alias("rate"))
+
+
+def _rows(state: DataFrame) -> DataFrame:
+    """``state`` without null parents, for frames of numbers."""
+    return state.withColumn("root", F.col("parent").isNull()).withColumn("parent", F.coalesce("parent", F.lit(0)))
+
+
+def _whole(state: DataFrame, span: float, shortest: float) -> tuple[DataFrame, float]:
+    """node and x, and the rate, of a tree that one task solves."""
+
+    def run(frames):
+        tree = S.of_rows(pd.concat(list(frames)))
+        try:
+            rate, why = S.settled(tree, span, shortest), None
+        except ValueError as e:
+            rate, why, tree.x = None, str(e), tree.node * 0.0
+        yield pd.DataFrame({"node": tree.node, "x": tree.x, "w": rate, "why": why})
+
+    found = fresh(_rows(state).repartition(1).mapInPandas(run, "node long, x double, w double, why string"))
+    first = found.first()
+    if first.why:
+        raise ValueError(first.why)
+    return found.select("node", "x"), first.w
+
+
+def clustered(nodes: DataFrame, per: int) -> tuple[DataFrame, ...]:
+    """Nothing, or of a tree that is too large for one task: node and part of all subtrees under ``per`` nodes that hang on larger ones, and node of these larger ones. A part is all the subtrees that begin in a range of the pre-order."""
+    if nodes.count() <= WHOLE * per:
+        return ()
+    z = fresh(T.nested_set(nodes.select("node", "parent")).select("node", "parent", "size", "pre"))
+    light = z.filter(F.col("size") < per)
+    up = z.filter(F.col("size") >= per).select(F.col("node").alias("parent"))
+    tops = light.join(up, "parent", "left_semi").select("pre")
+    parts = last_before(light.select("node", "pre"), tops, "pre").select("node", F.expr(f"CAST(_mark.pre div {WHOLE // 4 * per} AS INT)").alias("part"))
+    return fresh(parts), fresh(z.filter(F.col("size") >= per).select("node"))
+
+
+#: A part's forest, and of its last places: changes of the active set, the worst, what each part of the step falls, and messages to ``hosts``: five numbers for the new active set and five for larger multipliers.
+_PASSED = "part int, forest binary, changed long, worst double, falls array<double>, hosts array<long>, said array<array<double>>"
+
+
+def _apart(state: DataFrame, clusters: tuple[DataFrame, DataFrame], span: float, shortest: float, per: int) -> tuple[DataFrame, float]:
+    """``_whole`` of a tree by its parts: a pass over these places their nodes and sends the next messages to the larger nodes, which are few (``_Few``) unless the tree is deep."""
+    parts, above = clusters
+    spark, cols = state.sparkSession, ["part", "node", "parent", "root", "b", "k", "tip", "low"]
+    head = (_Few if above.count() <= per else _Many)(fresh(state.join(above, "node", "left_semi")), span, shortest, per)
+    many = parts.agg(F.max("part")).first()[0] + 1
+
+    def told(forest: S.Forest, sent: list[np.ndarray], changed: int = 0, worst: float = 0.0, falls: np.ndarray = S.PARTWAY) -> tuple:
+        return S.packed(forest), changed, worst, falls, forest.hosts, np.concatenate(sent).T.tolist()
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        forest = S.of_rows(pdf)
+        return pd.DataFrame([(pdf["part"].iat[0], *told(forest, [forest.raked(span, shortest)] * 2))], columns=_names(_PASSED))
+
+    def passed(rate: float, at: tuple[np.ndarray, np.ndarray] | None, last: bool):
+        def run(frames):
+            for pdf in frames:
+                for row in pdf.itertuples(index=False):
+                    forest = S.unpacked(row.forest)
+                    node, x = at or (row.at_node, row.at_x)
+                    order = np.argsort(node)
+                    place = np.asarray(x)[order][np.searchsorted(np.asarray(node)[order], forest.hosts)]
+                    forest.chosen(raised)
+                    forest.raked(span, shortest)
+                    changed, worst = forest.placed(span, shortest, rate, place)
+                    if last:
+                        yield pd.DataFrame({"node": forest.node, "x": forest.x})
+                    else:
+                        falls = forest.falls(shortest)
+                        yield pd.DataFrame([(row.part, *told(forest, forest.tried(span, shortest, bool(changed)), changed, worst, falls))], columns=_names(_PASSED))
+
+        return run
+
+    def stopped(share: float):
+        def run(frames):
+            for pdf in frames:
+                for row in pdf.itertuples(index=False):
+                    forest = S.unpacked(row.forest)
+                    forest.back(share, span, shortest)
+                    forest.step(True)
+                    yield pd.DataFrame([(row.part, *told(forest, [forest.raked(span, shortest)] * 2))], columns=_names(_PASSED))
+
+        return run
+
+    rows = _rows(state).join(parts, "node").select(cols).repartition(many, "part")
+    made, raised = fresh(rows.groupBy("part").applyInPandas(build, _PASSED)), False
+    head.hear(made)
     for _ in range(STEPS):
-        branch = only(F.col("parent").isNotNull(), add(_square(k, 1, -1, none, F.col("b")), only(F.col("pressed"), _square(stiff / 2, 1, -1, F.lit(shortest), F.col("force") / stiff))))
-        node = only(F.col("held"), _square(stiff / 2, 0, -1, F.coalesce("low", none), F.col("hold") / stiff))
-        own = state.filter("not tip").select("node", "parent", *[branch[c].alias(c) for c in EDGE], *[node[c].alias(m) for c, m in zip(("vv", "vw", "v1", "ww", "w1", "k0"), NODE, strict=True)])
-        # a leaf's x is the span times the rate: its branch is a form of its parent alone
-        leaf = add(_square(k, 0, 1, F.lit(-span), F.col("b")), only(F.col("pressed"), _square(stiff / 2, 0, 1, F.lit(shortest - span), F.col("force") / stiff)))
-        tips = state.filter("tip").select(F.col("parent").alias("_t"), *[leaf[c].alias(f"_{m}") for c, m in zip(("vv", "vw", "v1", "ww", "w1", "k0"), NODE, strict=True)]).groupBy("_t").agg(*[F.sum(f"_{m}").alias(f"_{m}") for m in NODE])
-        forms = own.join(tips, F.col("node") == F.col("_t"), "left").select("node", "parent", *EDGE, *[(F.col(m) + F.coalesce(f"_{m}", F.lit(0.0))).alias(m) for m in NODE])
-        x = solved(fresh(forms), plans)
-        rate = x.first().w
-        size = abs(rate) * span  # before its constraints hold a solution may run backwards
-        at = state.join(x.select(F.col("node").alias("_x"), "x"), F.col("node") == F.col("_x"), "left").withColumn("x", F.when(F.col("tip"), F.lit(span * rate)).otherwise(F.col("x"))).drop("_x")
-        up = at.filter("not tip").select(F.col("node").alias("_u"), F.col("x").alias("_xu"))
-        at = at.join(up, F.col("parent") == F.col("_u"), "left")
-        at = at.withColumn("_e", F.coalesce(shortest * rate + F.col("_xu") - F.col("x"), F.lit(-size))).withColumn("_l", F.coalesce(F.col("low") * rate - F.col("x"), F.lit(-size)))
-        at = fresh(at.withColumn("_pressed", F.col("force") + stiff * F.col("_e") > 0).withColumn("_held", F.col("hold") + stiff * F.col("_l") > 0))
-        changed, worst = at.agg(F.count_if((F.col("_pressed") != F.col("pressed")) | (F.col("_held") != F.col("held"))), F.max(F.greatest("_e", "_l"))).first()
-        if not changed and not rate > 0:
-            raise ValueError("the constraints cannot all hold, or the branch lengths give no positive rate")
-        if not changed and worst <= TOLERANCE * size:
-            return at.select("node", (F.lit(root_day) + F.col("x") / rate).alias("day"), F.lit(rate).alias("rate"))
-        force, hold = (F.when(F.lit(bool(changed)), F.col(m)).otherwise(F.greatest(none, F.col(m) + stiff * F.col(c))).alias(m) for m, c in (("force", "_e"), ("hold", "_l")))
-        state = fresh(at.select("node", "parent", "b", "k", "tip", "low", force, hold, F.col("_pressed").alias("pressed"), F.col("_held").alias("held")))
+        rate = head.solve(raised)
+        here = head.look(rate)
+        blocks, at = head.hand(made)
+        new = fresh(blocks.mapInPandas(passed(rate, at, False), _PASSED))
+        there, falls = head.hear(new)
+        changed, worst = here[0] + there[0], max(here[1], there[1])
+        if S.verdict(changed, worst, rate, span):
+            x = blocks.mapInPandas(passed(rate, at, True), "node long, x double")
+            return fresh(x.unionByName(head.places())), rate
+        share = S.share_of(falls + head.falls()) if changed else 1.0
+        if share < 1:
+            head.back(share)
+            way, new = new, fresh(new.mapInPandas(stopped(share), _PASSED))
+            head.hear(new)
+            forget(way)
+        head.step(bool(changed))
+        for done in [made] if blocks is made else [made, blocks]:
+            forget(done)
+        made, raised = new, not changed
     raise ValueError("the constraints cannot all hold, or did not settle")
 
 
-def dated_under(nodes: DataFrame, landmarks: DataFrame, root_day: float, tip_day: float, shortest: float, passes: int = 3, **options) -> DataFrame:
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def _sent(made: DataFrame) -> DataFrame:
+    """host and what all parts send to it, for the new active set (s0 to s4) and for larger multipliers (r0 to r4)."""
+    each = made.select(F.explode(F.arrays_zip("hosts", "said")).alias("m")).select(F.col("m.hosts").alias("host"), *[F.col("m.said")[k].alias(c) for k, c in enumerate(_SENT)])
+    return each.groupBy("host").agg(*[F.sum(c).alias(c) for c in _SENT])
+
+
+def _summed(made: DataFrame) -> tuple[tuple[int, float], np.ndarray]:
+    """Changes of all parts and the worst, and what each part of the step falls."""
+    r = made.agg(F.sum("changed"), F.max("worst"), *[F.sum(F.col("falls")[k]) for k in range(len(S.PARTWAY))]).first()
+    return (r[0], r[1]), np.array(r[2:])
+
+
+_SENT = [f"s{k}" for k in range(5)] + [f"r{k}" for k in range(5)]
+
+
+class _Few:
+    """The nodes above all parts, ``per`` at most, in the driver."""
+
+    def __init__(self, state: DataFrame, span: float, shortest: float, per: int):
+        rows = _rows(state).select("node", "parent", "root", "b", "k", "tip", "low").collect()
+        self.tree, self.span, self.shortest = S.of_rows(pd.DataFrame(rows, columns=["node", "parent", "root", "b", "k", "tip", "low"])), span, shortest
+        self.spark, self.kind = state.sparkSession, state.schema["node"].dataType
+
+    def hear(self, made: DataFrame) -> tuple[tuple[int, float], np.ndarray]:
+        at = {n: k for k, n in enumerate(self.tree.node.tolist())}
+        self.sent = np.zeros((10, len(at)))
+        for r in _sent(made).collect():
+            self.sent[:, at[r.host]] = r[1:]
+        return _summed(made)
+
+    def solve(self, raised: bool) -> float:
+        form = self.tree.raked(self.span, self.shortest, self.sent[5:] if raised else self.sent[:5])
+        return float(-form[4] / form[3])  # the root stands at 0
+
+    def look(self, rate: float) -> tuple[int, float]:
+        return self.tree.placed(self.span, self.shortest, rate)
+
+    def hand(self, made: DataFrame) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray]]:
+        return made, (self.tree.node, self.tree.x)
+
+    def falls(self) -> np.ndarray:
+        return self.tree.falls(self.shortest)
+
+    def back(self, share: float) -> None:
+        self.tree.back(share, self.span, self.shortest)
+
+    def step(self, changed: bool) -> None:
+        self.tree.step(changed)
+
+    def places(self) -> DataFrame:
+        return self.spark.createDataFrame(list(zip(self.tree.node.tolist(), self.tree.x.tolist(), strict=True)), "node long, x double")
+
+
+class _Many:
+    """The nodes above all parts of a deep tree, solved by rounds."""
+
+    def __init__(self, state: DataFrame, span: float, shortest: float, per: int):
+        self.span, self.shortest = span, shortest
+        self.state = fresh(state.drop("tip").select("*", *[F.lit(0.0).alias(c) for c in ("force", "hold")], *[F.lit(False).alias(c) for c in ("pressed", "held")], *[F.lit(None).cast("double").alias(c) for c in ("x0", "xu0")]))
+        self.rate = None
+        self.plans, _ = rounds(state.select("node", "parent"), per)
+
+    def hear(self, made: DataFrame) -> tuple[tuple[int, float], np.ndarray]:
+        self.sent = fresh(_sent(made))
+        return _summed(made)
+
+    def solve(self, raised: bool) -> float:
+        add = lambda f, g: {k: f[k] + g[k] for k in EDGE}
+        only = lambda on, f: {k: F.when(on, v).otherwise(F.lit(0.0)) for k, v in f.items()}
+        stiff, k, none = STIFFNESS * F.col("k"), F.col("k"), F.lit(0.0)
+        branch = only(F.col("parent").isNotNull(), add(_square(k, 1, -1, none, F.col("b")), only(F.col("pressed"), _square(stiff / 2, 1, -1, F.lit(self.shortest), F.col("force") / stiff))))
+        node = only(F.col("held"), _square(stiff / 2, 0, -1, F.coalesce("low", none), F.col("hold") / stiff))
+        own = self.state.select("node", "parent", *[branch[c].alias(c) for c in EDGE], *[node[c].alias(m) for c, m in zip(("vv", "vw", "v1", "ww", "w1", "k0"), NODE, strict=True)])
+        heard = self.sent.select("host", *[F.col(c).alias(f"_{m}") for c, m in zip(_SENT[5:] if raised else _SENT[:5], NODE, strict=False)], F.lit(0.0).alias("_nc"))
+        forms = own.join(heard, F.col("node") == F.col("host"), "left").select("node", "parent", *EDGE, *[(F.col(m) + F.coalesce(f"_{m}", none)).alias(m) for m in NODE])
+        self.x = solved(fresh(forms), self.plans)
+        return self.x.first().w
+
+    def look(self, rate: float) -> tuple[int, float]:
+        at = self.state.join(self.x.select(F.col("node").alias("_x"), "x"), F.col("node") == F.col("_x")).drop("_x")
+        at = at.join(self.x.select(F.col("node").alias("_u"), F.col("x").alias("_xu")), F.col("parent") == F.col("_u"), "left").drop("_u")
+        self.before, self.rate = self.rate, rate
+        return self._looked(at)
+
+    def _looked(self, at: DataFrame) -> tuple[int, float]:
+        size, stiff = abs(self.rate) * self.span, STIFFNESS * F.col("k")
+        at = at.withColumn("_e", F.coalesce(self.shortest * self.rate + F.col("_xu") - F.col("x"), F.lit(-size))).withColumn("_l", F.coalesce(F.col("low") * self.rate - F.col("x"), F.lit(-size)))
+        self.at = fresh(at.withColumn("_pressed", F.col("force") + stiff * F.col("_e") > 0).withColumn("_held", F.col("hold") + stiff * F.col("_l") > 0))
+        return tuple(self.at.agg(F.count_if((F.col("_pressed") != F.col("pressed")) | (F.col("_held") != F.col("held"))), F.max(F.greatest("_e", "_l"))).first())
+
+    def falls(self) -> np.ndarray:
+        if self.before is None:
+            return -S.PARTWAY
+        w, w1, shortest = self.before, self.rate, self.shortest
+
+        def run(frames):
+            for pdf in frames:
+                c = {k: pdf[k].to_numpy(dtype=bool if k == "root" else float) for k in pdf}
+                before, after = ((np.nan_to_num(c[a]), np.nan_to_num(c[b]), rate) for a, b, rate in (("x0", "xu0", w), ("x", "_xu", w1)))
+                yield pd.DataFrame({"falls": [S.fall(c["k"], c["b"], c["root"], c["low"], c["force"], c["hold"], before, after, shortest)]})
+
+        cols = self.at.select("k", "b", F.col("parent").isNull().alias("root"), "low", "force", "hold", "x0", "xu0", "x", "_xu")
+        return np.array(cols.mapInPandas(run, "falls array<double>").agg(*[F.sum(F.col("falls")[k]) for k in range(len(S.PARTWAY))]).first())
+
+    def back(self, share: float) -> None:
+        self.rate = self.before + share * (self.rate - self.before)
+        at = self.at.withColumn("x", F.col("x0") + share * (F.col("x") - F.col("x0"))).withColumn("_xu", F.col("xu0") + share * (F.col("_xu") - F.col("xu0")))
+        self._looked(at.drop("_e", "_l", "_pressed", "_held"))
+
+    def hand(self, made: DataFrame) -> tuple[DataFrame, None]:
+        links = made.select("part", F.explode("hosts").alias("host")).join(self.x.select("node", "x"), F.col("host") == F.col("node"))
+        given = links.groupBy("part").agg(F.collect_list(F.struct("node", "x")).alias("_g")).select("part", F.col("_g.node").alias("at_node"), F.col("_g.x").alias("at_x"))
+        return fresh(made.join(given, "part")), None
+
+    def step(self, changed: bool) -> None:
+        stiff = STIFFNESS * F.col("k")
+        own = {m: F.col(m) if changed else F.greatest(F.lit(0.0), F.col(m) + stiff * F.col(c)) for m, c in (("force", "_e"), ("hold", "_l"))}
+        on = {"pressed": own["force"] + stiff * F.col("_e") > 0, "held": own["hold"] + stiff * F.col("_l") > 0}
+        self.state = fresh(self.at.select("node", "parent", "b", "k", "low", *[c.alias(m) for m, c in (own | on).items()], F.col("x").alias("x0"), F.col("_xu").alias("xu0")))
+
+    def places(self) -> DataFrame:
+        return self.x.select("node", "x")
+
+
+def dated_under(nodes: DataFrame, landmarks: DataFrame, root_day: float, tip_day: float, shortest: float, passes: int = 3, per: int = PER, **options) -> DataFrame:
     """``dated`` under a ceiling of lineages: ``landmarks`` (day, cells) say from when on there can be so many, so that inner nodes, ranked by the days found last, have a least day
     (``timed.age_constraints``). Days are found without them first and then ``passes`` times, each ranking by the days before. Least days after the last that minimum branches allow count as that."""
-    days = fresh(dated(nodes, root_day, tip_day, shortest, **options))
+    clusters = clustered(nodes, per)
+    days = fresh(dated(nodes, root_day, tip_day, shortest, per=per, clusters=clusters, **options))
     depths = fresh(nodes.select("node", "parent").join(levels_below(nodes), "node"))
     for _ in range(passes):
         timed_ = nodes.select("node", "parent").join(days.select("node", (F.col("day") - root_day).alias("time")), "node")
         least = M.age_constraints(timed_, landmarks, root_day).join(depths.select("node", "below"), "node")
         least = fresh(least.select("node", F.least("min_day", F.lit(float(tip_day)) - shortest * F.col("below")).alias("min_day")))
-        days = fresh(dated(nodes, root_day, tip_day, shortest, least, **options))
+        days = fresh(dated(nodes, root_day, tip_day, shortest, least, per=per, clusters=clusters, **options))
     return days
 
 
-def levels_below(nodes: DataFrame) -> DataFrame:
-    """node and below: the branches on the longest way from each node down to a leaf, by pointer doubling: a node's deepest leaf is as deep as the deepest of all that hang on it."""
+def levels_below(nodes: DataFrame, few: int = FEW) -> DataFrame:
+    """node and below: the branches on the longest way from each node down to a leaf.
+
+    While leaves are a quarter of more than ``FEW`` nodes they are taken off: the round in which a node goes is what is below it. One task does the ``FEW`` that are left, or else pointer doubling.
+    """
+    ship(nodes.sparkSession)
+    left, out, k, kind = fresh(nodes.select("node", "parent")), None, 0, nodes.schema["node"].dataType
+    n = left.count()
+    while n > few:
+        inner = left.select(F.col("parent").alias("_p")).distinct()
+        told = fresh(left.join(inner, F.col("node") == F.col("_p"), "left").select("node", "parent", F.col("_p").isNull().alias("_leaf")))
+        rest = told.filter("not _leaf").select("node", "parent")
+        many, n = n, rest.count()
+        if 4 * n > 3 * many:
+            break
+        off = told.filter("_leaf").select("node", F.lit(k).cast("long").alias("below"))
+        out, left, k = off if out is None else out.unionByName(off), rest, k + 1
+    if n <= few:
+
+        def run(frames):
+            pdf = pd.concat(list(frames))
+            forest = S.of_rows(pdf.assign(b=0.0, k=0.0, tip=False, low=0.0))
+            yield pd.DataFrame({"node": forest.node, "below": S.heights(forest)})
+
+        own = _rows(left).repartition(1).mapInPandas(run, "node long, below long").select(F.col("node").cast(kind).alias("node"), "below")
+    else:
+        own = _levels_by_doubling(left)
+    own = own.select("node", (F.col("below") + k).alias("below"))
+    return own if out is None else out.unionByName(own)
+
+
+def _levels_by_doubling(nodes: DataFrame) -> DataFrame:
+    """A node's deepest leaf is as deep as the deepest of all that hang on it."""
     ranked = T.nested_set(nodes.select("node", "parent"))
     # greatest depth over a run of places: windows of two powers of two cover it
     level = fresh(ranked.select("node", "pre", "last", "depth"))
